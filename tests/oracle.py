@@ -21,7 +21,7 @@ def duck(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def _cell(v, digits):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
