@@ -263,7 +263,8 @@ def linear_trend(df: DataFrame, value: str, date: str, min_n: int = 3) -> DataFr
         F.col("_y").isNotNull() & F.col("_d").isNotNull()
     )
     first = d.agg(F.min("_d").alias("_d0"))
-    days = (F.unix_micros(F.col("_d").cast("timestamp")) - F.unix_micros(F.col("_d0").cast("timestamp"))) / 86400e6
+    # whole days since the first date (timedelta.days floors)
+    days = F.floor((F.unix_micros(F.col("_d").cast("timestamp")) - F.unix_micros(F.col("_d0").cast("timestamp"))) / 86400e6)
     x = d.crossJoin(F.broadcast(first)).select(days.alias("_x"), "_y")
     one = x.agg(
         F.count(F.lit(1)).alias("n"),

@@ -10,7 +10,9 @@ from .common import C, TARGET
 from .q_aggregates import rnd
 
 AGE_EDGES = [0, 20, 40, 60, float("inf")]
-AGE_LABELS = ["0-20", "20-40", "40-60", "60+"]
+# Age and surface class labels.
+AGE_LABELS = ["RÉCENT", "MODERNE", "ANCIEN", "TRÈS ANCIEN"]
+SURFACE_LABELS = ["PETITE", "MOYENNE", "GRANDE", "TRÈS GRANDE"]
 REF_YEAR = 2025
 
 
@@ -21,12 +23,12 @@ def _age(df):
 @register("cut_fixed_edges", f"""
 WITH d AS (SELECT cod_sin, {REF_YEAR}.0 - annee_construction_batiment AS a, surface_police AS s FROM claims)
 SELECT cod_sin,
-  CASE WHEN a IS NULL THEN NULL WHEN a >= 0 AND a <= 20 THEN '0-20' WHEN a > 20 AND a <= 40 THEN '20-40'
-       WHEN a > 40 AND a <= 60 THEN '40-60' WHEN a > 60 THEN '60+' END AS classe_age,
+  CASE WHEN a IS NULL THEN NULL WHEN a >= 0 AND a <= 20 THEN 'RÉCENT' WHEN a > 20 AND a <= 40 THEN 'MODERNE'
+       WHEN a > 40 AND a <= 60 THEN 'ANCIEN' WHEN a > 60 THEN 'TRÈS ANCIEN' END AS classe_age,
   CASE WHEN a IS NULL THEN NULL WHEN a > 0 AND a <= 20 THEN '0-20' WHEN a > 20 AND a <= 40 THEN '20-40'
        WHEN a > 40 AND a <= 60 THEN '40-60' WHEN a > 60 AND a <= 100 THEN '60-100' WHEN a > 100 THEN '100+' END AS age_bin,
-  CASE WHEN s IS NULL THEN NULL WHEN s >= 0 AND s <= 80 THEN '0-80' WHEN s > 80 AND s <= 120 THEN '80-120'
-       WHEN s > 120 AND s <= 180 THEN '120-180' WHEN s > 180 THEN '180+' END AS classe_surface
+  CASE WHEN s IS NULL THEN NULL WHEN s >= 0 AND s <= 80 THEN 'PETITE' WHEN s > 80 AND s <= 120 THEN 'MOYENNE'
+       WHEN s > 120 AND s <= 180 THEN 'GRANDE' WHEN s > 180 THEN 'TRÈS GRANDE' END AS classe_surface
 FROM d""")
 def q_cut_fixed(spark, sf):
     d = _age(C(spark, sf))
@@ -35,7 +37,7 @@ def q_cut_fixed(spark, sf):
         "cod_sin",
         binning.cut_expr(a, AGE_EDGES, AGE_LABELS, include_lowest=True).alias("classe_age"),
         binning.cut_expr(a, [0, 20, 40, 60, 100, float("inf")], ["0-20", "20-40", "40-60", "60-100", "100+"]).alias("age_bin"),
-        binning.cut_expr(F.col("surface_police"), [0, 80, 120, 180, float("inf")], ["0-80", "80-120", "120-180", "180+"],
+        binning.cut_expr(F.col("surface_police"), [0, 80, 120, 180, float("inf")], SURFACE_LABELS,
                          include_lowest=True).alias("classe_surface"),
     )
 

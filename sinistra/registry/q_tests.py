@@ -112,7 +112,7 @@ def q_jarque_bera(spark, sf):
 
 @register("linear_trend", """
 WITH d AS (SELECT montant_charge_brut AS y, date_sinistre AS dt FROM claims WHERE montant_charge_brut IS NOT NULL AND date_sinistre IS NOT NULL),
-x AS (SELECT y, (epoch_us(dt) - epoch_us((SELECT min(dt) FROM d))) / 86400e6 AS x FROM d)
+x AS (SELECT y, floor((epoch_us(dt) - epoch_us((SELECT min(dt) FROM d))) / 86400e6) AS x FROM d)
 SELECT CAST(count(*) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope_per_day, round(regr_slope(y, x) * 365.25, 6) AS slope_per_year,
        round(power(corr(x, y), 2), 6) AS r_squared FROM x""")
 def q_linear_trend(spark, sf):

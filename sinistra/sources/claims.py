@@ -144,26 +144,34 @@ def _digest(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims view written once as Parquet under the shared checkpoint
-    folder and read back: every analysis then scans a columnar table (with
-    pruning and pushdown) instead of re-running the join, and lineage is cut
-    at a table that survives executor loss. Keyed by the inputs' sizes and
-    modification times; the write is published by an atomic rename."""
+def materialize(spark: SparkSession, name: str, build, fmt: str = "parquet", options: dict | None = None) -> str:
+    """Write ``build()`` once under ``<checkpoint dir>/tables/<name>`` and return
+    the path. The write goes to a temporary folder published by an atomic
+    rename, so concurrent or failed runs never leave a half table behind."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/claims-{_digest(spark, sf_dir)}"
+    path = f"{base}/tables/{name}"
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(conf)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        claims(spark, sf_dir).write.mode("overwrite").parquet(tmp)
+        build().write.mode("overwrite").options(**(options or {})).format(fmt).save(tmp)
         fs.mkdirs(jpath.getParent())
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jpath):
             fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+    return path
+
+
+def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims view written once as Parquet under the shared checkpoint
+    folder and read back: every analysis then scans a columnar table (with
+    pruning and pushdown) instead of re-running the join, and lineage is cut
+    at a table that survives executor loss. Keyed by the inputs' sizes and
+    modification times."""
+    path = materialize(spark, f"claims-{_digest(spark, sf_dir)}", lambda: claims(spark, sf_dir))
     return spark.read.parquet(path)
