@@ -118,3 +118,46 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope_per_da
 def q_linear_trend(spark, sf):
     t = tests.linear_trend(C(spark, sf), TARGET, "date_sinistre")
     return t.select("n", R6("slope_per_day"), R6("slope_per_year"), R6("r_squared"))
+
+
+from ..operators import correlation  # noqa: E402
+from .q_aggregates import NUM, rnd  # noqa: E402
+from .q_windows import _corr_sql  # noqa: E402
+
+_NUM_X = [c for c in NUM if c != TARGET]
+
+
+@register("corr_with_target", _corr_sql(_NUM_X, 0.005))
+def q_corr_target(spark, sf):
+    c = correlation.corr_with_target(C(spark, sf), TARGET, _NUM_X, threshold=0.005)
+    return rnd(c, 6, skip=("missing_pct",))
+
+
+@register("corr_matrix", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS var_a, '{b}' AS var_b, round(corr({a}, {b}) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL), 6) AS r FROM claims"
+    for i, a in enumerate(NUM) for b in NUM[i:]))
+def q_corr_matrix(spark, sf):
+    return rnd(correlation.corr_matrix(C(spark, sf), NUM), 6)
+
+
+@register("yearly_trend_flag", """
+WITH y AS (SELECT year(date_sinistre) AS yr, avg(montant_charge_brut) AS m FROM claims WHERE montant_charge_brut IS NOT NULL GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS years, round(corr(yr, m), 6) AS r, count(*) > 1 AND abs(corr(yr, m)) > 0.5 AS trend_flag FROM y""")
+def q_yearly_trend(spark, sf):
+    d = C(spark, sf).where(F.col(TARGET).isNotNull())
+    y = d.groupBy(F.year("date_sinistre").alias("yr")).agg(F.avg(TARGET).alias("m"))
+    from ..functions.stats import pair_corr
+    one = y.agg(F.count(F.lit(1)).cast("bigint").alias("years"), pair_corr(F.col("yr").cast("double"), F.col("m")).alias("r"))
+    return rnd(one.withColumn("trend_flag", (F.col("years") > 1) & (F.abs("r") > 0.5)), 6)
+
+
+@register("polyfit_line", """
+WITH d AS (SELECT surface_police AS x, montant_charge_brut AS y FROM claims WHERE surface_police IS NOT NULL AND montant_charge_brut IS NOT NULL)
+SELECT CAST(count(*) AS BIGINT) AS n, round(CASE WHEN count(*) > 10 THEN regr_slope(y, x) END, 6) AS slope,
+       round(CASE WHEN count(*) > 10 THEN regr_intercept(y, x) END, 4) AS intercept FROM d""")
+def q_polyfit(spark, sf):
+    d = C(spark, sf).where(F.col("surface_police").isNotNull() & F.col(TARGET).isNotNull())
+    one = d.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.regr_slope(TARGET, "surface_police").alias("slope"),
+                F.regr_intercept(TARGET, "surface_police").alias("intercept"))
+    return one.select("n", F.round(F.when(F.col("n") > 10, F.col("slope")), 6).alias("slope"),
+                      F.round(F.when(F.col("n") > 10, F.col("intercept")), 4).alias("intercept"))
