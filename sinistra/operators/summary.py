@@ -79,7 +79,8 @@ def with_share(res: DataFrame, count_col: str = "count", name: str = "percentage
     return res.crossJoin(F.broadcast(tot)).withColumn(name, v).drop("_tot")
 
 
-def group_stats(df: DataFrame, cat: str, target: str, null_group: str | None = None) -> DataFrame:
+def group_stats(df: DataFrame, cat: str, target: str, null_group: str | None = None,
+                digits: int | None = 2) -> DataFrame:
     """count, mean, median, std, min, max (2 decimals) and share (1 decimal) of
     ``target`` per level of ``cat``. Null levels are dropped, or named
     ``null_group`` (``"nan"`` reproduces the reference)."""
@@ -93,6 +94,7 @@ def group_stats(df: DataFrame, cat: str, target: str, null_group: str | None = N
     s = s.select(
         cat,
         F.col("count").cast("bigint").alias("count"),
-        *[F.round(c, 2).alias(c) for c in ("mean", "median", "std", "min", "max")],
+        *[(F.round(c, digits) if digits is not None else F.col(c)).alias(c)
+          for c in ("mean", "median", "std", "min", "max")],
     )
     return with_share(s)

@@ -27,15 +27,15 @@ def _union(cols, body):
 
 @register("group_stats", """
 SELECT risque_rga_gcl, CAST(count(montant_charge_brut) AS BIGINT) AS count,
-       round(avg(montant_charge_brut), 2) AS mean,
-       round(quantile_cont(montant_charge_brut, 0.5), 2) AS median,
-       round(stddev_samp(montant_charge_brut), 2) AS std,
-       round(min(montant_charge_brut), 2) AS min, round(max(montant_charge_brut), 2) AS max,
+       round(avg(montant_charge_brut), 4) AS mean,
+       round(quantile_cont(montant_charge_brut, 0.5), 4) AS median,
+       round(stddev_samp(montant_charge_brut), 4) AS std,
+       round(min(montant_charge_brut), 4) AS min, round(max(montant_charge_brut), 4) AS max,
        round(count(montant_charge_brut) * 100.0 / sum(count(montant_charge_brut)) OVER (), 1) AS percentage
 FROM claims WHERE risque_rga_gcl IS NOT NULL AND montant_charge_brut IS NOT NULL
 GROUP BY risque_rga_gcl""")
 def q_group_stats(spark, sf):
-    return summary.group_stats(C(spark, sf), "risque_rga_gcl", TARGET)
+    return rnd(summary.group_stats(C(spark, sf), "risque_rga_gcl", TARGET, digits=None), 4, skip=("percentage",))
 
 
 _DESC = """SELECT '{c}' AS variable, CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean,
