@@ -1,8 +1,9 @@
 """Binning, winsorising, clipping, imputation and outlier reports.
 
-Bounds are computed once as a one-row fence (exact distributed quantiles or
-min/max) and attached by broadcast cross join; the per-row work is a
-codegen'd ``when`` chain."""
+Bounds are computed once as a small fence (exact distributed quantiles or
+min/max: a few values per column), fetched and inlined as literals, so the
+per-row work is a codegen'd ``when`` chain over a plan that reads its input
+once."""
 
 from __future__ import annotations
 
@@ -37,12 +38,13 @@ def cut_equal_width(df: DataFrame, col: str, k: int = 5, out: str | None = None)
     """k equal-width right-closed bins over the observed min..max (min in the
     first bin, a constant column widened by 0.1 %); bin index 1..k."""
     x = to_double(col)
-    mm = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
-    lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - F.abs(F.col("_mn")) * 0.001).otherwise(F.col("_mn"))
-    hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + F.abs(F.col("_mx")) * 0.001).otherwise(F.col("_mx"))
+    mn, mx = df.agg(F.min(x), F.max(x)).first()
+    if mn is None:
+        return df.withColumn(out or f"{col}_bin", F.lit(None).cast("int"))
+    lo, hi = (mn - abs(mn) * 0.001, mx + abs(mx) * 0.001) if mn == mx else (mn, mx)
     w = (hi - lo) / k
-    b = F.least(F.lit(k), F.greatest(F.lit(1), F.ceil((x - lo) / w))).cast("int")
-    return df.crossJoin(F.broadcast(mm)).withColumn(out or f"{col}_bin", F.when(x.isNotNull(), b)).drop("_mn", "_mx")
+    b = F.least(F.lit(k), F.greatest(F.lit(1), F.ceil((x - F.lit(lo)) / F.lit(w)))).cast("int")
+    return df.withColumn(out or f"{col}_bin", F.when(x.isNotNull(), b))
 
 
 def qcut_quartiles(df: DataFrame, col: str, q: int = 4, labels: Sequence[str] | None = None,
@@ -51,16 +53,17 @@ def qcut_quartiles(df: DataFrame, col: str, q: int = 4, labels: Sequence[str] |
     included; ties are never split. Duplicate edges are merged (the
     ``duplicates='drop'`` caller) - labels then follow the merged bins."""
     probs = [i / q for i in range(q + 1)]
-    names = [f"_e{i}" for i in range(q + 1)]
-    fence = ranks.exact_quantiles(df, col, probs, names=names)
+    e = ranks.quantile_values(df, col, probs)
     x = to_double(col)
     labels = list(labels) if labels else [f"Q{i + 1}" for i in range(q)]
+    if e[0] is None:
+        return df.withColumn(out or f"{col}_q", F.lit(None).cast("string"))
     # bin i keeps rows with e_i < x <= e_{i+1}; with equal edges the bin is empty
     expr = F.when(x.isNull(), F.lit(None))
     for i in range(q):
-        lo_ok = (x >= F.col(names[0])) if i == 0 else (x > F.col(names[i]))
-        expr = expr.when(lo_ok & (x <= F.col(names[i + 1])), F.lit(labels[i]))
-    return df.crossJoin(F.broadcast(fence)).withColumn(out or f"{col}_q", expr).drop(*names)
+        lo_ok = (x >= F.lit(e[0])) if i == 0 else (x > F.lit(e[i]))
+        expr = expr.when(lo_ok & (x <= F.lit(e[i + 1])), F.lit(labels[i]))
+    return df.withColumn(out or f"{col}_q", expr)
 
 
 def clip_guarded(x: Column, lo: Column, hi: Column) -> Column:
@@ -70,11 +73,11 @@ def clip_guarded(x: Column, lo: Column, hi: Column) -> Column:
 
 def winsorize(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99, keys: Sequence[str] = ()) -> DataFrame:
     """Clip ``col`` to its (global, or per-``keys``) lo/hi quantiles."""
+    if not keys:
+        a, b = ranks.quantile_values(df, col, [lo, hi])
+        return df.withColumn(col, clip_guarded(F.col(col), ranks.lit_or_null(a), ranks.lit_or_null(b)))
     f = ranks.exact_quantiles(df, col, [lo, hi], keys, names=["_wlo", "_whi"])
-    if keys:
-        j = df.join(f, list(keys), "left")
-    else:
-        j = df.crossJoin(F.broadcast(f))
+    j = df.join(f, list(keys), "left")
     return j.withColumn(col, clip_guarded(F.col(col), F.col("_wlo"), F.col("_whi"))).drop("_wlo", "_whi")
 
 
@@ -86,36 +89,29 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi:
     as they are."""
     if strategy == "none" or not cols:
         return df
-    q = column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi})
-    cnt = df.agg(*[F.count(to_double(c)).alias(c) for c in cols])
-    cnt_long = cnt.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("n")) for c in cols])).alias("r")).select("r.*")
-    fence = q.join(cnt_long, "variable").groupBy().pivot("variable", list(cols)).agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"))
-    j = df.crossJoin(F.broadcast(fence))
-    out = []
-    for c in cols:
+    bounds = {r["variable"]: (r["lo"], r["hi"]) for r in column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi}).collect()}
+    counts = df.agg(*[F.count(to_double(c)).alias(c) for c in cols]).first()
+    sel = []
+    for c in df.columns:
+        if c not in cols or counts[c] < min_values or c not in bounds:
+            sel.append(F.col(f"`{c}`"))
+            continue
         x = to_double(c)
-        lo, hi, n = F.col(f"`{c}_lo`"), F.col(f"`{c}_hi`"), F.col(f"`{c}_n`")
-        if strategy == "clip":
-            v = clip_guarded(x, lo, hi)
-        else:
-            v = F.when((x >= lo) & (x <= hi), x)
-        out.append(F.when(n >= min_values, v).otherwise(F.col(f"`{c}`")).alias(c))
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in cols]
-    return j.select(*keep, *out).select(*df.columns)
+        lo, hi = ranks.lit_or_null(bounds[c][0]), ranks.lit_or_null(bounds[c][1])
+        v = clip_guarded(x, lo, hi) if strategy == "clip" else F.when((x >= lo) & (x <= hi), x)
+        sel.append(v.alias(c))
+    return df.select(*sel)
 
 
 def impute_numeric(df: DataFrame, cols: Sequence[str], how: str = "median") -> DataFrame:
     """null -> median (exact) or mean of the column."""
     if how == "median":
-        q = column_quantiles(df, cols, {"m": 0.5})
-        fence = q.groupBy().pivot("variable", list(cols)).agg(F.first("m"))
+        fill = {r["variable"]: r["m"] for r in column_quantiles(df, cols, {"m": 0.5}).collect()}
     else:
-        fence = df.agg(*[F.avg(to_double(c)).alias(c) for c in cols])
-    fence = fence.select(*[F.col(f"`{c}`").alias(f"_f_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(fence))
-    return j.select(*[F.coalesce(to_double(c), F.col(f"_f_{c}")).alias(c) if c in cols else F.col(f"`{c}`")
-                      for c in df.columns])
+        row = df.agg(*[F.avg(to_double(c)).alias(c) for c in cols]).first()
+        fill = {c: row[c] for c in cols}
+    return df.select(*[F.coalesce(to_double(c), ranks.lit_or_null(fill.get(c))).alias(c) if c in cols else F.col(f"`{c}`")
+                       for c in df.columns])
 
 
 def cleaning_audit(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi: float = 0.99) -> DataFrame:
@@ -136,8 +132,8 @@ def outliers_iqr(df: DataFrame, col: str) -> DataFrame:
     IQR = 0 -> rate 0 and a warning."""
     x = to_double(col)
     d = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    f = ranks.exact_quantiles(d, "_x", [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
-    j = d.crossJoin(F.broadcast(f))
+    q1, med, q3 = ranks.quantile_values(d, "_x", [0.25, 0.5, 0.75])
+    j = d.select("_x", ranks.lit_or_null(q1).alias("q1"), ranks.lit_or_null(med).alias("median"), ranks.lit_or_null(q3).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     out = (F.col("_x") < lo) | (F.col("_x") > hi)
@@ -160,13 +156,15 @@ def outliers_multi(df: DataFrame, col: str) -> DataFrame:
     severity and action flag from the IQR rate."""
     x = to_double(col)
     d = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    f = ranks.exact_quantiles(d, "_x", [0.05, 0.25, 0.5, 0.75, 0.95, 0.99],
-                              names=["p5", "q1", "median", "q3", "p95", "p99"])
-    mom = d.agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd0"), F.count(F.lit(1)).alias("n"))
-    fence = f.crossJoin(mom)
-    j = d.crossJoin(F.broadcast(fence)).withColumn("_ad", F.abs(F.col("_x") - F.col("median")))
-    mad = ranks.exact_quantiles(j, "_ad", [0.5], names=["mad"])
-    j = j.crossJoin(F.broadcast(mad))
+    names = ["p5", "q1", "median", "q3", "p95", "p99"]
+    qv = ranks.quantile_values(d, "_x", [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    mom = d.agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd0"), F.count(F.lit(1)).alias("n")).first()
+    j = d.select("_x", *[ranks.lit_or_null(v).alias(n) for n, v in zip(names, qv)],
+                 ranks.lit_or_null(mom["mean"]).alias("mean"), ranks.lit_or_null(mom["sd0"]).alias("sd0"),
+                 F.lit(mom["n"]).cast("bigint").alias("n"))
+    j = j.withColumn("_ad", F.abs(F.col("_x") - F.col("median")))
+    (mad,) = ranks.quantile_values(j, "_ad", [0.5])
+    j = j.withColumn("mad", ranks.lit_or_null(mad))
     iqr = F.col("q3") - F.col("q1")
     mz = F.try_divide(0.6745 * (F.col("_x") - F.col("median")), F.col("mad"))
     z = F.try_divide(F.col("_x") - F.col("mean"), F.col("sd0"))

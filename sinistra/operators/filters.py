@@ -120,19 +120,15 @@ def dedup_claims(df: DataFrame, keys: Sequence[str] = ("police", "cod_sin"),
 def filter_extreme_iqr(df: DataFrame, target: str) -> DataFrame:
     """If any value lies outside Q1-1.5 IQR .. Q3+1.5 IQR, keep only rows within
     Q1-3 IQR .. Q3+3 IQR (null targets fall out); else keep all rows."""
-    q = ranks.exact_quantiles(df, target, [0.25, 0.75], names=["_q1", "_q3"])
-    flag = df.select(target).crossJoin(F.broadcast(q)).agg(
-        F.max(
-            (F.col(target) < F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")))
-            | (F.col(target) > F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1")))
-        ).alias("_any")
-    )
-    fence = q.crossJoin(flag)
-    iqr = F.col("_q3") - F.col("_q1")
-    keep = ~F.coalesce(F.col("_any"), F.lit(False)) | (
-        (F.col(target) >= F.col("_q1") - 3 * iqr) & (F.col(target) <= F.col("_q3") + 3 * iqr)
-    )
-    return df.crossJoin(F.broadcast(fence)).where(F.coalesce(keep, F.lit(False))).drop("_q1", "_q3", "_any")
+    q1, q3 = ranks.quantile_values(df, target, [0.25, 0.75])
+    if q1 is None:
+        return df
+    iqr = q3 - q1
+    x = F.col(target)
+    any_out = df.where((x < q1 - 1.5 * iqr) | (x > q3 + 1.5 * iqr)).limit(1).count() > 0
+    if not any_out:
+        return df
+    return df.where(F.coalesce((x >= q1 - 3 * iqr) & (x <= q3 + 3 * iqr), F.lit(False)))
 
 
 def having_min_count(grouped: DataFrame, k: int, count_col: str = "n") -> DataFrame:

@@ -6,8 +6,9 @@ plan is the same everywhere:
 
 1. ``groupBy(keys, value).count()`` - map-side combined, so a value that holds
    a third of the rows shrinks to one row per task before the shuffle;
-2. a one-row fence of ``percentile_approx`` edges over those distinct rows,
-   broadcast (its size is the fixed bucket count), gives each row a
+2. ``percentile_approx`` edges over those distinct rows (a bounded list of
+   at most ``DEFAULT_MAX_BUCKETS`` doubles, fetched once and inlined as a
+   literal, so the plan does not embed its input twice) give each row a
    deterministic value bucket (binary search in a SQL lambda);
 3. bucket totals (|keys| x buckets rows) -> running offsets per key;
 4. a window partitioned by (keys, bucket), ordered by value, adds the counts
@@ -82,12 +83,13 @@ def cumulative_counts(
     vc = df.where(F.col(value).isNotNull()).groupBy(*grp).agg(F.count(F.lit(1)).alias("cnt"))
     nb = _n_buckets(df, buckets)
     probs = [i / nb for i in range(1, nb)]
-    fence = vc.agg(F.percentile_approx(value, probs, 10000).alias("_edges"))
-    vb = (
-        vc.crossJoin(F.broadcast(fence))
-        .withColumn("_b", _bucket_expr(value, "_edges", nb - 1))
-        .drop("_edges")
-    )
+    edges = vc.agg(F.percentile_approx(value, probs, 10000).alias("_edges")).first()[0] or []
+    edges = sorted(float(e) for e in edges if e is not None)
+    if edges:
+        arr = F.array(*[F.lit(e) for e in edges])
+        vb = vc.withColumn("_edges", arr).withColumn("_b", _bucket_expr(value, "_edges", len(edges))).drop("_edges")
+    else:
+        vb = vc.withColumn("_b", F.lit(0))
     bt = vb.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bt"))
     wk = Window.partitionBy(*keys).orderBy("_b")
     bt = bt.select(
@@ -181,3 +183,16 @@ def trimmed_means(
         .groupBy(*keys)
         .agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias(name))
     )
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list:
+    """Exact global quantiles as Python floats (a fence of ``len(probs)``
+    values, computed by the distributed plan above and fetched once)."""
+    row = exact_quantiles(df, value, list(probs), names=[f"_q{i}" for i in range(len(probs))]).first()
+    if row is None:
+        return [None] * len(probs)
+    return [row[f"_q{i}"] for i in range(len(probs))]
+
+
+def lit_or_null(v) -> Column:
+    return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")

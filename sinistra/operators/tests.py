@@ -262,10 +262,10 @@ def linear_trend(df: DataFrame, value: str, date: str, min_n: int = 3) -> DataFr
     d = df.select(to_double(value).alias("_y"), F.col(date).cast("timestamp_ntz").alias("_d")).where(
         F.col("_y").isNotNull() & F.col("_d").isNotNull()
     )
-    first = d.agg(F.min("_d").alias("_d0"))
+    d0 = d.agg(F.min(F.unix_micros(F.col("_d").cast("timestamp")))).first()[0]
     # whole days since the first date (timedelta.days floors)
-    days = F.floor((F.unix_micros(F.col("_d").cast("timestamp")) - F.unix_micros(F.col("_d0").cast("timestamp"))) / 86400e6)
-    x = d.crossJoin(F.broadcast(first)).select(days.alias("_x"), "_y")
+    days = F.floor((F.unix_micros(F.col("_d").cast("timestamp")) - F.lit(d0 or 0)) / 86400e6)
+    x = d.select(days.alias("_x"), "_y")
     one = x.agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("_y", "_x").alias("slope_per_day"),
