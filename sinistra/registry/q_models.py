@@ -1,3 +1,177 @@
-"""Registered queries."""
+"""Feature engineering and model keys."""
 
 from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import features, models, profile
+from . import register
+from .common import C, TARGET
+from .q_aggregates import rnd
+
+NUMF = ["prime", "engagements", "surface_police", "nb_pieces_police", "weather_precip_mean", "weather_temp_mean"]
+CATF = ["type_mur_batiment", "statut_sinistre"]
+
+
+@register("encode_label", """
+WITH c AS (SELECT cod_sin, type_mur_batiment, statut_sinistre FROM claims)
+SELECT cod_sin, type_mur_batiment, statut_sinistre,
+  CAST(dense_rank() OVER (ORDER BY type_mur_batiment) - 1 AS INTEGER) AS type_mur_batiment_encoded,
+  CAST(dense_rank() OVER (ORDER BY statut_sinistre) - 1 AS INTEGER) AS statut_sinistre_encoded FROM c""")
+def q_encode_label(spark, sf):
+    d = C(spark, sf).select("cod_sin", "type_mur_batiment", "statut_sinistre")
+    return features.encode_label(d, ["type_mur_batiment", "statut_sinistre"])
+
+
+@register("encode_onehot", """
+SELECT cod_sin, CASE WHEN statut_sinistre = 'Clos' THEN 1 ELSE 0 END AS statut_sinistre_Clos,
+  CASE WHEN statut_sinistre = 'Fermé' THEN 1 ELSE 0 END AS "statut_sinistre_Fermé",
+  CASE WHEN statut_sinistre = 'Ouvert' THEN 1 ELSE 0 END AS statut_sinistre_Ouvert FROM claims""")
+def q_encode_onehot(spark, sf):
+    d = C(spark, sf).select("cod_sin", "statut_sinistre")
+    return features.encode_onehot(d, "statut_sinistre", drop_original=True)
+
+
+@register("scale_standard", """
+SELECT cod_sin, round((montant_charge_brut - (SELECT avg(montant_charge_brut) FROM claims)) / (SELECT stddev_pop(montant_charge_brut) FROM claims), 6) AS montant_charge_brut,
+       round((prime - (SELECT avg(prime) FROM claims)) / (SELECT stddev_pop(prime) FROM claims), 6) AS prime FROM claims""")
+def q_scale_standard(spark, sf):
+    d = C(spark, sf).select("cod_sin", TARGET, "prime")
+    return rnd(features.scale_standard(d, [TARGET, "prime"]), 6)
+
+
+@register("scale_minmax", """
+SELECT cod_sin, round((engagements - (SELECT min(engagements) FROM claims)) / ((SELECT max(engagements) FROM claims) - (SELECT min(engagements) FROM claims)), 6) AS engagements
+FROM claims""")
+def q_scale_minmax(spark, sf):
+    return rnd(features.scale_minmax(C(spark, sf).select("cod_sin", "engagements"), ["engagements"]), 6)
+
+
+@register("target_transform", """
+SELECT cod_sin, round(ln(prime + CASE WHEN (SELECT min(prime) FROM claims) <= 0 THEN abs((SELECT min(prime) FROM claims)) + 1 ELSE 0 END), 6) AS y_t,
+       round(CASE WHEN (SELECT min(prime) FROM claims) <= 0 THEN abs((SELECT min(prime) FROM claims)) + 1 ELSE 0 END, 6) AS shift
+FROM claims WHERE prime IS NOT NULL""")
+def q_target_transform(spark, sf):
+    d = C(spark, sf).select("cod_sin", "prime").where(F.col("prime").isNotNull())
+    return rnd(features.target_transform(d, "prime", "log").select("cod_sin", "y_t", "shift"), 6)
+
+
+@register("model_input_profile", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows,
+  CAST({" + ".join(f"(count(*) - count({c}))" for c in NUMF + CATF)} AS BIGINT) AS missing_cells,
+  CAST({len(NUMF)} AS BIGINT) AS numeric_features, CAST({len(CATF)} AS BIGINT) AS categorical_features,
+  round(avg(montant_charge_brut), 4) AS target_mean, round(quantile_cont(montant_charge_brut, 0.5), 4) AS target_median,
+  round(stddev_samp(montant_charge_brut), 4) AS target_std, round(skewness(montant_charge_brut), 4) AS target_skew,
+  round(kurtosis(montant_charge_brut), 4) AS target_kurt FROM claims""")
+def q_model_input(spark, sf):
+    d = C(spark, sf)
+    miss = sum((F.count(F.lit(1)) - F.count(c) for c in NUMF + CATF), F.lit(0))
+    base = d.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), miss.cast("bigint").alias("missing_cells"),
+                 F.lit(len(NUMF)).cast("bigint").alias("numeric_features"), F.lit(len(CATF)).cast("bigint").alias("categorical_features"))
+    t = profile.target_distribution(d, TARGET).select(
+        F.col("mean").alias("target_mean"), F.col("median").alias("target_median"), F.col("std").alias("target_std"),
+        F.col("skewness").alias("target_skew"), F.col("kurtosis").alias("target_kurt"))
+    return rnd(base.crossJoin(t))
+
+
+def _prepared(spark, sf):
+    d = models.prepare(C(spark, sf), TARGET, NUMF, CATF, "cod_sin")
+    pipe = models.feature_pipeline(NUMF, CATF).fit(d)
+    return pipe.transform(d)
+
+
+@register("model_features", None)
+def q_model_features(spark, sf):
+    return _prepared(spark, sf).select("cod_sin", "label", vector_to_array("features").alias("features"))
+
+
+@register("train_test_split", None)
+def q_split(spark, sf):
+    tr, te = models.hash_split(C(spark, sf), "cod_sin")
+    return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+
+@register("fit_linear_family", None)
+def q_linear_family(spark, sf):
+    d = _prepared(spark, sf)
+    tr, te = models.hash_split(d, "cod_sin")
+    _, rows = models.fit_models(tr, te, ["linear", "ridge", "lasso", "elastic_net"])
+    return rows
+
+
+@register("fit_trees", None)
+def q_trees(spark, sf):
+    d = _prepared(spark, sf)
+    tr, te = models.hash_split(d, "cod_sin")
+    _, rows = models.fit_models(tr, te, ["random_forest", "gradient_boosting", "decision_tree"])
+    return rows
+
+
+@register("cross_validate", None)
+def q_cv(spark, sf):
+    return models.cross_validate(_prepared(spark, sf), "linear", "cod_sin", 5)
+
+
+@register("regression_metrics", """
+WITH d AS (SELECT engagements AS x, montant_charge_brut AS y FROM claims WHERE engagements IS NOT NULL AND montant_charge_brut IS NOT NULL),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d),
+p AS (SELECT y, a + b * x AS yhat FROM d, f)
+SELECT CAST(count(*) AS BIGINT) AS n, round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), 6) AS r2,
+       round(sqrt(avg((y - yhat) * (y - yhat))), 2) AS rmse, round(avg(abs(y - yhat)), 2) AS mae FROM p""")
+def q_reg_metrics(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d = C(spark, sf).where(F.col("engagements").isNotNull() & F.col(TARGET).isNotNull()).select(
+        "engagements", F.col(TARGET).alias("label"))
+    d = VectorAssembler(inputCols=["engagements"], outputCol="features").transform(d)
+    m = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(d)
+    r = models.regression_metrics(m.transform(d))
+    return r.select("n", F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"), F.round("mae", 2).alias("mae"))
+
+
+@register("ols_inference", None)
+def q_ols(spark, sf):
+    d = models.prepare(C(spark, sf), TARGET, NUMF, [], "cod_sin").na.drop(subset=NUMF)
+    return models.ols_inference(d, NUMF)
+
+
+@register("feature_importance", None)
+def q_importance(spark, sf):
+    d = _prepared(spark, sf)
+    tr, te = models.hash_split(d, "cod_sin")
+    fitted, _ = models.fit_models(tr, te, ["linear", "random_forest", "decision_tree"])
+    n = len(d.select("features").first()[0])
+    names = [f"f{i}" for i in range(n)]
+    return models.feature_importance(fitted, names)
+
+
+@register("residual_diagnostics", None)
+def q_residuals(spark, sf):
+    d = models.prepare(C(spark, sf), TARGET, NUMF, [], "cod_sin").na.drop(subset=NUMF)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d = VectorAssembler(inputCols=NUMF, outputCol="features").transform(d)
+    m = LinearRegression(regParam=0.0).fit(d)
+    return models.residual_diagnostics(m.transform(d).drop("features"), NUMF)
+
+
+@register("scatter_pairs", """
+SELECT 'surface_police' AS variable, CAST(surface_police AS DOUBLE) AS x, montant_charge_brut AS y FROM claims
+  WHERE surface_police IS NOT NULL AND montant_charge_brut IS NOT NULL
+UNION ALL SELECT 'prime', prime, montant_charge_brut FROM claims WHERE prime IS NOT NULL AND montant_charge_brut IS NOT NULL
+UNION ALL SELECT 'weather_temp_mean', weather_temp_mean, montant_charge_brut FROM claims WHERE weather_temp_mean IS NOT NULL AND montant_charge_brut IS NOT NULL""")
+def q_scatter(spark, sf):
+    keys = ["surface_police", "prime", "weather_temp_mean"]
+    d = C(spark, sf).select(F.col(TARGET).alias("y"), *[F.col(c).cast("double") for c in keys])
+    long = d.unpivot(["y"], keys, "variable", "x")
+    return long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("variable", "x", "y")
+
+
+@register("predict_interval", None)
+def q_predict(spark, sf):
+    d = _prepared(spark, sf)
+    tr, te = models.hash_split(d, "cod_sin")
+    fitted, rows = models.fit_models(tr, te, ["linear"])
+    rmse = rows.first()["rmse"]
+    return models.predict_interval(fitted["linear"], te, rmse).select("cod_sin", "pred", "pred_lower", "pred_upper")
