@@ -56,7 +56,10 @@ def summarize(
     ``quantiles`` (name -> probability), optional trimmed mean and mode
     (smallest value among the most frequent)."""
     keys = list(keys)
-    base = df.groupBy(*keys).agg(*[MEASURES[m](value).alias(m) for m in measures], *extra)
+    aggs = [MEASURES[m](value).alias(m) for m in measures] + list(extra)
+    base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+    if not aggs:
+        base = base.drop("_rows")
     if quantiles:
         q = ranks.exact_quantiles(df, value, list(quantiles.values()), keys, names=list(quantiles.keys()))
         base = join_keys(base, q, keys)

@@ -326,3 +326,85 @@ def risk_matrix(df: DataFrame, ref_year: int = 2025) -> DataFrame:
     return d.groupBy((F.col("exposure_score") > 0.5).alias("high_exposure"),
                      (F.col("building_vulnerability_score") > 0.5).alias("high_vulnerability")).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.avg(to_double(TARGET)).alias("mean"))
+
+
+# ---- ordered-risk, floors and binary-flag analyses ---------------------------
+
+def _robust(d: DataFrame, level: str, y: str = "_y") -> DataFrame:
+    s = summary.summarize(d, y, [level], ("count", "mean", "std"), {"median": 0.5, "_q1": 0.25, "_q3": 0.75},
+                          trimmed="trimmed_mean")
+    return s.select(level, F.col("count").alias("n"), "median", (F.col("_q3") - F.col("_q1")).alias("iqr"), "trimmed_mean", "mean", "std")
+
+
+def _winsor(d: DataFrame, y: str = "_y") -> DataFrame:
+    from ..operators.binning import winsorize
+    return winsorize(d, y, 0.01, 0.99)
+
+
+def rga_vs_amount(df: DataFrame, rga: str = "risque_rga_gcl", with_quantreg: bool = True) -> DataFrame:
+    """Ordered RGA level vs amount: winsorised robust summary per level,
+    Kruskal + epsilon squared, Spearman trend on the level code (monotone if
+    rho > 0 and p < .05), Dunn (Holm), Cliff's delta for every pair, quantile
+    regression slopes at .5 and .9."""
+    code = {v: i for i, v in enumerate(RGA_ORDER)}
+    d = df.select(map_expr(RGA_SYNONYMS, F.lower(F.col(rga).cast("string"))).alias("rga"), to_double(TARGET).alias("_y")).where(
+        F.col("rga").isNotNull() & (F.col("_y") > 0))
+    d = _winsor(d).withColumn("_code", map_expr(code, F.col("rga")).cast("double"))
+    parts = [tidy(_robust(d, "rga"), "robust_summary", "rga", ["n", "median", "iqr", "trimmed_mean", "mean", "std"])]
+    k = tests.kruskal_wallis(d, "rga", "_y")
+    parts.append(tidy(k, "kruskal", None, ["statistic", "p_value", "epsilon_sq", "groups_count"]))
+    sp = tests.spearman(d, "_code", "_y").withColumn("monotone", ((F.col("rho") > 0) & (F.col("p_value") < 0.05)).cast("double"))
+    parts.append(tidy(sp, "spearman", None, ["rho", "p_value", "monotone"]))
+    dn = tests.dunn_posthoc(d, "rga", "_y")
+    parts.append(tidy(dn.withColumn("_pair", F.concat_ws("|", "level_a", "level_b")), "dunn", "_pair", ["z", "p_value", "p_holm"]))
+    pairs = [(a, b) for i, a in enumerate(RGA_ORDER) for b in RGA_ORDER[i + 1:]]
+    cd = tests.cliffs_delta_pairs(d, "rga", "_y", pairs).withColumn("_pair", F.concat_ws("|", "level_a", "level_b"))
+    parts.append(tidy(cd, "cliffs_delta", "_pair", ["delta"]))
+    if with_quantreg:
+        from .suites import quantile_regression
+        for q in (0.5, 0.9):
+            parts.append(tidy(quantile_regression(d, "_code", "_y", q), f"quantreg_q{int(q * 100)}", None, ["slope"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def floors_vs_amount(df: DataFrame, floors: str = "nb_etages_batiment") -> DataFrame:
+    """Rounded (half-even) floor count 0..30 vs amount: robust summary,
+    Kruskal, Spearman, Cliff's delta of adjacent floor counts."""
+    d = df.select(F.bround(to_double(floors), 0).alias("_f"), to_double(TARGET).alias("_y")).where(
+        F.col("_f").between(0, 30) & (F.col("_y") > 0))
+    d = _winsor(d).withColumn("floors", F.col("_f").cast("int").cast("string"))
+    parts = [tidy(_robust(d, "floors"), "robust_summary", "floors", ["n", "median", "iqr", "trimmed_mean", "mean", "std"])]
+    k = tests.kruskal_wallis(d, "floors", "_y")
+    parts.append(tidy(k, "kruskal", None, ["statistic", "p_value", "epsilon_sq", "groups_count"]))
+    sp = tests.spearman(d, "_f", "_y")
+    parts.append(tidy(sp, "spearman", None, ["rho", "p_value"]))
+    levels = sorted(int(r[0]) for r in d.select("_f").distinct().collect())
+    pairs = [(str(a), str(b)) for a, b in zip(levels, levels[1:])]
+    if pairs:
+        cd = tests.cliffs_delta_pairs(d, "floors", "_y", pairs).withColumn("_pair", F.concat_ws("|", "level_a", "level_b"))
+        parts.append(tidy(cd, "cliffs_delta", "_pair", ["delta"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def flag_vs_amount(df: DataFrame, flag: str) -> DataFrame:
+    """Binary flag vs amount (winsorised): per-side summary, Mann-Whitney U
+    and p, Cliff's delta, Welch t on log1p, median difference, ratio of means."""
+    from ..functions.casting import boolify_nullable
+    from ..operators.groupdist import binary_summary
+
+    t = dict(df.dtypes)[flag]
+    d = df.select(boolify_nullable(flag, t).alias("_f"), to_double(TARGET).alias("_y")).where(
+        F.col("_f").isNotNull() & (F.col("_y") > 0))
+    d = _winsor(d)
+    bs = binary_summary(d, "_f", "_y")
+    mw = tests.mann_whitney(d, "_f", "_y", first=True)
+    wt = tests.t_test(d, "_f", "_y", equal_var=False, log1p=True).select(F.col("t").alias("log_t"), F.col("p_value").alias("log_t_p"))
+    return (tidy(bs, "summary", None, bs.columns)
+            .unionByName(tidy(mw, "mann_whitney", None, ["U", "p_value", "cliffs_delta"]))
+            .unionByName(tidy(wt, "log_ttest", None, ["log_t", "log_t_p"])))

@@ -1,3 +1,285 @@
-"""Registered queries."""
+"""Composite keys (SURVEY §2.10 compositions, §2.5 data dictionary, §2.9
+quantile regression). Oracle forms reuse the registered parts' SQL."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import profile, summary
+from ..plans import drought as D
+from ..plans import suites as X
+from . import REGISTRY, register
+from . import sqlgen as S
+from .common import C, TARGET
+from .q_aggregates import NUM, rnd
+from .sqlsnips import kruskal_sql
+
+
+def _strip_claims(sql: str) -> str:
+    return sql
+
+
+def _union_parts(keys):
+    return S.union(*[S.tagged(k, REGISTRY[k].sql) for k in keys])
+
+
+def _build_union(spark, sf, keys):
+    return X.union_all([REGISTRY[k].build(spark, sf).withColumn("analysis", F.lit(k)).select(
+        "analysis", "part", "level", "metric", "value") for k in keys])
+
+
+_CLIMATE = ["climate_precip", "climate_temp", "drought_conditions", "climate_by_month"]
+
+
+@register("climate_impact", _union_parts(_CLIMATE), claims=False)
+def q_climate_impact(spark, sf):
+    return _build_union(spark, sf, _CLIMATE)
+
+
+_VULN = ["vuln_age", "vuln_surface", "vuln_wall_type", "vuln_rooms"]
+_SCORE_M = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
+
+
+@register("building_vulnerability", S.union(
+    _union_parts(_VULN),
+    S.tagged("score_vulnerability", S.tidy("score", REGISTRY["score_vulnerability"].sql, _SCORE_M, level=None, digits=None))),
+    claims=False)
+def q_building_vuln(spark, sf):
+    sc = REGISTRY["score_vulnerability"].build(spark, sf)
+    score = D.tidy(sc, "score", None, _SCORE_M).withColumn("analysis", F.lit("score_vulnerability"))
+    return _build_union(spark, sf, _VULN).unionByName(score.select("analysis", "part", "level", "metric", "value"))
+
+
+_EXPO = ["exposure_premium", "exposure_commitment", "exposure_rga", "exposure_combined"]
+
+
+@register("risk_exposure", _union_parts(_EXPO), claims=False)
+def q_risk_exposure(spark, sf):
+    return _build_union(spark, sf, _EXPO)
+
+
+_DESC_M = ["count", "mean", "std", "min", "q25", "median", "q75", "max", "missing_count", "missing_percent", "skewness",
+           "kurtosis", "cv", "q05", "q95", "iqr"]
+_CORR_M = ["correlation_abs", "correlation", "data_count", "missing_pct"]
+_OUT_M = ["q1", "q3", "iqr", "lower", "upper", "outlier_count", "outlier_rate", "n", "mean", "median", "std"]
+_CLASS = ["statut_sinistre", "type_mur_batiment", "risque_rga_gcl"]
+_GS_M = ["count", "mean", "median", "std", "min", "max", "percentage"]
+
+
+def _gs_sql(c):
+    from ..sources.claims import with_claims
+    return with_claims(f"""SELECT {c}, CAST(count(montant_charge_brut) AS BIGINT) AS count, round(avg(montant_charge_brut), 4) AS mean,
+       round(quantile_cont(montant_charge_brut, 0.5), 4) AS median, round(stddev_samp(montant_charge_brut), 4) AS std,
+       round(min(montant_charge_brut), 4) AS min, round(max(montant_charge_brut), 4) AS max,
+       round(count(montant_charge_brut) * 100.0 / sum(count(montant_charge_brut)) OVER (), 1) AS percentage
+FROM claims WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL GROUP BY {c}""")
+
+
+def _kw_sql(c):
+    from ..sources.claims import with_claims
+    return with_claims("WITH " + kruskal_sql("claims", c, "montant_charge_brut", "NULL") + """
+SELECT round(H, 6) AS statistic, CAST(k AS BIGINT) AS groups_count, CAST(N AS BIGINT) AS n, round((H - k + 1) / (N - 1), 6) AS epsilon_sq FROM _kp""")
+
+
+_KW_M = ["statistic", "groups_count", "n", "epsilon_sq"]
+
+
+@register("statistics_suite", S.union(
+    S.tidy_keys("describe_numeric", REGISTRY["describe_numeric"].sql, ["variable"], _DESC_M),
+    S.tidy_keys("corr_with_target", REGISTRY["corr_with_target"].sql, ["variable"], _CORR_M),
+    *[S.tidy_keys(f"group_stats_{c}", _gs_sql(c), [c], _GS_M) for c in _CLASS],
+    *[S.tidy_keys(f"kruskal_{c}", _kw_sql(c), [], _KW_M) for c in _CLASS],
+    S.tidy_keys("outliers_iqr", REGISTRY["outliers_iqr"].sql, [], _OUT_M)), claims=False)
+def q_statistics_suite(spark, sf):
+    from ..operators import tests
+    d = C(spark, sf)
+    parts = [X.to_tidy(REGISTRY["describe_numeric"].build(spark, sf), "describe_numeric", ["variable"], _DESC_M),
+             X.to_tidy(REGISTRY["corr_with_target"].build(spark, sf), "corr_with_target", ["variable"], _CORR_M)]
+    for c in _CLASS:
+        g = rnd(summary.group_stats(d, c, TARGET, digits=None), 4, skip=("percentage",))
+        parts.append(X.to_tidy(g, f"group_stats_{c}", [c], _GS_M))
+        k = tests.kruskal_wallis(d, c, TARGET).select(F.round("statistic", 6).alias("statistic"), "groups_count", "n",
+                                                      F.round("epsilon_sq", 6).alias("epsilon_sq"))
+        parts.append(X.to_tidy(k, f"kruskal_{c}", [], _KW_M))
+    parts.append(X.to_tidy(REGISTRY["outliers_iqr"].build(spark, sf), "outliers_iqr", [], _OUT_M))
+    return X.union_all(parts)
+
+
+_OV_M = ["rows", "columns", "numeric_columns", "text_columns", "missing_cells", "target_mean", "target_sum", "duration_days"]
+_AU_M = ["removed", "remaining", "retention", "overall_retention"]
+_CA_M = ["below", "above", "nulls", "lower_bound", "upper_bound"]
+
+
+@register("quality_report", S.union(
+    S.tidy_keys("dataset_overview", REGISTRY["dataset_overview"].sql, [], _OV_M),
+    S.tidy_keys("filter_audit", REGISTRY["filter_audit"].sql, ["step", "filter"], _AU_M),
+    S.tidy_keys("cleaning_audit", REGISTRY["cleaning_audit"].sql, ["variable"], _CA_M)), claims=False)
+def q_quality_report(spark, sf):
+    return X.union_all([
+        X.to_tidy(REGISTRY["dataset_overview"].build(spark, sf), "dataset_overview", [], _OV_M),
+        X.to_tidy(REGISTRY["filter_audit"].build(spark, sf), "filter_audit", ["step", "filter"], _AU_M),
+        X.to_tidy(REGISTRY["cleaning_audit"].build(spark, sf), "cleaning_audit", ["variable"], _CA_M)])
+
+
+@register("comprehensive_suite", None)
+def q_comprehensive(spark, sf):
+    """Quality + RGA + flag + floors + months + tests (first RGA column found
+    among the candidates)."""
+    d = C(spark, sf)
+    rga = next(c for c in ("risque_rga_gcl", "risque_rga_gcl_detail", "risk_retraitGonflementArgile", "rga") if c in d.columns)
+    parts = [
+        REGISTRY["quality_report"].build(spark, sf).withColumnRenamed("analysis", "part"),
+        D.rga_vs_amount(d, rga, with_quantreg=False).withColumn("part", F.concat(F.lit("rga:"), F.col("part"))),
+        D.flag_vs_amount(d, "risk_flag").withColumn("part", F.concat(F.lit("flag:"), F.col("part"))),
+        D.floors_vs_amount(d).withColumn("part", F.concat(F.lit("floors:"), F.col("part"))),
+        X.to_tidy(REGISTRY["monthly_series"].build(spark, sf), "monthly", ["ym"], ["count", "montant_charge_brut_sum"])
+        .withColumnRenamed("analysis", "part"),
+    ]
+    return X.union_all([p.select("part", "level", "metric", "value") for p in parts])
+
+
+@register("rga_vs_amount", None)
+def q_rga(spark, sf):
+    return D.rga_vs_amount(C(spark, sf))
+
+
+@register("floors_vs_amount", None)
+def q_floors(spark, sf):
+    return D.floors_vs_amount(C(spark, sf))
+
+
+@register("flag_vs_amount", None)
+def q_flag(spark, sf):
+    return D.flag_vs_amount(C(spark, sf), "risk_flag")
+
+
+@register("quantile_regression", None)
+def q_quantreg(spark, sf):
+    d = C(spark, sf).withColumn("_code", F.col("nb_pieces_police").cast("double"))
+    return X.quantile_regression(d, "_code", TARGET, 0.5).unionByName(X.quantile_regression(d, "_code", TARGET, 0.9))
+
+
+@register("risk_segmentation", None)
+def q_segmentation(spark, sf):
+    return X.risk_segmentation(C(spark, sf))
+
+
+@register("stats_rollup", None)
+def q_rollup(spark, sf):
+    return X.stats_rollup(C(spark, sf))
+
+
+_CATALOGUE = {
+    "contrat": ["prime", "engagements", "statut_sinistre"],
+    "batiment": ["surface_police", "surface_batiment", "nb_etages_batiment", "nb_pieces_police", "annee_construction_batiment",
+                 "type_mur_batiment"],
+    "climat": ["weather_precip_mean", "weather_temp_mean"],
+    "risque": ["risque_rga_gcl", "risk_flag", "risk_seisme"],
+    "sol": ["compo_sol_has_argile", "dem_altitude"],
+}
+# Importance class of each catalogue group.
+_IMPORTANCE = {"contrat": "haute", "batiment": "haute", "climat": "critique", "risque": "critique", "sol": "moyenne"}
+
+
+def _avail_sql():
+    rows = ", ".join(f"('{g}', '{v}')" for g, vs in _CATALOGUE.items() for v in vs)
+    present = [v for vs in _CATALOGUE.values() for v in vs if v in NUM + ["statut_sinistre", "type_mur_batiment", "risque_rga_gcl", "risk_flag"]]
+    comp = " UNION ALL ".join(f"SELECT '{v}' AS variable, count({v}) * 100.0 / count(*) AS c FROM claims" for v in present)
+    imp = ", ".join(f"('{g}', '{v}')" for g, v in _IMPORTANCE.items())
+    return f"""WITH cat(grp, variable) AS (VALUES {rows}), comp AS ({comp}), imp(grp, importance) AS (VALUES {imp}),
+j AS (SELECT cat.grp, comp.c FROM cat LEFT JOIN comp USING (variable)),
+g AS (SELECT grp, count(*) AS expected, sum(CASE WHEN coalesce(c > 0, false) THEN 1 ELSE 0 END) AS available, avg(c) AS mc FROM j GROUP BY grp)
+SELECT g.grp, CAST(expected AS BIGINT) AS expected, CAST(available AS BIGINT) AS available, round(mc, 4) AS mean_completeness,
+       CAST(expected - available AS BIGINT) AS missing, round(available * 1.0 / expected, 4) AS rate, imp.importance,
+       available * 1.0 / expected > 0.5 AS ready FROM g LEFT JOIN imp USING (grp)"""
+
+
+@register("variable_availability", _avail_sql())
+def q_availability(spark, sf):
+    return rnd(X.variable_availability(C(spark, sf), _CATALOGUE, _IMPORTANCE), 4)
+
+
+@register("variable_importance", None)
+def q_importance_vars(spark, sf):
+    return X.variable_importance(C(spark, sf), {g: vs for g, vs in _CATALOGUE.items()})
+
+
+@register("insight_rules", """
+WITH q AS (SELECT quantile_cont(montant_charge_brut, 0.25) AS q1, quantile_cont(montant_charge_brut, 0.5) AS med,
+                  quantile_cont(montant_charge_brut, 0.75) AS q3, avg(montant_charge_brut) AS mean,
+                  corr(weather_precip_mean, montant_charge_brut) FILTER (WHERE weather_precip_mean IS NOT NULL AND montant_charge_brut IS NOT NULL) AS rp,
+                  corr(weather_temp_mean, montant_charge_brut) FILTER (WHERE weather_temp_mean IS NOT NULL AND montant_charge_brut IS NOT NULL) AS rt FROM claims),
+o AS (SELECT count(*) FILTER (WHERE montant_charge_brut < q1 - 1.5 * (q3 - q1) OR montant_charge_brut > q3 + 1.5 * (q3 - q1)) * 1.0 / count(*) AS orate
+      FROM claims, q WHERE montant_charge_brut IS NOT NULL),
+c AS (SELECT count(*) FILTER (WHERE abs(r) >= 0.3) AS n_strong FROM (""" + " UNION ALL ".join(
+    f"SELECT corr({c}, montant_charge_brut) FILTER (WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL) AS r FROM claims"
+    for c in NUM if c != TARGET) + """))
+SELECT 'precip_negative_correlation' AS rule, coalesce(rp < -0.2, false) AS fired, round(rp, 6) AS value FROM q
+UNION ALL SELECT 'temp_positive_correlation', coalesce(rt > 0.2, false), round(rt, 6) FROM q
+UNION ALL SELECT 'strong_correlations', n_strong > 0, CAST(n_strong AS DOUBLE) FROM c
+UNION ALL SELECT 'mean_above_median', mean > 1.1 * med, round(mean / med, 6) FROM q
+UNION ALL SELECT 'outliers_above_5pct', orate > 0.05, round(orate, 6) FROM o""")
+def q_insights(spark, sf):
+    return X.insight_rules(C(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@register("data_dictionary", """
+WITH l AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS v FROM claims" for c in
+                                  ["police", "statut_sinistre", "risque_rga_gcl", "nb_pieces_police", "ville", "montant_charge_brut"]) + """),
+vc AS (SELECT variable, v, count(*) AS c FROM l WHERE v IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY c DESC, v) AS rn FROM vc),
+t AS (SELECT variable, string_agg(v || ' (' || CAST(c AS VARCHAR) || ')', ', ' ORDER BY rn) AS top_values FROM r WHERE rn <= 3 GROUP BY 1),
+d AS (SELECT variable, count(*) AS distinct FROM vc GROUP BY 1),
+s AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, '{t}' AS dtype, count({c}) AS nn, count(*) AS rows, {mn} AS min, {mx} AS max, {av} AS mean, {sd} AS std FROM claims"
+    for c, t, mn, mx, av, sd in [
+        ("police", "string", "NULL", "NULL", "NULL", "NULL"), ("statut_sinistre", "string", "NULL", "NULL", "NULL", "NULL"),
+        ("risque_rga_gcl", "string", "NULL", "NULL", "NULL", "NULL"),
+        ("nb_pieces_police", "int", "min(nb_pieces_police)", "max(nb_pieces_police)", "avg(nb_pieces_police)", "stddev_samp(nb_pieces_police)"),
+        ("ville", "string", "NULL", "NULL", "NULL", "NULL"),
+        ("montant_charge_brut", "double", "min(montant_charge_brut)", "max(montant_charge_brut)", "avg(montant_charge_brut)", "stddev_samp(montant_charge_brut)")]) + """)
+SELECT s.variable, dtype, CAST(nn AS BIGINT) AS non_null, CAST(rows - nn AS BIGINT) AS null, round((rows - nn) * 100.0 / rows, 4) AS null_pct,
+       CAST(d.distinct AS BIGINT) AS distinct, round(CAST(min AS DOUBLE), 4) AS min, round(CAST(max AS DOUBLE), 4) AS max,
+       round(CAST(mean AS DOUBLE), 4) AS mean, round(CAST(std AS DOUBLE), 4) AS std, top_values
+FROM s LEFT JOIN d USING (variable) LEFT JOIN t USING (variable)""")
+def q_dictionary(spark, sf):
+    d = C(spark, sf).select("police", "statut_sinistre", "risque_rga_gcl", "nb_pieces_police", "ville", "montant_charge_brut")
+    return rnd(profile.data_dictionary(d), 4)
+
+
+_CLEAN_NUM = ["montant_charge_brut", "prime", "engagements", "surface_police", "surface_batiment", "nb_etages_batiment",
+              "nb_pieces_police", "annee_construction_batiment", "weather_precip_mean", "weather_temp_mean"]
+
+
+def _clean_sql():
+    qs = ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in _CLEAN_NUM)
+    clipped = ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(CAST({c} AS DOUBLE), {c}_lo), {c}_hi) END AS {c}" for c in _CLEAN_NUM)
+    meds = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m" for c in _CLEAN_NUM)
+    filled = ", ".join(f"round(coalesce({c}, {c}_m), 4) AS {c}" for c in _CLEAN_NUM)
+    return f"""WITH q AS (SELECT {qs} FROM claims),
+c AS (SELECT cod_sin, police, cpostal, date_sinistre, date_cloture_sinistre, statut_sinistre, risque_rga_gcl, type_mur_batiment, ville,
+             est_dans_sin_cluster, {clipped} FROM claims, q),
+m AS (SELECT {meds} FROM c),
+f AS (SELECT cod_sin, police, cpostal, date_sinistre, date_cloture_sinistre,
+             upper(trim(coalesce(statut_sinistre, 'Inconnu'))) AS statut_sinistre, upper(trim(coalesce(risque_rga_gcl, 'Inconnu'))) AS risque_rga_gcl,
+             upper(trim(coalesce(type_mur_batiment, 'Inconnu'))) AS type_mur_batiment, upper(trim(coalesce(ville, 'Inconnu'))) AS ville,
+             upper(trim(coalesce(est_dans_sin_cluster, 'Inconnu'))) AS est_dans_sin_cluster, {filled} FROM c, m)
+SELECT *, CASE WHEN annee_construction_batiment IS NULL THEN NULL ELSE greatest(2025.0 - annee_construction_batiment, 0.0) END AS age_batiment,
+  CAST(floor((epoch_us(date_cloture_sinistre) - epoch_us(date_sinistre)) / 86400e6) AS INTEGER) AS delai_cloture_jours,
+  CAST(year(date_sinistre) AS INTEGER) AS annee_sinistre,
+  CASE WHEN month(date_sinistre) IN (3, 4, 5) THEN 'PRINTEMPS' WHEN month(date_sinistre) IN (6, 7, 8) THEN 'ETE'
+       WHEN month(date_sinistre) IN (9, 10, 11) THEN 'AUTOMNE' WHEN month(date_sinistre) IN (12, 1, 2) THEN 'HIVER' END AS saison_sinistre,
+  CASE WHEN greatest(2025.0 - annee_construction_batiment, 0.0) BETWEEN 0 AND 20 THEN 'RÉCENT' WHEN greatest(2025.0 - annee_construction_batiment, 0.0) <= 40 THEN 'MODERNE'
+       WHEN greatest(2025.0 - annee_construction_batiment, 0.0) <= 60 THEN 'ANCIEN' WHEN greatest(2025.0 - annee_construction_batiment, 0.0) > 60 THEN 'TRÈS ANCIEN' END AS classe_age,
+  CASE WHEN surface_police >= 0 AND surface_police <= 80 THEN 'PETITE' WHEN surface_police > 80 AND surface_police <= 120 THEN 'MOYENNE'
+       WHEN surface_police > 120 AND surface_police <= 180 THEN 'GRANDE' WHEN surface_police > 180 THEN 'TRÈS GRANDE' END AS classe_surface,
+  substr(CASE WHEN length(trim(cpostal)) < 5 THEN lpad(trim(cpostal), 5, '0') ELSE trim(cpostal) END, 1, 2) AS region_code
+FROM f"""
+
+
+@register("clean_claims", _clean_sql())
+def q_clean(spark, sf):
+    d = C(spark, sf).select("cod_sin", "police", "cpostal", "date_sinistre", "date_cloture_sinistre", "statut_sinistre", "risque_rga_gcl",
+                            "type_mur_batiment", "ville", "est_dans_sin_cluster", *_CLEAN_NUM)
+    out = X.clean_claims(d)
+    return out.select(*[F.round(c, 4).alias(c) if c in _CLEAN_NUM else F.col(c) for c in out.columns])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import temporal
 from . import register
 from .common import C, TARGET
-from .q_aggregates import distribution_by_group, rnd
+from ..operators.groupdist import distribution_by_group
+from .q_aggregates import rnd
 
 _SEASON = """CASE WHEN month(date_sinistre) IN (12, 1, 2) THEN 'Hiver' WHEN month(date_sinistre) IN (3, 4, 5) THEN 'Printemps'
  WHEN month(date_sinistre) IN (6, 7, 8) THEN 'Été' ELSE 'Automne' END"""

@@ -18,12 +18,14 @@ def _metric(m: str) -> str:
     return f"quantile_cont(y, {_Q[m]})"
 
 
-def tidy(part: str, select_sql: str, metrics: Sequence[str], level: str | None = "level") -> str:
+def tidy(part: str, select_sql: str, metrics: Sequence[str], level: str | None = "level", digits: int | None = 4,
+         part_col: str = "part") -> str:
     """``select_sql`` returns columns level (optional) and the metrics; one
     output row per (level, metric), nulls kept."""
-    lv = "CAST(level AS VARCHAR)" if level else "CAST(NULL AS VARCHAR)"
+    lv = level if level and level != "level" else ("CAST(level AS VARCHAR)" if level else "CAST(NULL AS VARCHAR)")
+    val = (lambda m: f"round(CAST({m} AS DOUBLE), {digits})") if digits is not None else (lambda m: f"CAST({m} AS DOUBLE)")
     rows = " UNION ALL ".join(
-        f"SELECT '{part}' AS part, {lv} AS level, '{m}' AS metric, round(CAST({m} AS DOUBLE), 4) AS value FROM _t" for m in metrics)
+        f"SELECT '{part}' AS {part_col}, {lv} AS level, '{m}' AS metric, {val(m)} AS value FROM _t" for m in metrics)
     return f"SELECT * FROM (WITH _t AS ({select_sql}) {rows})"
 
 
@@ -83,3 +85,14 @@ def qcut(x: str, src: str, labels: Sequence[str]) -> str:
 
 def union(*parts: str) -> str:
     return "\nUNION ALL\n".join(parts)
+
+
+def tidy_keys(analysis: str, sql: str, keys: Sequence[str], metrics: Sequence[str]) -> str:
+    """Any result query -> (analysis, level, metric, value), level = keys
+    joined with '|', values as they are (no second rounding)."""
+    lv = ("concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) + ")") if keys else None
+    return tidy(analysis, sql, metrics, level=lv, digits=None, part_col="analysis")
+
+
+def tagged(analysis: str, sql: str) -> str:
+    return f"SELECT '{analysis}' AS analysis, * FROM ({sql})"
