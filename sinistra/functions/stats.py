@@ -17,7 +17,7 @@ def skew_g1(c) -> Column:
     """Bias-corrected skewness (pandas ``skew``); null below 3 rows."""
     x = col_(c)
     n = F.count(x).cast("double")
-    g1 = F.skewness(x)
+    g1 = F.coalesce(F.skewness(x), F.lit(0.0))  # constant column: 0 (pandas)
     return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
@@ -25,7 +25,7 @@ def kurt_g2(c) -> Column:
     """Bias-corrected excess kurtosis (pandas ``kurt``); null below 4 rows."""
     x = col_(c)
     n = F.count(x).cast("double")
-    g2 = F.kurtosis(x)
+    g2 = F.coalesce(F.kurtosis(x), F.lit(-6.0) / (n + 1))  # constant column: G2 = 0 (pandas)
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 

@@ -29,6 +29,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BUCKETS = 4096
+# Above this many non-null input rows the value range is split into buckets;
+# at or below it one sorted window per key group is proven small enough.
+SINGLE_SORT_MAX_ROWS = 1_000_000
+# Plan-time size estimate (the statistic Spark's broadcast threshold uses)
+# under which no counting job is needed to take the single-sort path.
+SINGLE_SORT_MAX_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (an upper bound for scans, filters
+    and projections); None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
 
 
 def _n_buckets(df: DataFrame, buckets: int | None) -> int:
@@ -77,39 +92,62 @@ def cumulative_counts(
 
     ``by`` splits the counts of a value by a second column (the sample of a
     rank test) without changing the ranking, which stays over all levels.
+
+    A first small job measures the largest key group. When it holds at most
+    ``SINGLE_SORT_MAX_ROWS`` rows (a size check, like a broadcast threshold)
+    each key group is one sorted window partition; beyond it the value range
+    is cut into buckets at approximate quantile edges so no task sorts more
+    than its share. ``buckets`` forces the bucketed path.
     """
     keys = list(keys)
     grp = keys + [value] + ([by] if by else [])
     vc = df.where(F.col(value).isNotNull()).groupBy(*grp).agg(F.count(F.lit(1)).alias("cnt"))
     nb = _n_buckets(df, buckets)
     probs = [i / nb for i in range(1, nb)]
-    edges = vc.agg(F.percentile_approx(value, probs, 10000).alias("_edges")).first()[0] or []
-    edges = sorted(float(e) for e in edges if e is not None)
+    nn = df.where(F.col(value).isNotNull())
+    small = False
+    if not buckets:
+        est = estimated_bytes(nn.select(*grp))
+        small = est is not None and est <= SINGLE_SORT_MAX_BYTES
+        if not small:
+            largest = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+            small = largest <= SINGLE_SORT_MAX_ROWS
+    if small:
+        w = Window.partitionBy(*keys).orderBy(value)
+        incl = F.sum("cnt").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        t = F.sum("cnt").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        full = w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        n = F.sum("cnt").over(full)
+        s1 = F.sum(F.col("cnt") * F.col(value)).over(full)
+        return vc.select(*grp, "cnt", t.alias("t"), (incl - t).alias("before"), n.alias("n"), s1.alias("s1"))
+    edges = nn.agg(F.percentile_approx(value, probs, 10000)).first()[0]
+    edges = sorted({float(e) for e in (edges or []) if e is not None})
     if edges:
         arr = F.array(*[F.lit(e) for e in edges])
         vb = vc.withColumn("_edges", arr).withColumn("_b", _bucket_expr(value, "_edges", len(edges))).drop("_edges")
     else:
         vb = vc.withColumn("_b", F.lit(0))
-    bt = vb.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bt"))
+    bt = vb.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bt"), F.sum(F.col("cnt") * F.col(value)).alias("_bs"))
     wk = Window.partitionBy(*keys).orderBy("_b")
     bt = bt.select(
         *keys,
         "_b",
         F.coalesce(F.sum("_bt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bt").over(Window.partitionBy(*keys)).alias("n"),
+        F.sum("_bs").over(Window.partitionBy(*keys)).alias("s1"),
     )
     j = _key_join(vb, bt, keys)
     w = Window.partitionBy(*keys, "_b").orderBy(value)
     incl = F.sum("cnt").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     t = F.sum("cnt").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    out = j.select(
+    return j.select(
         *grp,
         "cnt",
         t.alias("t"),
         (F.col("_off") + incl - t).alias("before"),
         "n",
+        "s1",
     )
-    return out
 
 
 def average_rank() -> Column:
@@ -196,3 +234,71 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list:
 
 def lit_or_null(v) -> Column:
     return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
+
+
+MOMENT_MEASURES = ("count", "mean", "std", "var", "min", "max", "sum", "skew", "kurt", "cv", "std_pop")
+
+
+def group_summary(df: DataFrame, value: str, keys: Sequence[str] = (), measures: Sequence[str] = ("count", "mean", "std"),
+                  quantiles: dict | None = None, trimmed: str | None = None, mode: str | None = None,
+                  trim: tuple[float, float, int] = (0.05, 0.95, 20), buckets: int | None = None) -> DataFrame:
+    """Moments, exact quantiles, trimmed mean and mode of ``value`` per key
+    group from ONE distributed rank table and ONE final aggregate.
+
+    Moments are two-pass over the (value, count) rows: the per-key mean comes
+    from the window stage, central sums from the final aggregate (exact
+    variance, no cancellation)."""
+    keys = list(keys)
+    cc = cumulative_counts(df, value, keys, buckets=buckets)
+    v, c = F.col(value), F.col("cnt")
+    n = F.col("n")
+    mean = F.col("s1") / n
+    dv = v - mean
+    aggs = [F.first("n").alias("_n"), F.first("s1").alias("_s1"), F.sum(c * dv * dv).alias("_m2"),
+            F.sum(c * dv * dv * dv).alias("_m3"), F.sum(c * dv * dv * dv * dv).alias("_m4"),
+            F.min(v).alias("_min"), F.max(v).alias("_max")]
+    picks = []
+    for i, (name, p) in enumerate((quantiles or {}).items()):
+        h = (n - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, n - 1)
+        has_lo = (F.col("before") <= lo) & (lo < F.col("before") + c)
+        has_hi = (F.col("before") <= hi) & (hi < F.col("before") + c)
+        aggs += [F.max(F.when(has_lo, v)).alias(f"_lo{i}"), F.max(F.when(has_hi, v)).alias(f"_hi{i}"),
+                 F.max(h - lo).alias(f"_fr{i}")]
+        picks.append((name, i))
+    if trimmed:
+        lower, upper, min_n = trim
+        a = F.when(n >= min_n, F.floor(n * lower)).otherwise(F.lit(0))
+        b = F.when(n >= min_n, F.greatest(F.floor(n * upper), F.lit(1))).otherwise(n)
+        ov = F.greatest(F.least(b, F.col("before") + c) - F.greatest(a, F.col("before")), F.lit(0))
+        aggs += [F.sum(v * ov).alias("_tw"), F.sum(ov).alias("_tn")]
+    if mode:
+        aggs.append(F.max(F.struct(c.alias("_c"), (-v).alias("_nv"))).alias("_mode"))
+    r = cc.groupBy(*keys).agg(*aggs)
+    nn = F.col("_n").cast("double")
+    m2, m3, m4 = F.col("_m2"), F.col("_m3"), F.col("_m4")
+    var = F.when(nn >= 2, m2 / (nn - 1))
+    # a constant group has skewness and excess kurtosis 0 (pandas), not null
+    g1 = F.when(m2 > 0, F.sqrt(nn) * m3 / F.pow(m2, 1.5)).otherwise(F.lit(0.0))
+    g2 = F.when(m2 > 0, nn * m4 / (m2 * m2) - 3).otherwise(F.lit(-6.0) / (nn + 1))
+    expr = {
+        "count": F.col("_n"),
+        "sum": F.col("_s1"),
+        "mean": F.col("_s1") / nn,
+        "var": var,
+        "std": F.sqrt(var),
+        "std_pop": F.sqrt(m2 / nn),
+        "min": F.col("_min"),
+        "max": F.col("_max"),
+        "skew": F.when(nn >= 3, g1 * F.sqrt(nn * (nn - 1)) / (nn - 2)),
+        "kurt": F.when(nn >= 4, (nn - 1) / ((nn - 2) * (nn - 3)) * ((nn + 1) * g2 + 6)),
+        "cv": F.try_divide(F.sqrt(var), F.col("_s1") / nn),
+    }
+    out = [*keys, *[expr[m].alias(m) for m in measures]]
+    out += [(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name) for name, i in picks]
+    if trimmed:
+        out.append(F.try_divide(F.col("_tw"), F.col("_tn")).alias(trimmed))
+    if mode:
+        out.append((-F.col("_mode._nv")).alias(mode))
+    return r.select(*out)

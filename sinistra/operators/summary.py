@@ -56,6 +56,11 @@ def summarize(
     ``quantiles`` (name -> probability), optional trimmed mean and mode
     (smallest value among the most frequent)."""
     keys = list(keys)
+    if not extra and all(m in ranks.MOMENT_MEASURES for m in measures):
+        # one pipeline: rank table + one aggregate for moments and order statistics
+        d = df.select(*keys, F.col(value).try_cast("double").alias(value))
+        d = d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+        return ranks.group_summary(d, value, keys, measures, quantiles, trimmed, mode)
     aggs = [MEASURES[m](value).alias(m) for m in measures] + list(extra)
     base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
     if not aggs:
@@ -73,10 +78,12 @@ def summarize(
 
 
 def with_share(res: DataFrame, count_col: str = "count", name: str = "percentage",
-               digits: int | None = 1) -> DataFrame:
+               digits: int | None = 1, total: DataFrame | None = None) -> DataFrame:
     """Add count / total in percent. The total is a one-row aggregate joined by
-    broadcast, so no single-partition window is needed however many groups."""
-    tot = res.agg(F.sum(count_col).alias("_tot"))
+    broadcast (from ``total`` - e.g. a count over the input, so the grouped
+    plan is not run twice - or from ``res``), so no single-partition window
+    is needed however many groups."""
+    tot = total.toDF("_tot") if total is not None else res.agg(F.sum(count_col).alias("_tot"))
     v = F.try_divide(F.col(count_col) * 100.0, F.col("_tot"))
     v = F.round(v, digits) if digits is not None else v
     return res.crossJoin(F.broadcast(tot)).withColumn(name, v).drop("_tot")
@@ -100,4 +107,4 @@ def group_stats(df: DataFrame, cat: str, target: str, null_group: str | None = N
         *[(F.round(c, digits) if digits is not None else F.col(c)).alias(c)
           for c in ("mean", "median", "std", "min", "max")],
     )
-    return with_share(s)
+    return with_share(s, total=d.agg(F.count(F.lit(1))))
