@@ -33,9 +33,24 @@ def p_closed(status: str = "statut_sinistre", values: Sequence[str] = CLOSED_STA
     return F.coalesce(F.lower(F.col(status)).isin(list(values)), F.lit(False))
 
 
-def p_amount_range(target: str = "montant_charge_brut", lo: float = 10, hi: float = 500000) -> Column:
-    x = to_double(target)
-    return F.coalesce((x >= lo) & (x <= hi), F.lit(False))
+NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def num_col(df: DataFrame | None, c: str) -> Column:
+    """A numeric column as is (so range predicates reach the Parquet scan;
+    NaN sorts above every value, so an upper bound already excludes it),
+    text through ``try_cast``."""
+    if df is not None and dict(df.dtypes).get(c, "").split("(")[0] in NUMERIC_TYPES:
+        return F.col(c).cast("double")
+    return to_double(c)
+
+
+def p_amount_range(target: str = "montant_charge_brut", lo: float = 10, hi: float = 500000,
+                   df: DataFrame | None = None) -> Column:
+    x = num_col(df, target)
+    # no coalesce: a null predicate already drops the row, and a bare
+    # comparison is what the Parquet reader can push down
+    return (x >= lo) & (x <= hi)
 
 
 def p_geocoded(df: DataFrame, flag: str = "geocoding_validity") -> Column:
@@ -47,22 +62,22 @@ def p_date_range(date: str, start: str, end: str) -> Column:
     d = F.col(date).cast("timestamp_ntz")
     s = F.lit(start).cast("timestamp_ntz")
     e = F.lit(end).cast("timestamp_ntz")
-    return F.coalesce((d >= s) & (d <= e), F.lit(False))
+    return (d >= s) & (d <= e)
 
 
 def p_risk_types(col: str, values: Sequence[str]) -> Column:
-    return F.coalesce(F.col(col).isin(list(values)), F.lit(False))
+    return F.col(col).isin(list(values))
 
 
 def p_range(col: str, lo: float | None = None, hi: float | None = None,
-            lo_strict: bool = False, hi_strict: bool = False) -> Column:
-    x = to_double(col)
-    cond = x.isNotNull()
+            lo_strict: bool = False, hi_strict: bool = False, df: DataFrame | None = None) -> Column:
+    x = num_col(df, col)
+    cond = x.isNotNull() & ~F.isnan(x) if df is not None and hi is None else x.isNotNull()
     if lo is not None:
         cond = cond & ((x > lo) if lo_strict else (x >= lo))
     if hi is not None:
         cond = cond & ((x < hi) if hi_strict else (x <= hi))
-    return F.coalesce(cond, F.lit(False))
+    return cond
 
 
 # ---- filters --------------------------------------------------------------
@@ -76,7 +91,7 @@ def filter_closed(df, status="statut_sinistre"):
 
 
 def filter_amount_range(df, target="montant_charge_brut", lo=10, hi=500000):
-    return df.where(p_amount_range(target, lo, hi))
+    return df.where(p_amount_range(target, lo, hi, df))
 
 
 def filter_geocoded(df, flag="geocoding_validity"):
@@ -92,7 +107,7 @@ def filter_risk_types(df, col="risque_rga_gcl", values=("faible", "moyen", "fort
 
 
 def filter_surface_range(df, col="surface_police", lo=10, hi=1000):
-    return df.where(p_range(col, lo, hi))
+    return df.where(p_range(col, lo, hi, df=df))
 
 
 def drop_null_target(df, target="montant_charge_brut"):
