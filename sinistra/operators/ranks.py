@@ -162,9 +162,14 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     names: Sequence[str] | None = None,
     buckets: int | None = None,
+    parts: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles (pandas default, DuckDB ``quantile_cont``)
-    per group of ``keys``; one row per group, one column per probability."""
+    per group of ``keys``; one row per group, one column per probability.
+    With ``parts`` also the two order statistics and the fraction behind
+    each quantile (``<name>__a``, ``<name>__b``, ``<name>__f``) and the
+    group's non-null count ``n``: a monotone map of the values (a clip) maps
+    the order statistics, so derived quantiles stay exact."""
     keys = list(keys)
     names = list(names) if names else [f"q{round(p * 100, 6):g}" for p in probs]
     cc = cumulative_counts(df, value, keys, buckets=buckets)
@@ -189,10 +194,16 @@ def exact_quantiles(
         *[F.max(lo).alias(lo) for _, lo, _, _ in aggs],
         *[F.max(hi).alias(hi) for _, _, hi, _ in aggs],
         *[F.max(fr).alias(fr) for _, _, _, fr in aggs],
+        F.max("n").alias("_n"),
     )
+    extra = []
+    if parts:
+        extra = [F.col("_n").alias("n")] + [c for name, lo, hi, fr in aggs for c in (
+            F.col(lo).alias(f"{name}__a"), F.col(hi).alias(f"{name}__b"), F.col(fr).alias(f"{name}__f"))]
     return red.select(
         *keys,
         *[(F.col(lo) + F.col(fr) * (F.col(hi) - F.col(lo))).alias(name) for name, lo, hi, fr in aggs],
+        *extra,
     )
 
 

@@ -48,8 +48,7 @@ def clean_claims(df: DataFrame, date_cols: Sequence[str] = ("date_sinistre", "da
         if c in d.columns and dict(d.dtypes)[c] == "string":
             d = d.withColumn(c, to_timestamp_any(c))
     num = [c for c, t in d.dtypes if t.split("(")[0] in _NUMERIC[:-1] and c not in protect]
-    d = binning.clip_outliers(d, num, q[0], q[1])
-    d = binning.impute_numeric(d, num, impute)
+    d = binning.clip_and_impute(d, num, q[0], q[1], impute=impute)
     txt = [c for c, t in d.dtypes if t == "string" and c not in protect]
     d = d.select(*[clean_text(c).alias(c) if c in txt else F.col(c) for c in d.columns])
     d = d.withColumn("age_batiment", dates.building_age("annee_construction_batiment", ref_year))
