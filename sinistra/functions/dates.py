@@ -20,11 +20,18 @@ def building_age(year, ref_year: int) -> Column:
     return F.when(y.isNotNull(), F.greatest(F.lit(float(ref_year)) - y, F.lit(0.0)))
 
 
+def wall_seconds(c) -> Column:
+    """Seconds since 1970-01-01 00:00 of the wall-clock value. For
+    ``timestamp_ntz`` this does not depend on the session time zone (a cast
+    to ``timestamp`` would, and would shift day counts across DST changes)."""
+    x = col_(c)
+    return (F.unix_date(F.to_date(x)).cast("double") * 86400.0 + F.hour(x) * 3600.0 + F.minute(x) * 60.0
+            + F.extract(F.lit("SECOND"), x).cast("double"))
+
+
 def closing_delay_days(claim_date, close_date) -> Column:
     """Whole days close - claim, floored (negative delays kept)."""
-    a = F.unix_micros(col_(claim_date).cast("timestamp"))
-    b = F.unix_micros(col_(close_date).cast("timestamp"))
-    return F.floor((b - a) / 86400e6).cast("int")
+    return F.floor((wall_seconds(close_date) - wall_seconds(claim_date)) / 86400.0).cast("int")
 
 
 def season(date, labels=SEASON_CODES) -> Column:

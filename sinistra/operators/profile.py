@@ -49,42 +49,31 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, full: bool = True) -> DataFrame:
     """Per numeric column: count, mean, std, min, q25, median, q75, max and
-    (``full``) missing count/percent, skewness, kurtosis, cv, q05, q95, iqr."""
+    (``full``) missing count/percent, skewness, kurtosis, cv, q05, q95, iqr.
+
+    One unpivot keyed by column position feeds one rank table and one final
+    aggregate for moments and quantiles together; the row count comes from a
+    scan that reads no column."""
     cols = list(cols) if cols else numeric_columns(df)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    stats = ["count", "mean", "std", "min", "max"]
-    if full:
-        stats += ["missing_count", "skewness", "kurtosis"]
-    for i, c in enumerate(cols):
-        x = to_double(c)
-        aggs += [
-            F.count(x).alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"), F.stddev_samp(x).alias(f"std__{i}"),
-            F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}"),
-        ]
-        if full:
-            aggs += [
-                F.count(F.when(x.isNull(), 1)).alias(f"missing_count__{i}"),
-                skew_g1(x).alias(f"skewness__{i}"), kurt_g2(x).alias(f"kurtosis__{i}"),
-            ]
-    one = df.agg(*aggs)
-    parts = []
-    for i, c in enumerate(cols):
-        parts.append(F.struct(F.lit(c).alias("variable"), F.col("_rows").alias("_rows"),
-                              *[F.col(f"{s}__{i}").alias(s) for s in stats]))
-    st = one.select(F.explode(F.array(*parts)).alias("_r")).select("_r.*")
+    long = df.select(F.posexplode(F.array(*[to_double(c) for c in cols])).alias("_vi", "_value")).where(
+        F.col("_value").isNotNull())
     probs = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    measures = ["count", "mean", "std", "min", "max"]
     if full:
         probs.update({"q05": 0.05, "q95": 0.95})
-    q = column_quantiles(df, cols, probs)
-    out = join_keys(st, q, ["variable"])
-    sel = [
-        "variable", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "q25", "median", "q75", "max",
-    ]
+        measures += ["skew", "kurt"]
+    s = ranks.group_summary(long, "_value", ["_vi"], measures, probs)
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_vi") + 1)
+    spine = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("_vi"))
+    out = spine.join(s, "_vi", "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
+    sel = [name.alias("variable"), F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "q25", "median", "q75", "max"]
     if full:
+        rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+        out = out.crossJoin(F.broadcast(rows))
         sel += [
-            F.col("missing_count").cast("bigint").alias("missing_count"),
-            F.try_divide(F.col("missing_count") * 100.0, F.col("_rows")).alias("missing_percent"),
-            "skewness", "kurtosis",
+            (F.col("_rows") - F.col("count")).cast("bigint").alias("missing_count"),
+            F.try_divide((F.col("_rows") - F.col("count")) * 100.0, F.col("_rows")).alias("missing_percent"),
+            F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"),
             F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean"))).alias("cv"),
             "q05", "q95", (F.col("q75") - F.col("q25")).alias("iqr"),
         ]

@@ -262,9 +262,11 @@ def linear_trend(df: DataFrame, value: str, date: str, min_n: int = 3) -> DataFr
     d = df.select(to_double(value).alias("_y"), F.col(date).cast("timestamp_ntz").alias("_d")).where(
         F.col("_y").isNotNull() & F.col("_d").isNotNull()
     )
-    d0 = d.agg(F.min(F.unix_micros(F.col("_d").cast("timestamp")))).first()[0]
+    from ..functions.dates import wall_seconds
+
+    d0 = d.agg(F.min(wall_seconds("_d"))).first()[0]
     # whole days since the first date (timedelta.days floors)
-    days = F.floor((F.unix_micros(F.col("_d").cast("timestamp")) - F.lit(d0 or 0)) / 86400e6)
+    days = F.floor((wall_seconds("_d") - F.lit(d0 or 0.0)) / 86400.0)
     x = d.select(days.alias("_x"), "_y")
     one = x.agg(
         F.count(F.lit(1)).alias("n"),
