@@ -157,11 +157,14 @@ def outliers_multi(df: DataFrame, col: str) -> DataFrame:
     x = to_double(col)
     d = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
     names = ["p5", "q1", "median", "q3", "p95", "p99"]
-    qv = ranks.quantile_values(d, "_x", [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
-    mom = d.agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd0"), F.count(F.lit(1)).alias("n")).first()
-    j = d.select("_x", *[ranks.lit_or_null(v).alias(n) for n, v in zip(names, qv)],
-                 ranks.lit_or_null(mom["mean"]).alias("mean"), ranks.lit_or_null(mom["sd0"]).alias("sd0"),
-                 F.lit(mom["n"]).cast("bigint").alias("n"))
+    probs = dict(zip(names, [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]))
+    # quantiles and moments from one rank pipeline, fetched as one row
+    f = ranks.group_summary(d, "_x", (), ("count", "mean", "std_pop"), probs).first()
+    if f is None:
+        f = {k: None for k in names + ["count", "mean", "std_pop"]}
+    j = d.select("_x", *[ranks.lit_or_null(f[n]).alias(n) for n in names],
+                 ranks.lit_or_null(f["mean"]).alias("mean"), ranks.lit_or_null(f["std_pop"]).alias("sd0"),
+                 F.lit(f["count"]).cast("bigint").alias("n"))
     j = j.withColumn("_ad", F.abs(F.col("_x") - F.col("median")))
     (mad,) = ranks.quantile_values(j, "_ad", [0.5])
     j = j.withColumn("mad", ranks.lit_or_null(mad))
