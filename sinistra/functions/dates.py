@@ -55,6 +55,12 @@ def department(postal, pad: bool = True) -> Column:
     return F.substring(c, 1, 2)
 
 
+def month_start(date) -> Column:
+    """First instant of the month as ``timestamp_ntz``, time-zone free
+    (``date_trunc`` would return a session-zone timestamp)."""
+    return F.trunc(F.to_date(col_(date)), "MM").cast("timestamp_ntz")
+
+
 def month_label(date, fmt: str = "MMyyyy") -> Column:
     return F.date_format(col_(date), fmt)
 

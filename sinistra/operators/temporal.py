@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
-from ..functions.dates import SEASON_LABELS, WEEKDAYS, department
+from ..functions.dates import SEASON_LABELS, WEEKDAYS, department, month_start
 from . import ranks, summary
 from .binning import winsorize
 from .lookup import month_spine
@@ -82,7 +82,7 @@ def monthly_series(df: DataFrame, target: str, date: str, agg: str = "sum", min_
     """Value per calendar month between the first and last month: months
     without claims get ``fill``; months with fewer than ``min_count`` claims
     get null (so, with min_count > 0, empty months are null)."""
-    d = _clean(df, target, date, positive).withColumn("month", F.date_trunc("month", "_d"))
+    d = _clean(df, target, date, positive).withColumn("month", month_start("_d"))
     if agg == "median":
         g = summary.summarize(d, "_y", ["month"], ("count",), {"value": 0.5})
     else:
@@ -100,7 +100,7 @@ def monthly_series(df: DataFrame, target: str, date: str, agg: str = "sum", min_
 
 def monthly_series_positive(df: DataFrame, target: str, date: str, agg: str = "sum", min_count: int = 1) -> DataFrame:
     """Positive amounts only; months below ``min_count`` are dropped."""
-    d = _clean(df, target, date, positive=True).withColumn("month", F.date_trunc("month", "_d"))
+    d = _clean(df, target, date, positive=True).withColumn("month", month_start("_d"))
     if agg == "median":
         g = summary.summarize(d, "_y", ["month"], ("count",), {agg: 0.5})
     else:

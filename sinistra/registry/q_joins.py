@@ -22,9 +22,9 @@ SELECT cod_sin,
   CASE lower(risque_rga_gcl) WHEN 'faible' THEN 'faible' WHEN 'bas' THEN 'faible' WHEN 'moyen' THEN 'moyen' WHEN 'modere' THEN 'moyen'
     WHEN 'modéré' THEN 'moyen' WHEN 'fort' THEN 'fort' WHEN 'eleve' THEN 'fort' WHEN 'élevé' THEN 'fort' WHEN 'tres eleve' THEN 'maximal'
     WHEN 'très élevé' THEN 'maximal' WHEN 'maximal' THEN 'maximal' END AS rga,
-  coalesce(CASE lower(risque_rga_gcl) WHEN 'faible' THEN 0.2 WHEN 'moyen' THEN 0.5 WHEN 'fort' THEN 0.8 WHEN 'maximal' THEN 1.0 END, 0.5) AS rga_score,
-  coalesce(CASE lower(type_mur_batiment) WHEN 'parpaing' THEN 0.5 WHEN 'brique' THEN 0.6 WHEN 'pierre' THEN 0.7 WHEN 'bois' THEN 0.55
-    WHEN 'béton' THEN 0.45 END, 0.5) AS wall_weight,
+  CAST(coalesce(CASE lower(risque_rga_gcl) WHEN 'faible' THEN 0.2 WHEN 'moyen' THEN 0.5 WHEN 'fort' THEN 0.8 WHEN 'maximal' THEN 1.0 END, 0.5) AS DOUBLE) AS rga_score,
+  CAST(coalesce(CASE lower(type_mur_batiment) WHEN 'parpaing' THEN 0.5 WHEN 'brique' THEN 0.6 WHEN 'pierre' THEN 0.7 WHEN 'bois' THEN 0.55
+    WHEN 'béton' THEN 0.45 END, 0.5) AS DOUBLE) AS wall_weight,
   CASE WHEN month(date_sinistre) IN (12, 1, 2) THEN 'Hiver' WHEN month(date_sinistre) IN (3, 4, 5) THEN 'Printemps'
     WHEN month(date_sinistre) IN (6, 7, 8) THEN 'Été' ELSE 'Automne' END AS season
 FROM claims""")
@@ -63,7 +63,8 @@ WITH d AS (SELECT date_trunc('month', date_sinistre) AS m FROM claims WHERE mont
 sp AS (SELECT unnest(generate_series((SELECT min(m) FROM d), (SELECT max(m) FROM d), INTERVAL 1 MONTH)) AS month)
 SELECT sp.month, CAST(count(d.m) AS BIGINT) AS n FROM sp LEFT JOIN d ON d.m = sp.month GROUP BY sp.month""")
 def q_month_spine(spark, sf):
-    d = C(spark, sf).where(F.col(TARGET) > 490000).select(F.date_trunc("month", "date_sinistre").alias("month"))
+    from ..functions.dates import month_start
+    d = C(spark, sf).where(F.col(TARGET) > 490000).select(month_start("date_sinistre").alias("month"))
     counts = d.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
     spine = lookup.month_spine(d, "month")
     out = spine.join(counts, "month", "left")

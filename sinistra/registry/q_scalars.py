@@ -15,7 +15,7 @@ REF_YEAR = 2025
 
 @register("fn_building_age", f"""
 SELECT cod_sin, CASE WHEN annee_construction_batiment IS NULL THEN NULL
-  ELSE greatest({REF_YEAR}.0 - annee_construction_batiment, 0.0) END AS age_batiment FROM claims""")
+  ELSE CAST(greatest({REF_YEAR}.0 - annee_construction_batiment, 0.0) AS DOUBLE) END AS age_batiment FROM claims""")
 def q_building_age(spark, sf):
     return C(spark, sf).select("cod_sin", dates.building_age("annee_construction_batiment", REF_YEAR).alias("age_batiment"))
 

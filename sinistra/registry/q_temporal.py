@@ -158,8 +158,8 @@ def q_spatial_cities(spark, sf):
     return rnd(temporal.spatial_cities(C(spark, sf), TARGET, digits=None))
 
 
-_LAT = "(42 + CAST(substr(cpostal, 1, 2) AS INTEGER) * 0.3)"
-_LON = "(-4 + CAST(substr(cpostal, 3, 3) AS INTEGER) / 100.0)"
+_LAT = "CAST(42 + CAST(substr(cpostal, 1, 2) AS INTEGER) * 0.3 AS DOUBLE)"
+_LON = "CAST(-4 + CAST(substr(cpostal, 3, 3) AS INTEGER) / 100.0 AS DOUBLE)"
 
 
 @register("spatial_coordinates", f"""
