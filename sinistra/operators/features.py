@@ -13,12 +13,25 @@ from ..functions.casting import to_double
 
 def fit_label_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """State: (variable, level, code) with codes 0..k-1 in sorted level order.
-    One unpivot + distinct; the code is a rank over the distinct levels of one
-    column (the state table, one row per level, is all that is sorted)."""
+
+    The distinct levels are range-partitioned and sorted (a distributed
+    sort), cut from their lineage by ``checkpoint()`` into the shared
+    checkpoint folder so the partition ids are stable, then numbered by a
+    per-partition row number plus the level count of all earlier partitions
+    (a table of one row per partition and variable). No partition holds more
+    than its range, however many levels a column has."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "variable", "level")
     lv = long.where(F.col("level").isNotNull()).distinct()
-    w = Window.partitionBy("variable").orderBy("level")
-    return lv.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    srt = lv.repartitionByRange(parts, "variable", "level").sortWithinPartitions("variable", "level").checkpoint()
+    srt = srt.withColumn("_p", F.spark_partition_id())
+    sizes = srt.groupBy("_p", "variable").agg(F.count(F.lit(1)).alias("_k"))
+    # one row per (partition, variable): running offset in partition order
+    w = Window.partitionBy("variable").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_p", "variable", F.coalesce(F.sum("_k").over(w), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_p", "variable").orderBy("level"))
+    return srt.join(F.broadcast(offs), ["_p", "variable"]).select(
+        "variable", "level", (F.col("_off") + local - 1).cast("int").alias("code"))
 
 
 def apply_label_encoder(df: DataFrame, state: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:

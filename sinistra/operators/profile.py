@@ -164,13 +164,20 @@ def data_dictionary(df: DataFrame, top: int = 3) -> DataFrame:
 
 def _top_values(vc: DataFrame, top: int) -> DataFrame:
     """Top ``top`` values per variable by count (ties by value), as 'v (n)'
-    text: a per-variable ``max_by``-free top-k through ``row_number`` on the
-    (variable, value) count table, partitioned by variable."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("variable").orderBy(F.desc("_c"), F.asc("_v"))
-    t = vc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top)
-    return t.groupBy("variable").agg(
+    text. Each round is one ``min(struct(-count, value))`` aggregate per
+    variable (one struct of state, combined map-side) followed by removing
+    the winner, so a column with billions of distinct values never lands in
+    one window partition."""
+    picks = None
+    rest = vc
+    for i in range(top):
+        best = rest.groupBy("variable").agg(F.min(F.struct((-F.col("_c")).alias("nc"), F.col("_v").alias("v"))).alias("_m"))
+        best = best.select("variable", F.lit(i).alias("_rn"), F.col("_m.v").alias("_v"), (-F.col("_m.nc")).alias("_c"))
+        picks = best if picks is None else picks.unionByName(best)
+        if i + 1 < top:
+            rest = rest.join(best.select("variable", F.col("_v").alias("_w")), "variable", "left").where(
+                F.col("_w").isNull() | (F.col("_v") != F.col("_w"))).drop("_w")
+    return picks.groupBy("variable").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v", "_c"))),
                         lambda s: F.concat(s["_v"], F.lit(" ("), s["_c"].cast("string"), F.lit(")"))),
@@ -222,9 +229,10 @@ def categorical_profile(df: DataFrame, target: str, max_cols: int = 10, max_leve
     """For the first ``max_cols`` text columns with fewer than ``max_levels``
     levels: count and mean target per level (one unpivot, one groupBy)."""
     txt = list(cols) if cols else text_columns(df)
-    nd = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in txt]).first() if not cols else None
-    if nd is not None:
-        txt = [c for c in txt if nd[c] < max_levels][:max_cols]
+    if not cols:
+        # level counts from one unpivot (no per-column Expand of the input)
+        nd = {r["variable"]: r["distinct"] for r in distinct_counts(df, txt).collect()}
+        txt = [c for c in txt if nd.get(c, 0) < max_levels][:max_cols]
     long = df.select(to_double(target).alias("_t"), *[F.col(c).cast("string").alias(c) for c in txt]).unpivot(
         ["_t"], txt, "variable", "level")
     return long.groupBy("variable", "level").agg(
