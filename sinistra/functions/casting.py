@@ -20,8 +20,7 @@ def col_(c) -> Column:
 
 def nan_to_null(c) -> Column:
     """NaN is a value in Spark but missing in the reference: map it to null."""
-    x = col_(c)
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(col_(c), F.lit(None).cast("double"))
 
 
 def to_double(c) -> Column:
@@ -29,6 +28,18 @@ def to_double(c) -> Column:
     return nan_to_null(col_(c).try_cast("double"))
 
 
+_NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def as_double(df, c: str) -> Column:
+    """``to_double`` that knows the schema: a column already numeric is only
+    cast (keeps expressions small when they are referenced many times, and
+    keeps predicates pushable); text goes through ``try_cast``."""
+    if dict(df.dtypes).get(c, "").split("(")[0] in _NUMERIC:
+        return nan_to_null(F.col(c).cast("double"))
+    return to_double(c)
+
+
 def to_timestamp_any(c, formats=("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy")) -> Column:
     """Invalid -> null; the first format that parses wins."""
     x = col_(c).cast("string")

@@ -16,7 +16,7 @@ WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 def building_age(year, ref_year: int) -> Column:
     """max(ref_year - construction year, 0); null stays null."""
-    y = to_double(year)
+    y = to_double(year) if isinstance(year, str) else year
     return F.when(y.isNotNull(), F.greatest(F.lit(float(ref_year)) - y, F.lit(0.0)))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casting import to_double
+from ..functions.casting import as_double, to_double
 from . import ranks
 from .profile import column_quantiles
 
@@ -213,7 +213,7 @@ def clip_and_impute(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi
         if c not in cols or r is None:
             sel.append(F.col(f"`{c}`"))
             continue
-        x = to_double(c)
+        x = as_double(df, c)
         if r["n"] >= min_values:
             x = clip_guarded(x, F.lit(r["lo"]), F.lit(r["hi"]))
         clipped[c] = x

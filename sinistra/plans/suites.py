@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.casting import clean_text, to_double, to_timestamp_any
+from ..functions.casting import as_double, clean_text, to_double, to_timestamp_any
 from ..operators import binning, correlation, profile, summary, temporal, tests
 from ..operators.binning import cut_expr
 
@@ -51,13 +51,13 @@ def clean_claims(df: DataFrame, date_cols: Sequence[str] = ("date_sinistre", "da
     d = binning.clip_and_impute(d, num, q[0], q[1], impute=impute)
     txt = [c for c, t in d.dtypes if t == "string" and c not in protect]
     d = d.select(*[clean_text(c).alias(c) if c in txt else F.col(c) for c in d.columns])
-    d = d.withColumn("age_batiment", dates.building_age("annee_construction_batiment", ref_year))
+    d = d.withColumn("age_batiment", dates.building_age(as_double(d, "annee_construction_batiment"), ref_year))
     d = d.withColumn("delai_cloture_jours", dates.closing_delay_days("date_sinistre", "date_cloture_sinistre"))
     d = d.withColumn("annee_sinistre", F.year("date_sinistre")).withColumn("saison_sinistre", dates.season("date_sinistre"))
     # Class labels of age and surface.
     d = d.withColumn("classe_age", cut_expr(F.col("age_batiment"), [0, 20, 40, 60, float("inf")],
                                             ["RÉCENT", "MODERNE", "ANCIEN", "TRÈS ANCIEN"], include_lowest=True))
-    d = d.withColumn("classe_surface", cut_expr(to_double("surface_police"), [0, 80, 120, 180, float("inf")],
+    d = d.withColumn("classe_surface", cut_expr(as_double(d, "surface_police"), [0, 80, 120, 180, float("inf")],
                                                 ["PETITE", "MOYENNE", "GRANDE", "TRÈS GRANDE"], include_lowest=True))
     return d.withColumn("region_code", dates.department("cpostal"))
 
