@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
-from ..functions.special import chi2_pvalue, f_pvalue, norm_pvalue, t_pvalue
+from ..functions.special import chi2_pvalue, f_pvalue, mw_exact_pvalue, norm_pvalue, t_pvalue
 from ..functions.stats import kurt_g2, pair_corr, significance_label, skew_g1
 from . import ranks
 
@@ -73,8 +73,10 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, min_n: int = 3) -> Dat
 
 
 def mann_whitney(df: DataFrame, flag: str, value: str, first=True, min_n: int = 3) -> DataFrame:
-    """U of the ``first`` sample and the two-sided asymptotic p (continuity
-    and tie correction); Cliff's delta 2U/(n1 n2) - 1 from the same U."""
+    """U of the ``first`` sample and its two-sided p - exact null
+    distribution when a sample has at most 8 values and there are no ties,
+    else normal approximation with continuity and tie correction (scipy's
+    ``method='auto'``); Cliff's delta 2U/(n1 n2) - 1 from the same U."""
     rs = rank_sums(df, flag, value, min_n=1)
     one = rs.agg(
         F.sum(F.when(F.col(flag) == F.lit(first), F.col("n_g"))).cast("double").alias("n1"),
@@ -95,9 +97,12 @@ def mann_whitney(df: DataFrame, flag: str, value: str, first=True, min_n: int =
         F.when(ok, u).alias("U"),
         F.when(ok, z).alias("z"),
         F.when(ok, F.try_divide(2 * u, n1 * n2) - 1).alias("cliffs_delta"),
+        (((n1 <= 8) | (n2 <= 8)) & (n1 * n2 <= 1_000_000) & (F.col("ties") == 0)).alias("exact"),
     )
     # scipy: p = 2 sf(z) clipped to 1, so a negative z gives 1
-    return out.withColumn("p_value", F.when(F.col("z") < 0, F.lit(1.0)).otherwise(norm_pvalue("z")))
+    asym = F.when(F.col("z") < 0, F.lit(1.0)).otherwise(norm_pvalue("z"))
+    exact = mw_exact_pvalue("U", "n1", "n2")
+    return out.withColumn("p_value", F.when(F.col("U").isNull(), F.lit(None)).when(F.col("exact"), exact).otherwise(asym))
 
 
 def pair_ranks(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -143,3 +143,14 @@ def test_rank_paths_agree(spark):
     b = ranks.exact_quantiles(d, "v", [0.1, 0.5, 0.9], ["g"], names=["a", "b", "c"], buckets=16).toPandas().sort_values("g")
     e = p.groupby("g")["v"].quantile([0.1, 0.5, 0.9]).unstack().values
     assert np.allclose(a[["a", "b", "c"]].values, e) and np.allclose(b[["a", "b", "c"]].values, e)
+
+
+def test_mann_whitney_exact_small(spark):
+    data = [(True, v) for v in (1.0, 2.0, 3.0)] + [(False, v) for v in (4.0, 5.0, 6.0, 7.0)]
+    d = spark.createDataFrame(data, "f boolean, x double")
+    r = tests.mann_whitney(d, "f", "x", first=True).first()
+    assert r["U"] == 0.0 and r["exact"] and abs(r["p_value"] - 2 / 35) < 1e-12
+    # with a tie the normal approximation is used
+    d2 = spark.createDataFrame(data + [(True, 4.0)], "f boolean, x double")
+    r2 = tests.mann_whitney(d2, "f", "x", first=True).first()
+    assert not r2["exact"] and 0 < r2["p_value"] < 1
