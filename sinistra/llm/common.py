@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,29 @@ def doc_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, per_class: int) -> tuple[list[str], list[int], float]:
+    """Texts and 0/1 labels to fit a classifier on, and the share of label 1
+    among all training labels. At most ``per_class`` documents of each class,
+    those whose id has the smallest hash, so the driver's part is bounded.
+    Rows with a null id or label are left out; of several labels of one
+    document the largest counts; a text is taken once."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).dropna().filter(train)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter("y IN (0, 1)")
+    count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = sum(count.values())
+    order = [F.xxhash64(F.col("doc_id"), F.lit(11)), F.col("doc_id")]
+    ids = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    picked = id_text(docs).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    rows = sorted(picked.collect(), key=lambda r: (hash_order(r.doc_id), r.doc_id))
+    once = {r.doc_id: r for r in rows}
+    return [r.text for r in once.values()], [r.y for r in once.values()], count.get(1, 0) / total if total else 0.5
+
+
+def hash_order(i: int) -> int:
+    """A fixed shuffle of ids for the driver's small samples."""
+    return zlib.crc32(f"order {i}".encode())
+
+
 def worker_state(name: str, make):
     """One object per Python worker process, kept over its tasks (tokenizers,
     word caches). It only saves time: results never depend on it."""

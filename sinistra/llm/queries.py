@@ -1,15 +1,33 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL. Each derives the
+columns of its contract from the operator's own results."""
 
 from __future__ import annotations
 
-from . import bpe, packing, token_counts
-from .common import read
+from pyspark.sql import functions as F
+
+from . import bpe, packing, pii, quality, token_counts, topk, toxicity
+from .common import doc_crc, read
 
 
 def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_pii(spark, sf_dir):
+    found = pii.find(read(spark, sf_dir, "documents"))
+    joined = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))))
+    base = F.filter("spans", lambda x: x.kind.isin(*pii.BASE))
+    of_kind = lambda k: F.filter("spans", lambda x: x.kind == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), train=doc_crc() % 5 != 0)
+    return quality.score(docs, model).select("doc_id", (doc_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
@@ -18,5 +36,25 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op7_byte_bpe, op8_token_counts)}
-SQL: dict[str, str] = {}
+def op9_topk(spark, sf_dir):
+    return topk.exact_topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL_OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), train=doc_crc() % 4 != 2)
+    return scored.select("doc_id", (doc_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op4_pii, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
+SQL: dict[str, str] = {"op9_topk": SQL_OP9}
