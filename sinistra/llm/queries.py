@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, token_counts, topk, toxicity
+from . import bpe, merkle, packing, pii, quality, token_counts, topk, toxicity
 from .common import doc_crc, read
 
 
@@ -22,6 +22,11 @@ def op4_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_merkle(spark, sf_dir):
+    df = merkle.with_edited(read(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"), train=doc_crc() % 5 != 0)
@@ -56,5 +61,5 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (doc_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_pii, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
-SQL: dict[str, str] = {"op9_topk": SQL_OP9}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
+SQL: dict[str, str] = {"op5_merkle": merkle.SQL, "op9_topk": SQL_OP9}
