@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, packing, pii, quality, token_counts, topk, toxicity
+from . import bpe, merkle, ngram_join, packing, pii, quality, token_counts, topk, toxicity
 from .common import doc_crc, read
 
 
@@ -13,6 +13,27 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+SQL_OP3 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+s AS (SELECT DISTINCT list_sort(g) AS g, min(doc_id) OVER (PARTITION BY list_sort(g)) AS k, len(g) AS n FROM g WHERE len(g) > 0),
+e AS (SELECT k, n, unnest(g) AS t FROM s),
+o AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.k < b.k AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM o WHERE 100 * c >= 90 * (na + nb - c)),
+x AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(v, root) AS (SELECT k, k FROM s UNION SELECT x.b, r.root FROM r JOIN x ON x.a = r.v),
+m AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, CASE WHEN len(g.g) = 0 THEN g.doc_id ELSE m.root END AS component_id
+FROM g LEFT JOIN s ON s.g = list_sort(g.g) LEFT JOIN m ON m.v = s.k"""
+
+
 def op4_pii(spark, sf_dir):
     found = pii.find(read(spark, sf_dir, "documents"))
     joined = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))))
@@ -61,5 +82,5 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (doc_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
-SQL: dict[str, str] = {"op5_merkle": merkle.SQL, "op9_topk": SQL_OP9}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_ngram_join, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
+SQL: dict[str, str] = {"op3_ngram_join": SQL_OP3, "op5_merkle": merkle.SQL, "op9_topk": SQL_OP9}
