@@ -90,7 +90,7 @@ def prefix_size(n, percent: int):
 
 def _counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, k) of every document, and the rarity class of each counter:
-    the bit length of the number of documents counted there."""
+    the bit length of the count there beyond what chance explains."""
 
     def run(batches):
         table = np.zeros(COUNTERS, np.int64)
@@ -116,8 +116,9 @@ def _counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     table = np.zeros(COUNTERS, np.int64)
     for r in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toLocalIterator():
         table[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
-    floor = max(1, int(table.sum()) // COUNTERS)  # what chance alone puts on a counter
-    classes = np.minimum(np.ceil(np.log2(np.maximum(table / floor, 1))), 63).astype(np.uint8)
+    chance = table.sum() / COUNTERS  # what unrelated n-grams put on a counter, and 4 deviations
+    above = np.maximum(table - chance - 4 * np.sqrt(chance) - 1, 0)
+    classes = np.minimum(np.ceil(np.log2(above + 1)), 63).astype(np.uint8)
     return both.filter("chunk IS NULL").select("doc_id", "n", "k"), classes
 
 
@@ -215,10 +216,10 @@ def _blocks(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, hot boolean, gram long, n int, pos int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(k, grams, second, third) of the wanted classes: the whole set, and its
-    prefixes under the other orders. A fixed-size bitmap picks them while the
-    texts are read; what it lets through besides is dropped by the joins."""
+def _picked(docs: DataFrame, wanted: DataFrame, n: int, columns, schema: str, name: str) -> DataFrame:
+    """``columns(grams)`` of the wanted classes (k), once each. A bitmap of
+    fixed size picks them while the texts are read; what it lets through
+    besides is dropped by the joins that follow."""
     slot = (F.pmod(F.col("k"), F.lit(PICK_BITS)) + 1).alias("slot")  # the bitmap functions count from 1
     packed = wanted.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     pick = np.zeros(PICK_BITS // 8 + 4096, np.uint8)
@@ -237,24 +238,49 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int, classes: np.
                 k = int(keys[i])
                 if k not in seen:
                     seen.add(k)
-                    g = grams[cut[i]:cut[i + 1]]
-                    p = prefix_size(len(g), percent)
-                    out.append((k, g.tobytes(), *(np.sort(g[np.argpartition(order_keys(g, classes, w), p - 1)[:p]]).tobytes() for w in (3, 4))))
+                    out.append((k, *columns(grams[cut[i]:cut[i + 1]])))
             if out:
-                k, g, a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["k", "grams", "second", "third"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["k"] + [c.split()[0] for c in schema.split(", ")])
 
-    return scratch(docs.mapInArrow(run, "k long, grams binary, second binary, third binary").dropDuplicates(["k"]), "grams")
+    return scratch(docs.mapInArrow(run, f"k long, {schema}").dropDuplicates(["k"]), name)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: first the prefixes under the
-    other orders must meet, then the whole sets are intersected."""
+def _beside(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
+    """Columns of both classes of each pair."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("k").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
+    return pairs
+
+
+def few_missing(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int, keys) -> bool:
+    """Whether prefixes x and y of one order allow the threshold: they share an
+    n-gram, and where both prefixes are complete (up to the smaller of their
+    last keys) neither misses more n-grams than its set may."""
+    kx, ky = keys(x), keys(y)
+    limit = min(kx.max(), ky.max())
+    x, y = x[kx <= limit], y[ky <= limit]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    need = -(-percent * (nx + ny) // (100 + percent))
+    return both > 0 and len(x) - both <= nx - need and len(y) - both <= ny - need
+
+
+def _sieved(pairs: DataFrame, prefixes: DataFrame, percent: int, classes: np.ndarray) -> DataFrame:
+    """The pairs whose prefixes under the second and the third order allow the
+    threshold."""
 
     @F.pandas_udf("boolean")
-    def meet(a2: pd.Series, b2: pd.Series, a3: pd.Series, b3: pd.Series) -> pd.Series:
-        one = lambda x, y: np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).any()
-        return pd.Series([bool(one(p, q) and one(r, s)) for p, q, r, s in zip(a2, b2, a3, b3)], dtype=bool)
+    def allowed(na: pd.Series, nb: pd.Series, a2: pd.Series, b2: pd.Series, a3: pd.Series, b3: pd.Series) -> pd.Series:
+        def one(p, q, i, j, w):
+            return few_missing(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), i, j, percent, lambda g: order_keys(g, classes, w))
+
+        return pd.Series([one(p, q, i, j, 3) and one(r, s, i, j, 4) for i, j, p, q, r, s in zip(na.tolist(), nb.tolist(), a2, b2, a3, b3)], dtype=bool)
+
+    return _beside(pairs, prefixes, "n", "second", "third").filter(allowed("a_n", "b_n", "a_second", "b_second", "a_third", "b_third")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """Links (u, v): pairs that pass the filters of the other orders and whose
+    whole sets reach the threshold."""
 
     @F.pandas_udf("boolean")
     def reach(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -267,13 +293,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * same >= percent * (len(u) + len(v) - same))
         return pd.Series(out, dtype=bool)
 
-    def beside(df, *cols):
-        for side in ("a", "b"):
-            df = df.join(sets.select(F.col("k").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
-        return df
-
-    left = beside(pairs, "second", "third").filter(meet("a_second", "b_second", "a_third", "b_third")).select("a", "b")
-    return beside(left, "grams").filter(reach("a_grams", "b_grams")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left = scratch(_sieved(pairs, prefixes, percent, classes), "sieved")
+    either = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k")))
+    sets = _picked(docs, either, n, lambda g: (g.tobytes(),), "grams binary", "grams")
+    return _beside(left, sets, "grams").filter(reach("a_grams", "b_grams")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -287,7 +310,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     hot = blocks.filter("hot").select("gram", F.col("a").alias("k"), "n", "pos").dropDuplicates(["gram", "k"])
     hot = scratch(hot, "hot")
     wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(hot.select("k"))
-    sets = _sets(docs, wanted, n, percent, classes)
+
+    def ends(g: np.ndarray) -> tuple:
+        p = prefix_size(len(g), percent)
+        return (len(g), *(g[np.argpartition(order_keys(g, classes, w), p - 1)[:p]].tobytes() for w in (3, 4)))
+
+    prefixes = _picked(docs, wanted, n, ends, "n long, second binary, third binary", "prefixes")
+    verified = lambda some: _verified(some, docs, prefixes, n, percent, classes)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     filters = lambda s, t: may_link(F.col(f"{s}n").cast("long"), F.col(f"{s}pos"), F.col(f"{t}n").cast("long"), F.col(f"{t}pos"), percent)
     links = pairs.distinct()
@@ -296,7 +325,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         centre = hot.groupBy("gram").agg(F.min(F.struct("pos", "k", "n")).alias("c"))
         star = hot.join(centre.select("gram", F.col("c.pos").alias("c_pos"), F.col("c.k").alias("c_k"), F.col("c.n").alias("c_n")), "gram")
         star = star.filter((F.col("k") != F.col("c_k")) & filters("", "c_")).select(*ordered("k", "c_k")).distinct()
-        near = scratch(_verified(star, sets, percent), "star_links")
+        near = scratch(verified(star), "star_links")
         root = components(near)
         # then pairs of different components only
         rooted = hot.join(root.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -304,9 +333,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         rooted = rooted.join(mixed, "gram", "left_semi")
         other = rooted.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("k", "n", "pos", "root")))
         rest = rooted.join(other, "gram").filter((F.col("k") < F.col("o_k")) & (F.col("root") != F.col("o_root")) & filters("", "o_")).select(*ordered("k", "o_k"))
-        links = _verified(pairs.unionByName(rest).distinct(), sets, percent).unionByName(near)
+        links = verified(pairs.unionByName(rest).distinct()).unionByName(near)
     else:
-        links = _verified(links, sets, percent)
+        links = verified(links)
     roots = components(links)
     of_class = classed.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("lead")).join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     lead = of_class.groupBy("root").agg(F.min("lead").alias("component_id"))
