@@ -342,3 +342,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     found = of_class.join(lead, "root").select("k", "component_id")
     empty = F.col("n") == 0
     return classed.join(found, "k", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of the documents that have the smallest id of their
+    component; rows with a null id stay."""
+    later = jaccard_components(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(later, docs["doc_id"].cast("long") == later["__id"], "left_anti")

@@ -166,11 +166,15 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with the personal data in ``text`` masked."""
+    """All columns of ``docs``, with the personal data in ``text`` masked (and
+    ``n_chars``, if there, counted anew)."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         automaton = anchors()
         return pd.Series([t if t is None else mask(t, find_spans(t, automaton)) for t in texts], dtype=object)
 
-    return docs.withColumn("text", masked(F.col("text")))
+    out = docs.withColumn("text", masked(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out

@@ -16,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,3 +131,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", train: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents for which ``train`` holds (default: all)."""
     return fit(*labelled_sample(docs, labels, column, F.lit(True) if train is None else train, per_class))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        with_ = Compressors(model.good, model.bad)
+        return pd.Series(model.scores([(t or "").encode() for t in texts], with_))
+
+    return docs.filter(scored(F.col("text")) >= threshold)

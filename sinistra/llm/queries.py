@@ -3,12 +3,17 @@ columns of its contract from the operator's own results."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, ngram_join, packing, pii, quality, token_counts, topk, toxicity
+from . import bpe, line_dedup, merkle, ngram_join, packing, pii, quality, token_counts, topk, toxicity
 from .common import doc_crc, read
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -82,5 +87,5 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (doc_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_ngram_join, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_ngram_join, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op3_ngram_join": SQL_OP3, "op5_merkle": merkle.SQL, "op9_topk": SQL_OP9}
