@@ -175,8 +175,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"{s}_line")) for s in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b")
     swap = F.length("a_line") < F.length("b_line")
-    both = both.select("a", "b", chars(F.when(swap, F.col("b_line")).otherwise(F.col("a_line"))).alias("x"), chars(F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))).alias("y"))
-    return both.filter(edit_distance_at_most(F.col("x"), F.col("y"))).select("a", "b")
+    # the struct is built once a pair; columns would be split anew at every step
+    pair = F.struct(chars(F.when(swap, F.col("b_line")).otherwise(F.col("a_line"))).alias("x"), chars(F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))).alias("y"))
+    near = F.get(F.transform(F.array(pair), lambda s: edit_distance_at_most(s["x"], s["y"])), 0)
+    return both.filter(near).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
