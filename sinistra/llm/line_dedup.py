@@ -93,10 +93,12 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of hashes within small entries."""
+    """Candidate pairs (a, b) of hashes within small entries, and the window of
+    a outside of which both are the same; b has ``longer`` more code points."""
     few = met.filter((F.col("together") <= BLOCK) | (F.col("hi") - F.col("lo") <= 1))
     index = few.filter("longer = 0").select("key", F.col("h").alias("a"))
-    return few.select("key", F.col("h").alias("b"), "longer").join(index, "key").filter((F.col("a") != F.col("b")) & ((F.col("longer") == 1) | (F.col("a") < F.col("b")))).select("a", "b")
+    met_by = few.select("key", F.col("h").alias("b"), "lo", "hi", "longer").join(index, "key")
+    return met_by.filter((F.col("a") != F.col("b")) & ((F.col("longer") == 1) | (F.col("a") < F.col("b")))).select("a", "b", "lo", "hi", "longer")
 
 
 def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS) -> Column:
@@ -170,15 +172,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     while not (hot := met.filter(big).select("h", "m", "lo", "hi", "longer")).isEmpty():
         met = scratch(_met(entries(hot.join(texts, "h"), finer())), "finer")
         pairs = pairs.unionByName(_pairs(met))
-    pairs = scratch(pairs.distinct(), "line_pairs")
-    chars = lambda c: F.split(c, "")
+    narrow = F.min(F.struct(F.col("hi") - F.col("lo"), "lo", "hi", "longer")).alias("w")
+    pairs = scratch(pairs.groupBy("a", "b").agg(narrow).select("a", "b", "w.lo", "w.hi", "w.longer"), "line_pairs")
     a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"{s}_line")) for s in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b")
-    swap = F.length("a_line") < F.length("b_line")
+    lo, size, more = F.col("lo"), F.col("hi") - F.col("lo"), F.col("longer")
+    far = F.length("b_line")
+    same = (F.substring("a_line", F.lit(1), lo) == F.substring("b_line", F.lit(1), lo)) & (F.substring("a_line", F.col("hi") + 1, far) == F.substring("b_line", F.col("hi") + more + 1, far))
     # the struct is built once a pair; columns would be split anew at every step
-    pair = F.struct(chars(F.when(swap, F.col("b_line")).otherwise(F.col("a_line"))).alias("x"), chars(F.when(swap, F.col("a_line")).otherwise(F.col("b_line"))).alias("y"))
-    near = F.get(F.transform(F.array(pair), lambda s: edit_distance_at_most(s["x"], s["y"])), 0)
-    return both.filter(near).select("a", "b")
+    window = F.struct(F.split(F.substring("b_line", lo + 1, size + more), "").alias("x"), F.split(F.substring("a_line", lo + 1, size), "").alias("y"))
+    near = F.get(F.transform(F.array(window), lambda s: edit_distance_at_most(s["x"], s["y"])), 0)
+    return both.filter(same).filter(near).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
