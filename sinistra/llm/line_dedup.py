@@ -11,7 +11,9 @@ banded bit-parallel edit distance (Myers' vectors on 2 * EDITS + 1 diagonals).
 No entry is joined pair by pair when more than ``BLOCK`` lines meet in it. The
 half that may differ is then cut into ``FINER`` windows and the lines meet again
 by all of their text but one window, and so on down to single code points, where
-few lines can meet. Every link passes each step, so none is lost.
+few lines can meet. Every link passes each step, so none is lost. A pair's
+window is halved again before the distance is computed: one edit leaves one half
+whole, and only the other one goes on.
 
 An occurrence of a line is dropped when it is not the line's first (by doc_id,
 then position), or when a line that first occurs earlier is a near copy of it.
@@ -38,6 +40,8 @@ EDITS = 1
 MIN_CHARS = 20
 BLOCK = 32
 FINER = 8
+#: times that a pair's window is halved before its edit distance is computed
+HALVINGS = 10
 PICK_BITS = 1 << 24
 
 
@@ -176,12 +180,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = scratch(pairs.groupBy("a", "b").agg(narrow).select("a", "b", "w.lo", "w.hi", "w.longer"), "line_pairs")
     a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"{s}_line")) for s in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b")
-    lo, size, more = F.col("lo"), F.col("hi") - F.col("lo"), F.col("longer")
+    lo, more = F.col("lo"), F.col("longer")
     far = F.length("b_line")
     same = (F.substring("a_line", F.lit(1), lo) == F.substring("b_line", F.lit(1), lo)) & (F.substring("a_line", F.col("hi") + 1, far) == F.substring("b_line", F.col("hi") + more + 1, far))
-    # the struct is built once a pair; columns would be split anew at every step
-    window = F.struct(F.split(F.substring("b_line", lo + 1, size + more), "").alias("x"), F.split(F.substring("a_line", lo + 1, size), "").alias("y"))
-    near = F.get(F.transform(F.array(window), lambda s: edit_distance_at_most(s["x"], s["y"])), 0)
+
+    def halve(w: Column, _) -> Column:
+        mid = w["lo"] + F.floor((w["hi"] - w["lo"]) / 2).cast("int")
+        head = F.substring("a_line", w["lo"] + 1, mid - w["lo"]) == F.substring("b_line", w["lo"] + 1, mid - w["lo"])
+        tail = F.substring("a_line", mid + 1, w["hi"] - mid) == F.substring("b_line", mid + more + 1, w["hi"] - mid)
+        left = F.when(w["lo"] < 0, w["lo"]).when(head, mid).when(tail, w["lo"]).otherwise(F.lit(-1))
+        return F.struct(left.alias("lo"), F.when(head, w["hi"]).otherwise(mid).alias("hi"))
+
+    rest = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(lo.alias("lo"), F.col("hi").alias("hi")), halve)
+    at = lambda w: F.struct(  # noqa: E731 (split once a pair; columns would be split anew at every step)
+        F.split(F.substring("b_line", w["lo"] + 1, w["hi"] - w["lo"] + more), "").alias("x"), F.split(F.substring("a_line", w["lo"] + 1, w["hi"] - w["lo"]), "").alias("y"))
+    left = F.filter(F.array(rest), lambda w: w["lo"] >= 0)
+    near = F.coalesce(F.get(F.transform(F.transform(left, at), lambda s: edit_distance_at_most(s["x"], s["y"])), 0), F.lit(False))
     return both.filter(same).filter(near).select("a", "b")
 
 
