@@ -31,7 +31,9 @@ from .common import id_text, scratch, tokenizer_path, worker_state
 from .words import WordTable, gather, owner, slices, tile
 
 #: words kept per worker before the table starts anew
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: bytes of text encoded at once
+SLICE_BYTES = 750_000
 #: Words of these letters are the same after NFC, and lower-case letter by letter
 _SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
@@ -216,7 +218,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
             closed += 1
             rows.extend((d, s, n, zlib.crc32(b), t, sid, o, done, b) for d, s, n, b, t, o in pieces)
 
-        for ids, buf, offs in slices(batches):
+        for ids, buf, offs in slices(batches, SLICE_BYTES):
             flat, cut = enc.documents(buf, offs)
             raw, cut = flat.astype("<u4").tobytes(), (4 * cut).tolist()
             for k, d in enumerate(ids.to_pylist()):
