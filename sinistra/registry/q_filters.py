@@ -60,7 +60,7 @@ SELECT * FROM claims WHERE montant_charge_brut > 0 AND 2025 - annee_construction
 def q_domain_ranges(spark, sf):
     d = C(spark, sf)
     age = F.lit(2025.0) - F.col("annee_construction_batiment")
-    return d.where(filters.p_range(TARGET, 0, lo_strict=True) & age.between(0, 200)
+    return d.where(filters.p_range(TARGET, 0, lo_strict=True, df=d) & age.between(0, 200)
                    & filters.p_range("nb_pieces_police", 0, 20) & filters.p_range("nb_etages_batiment", 0, 30)
                    & filters.p_range("annee_construction_batiment", 1800, lo_strict=True))
 
@@ -81,11 +81,11 @@ def q_extreme(spark, sf):
 
 @register("having_min_count", """
 SELECT ville, CAST(count(*) AS BIGINT) AS n, round(avg(montant_charge_brut), 4) AS mean FROM claims
-WHERE risque_rga_gcl = 'maximal' GROUP BY ville HAVING count(*) >= 120""")
+GROUP BY ville HAVING count(*) >= 600""")
 def q_having(spark, sf):
-    g = C(spark, sf).where(F.col("risque_rga_gcl") == "maximal").groupBy("ville").agg(
+    g = C(spark, sf).groupBy("ville").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(TARGET).alias("mean"))
-    return rnd(filters.having_min_count(g, 120, "n"))
+    return rnd(filters.having_min_count(g, 600, "n"))
 
 
 _AUDIT_STEPS = [

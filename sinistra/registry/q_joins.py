@@ -44,13 +44,12 @@ def q_lookup(spark, sf):
 
 @register("category_spine", """
 WITH lv(level, ord) AS (VALUES ('faible', 0), ('moyen', 1), ('fort', 2), ('maximal', 3)),
-d AS (SELECT * FROM claims WHERE montant_charge_brut >= 470000)
+d AS (SELECT * FROM claims)
 SELECT lv.ord, lv.level AS rga, CAST(count(d.montant_charge_brut) AS BIGINT) AS count,
        round(avg(d.montant_charge_brut), 4) AS mean, round(quantile_cont(d.montant_charge_brut, 0.5), 4) AS median
 FROM lv LEFT JOIN d ON d.risque_rga_gcl = lv.level GROUP BY lv.ord, lv.level""")
 def q_category_spine(spark, sf):
-    # high amounts only: some levels are then rare, the spine keeps them all
-    d = C(spark, sf).where(F.col(TARGET) >= 470000)
+    d = C(spark, sf)
     s = summary.summarize(d.where(F.col("risque_rga_gcl").isNotNull()), TARGET, ["risque_rga_gcl"], ("count", "mean"),
                           {"median": 0.5})
     dim = lookup.dimension(spark, lookup.RGA_ORDER, "level", "ord")
@@ -59,12 +58,12 @@ def q_category_spine(spark, sf):
 
 
 @register("month_spine", """
-WITH d AS (SELECT date_trunc('month', date_sinistre) AS m FROM claims WHERE montant_charge_brut > 490000),
+WITH d AS (SELECT date_trunc('month', date_sinistre) AS m FROM claims),
 sp AS (SELECT unnest(generate_series((SELECT min(m) FROM d), (SELECT max(m) FROM d), INTERVAL 1 MONTH)) AS month)
 SELECT sp.month, CAST(count(d.m) AS BIGINT) AS n FROM sp LEFT JOIN d ON d.m = sp.month GROUP BY sp.month""")
 def q_month_spine(spark, sf):
     from ..functions.dates import month_start
-    d = C(spark, sf).where(F.col(TARGET) > 490000).select(month_start("date_sinistre").alias("month"))
+    d = C(spark, sf).select(month_start("date_sinistre").alias("month"))
     counts = d.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
     spine = lookup.month_spine(d, "month")
     out = spine.join(counts, "month", "left")

@@ -49,39 +49,33 @@ def q_seasonality(spark, sf):
     return rnd(temporal.seasonality(C(spark, sf), TARGET, "date_sinistre"), 6)
 
 
-_MS_SRC = "SELECT * FROM claims WHERE montant_charge_brut > 450000"
-
-
 @register("monthly_series", f"""
-WITH d AS (SELECT date_trunc('month', date_sinistre) AS month, montant_charge_brut AS y FROM ({_MS_SRC}) WHERE date_sinistre IS NOT NULL),
+WITH d AS (SELECT date_trunc('month', date_sinistre) AS month, montant_charge_brut AS y FROM claims WHERE date_sinistre IS NOT NULL),
 g AS (SELECT month, count(*) AS n, sum(y) AS v FROM d GROUP BY month),
 sp AS (SELECT unnest(generate_series((SELECT min(month) FROM d), (SELECT max(month) FROM d), INTERVAL 1 MONTH)) AS month)
 SELECT sp.month, strftime(sp.month, '%Y-%m') AS ym, strftime(sp.month, '%m%Y') AS mmaaaa, CAST(coalesce(n, 0) AS BIGINT) AS count,
        round(CASE WHEN coalesce(n, 0) >= 3 THEN coalesce(v, 0) END, 4) AS montant_charge_brut_sum
 FROM sp LEFT JOIN g USING (month)""")
 def q_monthly_series(spark, sf):
-    d = C(spark, sf).where(F.col(TARGET) > 450000)
-    return rnd(temporal.monthly_series(d, TARGET, "date_sinistre", "sum", min_count=3))
+    return rnd(temporal.monthly_series(C(spark, sf), TARGET, "date_sinistre", "sum", min_count=3))
 
 
 @register("monthly_series_positive", f"""
 SELECT date_trunc('month', date_sinistre) AS month, strftime(date_trunc('month', date_sinistre), '%m%Y') AS mmaaaa,
        CAST(count(*) AS BIGINT) AS count, round(quantile_cont(montant_charge_brut, 0.5), 4) AS median
-FROM ({_MS_SRC}) WHERE date_sinistre IS NOT NULL AND montant_charge_brut > 0 GROUP BY 1 HAVING count(*) >= 2""")
+FROM claims WHERE date_sinistre IS NOT NULL AND montant_charge_brut > 0 GROUP BY 1 HAVING count(*) >= 2""")
 def q_monthly_positive(spark, sf):
-    d = C(spark, sf).where(F.col(TARGET) > 450000)
-    return rnd(temporal.monthly_series_positive(d, TARGET, "date_sinistre", "median", min_count=2))
+    return rnd(temporal.monthly_series_positive(C(spark, sf), TARGET, "date_sinistre", "median", min_count=2))
 
 
 @register("monthly_series_filled", f"""
-WITH d AS (SELECT date_trunc('month', date_sinistre) AS month, montant_charge_brut AS y FROM ({_MS_SRC}) WHERE date_sinistre IS NOT NULL),
+WITH d AS (SELECT date_trunc('month', date_sinistre) AS month, montant_charge_brut AS y FROM claims WHERE date_sinistre IS NOT NULL),
 g AS (SELECT month, count(*) AS n, sum(y) AS v FROM d GROUP BY month),
 sp AS (SELECT unnest(generate_series((SELECT min(month) FROM d), (SELECT max(month) FROM d), INTERVAL 1 MONTH)) AS month)
 SELECT sp.month, strftime(sp.month, '%Y-%m') AS ym, strftime(sp.month, '%m%Y') AS mmaaaa, CAST(coalesce(n, 0) AS BIGINT) AS count,
        round(coalesce(v, 0), 4) AS montant_charge_brut_sum FROM sp LEFT JOIN g USING (month)""")
 def q_monthly_filled(spark, sf):
-    d = C(spark, sf).where(F.col(TARGET) > 450000)
-    return rnd(temporal.monthly_series(d, TARGET, "date_sinistre", "sum", min_count=0))
+    return rnd(temporal.monthly_series(C(spark, sf), TARGET, "date_sinistre", "sum", min_count=0))
 
 
 @register("monthly_mean_count_sum", """
@@ -98,11 +92,10 @@ def q_monthly_mcs(spark, sf):
 @register("weekday_profile", """
 WITH w(weekday, ord) AS (VALUES ('Monday', 0), ('Tuesday', 1), ('Wednesday', 2), ('Thursday', 3), ('Friday', 4), ('Saturday', 5), ('Sunday', 6)),
 g AS (SELECT dayname(date_sinistre) AS weekday, avg(montant_charge_brut) AS mean FROM claims
-      WHERE montant_charge_brut IS NOT NULL AND date_sinistre IS NOT NULL AND montant_charge_brut > 499000 GROUP BY 1)
+      WHERE montant_charge_brut IS NOT NULL AND date_sinistre IS NOT NULL GROUP BY 1)
 SELECT CAST(w.ord AS INTEGER) AS ord, w.weekday, round(g.mean, 4) AS mean FROM w LEFT JOIN g USING (weekday)""")
 def q_weekday(spark, sf):
-    d = C(spark, sf).where(F.col(TARGET) > 499000)
-    return rnd(temporal.weekday_profile(d, TARGET, "date_sinistre"))
+    return rnd(temporal.weekday_profile(C(spark, sf), TARGET, "date_sinistre"))
 
 
 @register("monthly_distribution", """
@@ -123,16 +116,16 @@ def q_monthly_distribution(spark, sf):
 
 
 @register("fiscal_month_profile", """
-WITH d0 AS (SELECT CAST(nb_pieces_police AS DOUBLE) AS m, montant_charge_brut AS y FROM claims
-            WHERE nb_pieces_police BETWEEN 1 AND 12 AND montant_charge_brut > 0),
+WITH d0 AS (SELECT month(date_sinistre) AS m, montant_charge_brut AS y FROM claims
+            WHERE date_sinistre IS NOT NULL AND montant_charge_brut > 0),
 f AS (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM d0),
 d AS (SELECT m, least(greatest(y, lo), hi) AS y FROM d0, f)
 SELECT CAST(m AS INTEGER) AS month, CAST((CAST(m AS INTEGER) - 4 + 12) % 12 AS INTEGER) AS fiscal_order, CAST(count(*) AS BIGINT) AS count,
        round(quantile_cont(y, 0.5), 4) AS median, round(avg(y), 4) AS mean, round(sum(y), 4) AS sum
 FROM d GROUP BY m HAVING count(*) >= 12""")
 def q_fiscal(spark, sf):
-    # month numbers from the room count column (1..7), fiscal year from April
-    return rnd(temporal.fiscal_month_profile(C(spark, sf), TARGET, "nb_pieces_police", 12, 4))
+    # fiscal year from April
+    return rnd(temporal.fiscal_month_profile(C(spark, sf), TARGET, F.month("date_sinistre"), 12, 4))
 
 
 @register("spatial_departments", """
