@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.casting import boolify, to_double
 from . import ranks
 
+# Statuses of a closed claim.
 CLOSED_STATUSES = ["clos", "fermé", "closed"]
 
 

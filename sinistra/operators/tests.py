@@ -47,15 +47,17 @@ def rank_sums(df: DataFrame, group: str, value: str, min_n: int = 3,
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str, min_n: int = 3) -> DataFrame:
-    """H (tie-corrected), p (chi-square, k-1 df), group count, epsilon squared,
-    significance label; null H with fewer than two groups."""
+    """H (tie-corrected), p (chi-square, k-1 df), group count, epsilon squared
+    over all rows (those of groups below ``min_n`` too), significance label;
+    null H with fewer than two groups."""
+    every = _clean(df, value, group).agg(F.count(F.lit(1)).cast("double").alias("rows"))
     rs = rank_sums(df, group, value, min_n)
     one = rs.agg(
         F.sum("n_g").cast("double").alias("N"),
         F.count(F.lit(1)).alias("k"),
         F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("S"),
         F.sum("tie").alias("ties"),
-    )
+    ).crossJoin(every)
     N = F.col("N")
     h0 = F.lit(12.0) / (N * (N + 1)) * F.col("S") - 3 * (N + 1)
     corr = F.lit(1.0) - F.col("ties") / (N * N * N - N)
@@ -64,7 +66,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, min_n: int = 3) -> Dat
         h.alias("statistic"),
         F.col("k").cast("bigint").alias("groups_count"),
         N.cast("bigint").alias("n"),
-        F.try_divide(h - F.col("k") + 1, N - 1).alias("epsilon_sq"),
+        F.try_divide(h - F.col("k") + 1, F.col("rows") - 1).alias("epsilon_sq"),
     )
     out = out.withColumn("p_value", chi2_pvalue("statistic", F.col("groups_count") - 1))
     return out.withColumn("significance", significance_label("p_value")).withColumn(
@@ -97,11 +99,12 @@ def mann_whitney(df: DataFrame, flag: str, value: str, first=True, min_n: int =
         F.when(ok, u).alias("U"),
         F.when(ok, z).alias("z"),
         F.when(ok, F.try_divide(2 * u, n1 * n2) - 1).alias("cliffs_delta"),
-        (((n1 <= 8) | (n2 <= 8)) & (n1 * n2 <= 1_000_000) & (F.col("ties") == 0)).alias("exact"),
+        (((n1 <= 8) | (n2 <= 8)) & (F.col("ties") == 0)).alias("exact"),
     )
     # scipy: p = 2 sf(z) clipped to 1, so a negative z gives 1
     asym = F.when(F.col("z") < 0, F.lit(1.0)).otherwise(norm_pvalue("z"))
-    exact = mw_exact_pvalue("U", "n1", "n2")
+    # the function runs before a branch is chosen: other rows pass it a null
+    exact = mw_exact_pvalue(F.when(F.col("exact"), F.col("U")), "n1", "n2")
     return out.withColumn("p_value", F.when(F.col("U").isNull(), F.lit(None)).when(F.col("exact"), exact).otherwise(asym))
 
 

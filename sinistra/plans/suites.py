@@ -206,7 +206,9 @@ def risk_segmentation(df: DataFrame, ref_year: int = 2025, seed: int = 42, n_ini
 def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter: int = 100, tol: float = 1e-7) -> DataFrame:
     """Slope and intercept of the q-th conditional quantile of y on x by
     iteratively reweighted least squares: each iteration is one distributed
-    aggregate of five weighted sums over the (persisted) two-column data."""
+    aggregate of five weighted sums over the (persisted) two-column data.
+    ``converged`` is false when ``max_iter`` ended it: slope and intercept
+    are then only near the minimum."""
     from pyspark import StorageLevel
 
     d = df.select(to_double(x).alias("x"), to_double(y).alias("y")).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
@@ -216,7 +218,7 @@ def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter:
         den = n * sxx - sx * sx
         b = (n * sxy - sx * sy) / den if den else 0.0
         a = (sy - b * sx) / n if n else 0.0
-        it = 0
+        it, done = 0, False
         for it in range(1, max_iter + 1):
             r = F.col("y") - F.lit(a) - F.lit(b) * F.col("x")
             w = F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(1e-6))
@@ -234,4 +236,5 @@ def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter:
                 break
     finally:
         d.unpersist()
-    return df.sparkSession.createDataFrame([(float(q), b, a, it)], "quantile double, slope double, intercept double, iterations int")
+    return df.sparkSession.createDataFrame([(float(q), b, a, it, done)],
+                                            "quantile double, slope double, intercept double, iterations int, converged boolean")

@@ -139,8 +139,9 @@ def _digest(spark: SparkSession, sf_dir: str) -> str:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in ("orders", "customer", "nation", "lineitem"):
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        st = p.getFileSystem(conf).getFileStatus(p)
-        h.update(f"{name}:{st.getLen()}:{st.getModificationTime()}".encode())
+        # a file lists itself, a folder its part files
+        for st in p.getFileSystem(conf).listStatus(p):
+            h.update(f"{name}:{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
@@ -161,12 +162,23 @@ def materialize(spark: SparkSession, name: str, build, fmt: str = "parquet", opt
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         build().write.mode("overwrite").options(**(options or {})).format(fmt).save(tmp)
-        fs.mkdirs(jpath.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jpath):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+        publish(fs, jvm.org.apache.hadoop.fs.Path, tmp, path)
     return path
 
 
+def publish(fs, hadoop_path, tmp: str, path: str) -> None:
+    """Rename ``tmp`` to ``path`` unless another writer was first. A rename
+    onto a folder that appeared in between moves ``tmp`` inside it: that copy
+    is taken out again, so the published folder holds one writer's files."""
+    src, dst = hadoop_path(tmp), hadoop_path(path)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+    inside = hadoop_path(dst, src.getName())
+    if fs.exists(inside):
+        fs.delete(inside, True)
+
+
 def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims view written once as Parquet under the shared checkpoint
     folder and read back: every analysis then scans a columnar table (with

@@ -154,3 +154,73 @@ def test_mann_whitney_exact_small(spark):
     d2 = spark.createDataFrame(data + [(True, 4.0)], "f boolean, x double")
     r2 = tests.mann_whitney(d2, "f", "x", first=True).first()
     assert not r2["exact"] and 0 < r2["p_value"] < 1
+
+
+def test_mann_whitney_exact_counts():
+    from itertools import combinations
+
+    from sinistra.functions.special import mw_exact_sf
+
+    for m, n in ((1, 5), (2, 7), (4, 4), (3, 9)):
+        us = [sum(c) - m * (m + 1) // 2 for c in combinations(range(1, m + n + 1), m)]
+        for k in range(m * n + 2):
+            assert mw_exact_sf(k, m, n) == pytest.approx(sum(u >= k for u in us) / len(us), abs=1e-15)
+    assert mw_exact_sf(4 * 10**9 + 1, 8, 10**9) == pytest.approx(0.5, abs=1e-8)  # no table of n1 * n2
+
+
+def test_tails_keep_digits_at_scale():
+    from sinistra.functions.special import f_sf, gammaincc, norm_sf2, t_sf2
+
+    for df in (1e8, 1e10, 1e12):
+        assert t_sf2(2.0, df) == pytest.approx(norm_sf2(2.0), rel=1e-7)
+        assert f_sf(1.5, 4, df) == pytest.approx(gammaincc(2.0, 3.0), rel=1e-7)
+    assert t_sf2(2.0, 1e6) == pytest.approx(t_sf2(2.0, 999_999.0), rel=1e-8)
+
+
+def test_epsilon_squared_counts_small_groups(spark):
+    """Rows of a group below ``min_n`` take no part in H but in epsilon squared."""
+    from sinistra.operators.tests import kruskal_wallis
+
+    rows = [("a", float(i)) for i in range(0, 20, 2)] + [("b", float(i)) for i in range(1, 20, 2)] + [("c", 30.0), ("c", 31.0)]
+    r = kruskal_wallis(spark.createDataFrame(rows, "g string, v double"), "g", "v").first()
+    assert (r.groups_count, r.n) == (2, 20)
+    assert r.epsilon_sq == pytest.approx((r.statistic - 1) / 21)
+
+
+def test_penalties_match_their_objective(spark):
+    """One feature with mean 0 and population variance 1: the minimum of
+    1/(2n) |y - bz|^2 + L1 |b| + L2/2 b^2 is (z.y/n - L1) / (1 + L2)."""
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    from sinistra.operators import models
+
+    x = np.array([-2.0, -1.0, 0.0, 1.0, 2.0, 3.0])
+    z = (x - x.mean()) / x.std()
+    y = 3 * z + np.array([0.1, -0.2, 0.3, 0.0, -0.1, -0.1])
+    d = spark.createDataFrame([(float(a), float(b)) for a, b in zip(z, y)], "x double, label double")
+    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(d)
+    for name, (l1, l2) in {"ridge": (0, 1 / 6), "lasso": (1, 0), "elastic_net": (0.5, 0.5)}.items():
+        got = models.estimator(name, d).fit(d).coefficients[0]
+        assert got == pytest.approx((z @ y / 6 - l1) / (1 + l2), rel=1e-4), name
+
+
+def test_two_writers_publish_one_table(spark):
+    """The second writer of a table leaves nothing behind, neither beside it
+    nor inside it."""
+    import os
+    import tempfile
+
+    from sinistra.sources.claims import publish
+
+    jvm = spark.sparkContext._jvm
+    base = tempfile.mkdtemp(prefix="publish-", dir="/tmp")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in (1, 2):
+        spark.range(10).write.parquet(f"{base}/t.tmp-{k}")
+        publish(fs, path, f"{base}/t.tmp-{k}", f"{base}/t")
+    os.makedirs(f"{base}/t/t.tmp-3")  # as a rename onto the folder would leave it
+    publish(fs, path, f"{base}/t.tmp-3", f"{base}/t")
+    assert [f for f in os.listdir(base) if f.startswith("t")] == ["t"]
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{base}/t").count() == 10
