@@ -7,6 +7,7 @@ import sys
 import types
 import uuid
 import zlib
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, limit: str = "4m"):
+    """Jobs started inside pass Arrow batches of at most ``limit`` to Python
+    (one row at least), so a task's memory follows bytes and not the 10,000
+    rows of long texts that a batch holds by default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def doc_crc(col: str = "doc_id") -> Column:
     """crc32 of an id's decimal text, the key of the train / held-out folds."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -15,6 +15,7 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, scratch, tokenizer_path, worker_state
+from .common import arrow_bytes, id_text, scratch, tokenizer_path, worker_state
 from .words import WordTable, gather, owner, slices, tile
 
 #: words kept per worker before the table starts anew
@@ -45,6 +46,7 @@ class WordEncoder:
     all other spans go through the tokenizers library one by one."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -195,6 +197,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         enc = worker_state(f"words:{vocabulary}", lambda: WordEncoder(tokenizer_path(vocabulary)))
         end = array("I", [end_id]).tobytes()
         win, closed = Windows(size, open_windows, min_cut), 0
@@ -234,7 +237,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
 
     full = _schema(with_ids)
     flagged = T.StructType(full.fields[:7] + [T.StructField("closed", T.BooleanType())] + full.fields[7:])
-    placed = scratch(id_text(docs).mapInArrow(online, flagged), "packed")
+    with arrow_bytes(docs.sparkSession):
+        placed = scratch(id_text(docs).mapInArrow(online, flagged), "packed")
     whole = placed.filter("closed").select(*full.names)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
