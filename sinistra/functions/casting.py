@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Token sets of the two boolean readers.
 TRUE_TOKENS = ["1", "true", "t", "yes", "y", "vrai", "oui"]
 FALSE_TOKENS = ["0", "false", "f", "no", "n", "faux", "non"]
-NULLABLE_TRUE_TOKENS = ["1", "true", "vrai", "oui", "yes", "y"]
+NULLABLE_TRUE_TOKENS = ["1", "true", "vrai", "oui", "y", "yes"]
 NULLABLE_FALSE_TOKENS = ["0", "false", "faux", "non", "n", "no"]
 # Text read as missing by the CSV reader.
 NULL_TOKENS = ["", "NA", "N/A", "NaN", "NULL", "null"]
