@@ -1,19 +1,23 @@
 """Near-duplicate lines, by a segment-partition edit join in DataFrame functions.
 
-Lines within ``EDITS`` = 1 edit (one code point changed, added or taken away)
-are near copies. A line of m code points is split into EDITS + 1 = 2 segments;
-one edit leaves one of them whole. Each line enters its segments in an index by
-(length, segment, text), and probes the entries of its own length and of the
-next smaller one with the substrings that may match there: the first segment
-from the start, the second from the end. A pair that meets is verified by a
-banded bit-parallel edit distance (Myers' vectors on 2 * EDITS + 1 diagonals).
-
-No entry is joined pair by pair when more than ``BLOCK`` lines meet in it. The
-half that may differ is then cut into ``FINER`` windows and the lines meet again
-by all of their text but one window, and so on down to single code points, where
-few lines can meet. Every link passes each step, so none is lost. A pair's
-window is halved again before the distance is computed: one edit leaves one half
-whole, and only the other one goes on.
+Two lines are near copies when at most k code points are changed, added or taken
+away between them. k is one for every ``PER_EDIT`` code points of the shorter
+line, at least 1 and at most ``edits`` (``EDITS`` by default; ``MANY_EDITS`` in
+the registered query and the pipeline).
+
+Lines are put in classes of about the same length, so that k is one number in a
+class. A line enters k + 1 segments of its beginning, all of one length, in an
+index by (class, segment, text). k edits leave some segment i whole that has
+exactly i edits before it: it stands at most i places further left or right in
+the other line. A line therefore probes its own class, and the next lower one
+when it is less than k longer than that, with these substrings. A pair that
+meets is verified by a banded edit distance.
+
+Only the question whether an earlier line is a near copy of a line matters. The
+lines of an entry are ordered by first occurrence and meet the first ``BLOCK`` of
+them, then those not yet found meet the next block, twice as long, and so on. So
+entries of many near copies end after the first blocks; an entry with very many
+lines that are no near copies of each other costs the square of their number.
 
 An occurrence of a line is dropped when it is not the line's first (by doc_id,
 then position), or when a line that first occurs earlier is a near copy of it.
@@ -31,17 +35,18 @@ gives no rows; other columns are ignored by ``dedup_lines`` and kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 
 EDITS = 1
+#: edits at most in the registered query and in the pipeline
+MANY_EDITS = 5
+#: code points of a line for each edit
+PER_EDIT = 20
 MIN_CHARS = 20
 BLOCK = 32
-FINER = 8
-#: times that a pair's window is halved before its edit distance is computed
-HALVINGS = 10
 PICK_BITS = 1 << 24
 
 
@@ -51,58 +56,41 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return one.withColumn("m", F.length("line")).filter(F.col("m") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
 
 
-def _key(line, m, lo, hi, longer):
-    """Hash of a line's text but the window [lo, hi) of a line of m code
-    points; ``longer`` more code points stand in the window."""
-    return F.xxhash64(m, lo, hi, F.substring(line, F.lit(1), lo), F.substring(line, hi + longer + 1, m))
+def allowed(m: Column, edits: int) -> Column:
+    """Edits between a line of m code points and one that is not shorter."""
+    return F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(m / PER_EDIT))).cast("int")
 
 
-def entries(lines: DataFrame, windows: Column) -> DataFrame:
-    """key, h, m, lo, hi, longer: one row for each window in which a line may
-    differ. ``longer`` 0: the line's own length (index and probe at once);
-    1: a probe of the next smaller length."""
-    w = lines.withColumn("w", F.explode(windows))
-    key = _key(F.col("line"), F.col("w.m"), F.col("w.lo"), F.col("w.hi"), F.col("w.longer"))
-    return w.select(key.alias("key"), "h", "w.*")
+def _least(m: Column, edits: int) -> Column:
+    """Length of the shortest lines in the class of a line: a multiple of
+    PER_EDIT while k still grows, then m down to its three highest bits."""
+    low = F.length(F.bin(m)) - 3
+    wide = m - F.pmod(m, F.call_function("shiftleft", F.lit(1), F.greatest(low, F.lit(0))))
+    fine = m - F.pmod(m, F.lit(PER_EDIT))
+    return F.greatest(F.lit(MIN_CHARS), F.when(m < PER_EDIT * edits, fine).otherwise(F.greatest(F.lit(PER_EDIT * edits), wide))).cast("int")
 
 
-def _window(m, lo, hi, longer) -> Column:
-    return F.struct(m.cast("int").alias("m"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), longer.cast("int").alias("longer"))
+def places(k: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings that may be a segment of a line which
+    is not longer: i edits before it, at most k - i after it."""
+    return [(i, s) for i in range(k + 1) for s in range(max(-i, i - k), i + 1)]
 
 
-def halves() -> Column:
-    """The two windows of a line's own length and of the next smaller one."""
-    out = []
-    for longer in (0, 1):
-        m = F.col("m") - longer
-        mid = F.floor(m / 2)
-        out += [_window(m, mid, m, F.lit(longer)), _window(m, F.lit(0), mid, F.lit(longer))]
-    return F.array(*out)
-
-
-def finer() -> Column:
-    """The window cut into FINER parts (into code points when it is short)."""
-    lo, hi = F.col("lo"), F.col("hi")
-    step = F.greatest(F.lit(1), F.ceil((hi - lo) / F.lit(FINER)))
-    cuts = F.sequence(lo, F.greatest(lo, hi - 1), step.cast("int"))
-    return F.transform(cuts, lambda c: _window(F.col("m"), c, F.least(c + step, hi), F.col("longer")))
-
-
-def _met(rows: DataFrame) -> DataFrame:
-    """The rows whose key holds lines of different text, one of them of the
-    index, with the number of lines as ``together``."""
-    rows = rows.groupBy("key", "h").agg(*(F.min(c).alias(c) for c in ("m", "lo", "hi", "longer"))).repartition("key")
-    count = rows.groupBy("key").agg(F.count("*").alias("together"), F.min("longer").alias("own")).filter("together > 1 AND own = 0").select("key", "together")
-    return rows.join(count, "key")
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of hashes within small entries, and the window of
-    a outside of which both are the same; b has ``longer`` more code points."""
-    few = met.filter((F.col("together") <= BLOCK) | (F.col("hi") - F.col("lo") <= 1))
-    index = few.filter("longer = 0").select("key", F.col("h").alias("a"))
-    met_by = few.select("key", F.col("h").alias("b"), "lo", "hi", "longer").join(index, "key")
-    return met_by.filter((F.col("a") != F.col("b")) & ((F.col("longer") == 1) | (F.col("a") < F.col("b")))).select("a", "b", "lo", "hi", "longer")
+def entries(lines: DataFrame, edits: int) -> DataFrame:
+    """key, h, m, own: one row for each substring of a line (h, line, m) that
+    is a segment of it (own) or may be one of a near copy's."""
+    struct = lambda i, s: F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))
+    by_k = F.array(*(F.array(*(struct(*p) for p in places(k))) for k in range(1, edits + 1)))
+    low = lines.withColumn("low", _least(F.col("m"), edits))
+    below = _least(F.col("low") - 1, edits)
+    reach = (F.col("low") > MIN_CHARS) & (F.col("m") - F.col("low") < allowed(below, edits))
+    w = low.withColumn("class", F.explode(F.when(reach, F.array(F.col("low"), below)).otherwise(F.array("low"))))
+    w = w.withColumn("k", allowed(F.col("class"), edits)).withColumn("q", F.floor(F.col("class") / (F.col("k") + 1)).cast("int"))
+    w = w.withColumn("at", F.explode(F.get(by_k, F.col("k") - 1)))
+    start = F.col("at.i") * F.col("q") + F.col("at.s")
+    w = w.filter((start >= 0) & (start + F.col("q") <= F.col("m")))
+    own = (F.col("class") == F.col("low")) & (F.col("at.s") == 0)
+    return w.select(F.xxhash64("class", "at.i", F.substring("line", start + 1, F.col("q"))).alias("key"), "h", "m", own.alias("own"))
 
 
 def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS) -> Column:
@@ -158,57 +146,68 @@ def _bitmap(hashes: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x.bits).alias("words"))
 
 
-def _texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """h, line of the lines with one of these hashes, once each. The bitmap,
-    whose size does not depend on the data, picks them while texts are read."""
+def _picked(docs: DataFrame, hashes: DataFrame, how: str) -> DataFrame:
+    """h, line, m of the lines whose hash a bitmap holds (left_semi; some others
+    too) or does not (left_anti). Its size does not depend on the data."""
     slot = F.pmod("h", F.lit(PICK_BITS))
     hit = F.bit_get(F.get("words", F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
-    picked = lines_of(docs).join(F.broadcast(_bitmap(hashes)), hit, "left_semi")
-    return scratch(picked.groupBy("h").agg(F.first("line").alias("line")), "lines")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines within EDITS edits."""
-    met = scratch(_met(entries(lines_of(docs), halves())), "halves")
-    big = (F.col("together") > BLOCK) & (F.col("hi") - F.col("lo") > 1)
-    texts = _texts(docs, met.select("h"))
-    pairs = _pairs(met)
-    while not (hot := met.filter(big).select("h", "m", "lo", "hi", "longer")).isEmpty():
-        met = scratch(_met(entries(hot.join(texts, "h"), finer())), "finer")
-        pairs = pairs.unionByName(_pairs(met))
-    narrow = F.min(F.struct(F.col("hi") - F.col("lo"), "lo", "hi", "longer")).alias("w")
-    pairs = scratch(pairs.groupBy("a", "b").agg(narrow).select("a", "b", "w.lo", "w.hi", "w.longer"), "line_pairs")
-    a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"{s}_line")) for s in ("a", "b"))
-    both = pairs.join(a, "a").join(b, "b")
-    lo, more = F.col("lo"), F.col("longer")
-    far = F.length("b_line")
-    same = (F.substring("a_line", F.lit(1), lo) == F.substring("b_line", F.lit(1), lo)) & (F.substring("a_line", F.col("hi") + 1, far) == F.substring("b_line", F.col("hi") + more + 1, far))
-
-    def halve(w: Column, _) -> Column:
-        mid = w["lo"] + F.floor((w["hi"] - w["lo"]) / 2).cast("int")
-        head = F.substring("a_line", w["lo"] + 1, mid - w["lo"]) == F.substring("b_line", w["lo"] + 1, mid - w["lo"])
-        tail = F.substring("a_line", mid + 1, w["hi"] - mid) == F.substring("b_line", mid + more + 1, w["hi"] - mid)
-        left = F.when(w["lo"] < 0, w["lo"]).when(head, mid).when(tail, w["lo"]).otherwise(F.lit(-1))
-        return F.struct(left.alias("lo"), F.when(head, w["hi"]).otherwise(mid).alias("hi"))
-
-    rest = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(lo.alias("lo"), F.col("hi").alias("hi")), halve)
-    at = lambda w: F.struct(  # noqa: E731 (split once a pair; columns would be split anew at every step)
-        F.split(F.substring("b_line", w["lo"] + 1, w["hi"] - w["lo"] + more), "").alias("x"), F.split(F.substring("a_line", w["lo"] + 1, w["hi"] - w["lo"]), "").alias("y"))
-    left = F.filter(F.array(rest), lambda w: w["lo"] >= 0)
-    near = F.coalesce(F.get(F.transform(F.transform(left, at), lambda s: edit_distance_at_most(s["x"], s["y"])), 0), F.lit(False))
-    return both.filter(same).filter(near).select("a", "b")
-
-
-def dropped_lines(docs: DataFrame) -> DataFrame:
+    long = lines_of(docs).filter(F.col("m") >= MIN_CHARS).select("h", "line", "m")
+    return long.join(F.broadcast(_bitmap(hashes)), hit, how)
+
+
+def _once(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("h").agg(F.first("line").alias("line"), F.first("m").alias("m"))
+
+
+def first_lines(docs: DataFrame) -> DataFrame:
+    """h, first (doc_id, pos), n (occurrences) of every line."""
+    place = F.struct(F.col("doc_id"), F.col("pos"))
+    return scratch(lines_of(docs).groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first_lines")
+
+
+def _ranked(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """key, h, m, own, rank (by first occurrence, from 0) of the lines that
+    share an entry with another one. Only texts that occur again are moved to
+    be taken once."""
+    again = first.filter("n > 1").select("h")
+    lines = _picked(docs, again, "left_anti").unionByName(_once(_picked(docs, again, "left_semi")))
+    # both uses of the rows need all columns, so they are dealt out once
+    rows = entries(lines, edits).select("key", "h", (F.col("m") * F.lit(2) + F.col("own").cast("int")).alias("mo")).repartition("key")
+    shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max(F.col("mo") % 2).alias("any")).filter("x <> y AND any = 1").select("key")
+    met = rows.join(shared, "key").groupBy("key", "h").agg(F.max("mo").alias("mo")).join(first.select("h", "first"), "h")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h")) - 1
+    own = (F.col("mo") % 2 == 1).alias("own")
+    return scratch(met.select("key", "h", F.floor(F.col("mo") / 2).cast("int").alias("m"), own, rank.alias("rank")), "met")
+
+
+def late_copies(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """h of the lines that are near copies of one that first occurs earlier."""
+    ranked = _ranked(docs, first, edits)
+    met = ranked.select("h").distinct()
+    text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line"), "lines")
+    left, found, lo, step = ranked.filter("rank > 0"), [], 0, BLOCK
+    while not left.isEmpty():
+        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"))
+        k = allowed(F.least("m", "em"), edits)
+        index = F.when(F.col("m") < F.col("em"), F.col("own")).when(F.col("m") > F.col("em"), F.col("eown")).otherwise(F.col("own") | F.col("eown"))
+        pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)).select("h", "e", k.alias("k")).distinct()
+        both = pairs.join(text, "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line")), "e")
+        found.append(scratch(both.filter(F.expr("levenshtein(line, e_line, k) >= 0")).select("h").distinct(), "late"))
+        lo, step = lo + step, 2 * step
+        left = scratch(left.filter(F.col("rank") > lo).join(found[-1], "h", "left_anti"), "left")
+    out = first.select("h").limit(0)
+    for f in found:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, dropped: positions of the lines that repeat an earlier one or
     are a near copy of one."""
-    place = lambda c: F.struct(F.col("doc_id"), F.col("pos")).alias(c)
-    first = scratch(lines_of(docs).groupBy("h").agg(F.min(place("p")).alias("first")), "first_lines")
-    near = near_copies(docs)
-    a, b = (first.select(F.col("h").alias(s), F.col("first").alias(f"{s}_first")) for s in ("a", "b"))
-    late = near.join(a, "a").join(b, "b").select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
-    known = first.join(late.withColumn("late", F.lit(True)), "h", "left")
-    gone = lines_of(docs).select("h", "doc_id", "pos").join(known, "h").filter(F.col("late") | (F.col("first") != place("p")))
+    first = first_lines(docs)
+    late = late_copies(docs, first, edits).withColumn("late", F.lit(True))
+    known = first.select("h", "first").join(late, "h", "left")
+    gone = lines_of(docs).select("h", "doc_id", "pos").join(known, "h").filter(F.col("late") | (F.col("first") != F.struct("doc_id", "pos")))
     return gone.groupBy("doc_id").agg(F.collect_list("pos").alias("dropped"))
 
 
@@ -219,21 +218,21 @@ def _kept(dropped: str) -> tuple[Column, Column]:
     return parts, F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, text without the dropped lines, n_lines, n_dropped."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    marked = docs.join(dropped_lines(docs.filter("text IS NOT NULL")), "doc_id", "left")
+    marked = docs.join(dropped_lines(docs.filter("text IS NOT NULL"), edits), "doc_id", "left")
     parts, kept = _kept("dropped")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     return marked.select("doc_id", kept.alias("text"), n.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """All columns of ``docs`` with the dropped lines taken out of ``text``
     (and ``n_chars``, if there, counted anew). A document of which nothing is
     left goes; one that was empty before stays."""
     used = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    gone = dropped_lines(used).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    gone = dropped_lines(used, edits).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
     marked = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
     _, kept = _kept("__dropped")
     marked = marked.withColumn("__kept", kept).filter(F.col("__dropped").isNull() | (F.col("__kept") != ""))

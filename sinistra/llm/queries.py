@@ -11,7 +11,7 @@ from .common import doc_crc, read
 
 
 def op1_line_dedup(spark, sf_dir):
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), line_dedup.MANY_EDITS)
 
 
 def op2_packing(spark, sf_dir):

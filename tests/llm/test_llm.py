@@ -94,6 +94,38 @@ def test_line_dedup(spark, edge, texts, nothing, block, monkeypatch):
     assert whole.columns == edge.columns and whole.filter("doc_id IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("block", [1, 32])
+def test_line_dedup_several_edits(spark, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rnd = random.Random(9)
+    letters = "abcdefghij é日"
+    rows = []
+    for m in [20, 21, 39, 40, 41, 59, 60, 62, 80, 99, 100, 101, 104, 111, 112, 113, 127, 128, 131, 160, 333]:
+        base = [rnd.choice(letters) for _ in range(m)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                at = rnd.randrange(len(w))
+                w[at:at + rnd.randint(0, 1)] = rnd.choice([[], [rnd.choice(letters)]])
+            rows.append("".join(w))
+    rnd.shuffle(rows)
+    first = {x: i for i, x in reversed(list(enumerate(rows)))}
+    long = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
+    k = lambda a, b: max(1, min(line_dedup.MANY_EDITS, min(len(a), len(b)) // line_dedup.PER_EDIT))
+    late = {max(a, b, key=first.get) for n, a in enumerate(long) for b in long[:n] if abs(len(a) - len(b)) <= k(a, b) and edits(a, b) <= k(a, b)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).collect()}
+    assert got == {i: int(len(x) >= line_dedup.MIN_CHARS and (x in late or first[x] != i)) for i, x in enumerate(rows)}
+    assert len(late) > 50
+
+
+def test_line_dedup_one_word(spark):
+    """A line of 160 code points with one changed word goes."""
+    words = ("the quick brown fox jumps over the lazy dog and then " * 4)[:160]
+    docs = spark.createDataFrame([(1, words), (2, words.replace("brown", "white", 1))], "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_packing(edge, texts, nothing):
     from tokenizers import Tokenizer
 
