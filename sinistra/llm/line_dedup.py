@@ -21,7 +21,8 @@ lines that are no near copies of each other costs the square of their number.
 
 An occurrence of a line is dropped when it is not the line's first (by doc_id,
 then position), or when a line that first occurs earlier is a near copy of it.
-Lines of fewer than ``MIN_CHARS`` code points are never compared nor dropped.
+Lines of fewer than ``MIN_CHARS`` code points go as exact repeats only: they are
+not looked up for near copies. Empty lines stay, as they part paragraphs.
 
 Lines are known by 64-bit hashes; pairs are verified on their text.
 
@@ -51,9 +52,9 @@ PICK_BITS = 1 << 24
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, h, m of the lines that are compared."""
+    """doc_id, pos, line, h, m of all lines that are not empty."""
     one = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return one.withColumn("m", F.length("line")).filter(F.col("m") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
+    return one.withColumn("m", F.length("line")).filter(F.col("m") > 0).withColumn("h", F.xxhash64("line"))
 
 
 def allowed(m: Column, edits: int) -> Column:

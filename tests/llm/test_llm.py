@@ -115,7 +115,7 @@ def test_line_dedup_several_edits(spark, block, monkeypatch):
     late = {max(a, b, key=first.get) for n, a in enumerate(long) for b in long[:n] if abs(len(a) - len(b)) <= k(a, b) and edits(a, b) <= k(a, b)}
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).collect()}
-    assert got == {i: int(len(x) >= line_dedup.MIN_CHARS and (x in late or first[x] != i)) for i, x in enumerate(rows)}
+    assert got == {i: int(x in late or first[x] != i) for i, x in enumerate(rows)}
     assert len(late) > 50
 
 
@@ -126,6 +126,13 @@ def test_line_dedup_one_word(spark):
     assert [r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact repeats go at every length but 0; short lines that differ stay."""
+    docs = spark.createDataFrame([(1, "Les.\n\nLez.\nLes."), (2, "日本\nLes.\n\n "), (3, "日本\n \nx")], "doc_id long, text string")
+    got = [(r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).orderBy("doc_id").collect()]
+    assert got == [("Les.\n\nLez.", 4, 1), ("日本\n\n ", 4, 1), ("x", 3, 2)]
+
+
 def test_packing(edge, texts, nothing):
     from tokenizers import Tokenizer
 
