@@ -3,6 +3,8 @@
 Inside each task DuckDB contracts the distinct pre-tokens: token-position rows
 join the merge table, the leftmost pair of minimum rank of each word is
 contracted, and a recursive query repeats that until no word has a pair left.
+Its rounds cost the square of a word's length, so words of more than
+``LONG_WORD`` bytes take the same contractions in the same order from a heap.
 An ordered aggregation of the vocabulary's bytes decodes. A text is the
 concatenation of its pre-tokens, so documents are assembled from their words.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .words import SPACES, WordTable, owner, slices, tile
 #: spans kept per worker before the table starts anew
 CACHE_WORDS = 500_000
 BATCH_WORDS = 40_000
+#: bytes of the longest word that the recursive query contracts (below 2^20, its positions)
+LONG_WORD = 1024
 
 #: One step: pairs of neighbours look up their rank; a word's smallest
 #: (rank, position) is contracted; a word without a pair is final.
@@ -88,8 +93,8 @@ class RankCoder:
         """Ids of each distinct word, and the bytes those ids decode to."""
         ids = {w: [self.ranks[w]] for w in words if w in self.ranks}
         todo = [w for w in words if w not in ids]
-        if any(len(w) >= 1 << 20 for w in todo):
-            raise ValueError("a single pre-token of 1 MiB or more")
+        ids.update((w, self.long_word(w)) for w in todo if len(w) > LONG_WORD)
+        todo = [w for w in todo if w not in ids]
         flat = np.frombuffer(b"".join(todo), np.uint8)
         size = np.array([len(w) for w in todo], np.int64)
         first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(todo) else size
@@ -101,6 +106,32 @@ class RankCoder:
         back = self.db.sql(DECODE).to_arrow_table()
         return ids, {words[w]: bytes.fromhex(h) for w, h in zip(back.column("w").to_pylist(), back.column("hex").to_pylist())}
 
+    def long_word(self, word: bytes) -> list[int]:
+        """Ids of one word of any length: the leftmost pair of minimum rank is
+        contracted until none is left, in n log n steps."""
+        n, rank = len(word), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [r << 40 | p for p in range(n - 1) if (r := rank(word[p:p + 2])) is not None]
+        heapify(heap)
+        while heap:
+            best = heappop(heap)
+            p = best & (1 << 40) - 1
+            mid = after[p]
+            # a pair that is gone: eaten, at the end, or with another neighbour
+            if mid < 0 or mid >= n or rank(word[p:after[mid]]) != best >> 40:
+                continue
+            end = after[p] = after[mid]
+            after[mid] = -1
+            before[end] = p
+            for left in (before[p], p):
+                if left >= 0 and after[left] < n and (r := rank(word[left:after[after[left]]])) is not None:
+                    heappush(heap, r << 40 | left)
+        ids, p = [], 0
+        while p < n:
+            ids.append(self.ranks[word[p:after[p]]])
+            p = after[p]
+        return ids
+
     def learn(self, spans: list[bytes]) -> list:
         text, back, ids = [], [], []
         for lo in range(0, len(spans), BATCH_WORDS):

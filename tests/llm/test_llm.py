@@ -254,6 +254,22 @@ def test_bpe_and_counts(edge, texts, nothing):
     assert token_counts.token_counts(nothing).count() == 0
 
 
+def test_bpe_long_words(spark, monkeypatch):
+    """The heap gives what the query gives; no word is too long."""
+    coder = bpe.RankCoder(tokenizer_path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(4)
+    words = [bytes(rnd.choice(b"aaabethnis  ") for _ in range(rnd.randint(2, 60))) for _ in range(2000)] + [b"a" * n for n in range(2, 200)]
+    words = list(dict.fromkeys(words))
+    query, _ = coder.words(words)
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
+    heap, _ = coder.words(words)
+    assert heap == query
+    texts = ["a" * ((1 << 20) + 7), "日本" * 180_000 + "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.round_trip(docs).orderBy("doc_id").collect()
+    assert [r.decoded_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in texts] and all(r.n_tokens > 1000 for r in got)
+
+
 def test_topk(spark):
     rnd = np.random.default_rng(0)
     v = rnd.normal(0, 0.3, (300, 8)).astype("float32")
