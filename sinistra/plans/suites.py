@@ -203,37 +203,85 @@ def risk_segmentation(df: DataFrame, ref_year: int = 2025, seed: int = 42, n_ini
         "count", F.col("count").cast("bigint"))
 
 
-def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter: int = 100, tol: float = 1e-7) -> DataFrame:
-    """Slope and intercept of the q-th conditional quantile of y on x by
-    iteratively reweighted least squares: each iteration is one distributed
-    aggregate of five weighted sums over the (persisted) two-column data.
-    ``converged`` is false when ``max_iter`` ended it: slope and intercept
-    are then only near the minimum."""
+def _cut(polygon: list, w: list) -> list:
+    """The part of a convex polygon where the linear function with these values
+    at its corners is not above 0."""
+    out = []
+    for (p, wp), (r, wr) in zip(zip(polygon, w), zip(polygon[1:] + polygon[:1], w[1:] + w[:1])):
+        if wp <= 0:
+            out.append(p)
+        if (wp < 0 < wr) or (wr < 0 < wp):
+            t = wp / (wp - wr)
+            out.append((p[0] + t * (r[0] - p[0]), p[1] + t * (r[1] - p[1])))
+    return out
+
+
+def _centroid(polygon: list) -> tuple[float, float]:
+    (x0, y0), area, cx, cy = polygon[0], 0.0, 0.0, 0.0
+    for (x1, y1), (x2, y2) in zip(polygon[1:], polygon[2:]):
+        c = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+        area, cx, cy = area + c, cx + c * (x1 + x2 - 2 * x0), cy + c * (y1 + y2 - 2 * y0)
+    if not area:
+        return sum(p[0] for p in polygon) / len(polygon), sum(p[1] for p in polygon) / len(polygon)
+    return x0 + cx / area / 3, y0 + cy / area / 3
+
+
+def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter: int = 500, tol: float = 1e-11) -> DataFrame:
+    """Slope and intercept of the q-th conditional quantile of y on x, by
+    cutting planes on the loss in standardised units. The minimum lies in a
+    convex polygon; each iteration is one distributed aggregate of the loss and
+    its slopes at the centroid and at points around it over the (persisted)
+    two-column data, and each of them cuts the polygon. It ends when no point
+    left can lower the mean loss by more than ``tol`` of it (or 1e-14 of the
+    standard deviation of y); a fit that does not get there in ``max_iter``
+    iterations raises. No rows give nulls."""
     from pyspark import StorageLevel
 
     d = df.select(to_double(x).alias("x"), to_double(y).alias("y")).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        s = d.agg(F.count(F.lit(1)), F.sum("x"), F.sum("y"), F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y"))).first()
-        n, sx, sy, sxx, sxy = [float(v or 0) for v in s]
-        den = n * sxx - sx * sx
-        b = (n * sxy - sx * sy) / den if den else 0.0
-        a = (sy - b * sx) / n if n else 0.0
+        n, mx, my, sx, sy = d.agg(F.count(F.lit(1)), F.avg("x"), F.avg("y"), F.stddev_pop("x"), F.stddev_pop("y")).first()
+        a = b = None
         it, done = 0, False
-        for it in range(1, max_iter + 1):
-            r = F.col("y") - F.lit(a) - F.lit(b) * F.col("x")
-            w = F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(1e-6))
-            s = d.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("y")), F.sum(w * F.col("x") * F.col("x")),
-                      F.sum(w * F.col("x") * F.col("y"))).first()
-            sw, swx, swy, swxx, swxy = [float(v or 0) for v in s]
-            den = sw * swxx - swx * swx
-            if not den:
-                break
-            nb = (sw * swxy - swx * swy) / den
-            na = (swy - nb * swx) / sw
-            done = abs(nb - b) <= tol * max(1.0, abs(b)) and abs(na - a) <= tol * max(1.0, abs(a))
-            a, b = na, nb
-            if done:
-                break
+        if n:
+            sx, sy = sx or 1.0, sy or 1.0
+            u, v = (F.col("x") - F.lit(mx)) / F.lit(sx), (F.col("y") - F.lit(my)) / F.lit(sy)
+
+            def losses(points):
+                parts = []
+                for pa, pb in points:
+                    r = v - F.lit(pa) - F.lit(pb) * u
+                    psi = F.when(r > 0, F.lit(float(q))).when(r < 0, F.lit(float(q) - 1)).otherwise(F.lit(0.0))
+                    parts += [F.avg(psi * r), -F.avg(psi), -F.avg(psi * u)]
+                row = d.agg(*(p.alias(f"p{i}") for i, p in enumerate(parts))).first()
+                return [tuple(row[3 * i:3 * i + 3]) for i in range(len(points))]
+
+            side = 16.0
+            while not done:
+                polygon = [(-side, -side), (side, -side), (side, side), (-side, side)]
+                best, at, lower = float("inf"), (0.0, 0.0), 0.0
+                while not done:
+                    if it == max_iter:
+                        raise RuntimeError(f"quantile_regression: no minimum after {max_iter} iterations (loss {best}, at least {lower})")
+                    it += 1
+                    c = _centroid(polygon)
+                    some = polygon[::max(1, len(polygon) // 4)][:4]
+                    points = [c] + [((c[0] + p[0]) / 2, (c[1] + p[1]) / 2) for p in some]
+                    seen = losses(points)
+                    for p, (f, _, _) in zip(points, seen):
+                        if f < best:
+                            best, at = f, p
+                    slack = 1e-14 + 0.1 * tol * best
+                    for (pa, pb), (f, ga, gb) in zip(points, seen):
+                        plane = [f + ga * (va - pa) + gb * (vb - pb) for va, vb in polygon]
+                        lower = max(lower, min(min(plane), best))
+                        left = _cut(polygon, [w - best - slack for w in plane])
+                        if len(left) >= 3:
+                            polygon = left
+                    done = best - lower <= tol * best + 1e-14
+                if max(map(abs, at)) > 0.9 * side:  # the minimum may lie outside
+                    side, done = 100 * side, False
+            b = at[1] * sy / sx
+            a = my + sy * at[0] - b * mx
     finally:
         d.unpersist()
     return df.sparkSession.createDataFrame([(float(q), b, a, it, done)],

@@ -224,3 +224,22 @@ def test_two_writers_publish_one_table(spark):
     publish(fs, path, f"{base}/t.tmp-3", f"{base}/t")
     assert [f for f in os.listdir(base) if f.startswith("t")] == ["t"]
     assert spark.read.option("recursiveFileLookup", True).parquet(f"{base}/t").count() == 10
+
+
+@pytest.mark.parametrize("q", [0.5, 0.9])
+def test_quantile_regression_minimum(spark, q):
+    """The loss is that of the best line through two of the points."""
+    import random
+
+    from sinistra.plans.suites import quantile_regression
+
+    rnd = random.Random(2)
+    pts = [(float(rnd.randint(1, 9)), rnd.expovariate(1) * 4000 + 300 * rnd.random()) for _ in range(60)]
+    loss = lambda a, b: sum(max(q * r, (q - 1) * r) for x, y in pts for r in [y - a - b * x])
+    best = min(loss(y - s * x, s) for n, (x, y) in enumerate(pts) for x2, y2 in pts[:n] if x2 != x for s in [(y2 - y) / (x2 - x)])
+    d = spark.createDataFrame(pts, "x double, y double")
+    r = quantile_regression(d, "x", "y", q).first()
+    assert r.converged and abs(loss(r.intercept, r.slope) - best) <= 1e-9 * best
+    with pytest.raises(RuntimeError):
+        quantile_regression(d, "x", "y", q, max_iter=2)
+    assert quantile_regression(d.limit(0), "x", "y", q).first().slope is None
