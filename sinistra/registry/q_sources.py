@@ -107,18 +107,24 @@ def q_sink_csv(spark, sf):
 
 @register("sink_result_tables", None)
 def q_sink_tables(spark, sf):
+    """All tables read back, one below the other with the name of each."""
     from ..operators import profile, summary
 
     d = C(spark, sf)
     out = _out(spark, "results")
-    io.sink_result_tables({"group_statut": summary.group_stats(d, "statut_sinistre", TARGET),
-                           "describe": profile.describe_numeric(d, ["montant_charge_brut", "prime"])}, out, "csv")
-    return spark.read.option("header", True).csv(f"{out}/group_statut")
+    tables = {"group_statut": summary.group_stats(d, "statut_sinistre", TARGET),
+              "describe": profile.describe_numeric(d, profile.numeric_columns(d))}
+    io.sink_result_tables(tables, out, "csv")
+    first, *more = [spark.read.option("header", True).csv(f"{out}/{name}").withColumn("table", F.lit(name)) for name in tables]
+    for t in more:
+        first = first.unionByName(t, allowMissingColumns=True)
+    return first
 
 
 @register("sink_json", None)
 def q_sink_json(spark, sf):
     from ..operators import profile
 
-    p = io.sink_json(profile.describe_numeric(C(spark, sf), ["montant_charge_brut", "prime"]), _out(spark, "describe", ".json"))
+    d = C(spark, sf)
+    p = io.sink_json(profile.describe_numeric(d, profile.numeric_columns(d)), _out(spark, "describe", ".json"))
     return io.scan_dispatch(spark, p)

@@ -243,3 +243,14 @@ def test_quantile_regression_minimum(spark, q):
     with pytest.raises(RuntimeError):
         quantile_regression(d, "x", "y", q, max_iter=2)
     assert quantile_regression(d.limit(0), "x", "y", q).first().slope is None
+
+
+def test_sinks_hold_all_numeric_columns(spark, sf_dir):
+    from sinistra.registry import load_all
+    from sinistra.registry.q_aggregates import NUM
+
+    keys = load_all()
+    assert {r.variable for r in keys["sink_json"].build(spark, sf_dir).collect()} == set(NUM)
+    got = keys["sink_result_tables"].build(spark, sf_dir).collect()
+    assert {r.variable for r in got if r.table == "describe"} == set(NUM)
+    assert sum(r.table == "group_statut" for r in got) > 1
