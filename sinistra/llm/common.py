@@ -53,6 +53,19 @@ def doc_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB form of the unsigned crc32 of a text's UTF-8 bytes, folded half
+    a byte at a time (the low half first) over a table of 16 remainders."""
+    table = []
+    for r in range(16):
+        for _ in range(4):
+            r = r >> 1 ^ (0xEDB88320 if r & 1 else 0)
+        table.append(r)
+    halves = f"flatten(list_transform(range(1, 1 + 2 * strlen({text}), 2), lambda i: [instr('0123456789ABCDEF', hex({text})[i + 1]) - 1, instr('0123456789ABCDEF', hex({text})[i]) - 1]))"
+    step = f"xor(crc >> 4, ({table}::BIGINT[])[CAST(xor(crc, half) & 15 AS INTEGER) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {halves}::BIGINT[]), lambda crc, half: {step}))"
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train: Column, per_class: int) -> tuple[list[str], list[int], float]:
     """Texts and 0/1 labels to fit a classifier on, and the share of label 1
     among all training labels. At most ``per_class`` documents of each class,

@@ -6,7 +6,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, merkle, ngram_join, packing, pii, quality, token_counts, topk, toxicity
+from . import bpe, importance, line_dedup, manifest, merkle, ngram_join, packing, pii, piece_bpe, quality, token_counts, topk, toxicity
 from .common import doc_crc, read
 
 
@@ -87,5 +87,17 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (doc_crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_ngram_join, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op3_ngram_join": SQL_OP3, "op5_merkle": merkle.SQL, "op9_topk": SQL_OP9}
+def op11_piece_bpe(spark, sf_dir):
+    return piece_bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark, sf_dir):
+    return manifest.verified(read(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_ngram_join, op4_pii, op5_merkle, op6_quality, op7_byte_bpe, op8_token_counts, op9_topk, op10_toxicity, op11_piece_bpe, op12_manifest, op13_resampling)} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {"op3_ngram_join": SQL_OP3, "op5_merkle": merkle.SQL, "op9_topk": SQL_OP9, "op12_manifest": manifest.SQL, "op13_resampling": importance.SQL}
