@@ -89,15 +89,14 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi:
     as they are."""
     if strategy == "none" or not cols:
         return df
-    bounds = {r["variable"]: (r["lo"], r["hi"]) for r in column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi}).collect()}
-    counts = df.agg(*[F.count(to_double(c)).alias(c) for c in cols]).first()
+    found = column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi})
     sel = []
     for c in df.columns:
-        if c not in cols or counts[c] < min_values or c not in bounds:
+        if c not in cols or found[c].n < min_values:
             sel.append(F.col(f"`{c}`"))
             continue
         x = to_double(c)
-        lo, hi = ranks.lit_or_null(bounds[c][0]), ranks.lit_or_null(bounds[c][1])
+        lo, hi = (ranks.lit_or_null(found[c].quantile(q)) for q in ("lo", "hi"))
         v = clip_guarded(x, lo, hi) if strategy == "clip" else F.when((x >= lo) & (x <= hi), x)
         sel.append(v.alias(c))
     return df.select(*sel)
@@ -106,7 +105,7 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi:
 def impute_numeric(df: DataFrame, cols: Sequence[str], how: str = "median") -> DataFrame:
     """null -> median (exact) or mean of the column."""
     if how == "median":
-        fill = {r["variable"]: r["m"] for r in column_quantiles(df, cols, {"m": 0.5}).collect()}
+        fill = {c: f.quantile("m") for c, f in column_quantiles(df, cols, {"m": 0.5}).items()}
     else:
         row = df.agg(*[F.avg(to_double(c)).alias(c) for c in cols]).first()
         fill = {c: row[c] for c in cols}
@@ -116,15 +115,19 @@ def impute_numeric(df: DataFrame, cols: Sequence[str], how: str = "median") -> D
 
 def cleaning_audit(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi: float = 0.99) -> DataFrame:
     """Per column: rows below / above the clip bounds and nulls to impute."""
-    q = column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi})
-    long = df.select(*[to_double(c).alias(c) for c in cols]).unpivot([], list(cols), "variable", "_v")
-    j = long.join(F.broadcast(q), "variable")
-    return j.groupBy("variable").agg(
-        F.count(F.when(F.col("_v") < F.col("lo"), 1)).cast("bigint").alias("below"),
-        F.count(F.when(F.col("_v") > F.col("hi"), 1)).cast("bigint").alias("above"),
-        F.count(F.when(F.col("_v").isNull(), 1)).cast("bigint").alias("nulls"),
-        F.first("lo").alias("lower_bound"), F.first("hi").alias("upper_bound"),
-    )
+    found = column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi})
+    bound = {c: [ranks.lit_or_null(found[c].quantile(q)) for q in ("lo", "hi")] for c in cols}
+    aggs = []
+    for c in cols:
+        x, (lo, hi) = to_double(c), bound[c]
+        aggs.append(F.struct(
+            F.lit(c).alias("variable"),
+            F.count(F.when(x < lo, 1)).cast("bigint").alias("below"),
+            F.count(F.when(x > hi, 1)).cast("bigint").alias("above"),
+            F.count(F.when(x.isNull(), 1)).cast("bigint").alias("nulls"),
+            lo.alias("lower_bound"), hi.alias("upper_bound"),
+        ))
+    return df.agg(F.array(*aggs).alias("_all")).select(F.explode("_all").alias("_r")).select("_r.*")
 
 
 def outliers_iqr(df: DataFrame, col: str) -> DataFrame:
@@ -198,7 +201,7 @@ def outliers_multi(df: DataFrame, col: str) -> DataFrame:
 
 def clip_and_impute(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi: float = 0.99,
                     min_values: int = 5, impute: str = "median") -> DataFrame:
-    """``clip_outliers`` then ``impute_numeric`` from ONE rank pipeline: the
+    """``clip_outliers`` then ``impute_numeric`` from ONE selection: the
     clip bounds are quantiles of the raw column, and because clipping is
     monotone the median of the clipped column is the interpolation between
     the clipped order statistics around the middle position - exact, with no
@@ -206,31 +209,29 @@ def clip_and_impute(df: DataFrame, cols: Sequence[str], q_lo: float = 0.01, q_hi
     aggregate.)"""
     if not cols:
         return df
-    fences = {r["variable"]: r for r in column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi, "m": 0.5}, parts=True).collect()}
+    fences = column_quantiles(df, cols, {"lo": q_lo, "hi": q_hi, "m": 0.5})
     sel, clipped = [], {}
     for c in df.columns:
-        r = fences.get(c)
-        if c not in cols or r is None:
+        f = fences.get(c)
+        if c not in cols or f is None:
             sel.append(F.col(f"`{c}`"))
             continue
         x = as_double(df, c)
-        if r["n"] >= min_values:
-            x = clip_guarded(x, F.lit(r["lo"]), F.lit(r["hi"]))
+        if f.n >= min_values:
+            x = clip_guarded(x, F.lit(f.quantile("lo")), F.lit(f.quantile("hi")))
         clipped[c] = x
         sel.append(x.alias(c))
     out = df.select(*sel)
     if impute == "median":
         fill = {}
         for c in clipped:
-            r = fences[c]
-            if r["m__a"] is None:
-                fill[c] = None
-            elif r["n"] >= min_values:
-                a = min(max(r["m__a"], r["lo"]), r["hi"])
-                b = min(max(r["m__b"], r["lo"]), r["hi"])
-                fill[c] = a + r["m__f"] * (b - a)
+            f = fences[c]
+            if f.n >= min_values and f.n:
+                a, b, share = f.marks["m"]
+                a, b = (min(max(x, f.quantile("lo")), f.quantile("hi")) for x in (a, b))
+                fill[c] = a + share * (b - a)
             else:
-                fill[c] = r["m"]
+                fill[c] = f.quantile("m")
     else:
         row = out.agg(*[F.avg(c).alias(c) for c in clipped]).first()
         fill = {c: row[c] for c in clipped}

@@ -2,8 +2,7 @@
 
 Design rule: moment statistics of all columns come from ONE wide aggregate
 (no data expansion), reshaped with ``stack`` on the one-row result; exact
-quantiles of all columns come from one unpivot + the distributed rank table
-keyed by column name."""
+quantiles of all columns come from bracket selection over all of them."""
 
 from __future__ import annotations
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
 from ..functions.stats import kurt_g2, skew_g1
-from . import ranks
+from . import ranks, selection
 from .summary import join_keys
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
@@ -36,48 +35,39 @@ def _stacked(one: DataFrame, cols: Sequence[str], stats: Sequence[str], var: str
     return one.select(F.explode(F.array(*parts)).alias("_r")).select("_r.*")
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float], var: str = "variable",
-                     parts: bool = False) -> DataFrame:
-    """Exact quantiles of many columns: one unpivot (keyed by the column's
-    position - an int hashes, shuffles and sorts cheaper than its name), one
-    distributed rank table."""
-    long = df.select(F.posexplode(F.array(*[to_double(c) for c in cols])).alias("_vi", "_value"))
-    q = ranks.exact_quantiles(long, "_value", list(probs.values()), ["_vi"], names=list(probs.keys()), parts=parts)
-    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_vi") + 1)
-    return q.select(name.alias(var), *[c for c in q.columns if c != "_vi"])
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> dict[str, selection.Selected]:
+    """Exact quantiles of many columns by bracket selection over all of them at
+    once: column -> ``Selected`` (quantiles, order statistics, count)."""
+    marks = [selection.Quantile(name, p) for name, p in probs.items()]
+    typed = df.select(*[to_double(c).alias(c) for c in cols])
+    return {s.value: s for s in selection.select(typed, list(cols), (), marks, moments=False)}
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, full: bool = True) -> DataFrame:
     """Per numeric column: count, mean, std, min, q25, median, q75, max and
     (``full``) missing count/percent, skewness, kurtosis, cv, q05, q95, iqr.
 
-    One unpivot keyed by column position feeds one rank table and one final
-    aggregate for moments and quantiles together; the row count comes from a
-    scan that reads no column."""
+    Two scans over all columns together (bracket selection); the row count
+    comes from a scan that reads no column."""
     cols = list(cols) if cols else numeric_columns(df)
-    long = df.select(F.posexplode(F.array(*[to_double(c) for c in cols])).alias("_vi", "_value")).where(
-        F.col("_value").isNotNull())
-    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-    measures = ["count", "mean", "std", "min", "max"]
+    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75} | ({"q05": 0.05, "q95": 0.95} if full else {})
+    marks = [selection.Quantile(name, p) for name, p in probs.items()]
+    typed = df.select(*[to_double(c).alias(c) for c in cols])
+    found = selection.select(typed, cols, (), marks)
+    rows = []
+    total = df.count() if full else 0
+    for s in found:
+        q = {name: s.quantile(name) for name in probs}
+        row = [s.value, s.n, s.mean, s.measure("std"), s.low, q["q25"], q["median"], q["q75"], s.high]
+        if full:
+            std = s.measure("std")
+            row += [total - s.n, (total - s.n) * 100.0 / total if total else None, s.measure("skew"), s.measure("kurt"),
+                    std / s.mean if std is not None and s.mean else None, q["q05"], q["q95"], q["q75"] - q["q25"] if s.n else None]
+        rows.append(tuple(row))
+    schema = "variable string, count bigint, mean double, std double, min double, q25 double, median double, q75 double, max double"
     if full:
-        probs.update({"q05": 0.05, "q95": 0.95})
-        measures += ["skew", "kurt"]
-    s = ranks.group_summary(long, "_value", ["_vi"], measures, probs)
-    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_vi") + 1)
-    spine = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("_vi"))
-    out = spine.join(s, "_vi", "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
-    sel = [name.alias("variable"), F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "q25", "median", "q75", "max"]
-    if full:
-        rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-        out = out.crossJoin(F.broadcast(rows))
-        sel += [
-            (F.col("_rows") - F.col("count")).cast("bigint").alias("missing_count"),
-            F.try_divide((F.col("_rows") - F.col("count")) * 100.0, F.col("_rows")).alias("missing_percent"),
-            F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"),
-            F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean"))).alias("cv"),
-            "q05", "q95", (F.col("q75") - F.col("q25")).alias("iqr"),
-        ]
-    return out.select(*sel)
+        schema += ", missing_count bigint, missing_percent double, skewness double, kurtosis double, cv double, q05 double, q95 double, iqr double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def target_distribution(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:

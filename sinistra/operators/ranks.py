@@ -1,8 +1,9 @@
-"""Distributed order statistics: cumulative counts, exact quantiles, ranks.
+"""Distributed order statistics: ranks, exact quantiles, group summaries.
 
-Nothing here uses an unpartitioned window or Spark's exact ``percentile``
-(which keeps every distinct value of a group in one aggregation buffer). The
-plan is the same everywhere:
+Quantiles, trimmed means and group summaries come from bracket selection
+(:mod:`selection`), rank tests from the rank table below. Nothing here uses an
+unpartitioned window or Spark's exact ``percentile`` (which keeps every distinct
+value of a group in one aggregation buffer). The rank table:
 
 1. ``groupBy(keys, value).count()`` - map-side combined, so a value that holds
    a third of the rows shrinks to one row per task before the shuffle;
@@ -16,8 +17,7 @@ plan is the same everywhere:
 
 The result has one row per (keys, value): ``cnt`` (rows with that value),
 ``before`` (rows of the same keys with a smaller value) and ``n`` (rows of the
-keys). Quantiles, average ranks and trimmed means are then plain expressions
-and aggregates over it.
+keys). Average ranks are then plain expressions over it.
 """
 
 from __future__ import annotations
@@ -28,23 +28,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BUCKETS = 4096
-# Above this many non-null input rows the value range is split into buckets;
-# at or below it one sorted window per key group is proven small enough.
-SINGLE_SORT_MAX_ROWS = 1_000_000
-# Plan-time size estimate (the statistic Spark's broadcast threshold uses)
-# under which no counting job is needed to take the single-sort path.
-SINGLE_SORT_MAX_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (an upper bound for scans, filters
-    and projections); None when unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
+from . import selection
 
+DEFAULT_MAX_BUCKETS = 4096
 
 def _n_buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
@@ -93,11 +79,9 @@ def cumulative_counts(
     ``by`` splits the counts of a value by a second column (the sample of a
     rank test) without changing the ranking, which stays over all levels.
 
-    A first small job measures the largest key group. When it holds at most
-    ``SINGLE_SORT_MAX_ROWS`` rows (a size check, like a broadcast threshold)
-    each key group is one sorted window partition; beyond it the value range
-    is cut into buckets at approximate quantile edges so no task sorts more
-    than its share. ``buckets`` forces the bucketed path.
+    The value range is cut into buckets (their number follows the shuffle
+    partitions unless given) at approximate quantile edges, so no task sorts
+    more than its share of a group.
     """
     keys = list(keys)
     grp = keys + [value] + ([by] if by else [])
@@ -105,21 +89,6 @@ def cumulative_counts(
     nb = _n_buckets(df, buckets)
     probs = [i / nb for i in range(1, nb)]
     nn = df.where(F.col(value).isNotNull())
-    small = False
-    if not buckets:
-        est = estimated_bytes(nn.select(*grp))
-        small = est is not None and est <= SINGLE_SORT_MAX_BYTES
-        if not small:
-            largest = nn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-            small = largest <= SINGLE_SORT_MAX_ROWS
-    if small:
-        w = Window.partitionBy(*keys).orderBy(value)
-        incl = F.sum("cnt").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        t = F.sum("cnt").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        full = w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        n = F.sum("cnt").over(full)
-        s1 = F.sum(F.col("cnt") * F.col(value)).over(full)
-        return vc.select(*grp, "cnt", t.alias("t"), (incl - t).alias("before"), n.alias("n"), s1.alias("s1"))
     edges = nn.agg(F.percentile_approx(value, probs, 10000)).first()[0]
     edges = sorted({float(e) for e in (edges or []) if e is not None})
     if edges:
@@ -155,6 +124,12 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("t") + F.lit(1)) / 2.0
 
 
+def _frame(df: DataFrame, keys: Sequence[str], rows: list[tuple], cols: str) -> DataFrame:
+    """A small result as a table: the keys with their types, then ``cols``."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, cols]))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -165,13 +140,34 @@ def exact_quantiles(
     parts: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles (pandas default, DuckDB ``quantile_cont``)
-    per group of ``keys``; one row per group, one column per probability.
-    With ``parts`` also the two order statistics and the fraction behind
-    each quantile (``<name>__a``, ``<name>__b``, ``<name>__f``) and the
+    per group of ``keys``; one row per group with values, one column per
+    probability. With ``parts`` also the two order statistics and the fraction
+    behind each quantile (``<name>__a``, ``<name>__b``, ``<name>__f``) and the
     group's non-null count ``n``: a monotone map of the values (a clip) maps
-    the order statistics, so derived quantiles stay exact."""
+    the order statistics, so derived quantiles stay exact. ``buckets`` asks for
+    the rank table with that many value ranges instead."""
     keys = list(keys)
     names = list(names) if names else [f"q{round(p * 100, 6):g}" for p in probs]
+    if buckets:
+        return _ranked_quantiles(df, value, probs, keys, names, parts, buckets)
+    marks = [selection.Quantile(name, float(p)) for name, p in zip(names, probs)]
+    found = selection.select(df, [value], keys, marks, moments=False)
+    if found is None:
+        return _ranked_quantiles(df, value, probs, keys, names, parts)
+    cols = [f"`{n}` double" for n in names]
+    if parts:
+        cols += ["n bigint"] + [f"`{n}__{x}` double" for n in names for x in "abf"]
+    rows = []
+    for s in found:
+        if s.n or not keys:
+            more = [s.n] + [x for n in names for x in s.marks.get(n, (None, None, None))] if parts else []
+            rows.append((*s.keys, *[s.quantile(n) for n in names], *more))
+    return _frame(df, keys, rows, ", ".join(cols))
+
+
+def _ranked_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: list[str], names: list[str], parts: bool = False,
+                      buckets: int | None = None) -> DataFrame:
+    """``exact_quantiles`` from the rank table, for very many groups."""
     cc = cumulative_counts(df, value, keys, buckets=buckets)
     hit = []
     aggs = []
@@ -207,6 +203,14 @@ def exact_quantiles(
     )
 
 
+def trim_counts(lower: float, upper: float, min_n: int):
+    """Sizes of the sorted head that a trimmed mean leaves out and ends at:
+    positions [int(lower*n), max(int(upper*n), 1)); all rows below ``min_n``."""
+    start = lambda n: math.floor(n * lower) if n >= min_n else 0
+    end = lambda n: max(math.floor(n * upper), 1) if n >= min_n else n
+    return start, end
+
+
 def trimmed_means(
     df: DataFrame,
     value: str,
@@ -215,32 +219,18 @@ def trimmed_means(
     upper: float = 0.95,
     min_n: int = 20,
     name: str = "trimmed_mean",
-    buckets: int | None = None,
 ) -> DataFrame:
     """Mean of sorted positions [int(lower*n), max(int(upper*n), 1)) per group;
     plain mean below ``min_n`` rows."""
-    keys = list(keys)
-    cc = cumulative_counts(df, value, keys, buckets=buckets)
-    n = F.col("n")
-    a = F.when(n >= min_n, F.floor(n * lower)).otherwise(F.lit(0))
-    b = F.when(n >= min_n, F.greatest(F.floor(n * upper), F.lit(1))).otherwise(n)
-    ov = F.greatest(
-        F.least(b, F.col("before") + F.col("cnt")) - F.greatest(a, F.col("before")), F.lit(0)
-    )
-    return (
-        cc.withColumn("_w", ov)
-        .groupBy(*keys)
-        .agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias(name))
-    )
+    return group_summary(df, value, keys, (), {}, name, trim=(lower, upper, min_n))
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list:
     """Exact global quantiles as Python floats (a fence of ``len(probs)``
     values, computed by the distributed plan above and fetched once)."""
-    row = exact_quantiles(df, value, list(probs), names=[f"_q{i}" for i in range(len(probs))]).first()
-    if row is None:
-        return [None] * len(probs)
-    return [row[f"_q{i}"] for i in range(len(probs))]
+    marks = [selection.Quantile(f"_q{i}", float(p)) for i, p in enumerate(probs)]
+    (found,) = selection.select(df, [value], (), marks, moments=False)
+    return [found.quantile(m.name) for m in marks]
 
 
 def lit_or_null(v) -> Column:
@@ -251,16 +241,39 @@ MOMENT_MEASURES = ("count", "mean", "std", "var", "min", "max", "sum", "skew", "
 
 
 def group_summary(df: DataFrame, value: str, keys: Sequence[str] = (), measures: Sequence[str] = ("count", "mean", "std"),
-                  quantiles: dict | None = None, trimmed: str | None = None, mode: str | None = None,
-                  trim: tuple[float, float, int] = (0.05, 0.95, 20), buckets: int | None = None) -> DataFrame:
-    """Moments, exact quantiles, trimmed mean and mode of ``value`` per key
-    group from ONE distributed rank table and ONE final aggregate.
+                  quantiles: dict | None = None, trimmed: str | None = None,
+                  trim: tuple[float, float, int] = (0.05, 0.95, 20)) -> DataFrame:
+    """Moments, exact quantiles and trimmed mean of ``value`` per key group
+    with values, by bracket selection (two scans, see :mod:`selection`)."""
+    keys = list(keys)
+    marks = [selection.Quantile(name, float(p)) for name, p in (quantiles or {}).items()]
+    start, end = trim_counts(*trim)
+    if trimmed:
+        marks += [selection.SumOfSmallest("_head", trim[0], start), selection.SumOfSmallest("_upto", trim[1], end)]
+    found = selection.select(df, [value], keys, marks, moments=any(m not in ("count", "sum", "min", "max") for m in measures))
+    if found is None:
+        return _ranked_summary(df, value, keys, measures, quantiles, trimmed, trim)
+    rows = []
+    for s in found:
+        if s.n or not keys:
+            row = [s.measure(m) for m in measures] + [s.quantile(q) for q in (quantiles or {})]
+            if trimmed:
+                many = end(s.n) - start(s.n)
+                row.append((s.marks["_upto"] - s.marks["_head"]) / many if s.n and many > 0 else None)
+            rows.append((*s.keys, *row))
+    cols = [f"`{m}` {'bigint' if m == 'count' else 'double'}" for m in measures] + [f"`{q}` double" for q in (quantiles or {})]
+    return _frame(df, keys, rows, ", ".join(cols + ([f"`{trimmed}` double"] if trimmed else [])))
+
+
+def _ranked_summary(df: DataFrame, value: str, keys: list[str], measures: Sequence[str], quantiles: dict | None,
+                    trimmed: str | None, trim: tuple[float, float, int]) -> DataFrame:
+    """``group_summary`` from one rank table and one final aggregate, for very
+    many groups.
 
     Moments are two-pass over the (value, count) rows: the per-key mean comes
     from the window stage, central sums from the final aggregate (exact
     variance, no cancellation)."""
-    keys = list(keys)
-    cc = cumulative_counts(df, value, keys, buckets=buckets)
+    cc = cumulative_counts(df, value, keys)
     v, c = F.col(value), F.col("cnt")
     n = F.col("n")
     mean = F.col("s1") / n
@@ -284,8 +297,6 @@ def group_summary(df: DataFrame, value: str, keys: Sequence[str] = (), measures:
         b = F.when(n >= min_n, F.greatest(F.floor(n * upper), F.lit(1))).otherwise(n)
         ov = F.greatest(F.least(b, F.col("before") + c) - F.greatest(a, F.col("before")), F.lit(0))
         aggs += [F.sum(v * ov).alias("_tw"), F.sum(ov).alias("_tn")]
-    if mode:
-        aggs.append(F.max(F.struct(c.alias("_c"), (-v).alias("_nv"))).alias("_mode"))
     r = cc.groupBy(*keys).agg(*aggs)
     nn = F.col("_n").cast("double")
     m2, m3, m4 = F.col("_m2"), F.col("_m3"), F.col("_m4")
@@ -310,6 +321,4 @@ def group_summary(df: DataFrame, value: str, keys: Sequence[str] = (), measures:
     out += [(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name) for name, i in picks]
     if trimmed:
         out.append(F.try_divide(F.col("_tw"), F.col("_tn")).alias(trimmed))
-    if mode:
-        out.append((-F.col("_mode._nv")).alias(mode))
     return r.select(*out)

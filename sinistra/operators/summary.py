@@ -1,6 +1,5 @@
-"""Grouped and global summaries: one ``groupBy`` for the moment statistics,
-the distributed exact quantiles of :mod:`ranks` for the order statistics,
-joined on the (small) per-group result."""
+"""Grouped and global summaries: moments and exact order statistics of all
+groups from two scans (:mod:`selection`)."""
 
 from __future__ import annotations
 
@@ -57,10 +56,11 @@ def summarize(
     (smallest value among the most frequent)."""
     keys = list(keys)
     if not extra and all(m in ranks.MOMENT_MEASURES for m in measures):
-        # one pipeline: rank table + one aggregate for moments and order statistics
+        # moments and order statistics of all groups from two scans
         d = df.select(*keys, F.col(value).try_cast("double").alias(value))
         d = d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-        return ranks.group_summary(d, value, keys, measures, quantiles, trimmed, mode)
+        out = ranks.group_summary(d, value, keys, measures, quantiles, trimmed)
+        return join_keys(out, _modes(d, value, keys, mode), keys) if mode else out
     aggs = [MEASURES[m](value).alias(m) for m in measures] + list(extra)
     base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
     if not aggs:
@@ -71,12 +71,18 @@ def summarize(
     if trimmed:
         base = join_keys(base, ranks.trimmed_means(df, value, keys, name=trimmed), keys)
     if mode:
-        vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-        m = vc.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col(value)).alias("_nv"))).alias("_m"))
-        base = join_keys(base, m.select(*keys, (-F.col("_m._nv")).alias(mode)), keys)
+        base = join_keys(base, _modes(df, value, keys, mode), keys)
     return base
 
 
+def _modes(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Smallest of the most frequent values per group: value counts, combined
+    before the shuffle."""
+    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    m = vc.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col(value)).alias("_nv"))).alias("_m"))
+    return m.select(*keys, (-F.col("_m._nv")).alias(name))
+
+
 def with_share(res: DataFrame, count_col: str = "count", name: str = "percentage",
                digits: int | None = 1, total: DataFrame | None = None) -> DataFrame:
     """Add count / total in percent. The total is a one-row aggregate joined by
