@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casting import as_double, to_double
 from . import ranks
+from .levels import split_join
 from .profile import column_quantiles
 
 
@@ -77,7 +78,7 @@ def winsorize(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99, keys:
         a, b = ranks.quantile_values(df, col, [lo, hi])
         return df.withColumn(col, clip_guarded(F.col(col), ranks.lit_or_null(a), ranks.lit_or_null(b)))
     f = ranks.exact_quantiles(df, col, [lo, hi], keys, names=["_wlo", "_whi"])
-    j = df.join(f, list(keys), "left")
+    j = split_join(df, f, keys[0]) if len(keys) == 1 else df.join(f, list(keys), "left")
     return j.withColumn(col, clip_guarded(F.col(col), F.col("_wlo"), F.col("_whi"))).drop("_wlo", "_whi")
 
 

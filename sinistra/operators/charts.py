@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.casting import to_double
 from . import ranks, summary
 from .binning import cut_equal_width, winsorize
+from .levels import split_join
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int | None = None, log: bool = False) -> DataFrame:
@@ -36,7 +37,7 @@ def boxplot_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     1.5 IQR of the box)."""
     d = df.select(F.col(group), to_double(value).alias("_x")).where(F.col(group).isNotNull() & F.col("_x").isNotNull())
     q = ranks.exact_quantiles(d, "_x", [0.25, 0.5, 0.75], [group], names=["q1", "median", "q3"])
-    j = d.join(q, group)
+    j = split_join(d, q, group, "inner")
     iqr = F.col("q3") - F.col("q1")
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),

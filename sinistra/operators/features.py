@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
+from .levels import split_join
 
 
 def fit_label_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -35,11 +36,12 @@ def fit_label_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_label_encoder(df: DataFrame, state: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:
-    """``<c>_encoded`` per column; unseen levels -> -1, null -> null."""
+    """``<c>_encoded`` per column; unseen levels -> -1, null -> null. The rows
+    are not exchanged on a frequent level (see :func:`levels.split_join`)."""
     out = df
     for c in cols:
-        m = state.where(F.col("variable") == c).select(F.col("level").alias(f"_l_{c}"), F.col("code").alias(f"{c}{suffix}"))
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_l_{c}"), "left").drop(f"_l_{c}")
+        m = state.where(F.col("variable") == c).select(F.col("level").alias("_level"), F.col("code").alias(f"{c}{suffix}"))
+        out = split_join(out.withColumn("_level", F.col(c).cast("string")), m, "_level").drop("_level")
         out = out.withColumn(f"{c}{suffix}", F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"{c}{suffix}"), F.lit(-1))))
     return out
 
@@ -49,15 +51,18 @@ def encode_label(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def encode_onehot(df: DataFrame, col: str, levels: Sequence[str] | None = None, min_freq: int | None = None,
-                  drop_original: bool = False) -> DataFrame:
-    """One 0/1 column ``<col>_<level>`` per level (levels fitted from the data
-    when not given: the distinct-level list is schema, kept small by
-    ``min_freq``); unknown levels get all zeros."""
+                  drop_original: bool = False, max_levels: int = 1000) -> DataFrame:
+    """One 0/1 column ``<col>_<level>`` per level; unknown levels get all zeros.
+    Levels that are not given are fitted: those with at least ``min_freq``
+    rows. They become the schema, so more than ``max_levels`` raise ValueError."""
     if levels is None:
         vc = df.groupBy(col).count().where(F.col(col).isNotNull())
         if min_freq:
             vc = vc.where(F.col("count") >= min_freq)
-        levels = [r[0] for r in vc.orderBy(col).select(F.col(col).cast("string")).collect()]
+        found = vc.select(F.col(col).cast("string").alias("level")).limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise ValueError(f"{col} has more than {max_levels} levels: give levels or min_freq")
+        levels = sorted(r.level for r in found)
     x = F.col(col).cast("string")
     out = df.select("*", *[F.when(x == lv, 1).otherwise(0).cast("int").alias(f"{col}_{lv}") for lv in levels])
     return out.drop(col) if drop_original else out

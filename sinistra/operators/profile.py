@@ -165,8 +165,8 @@ def _top_values(vc: DataFrame, top: int) -> DataFrame:
         best = best.select("variable", F.lit(i).alias("_rn"), F.col("_m.v").alias("_v"), (-F.col("_m.nc")).alias("_c"))
         picks = best if picks is None else picks.unionByName(best)
         if i + 1 < top:
-            rest = rest.join(best.select("variable", F.col("_v").alias("_w")), "variable", "left").where(
-                F.col("_w").isNull() | (F.col("_v") != F.col("_w"))).drop("_w")
+            # one row a variable: a map, not an exchange of the counts by variable
+            rest = rest.join(F.broadcast(best.select("variable", "_v")), ["variable", "_v"], "left_anti")
     return picks.groupBy("variable").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v", "_c"))),

@@ -65,6 +65,18 @@ def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(r, cond).drop("_r_b", *[f"_r_{k}" for k in keys])
 
 
+def with_value_range(counts: DataFrame, df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Adds ``_b``, the range of ``value``: ranges end at approximate quantiles
+    of ``df``, a bounded list fetched once and inlined."""
+    nb = _n_buckets(df, buckets)
+    edges = df.agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], 10000)).first()[0]
+    edges = sorted({float(e) for e in (edges or []) if e is not None})
+    if not edges:
+        return counts.withColumn("_b", F.lit(0))
+    arr = F.array(*[F.lit(e) for e in edges])
+    return counts.withColumn("_edges", arr).withColumn("_b", _bucket_expr(value, "_edges", len(edges))).drop("_edges")
+
+
 def cumulative_counts(
     df: DataFrame,
     value: str,
@@ -85,17 +97,9 @@ def cumulative_counts(
     """
     keys = list(keys)
     grp = keys + [value] + ([by] if by else [])
-    vc = df.where(F.col(value).isNotNull()).groupBy(*grp).agg(F.count(F.lit(1)).alias("cnt"))
-    nb = _n_buckets(df, buckets)
-    probs = [i / nb for i in range(1, nb)]
     nn = df.where(F.col(value).isNotNull())
-    edges = nn.agg(F.percentile_approx(value, probs, 10000)).first()[0]
-    edges = sorted({float(e) for e in (edges or []) if e is not None})
-    if edges:
-        arr = F.array(*[F.lit(e) for e in edges])
-        vb = vc.withColumn("_edges", arr).withColumn("_b", _bucket_expr(value, "_edges", len(edges))).drop("_edges")
-    else:
-        vb = vc.withColumn("_b", F.lit(0))
+    vc = nn.groupBy(*grp).agg(F.count(F.lit(1)).alias("cnt"))
+    vb = with_value_range(vc, nn, value, buckets)
     bt = vb.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bt"), F.sum(F.col("cnt") * F.col(value)).alias("_bs"))
     wk = Window.partitionBy(*keys).orderBy("_b")
     bt = bt.select(

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
 from ..functions.special import chi2_pvalue, f_pvalue, mw_exact_pvalue, norm_pvalue, t_pvalue
 from ..functions.stats import kurt_g2, pair_corr, significance_label, skew_g1
 from . import ranks
+from .levels import split_join
+from .pairs import cliffs_delta_pairs, dunn_posthoc  # noqa: F401
 
 
 def _clean(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
@@ -36,7 +38,8 @@ def rank_sums(df: DataFrame, group: str, value: str, min_n: int = 3,
         F.col(value).isNotNull() & F.col(group).isNotNull())
     if min_n > 1:
         sizes = d.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_n"))
-        d = d.join(sizes.where(F.col("_n") >= min_n).select(*keys, group), [*keys, group], "left_semi")
+        few = sizes.where(F.col("_n") < min_n).select(*keys, group)
+        d = d.join(few, [*keys, group], "left_anti") if keys else split_join(d, few, group, "left_anti")
     cc = ranks.cumulative_counts(d, value, keys=keys, by=group)
     t = F.col("t").cast("double")
     return cc.groupBy(*keys, group).agg(
@@ -141,59 +144,6 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def cliffs_delta_pairs(df: DataFrame, group: str, value: str,
-                       pairs: Sequence[tuple[str, str]], min_n: int = 3) -> DataFrame:
-    """Cliff's delta of level a against level b for each listed pair, by its
-    definition (#{a > b} - #{a < b}) / (n_a n_b) = 2 U_a / (n_a n_b) - 1.
-
-    Each row is copied once per pair its level belongs to (k-1 copies for all
-    pairs of k levels, 2 for adjacent pairs), then ranked per pair with the
-    distributed rank table; no pair of rows is ever formed."""
-    spark = df.sparkSession
-    pdf = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(pairs)],
-                                "pair int, level_a string, level_b string")
-    d = _clean(df, value, group).withColumn("_g", F.col(group).cast("string"))
-    x = d.join(F.broadcast(pdf), (F.col("_g") == F.col("level_a")) | (F.col("_g") == F.col("level_b")))
-    x = x.withColumn("_is_a", F.col("_g") == F.col("level_a"))
-    rs = rank_sums(x, "_is_a", value, min_n=1, keys=["pair", "level_a", "level_b"])
-    one = rs.groupBy("pair", "level_a", "level_b").agg(
-        F.sum(F.when(F.col("_is_a"), F.col("n_g"))).cast("double").alias("na"),
-        F.sum(F.when(~F.col("_is_a"), F.col("n_g"))).cast("double").alias("nb"),
-        F.sum(F.when(F.col("_is_a"), F.col("R"))).alias("Ra"),
-    )
-    na, nb = F.col("na"), F.col("nb")
-    u = F.col("Ra") - na * (na + 1) / 2
-    ok = (na >= min_n) & (nb >= min_n)
-    return one.select(
-        "pair", "level_a", "level_b",
-        na.cast("bigint").alias("n_a"), nb.cast("bigint").alias("n_b"),
-        F.when(ok, F.try_divide(2 * u, na * nb) - 1).alias("delta"),
-    )
-
-
-def dunn_posthoc(df: DataFrame, group: str, value: str, min_n: int = 3) -> DataFrame:
-    """Pairwise z from the Kruskal rank means, two-sided normal p and Holm
-    adjusted p. Works on the k-row rank-sum table (pairs of groups, not of
-    rows)."""
-    rs = rank_sums(df, group, value, min_n)
-    tot = rs.agg(F.sum("n_g").cast("double").alias("N"), F.sum("tie").alias("ties"))
-    a = rs.select(F.col(group).cast("string").alias("level_a"), F.col("n_g").alias("na"), (F.col("R") / F.col("n_g")).alias("ra"))
-    b = rs.select(F.col(group).cast("string").alias("level_b"), F.col("n_g").alias("nb"), (F.col("R") / F.col("n_g")).alias("rb"))
-    pr = a.join(b, F.col("level_a") < F.col("level_b")).crossJoin(F.broadcast(tot))
-    N = F.col("N")
-    var = (N * (N + 1) / 12 - F.col("ties") / (12 * (N - 1))) * (1 / F.col("na") + 1 / F.col("nb"))
-    z = F.try_divide(F.col("ra") - F.col("rb"), F.sqrt(var))
-    pr = pr.select("level_a", "level_b", z.alias("z")).withColumn("p_value", norm_pvalue("z"))
-    # Holm: the m pair rows (m = k(k-1)/2 result rows) ordered by p
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    w = Window.orderBy("p_value", "level_a", "level_b")
-    adj = F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col("p_value"))
-    pr = pr.withColumn("_adj", adj)
-    return pr.withColumn(
-        "p_holm", F.max("_adj").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_adj")
-
-
 def effect_label(d) -> Column:
     a = F.abs(F.col(d) if isinstance(d, str) else d)
     # Cliff's delta magnitude thresholds (negligible/small/medium/large).

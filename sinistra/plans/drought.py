@@ -53,7 +53,7 @@ def level_stats(d: DataFrame, y: str, level: str, levels: Sequence[str] | None,
     return j.withColumnRenamed("_lv", level).withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
 
 
-def kruskal_gated(d: DataFrame, group: str, y: str, levels: Sequence[str] | None = None, with_p: bool = True) -> DataFrame:
+def kruskal_gated(d: DataFrame, group: str, y: str, levels: Sequence[str] | None = None) -> DataFrame:
     """Kruskal H only when there are >= 2 groups and every group (every level
     of ``levels``, empty ones included) has >= 3 rows; else null."""
     k = tests.kruskal_wallis(d, group, y, min_n=1)
@@ -62,9 +62,7 @@ def kruskal_gated(d: DataFrame, group: str, y: str, levels: Sequence[str] | None
     ok = (F.col("_mn") >= 3) & (F.col("_k") >= 2)
     if levels is not None:
         ok = ok & (F.col("_k") == len(levels))
-    out = k.crossJoin(gate).select(F.when(ok, F.col("statistic")).alias("statistic"),
-                                   F.when(ok, F.col("p_value")).alias("p_value"))
-    return out if with_p else out.drop("p_value")
+    return k.crossJoin(gate).select(F.when(ok, F.col("statistic")).alias("statistic"), F.when(ok, F.col("p_value")).alias("p_value"))
 
 
 def _pos(df: DataFrame, *cols: str) -> DataFrame:
@@ -79,9 +77,8 @@ def _corr_row(d: DataFrame, x: str, y: str = TARGET, name: str = "correlation")
     return d.agg(pair_corr(F.col(x), F.col(y)).alias(name))
 
 
-def _spearman(d: DataFrame, x: str, y: str = TARGET, with_p: bool = True) -> DataFrame:
-    s = tests.spearman(d, x, y).select("rho", "p_value")
-    return s if with_p else s.drop("p_value")
+def _spearman(d: DataFrame, x: str, y: str = TARGET) -> DataFrame:
+    return tests.spearman(d, x, y).select("rho", "p_value")
 
 
 def _cat_analysis(d: DataFrame, cat: Column, labels, y: str = TARGET, quantiles=TAIL) -> tuple[DataFrame, DataFrame]:
@@ -91,21 +88,21 @@ def _cat_analysis(d: DataFrame, cat: Column, labels, y: str = TARGET, quantiles=
 
 # ---- climate ----------------------------------------------------------------
 
-def climate_precip(df: DataFrame, threshold: float = 20.0, with_p: bool = True) -> DataFrame:
+def climate_precip(df: DataFrame, threshold: float = 20.0) -> DataFrame:
     d = _pos(df, "weather_precip_mean", TARGET)
     x = F.col("weather_precip_mean")
     d, st = _cat_analysis(d, cut_expr(x, [float("-inf"), threshold, 2 * threshold, float("inf")], PRECIP_LABELS), PRECIP_LABELS)
-    k = kruskal_gated(d, "_cat", TARGET, PRECIP_LABELS, with_p)
+    k = kruskal_gated(d, "_cat", TARGET, PRECIP_LABELS)
     return (tidy(st, "by_category", "_cat", ["count", "mean", "median", "std", "p90", "p95"])
             .unionByName(tidy(k, "kruskal", None, k.columns))
             .unionByName(tidy(_corr_row(d, "weather_precip_mean"), "pearson", None, ["correlation"])))
 
 
-def climate_temp(df: DataFrame, threshold: float = 25.0, with_p: bool = True) -> DataFrame:
+def climate_temp(df: DataFrame, threshold: float = 25.0) -> DataFrame:
     d = _pos(df, "weather_temp_mean", TARGET)
     x = F.col("weather_temp_mean")
     d, st = _cat_analysis(d, cut_expr(x, [float("-inf"), threshold - 5, threshold, float("inf")], TEMP_LABELS), TEMP_LABELS)
-    k = kruskal_gated(d, "_cat", TARGET, TEMP_LABELS, with_p)
+    k = kruskal_gated(d, "_cat", TARGET, TEMP_LABELS)
     return (tidy(st, "by_category", "_cat", ["count", "mean", "median", "std", "p90", "p95"])
             .unionByName(tidy(k, "kruskal", None, k.columns))
             .unionByName(tidy(_corr_row(d, "weather_temp_mean"), "pearson", None, ["correlation"])))
@@ -118,12 +115,12 @@ def drought_flags(df: DataFrame, p_t: float = 20.0, t_t: float = 25.0) -> DataFr
         "drought_intensity", F.when(p.isNotNull() & t.isNotNull(), inten))
 
 
-def drought_conditions(df: DataFrame, p_t: float = 20.0, t_t: float = 25.0, with_p: bool = True) -> DataFrame:
+def drought_conditions(df: DataFrame, p_t: float = 20.0, t_t: float = 25.0) -> DataFrame:
     d = drought_flags(_pos(df, "weather_precip_mean", "weather_temp_mean", TARGET), p_t, t_t)
     d, st = _cat_analysis(d, cut_expr(F.col("drought_intensity"), [float("-inf"), 0, 0.5, 1, float("inf")], DROUGHT_LABELS),
                           DROUGHT_LABELS)
     by_flag = summary.summarize(d, TARGET, ["is_drought"], ("count", "mean", "std"), {"median": 0.5})
-    mw = tests.mann_whitney(d, "is_drought", TARGET, first=True).select("U", *(["p_value"] if with_p else []))
+    mw = tests.mann_whitney(d, "is_drought", TARGET, first=True).select("U", "p_value")
     pct = d.agg((F.sum(F.col("is_drought").cast("int")) * 100.0 / F.count(F.lit(1))).alias("drought_percentage"))
     return (tidy(st, "by_category", "_cat", ["count", "mean", "median", "std", "p90", "p95"])
             .unionByName(tidy(by_flag, "by_flag", "is_drought", ["count", "mean", "median", "std"]))
@@ -151,11 +148,11 @@ def with_age(df: DataFrame, ref_year: int) -> DataFrame:
     return df.withColumn("age_batiment", F.lit(float(ref_year)) - to_double("annee_construction_batiment"))
 
 
-def vuln_age(df: DataFrame, ref_year: int = 2025, with_p: bool = True) -> DataFrame:
+def vuln_age(df: DataFrame, ref_year: int = 2025) -> DataFrame:
     d = _pos(with_age(df, ref_year), "age_batiment", TARGET).where(F.col("age_batiment").between(0, 200))
     d, st = _cat_analysis(d, cut_expr(F.col("age_batiment"), [0, 20, 40, 60, 100, float("inf")], AGE_LABELS), AGE_LABELS,
                           quantiles={"median": 0.5, "p90": 0.9})
-    sp = _spearman(d, "age_batiment", with_p=with_p)
+    sp = _spearman(d, "age_batiment")
     return (tidy(st, "by_category", "_cat", ["count", "mean", "median", "std", "p90"])
             .unionByName(tidy(_corr_row(d, "age_batiment"), "pearson", None, ["correlation"]))
             .unionByName(tidy(sp, "spearman", None, sp.columns)))
@@ -168,26 +165,26 @@ def _quartile_part(d: DataFrame, x: str, labels, quantiles=None) -> DataFrame:
     return level_stats(q, TARGET, "_cat", labels, quantiles=quantiles or {"median": 0.5})
 
 
-def vuln_surface(df: DataFrame, with_p: bool = True) -> DataFrame:
+def vuln_surface(df: DataFrame) -> DataFrame:
     d = _pos(df, "surface_batiment", TARGET).where(F.col("surface_batiment") > 0)
     st = _quartile_part(d, "surface_batiment", QUARTILE_LABELS)
-    sp = _spearman(d, "surface_batiment", with_p=with_p)
+    sp = _spearman(d, "surface_batiment")
     return tidy(st, "by_quartile", "_cat", ["count", "mean", "median", "std"]).unionByName(tidy(sp, "spearman", None, sp.columns))
 
 
-def vuln_wall_type(df: DataFrame, with_p: bool = True) -> DataFrame:
+def vuln_wall_type(df: DataFrame) -> DataFrame:
     d = df.select(F.col("type_mur_batiment"), to_double(TARGET).alias(TARGET)).where(
         F.col("type_mur_batiment").isNotNull() & (F.col(TARGET) > 0))
     st = level_stats(d, TARGET, "type_mur_batiment", None, quantiles={"median": 0.5})
-    k = kruskal_gated(d, "type_mur_batiment", TARGET, None, with_p)
+    k = kruskal_gated(d, "type_mur_batiment", TARGET, None)
     return tidy(st, "by_wall_type", "type_mur_batiment", ["count", "mean", "median", "std"]).unionByName(
         tidy(k, "kruskal", None, k.columns))
 
 
-def vuln_rooms(df: DataFrame, with_p: bool = True) -> DataFrame:
+def vuln_rooms(df: DataFrame) -> DataFrame:
     d = _pos(df, "nb_pieces_police", TARGET).where(F.col("nb_pieces_police").between(0, 20))
     st = level_stats(d, TARGET, "nb_pieces_police", None, quantiles={"median": 0.5})
-    sp = _spearman(d, "nb_pieces_police", with_p=with_p)
+    sp = _spearman(d, "nb_pieces_police")
     return tidy(st, "by_rooms", F.col("nb_pieces_police").cast("int"), ["count", "mean", "median", "std"]).unionByName(
         tidy(sp, "spearman", None, sp.columns))
 
@@ -285,22 +282,22 @@ def exposure_commitment(df: DataFrame) -> DataFrame:
         tidy(_corr_row(d, "engagements"), "pearson", None, ["correlation"]))
 
 
-def exposure_rga(df: DataFrame, with_p: bool = True) -> DataFrame:
+def exposure_rga(df: DataFrame) -> DataFrame:
     d = df.select(map_expr(RGA_SYNONYMS, F.lower(F.col("risque_rga_gcl").cast("string"))).alias("rga"),
                   to_double(TARGET).alias(TARGET)).where(F.col("rga").isNotNull() & (F.col(TARGET) > 0))
     st = level_stats(d, TARGET, "rga", RGA_ORDER, quantiles={"median": 0.5})
-    k = kruskal_gated(d, "rga", TARGET, RGA_ORDER, with_p)
+    k = kruskal_gated(d, "rga", TARGET, RGA_ORDER)
     codes = d.withColumn("_code", map_expr({v: i for i, v in enumerate(RGA_ORDER)}, F.col("rga")).cast("double"))
-    sp = _spearman(codes, "_code", with_p=with_p)
+    sp = _spearman(codes, "_code")
     return (tidy(st, "by_rga", "rga", ["count", "mean", "median", "std"])
             .unionByName(tidy(k, "kruskal", None, k.columns)).unionByName(tidy(sp, "spearman", None, sp.columns)))
 
 
-def exposure_combined(df: DataFrame, with_p: bool = True) -> DataFrame:
+def exposure_combined(df: DataFrame) -> DataFrame:
     d = score_exposure(df).select("exposure_score", to_double(TARGET).alias(TARGET)).where(
         F.col("exposure_score").isNotNull() & F.col(TARGET).isNotNull())
     st = _quartile_part(d, "exposure_score", QUARTILE_LABELS)
-    sp = _spearman(d, "exposure_score", with_p=with_p)
+    sp = _spearman(d, "exposure_score")
     return tidy(st, "by_quartile", "_cat", ["count", "mean", "median", "std"]).unionByName(tidy(sp, "spearman", None, sp.columns))
 
 

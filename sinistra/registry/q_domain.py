@@ -1,6 +1,5 @@
 """Domain analysis keys: tidy (part, level, metric, value)
-tables. Registered forms leave out p-values (checked separately against
-golden values in the unit tests) because DuckDB has no t / normal tail."""
+tables."""
 
 from __future__ import annotations
 
@@ -10,6 +9,7 @@ from ..plans import drought as D
 from . import register
 from . import sqlgen as S
 from .common import C
+from .sqlsnips import mann_whitney_sql
 
 REF = 2025
 
@@ -33,7 +33,7 @@ _PCUT = S.cut("weather_precip_mean", [float("-inf"), 20, 40, float("inf")], D.PR
     S.kruskal_gated("kruskal", _PSRC, _PCUT, 3),
     S.pearson("pearson", _PSRC, "weather_precip_mean")))
 def q_climate_precip(spark, sf):
-    return R(D.climate_precip(C(spark, sf), with_p=False))
+    return R(D.climate_precip(C(spark, sf)))
 
 
 _TSRC = _src("weather_temp_mean")
@@ -45,26 +45,24 @@ _TCUT = S.cut("weather_temp_mean", [float("-inf"), 20, 25, float("inf")], D.TEMP
     S.kruskal_gated("kruskal", _TSRC, _TCUT, 3),
     S.pearson("pearson", _TSRC, "weather_temp_mean")))
 def q_climate_temp(spark, sf):
-    return R(D.climate_temp(C(spark, sf), with_p=False))
+    return R(D.climate_temp(C(spark, sf)))
 
 
 _DSRC = ("SELECT *, weather_precip_mean < 20 AND weather_temp_mean > 25 AS is_drought, "
          "greatest(0.0, (20 - weather_precip_mean) / 20.0 + (weather_temp_mean - 25) / 25.0) AS inten FROM ("
          + _src("weather_precip_mean", "weather_temp_mean") + ")")
 _DCUT = S.cut("inten", [float("-inf"), 0, 0.5, 1, float("inf")], D.DROUGHT_LABELS)
-_MW = f"""WITH d AS ({_DSRC}), r AS (SELECT is_drought, {S.avg_rank('y')} AS rk FROM d),
-s AS (SELECT CAST(count(*) FILTER (WHERE is_drought) AS DOUBLE) AS n1, sum(rk) FILTER (WHERE is_drought) AS R1 FROM r)
-SELECT CASE WHEN n1 >= 3 AND (SELECT count(*) FROM d) - n1 >= 3 THEN R1 - n1 * (n1 + 1) / 2 END AS U FROM s"""
+_MW = f"WITH _dd AS ({_DSRC}),{mann_whitney_sql('_dd', 'is_drought', 'y')} SELECT CASE WHEN n1 >= 3 AND n2 >= 3 THEN U END AS U, CASE WHEN n1 >= 3 AND n2 >= 3 THEN p_value END AS p_value FROM _mw"
 
 
 @register("drought_conditions", S.union(
     S.level_stats("by_category", _DSRC, _DCUT, D.DROUGHT_LABELS, ["count", "mean", "median", "std", "p90", "p95"]),
     S.level_stats("by_flag", _DSRC, "is_drought", None, ["count", "mean", "median", "std"]),
-    S.tidy("mann_whitney", _MW, ["U"], None),
+    S.tidy("mann_whitney", _MW, ["U", "p_value"], None),
     S.tidy("share", f"SELECT sum(CAST(is_drought AS INTEGER)) * 100.0 / count(*) AS drought_percentage FROM ({_DSRC})",
            ["drought_percentage"], None)))
 def q_drought(spark, sf):
-    return R(D.drought_conditions(C(spark, sf), with_p=False))
+    return R(D.drought_conditions(C(spark, sf)))
 
 
 _MSRC = ("SELECT month(date_sinistre) AS level, avg(montant_charge_brut) AS montant_mean, avg(weather_precip_mean) AS precip_mean, "
@@ -87,7 +85,7 @@ _ACUT = S.cut("age_batiment", [0, 20, 40, 60, 100, float("inf")], D.AGE_LABELS)
     S.level_stats("by_category", _ASRC, _ACUT, D.AGE_LABELS, ["count", "mean", "median", "std", "p90"]),
     S.pearson("pearson", _ASRC, "age_batiment"), S.spearman_rho("spearman", _ASRC, "age_batiment")))
 def q_vuln_age(spark, sf):
-    return R(D.vuln_age(C(spark, sf), REF, with_p=False))
+    return R(D.vuln_age(C(spark, sf), REF))
 
 
 _SSRC = _src("surface_batiment", extra="AND surface_batiment > 0")
@@ -98,7 +96,7 @@ _SSRC = _src("surface_batiment", extra="AND surface_batiment > 0")
                   ["count", "mean", "median", "std"]),
     S.spearman_rho("spearman", _SSRC, "surface_batiment")))
 def q_vuln_surface(spark, sf):
-    return R(D.vuln_surface(C(spark, sf), with_p=False))
+    return R(D.vuln_surface(C(spark, sf)))
 
 
 _WSRC = _src("type_mur_batiment")
@@ -108,7 +106,7 @@ _WSRC = _src("type_mur_batiment")
     S.level_stats("by_wall_type", _WSRC, "type_mur_batiment", None, ["count", "mean", "median", "std"]),
     S.kruskal_gated("kruskal", _WSRC, "type_mur_batiment", None)))
 def q_vuln_wall(spark, sf):
-    return R(D.vuln_wall_type(C(spark, sf), with_p=False))
+    return R(D.vuln_wall_type(C(spark, sf)))
 
 
 _RSRC = _src("nb_pieces_police", extra="AND nb_pieces_police BETWEEN 0 AND 20")
@@ -118,7 +116,7 @@ _RSRC = _src("nb_pieces_police", extra="AND nb_pieces_police BETWEEN 0 AND 20")
     S.level_stats("by_rooms", _RSRC, "CAST(nb_pieces_police AS INTEGER)", None, ["count", "mean", "median", "std"]),
     S.spearman_rho("spearman", _RSRC, "nb_pieces_police")))
 def q_vuln_rooms(spark, sf):
-    return R(D.vuln_rooms(C(spark, sf), with_p=False))
+    return R(D.vuln_rooms(C(spark, sf)))
 
 
 _BUILD_CTE = f"""_b AS (SELECT *, {REF}.0 - annee_construction_batiment AS _age FROM claims),
@@ -222,7 +220,7 @@ _RGSRC = (f"SELECT rga, CAST(CASE rga WHEN 'faible' THEN 0 WHEN 'moyen' THEN 1 W
     S.level_stats("by_rga", _RGSRC, "rga", ["faible", "moyen", "fort", "maximal"], ["count", "mean", "median", "std"]),
     S.kruskal_gated("kruskal", _RGSRC, "rga", 4), S.spearman_rho("spearman", _RGSRC, "code")))
 def q_expo_rga(spark, sf):
-    return R(D.exposure_rga(C(spark, sf), with_p=False))
+    return R(D.exposure_rga(C(spark, sf)))
 
 
 _XSRC = f"WITH {_EXPO_CTE} SELECT exposure_score, montant_charge_brut AS y FROM es WHERE exposure_score IS NOT NULL AND montant_charge_brut IS NOT NULL"
@@ -232,7 +230,7 @@ _XSRC = f"WITH {_EXPO_CTE} SELECT exposure_score, montant_charge_brut AS y FROM
     S.level_stats("by_quartile", _XSRC, S.qcut("exposure_score", _XSRC, D.QUARTILE_LABELS), D.QUARTILE_LABELS, ["count", "mean", "median", "std"]),
     S.spearman_rho("spearman", _XSRC, "exposure_score")))
 def q_expo_combined(spark, sf):
-    return R(D.exposure_combined(C(spark, sf), with_p=False))
+    return R(D.exposure_combined(C(spark, sf)))
 
 
 _PROFILE = """CASE WHEN e < 0.4 AND v < 0.4 THEN 'Faible risque' WHEN e > 0.7 AND v > 0.7 THEN 'Très haut risque'

@@ -6,17 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile, summary
+from ..operators.lookup import RGA_ORDER, RGA_SYNONYMS
 from ..plans import drought as D
 from ..plans import suites as X
 from . import REGISTRY, register
 from . import sqlgen as S
 from .common import C, TARGET
 from .q_aggregates import NUM, rnd
-from .sqlsnips import kruskal_sql
+from .sqlsnips import chi2_p, kruskal_sql
 
 
-def _strip_claims(sql: str) -> str:
-    return sql
+def _round4(df):
+    return df.withColumn("value", F.round("value", 4))
 
 
 def _union_parts(keys):
@@ -77,11 +78,12 @@ FROM claims WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL GROUP BY {
 
 def _kw_sql(c):
     from ..sources.claims import with_claims
-    return with_claims("WITH " + kruskal_sql("claims", c, "montant_charge_brut", "NULL") + """
-SELECT round(H, 6) AS statistic, CAST(k AS BIGINT) AS groups_count, CAST(N AS BIGINT) AS n, round((H - k + 1) / (N - 1), 6) AS epsilon_sq FROM _kp""")
+    return with_claims("WITH " + kruskal_sql("claims", c, "montant_charge_brut", chi2_p("H", "(k - 1.0)")) + """
+SELECT round(H, 6) AS statistic, CAST(k AS BIGINT) AS groups_count, CAST(N AS BIGINT) AS n, round((H - k + 1) / (N - 1), 6) AS epsilon_sq,
+       round(p, 6) AS p_value FROM _kp""")
 
 
-_KW_M = ["statistic", "groups_count", "n", "epsilon_sq"]
+_KW_M = ["statistic", "groups_count", "n", "epsilon_sq", "p_value"]
 
 
 @register("statistics_suite", S.union(
@@ -99,7 +101,7 @@ def q_statistics_suite(spark, sf):
         g = rnd(summary.group_stats(d, c, TARGET, digits=None), 4, skip=("percentage",))
         parts.append(X.to_tidy(g, f"group_stats_{c}", [c], _GS_M))
         k = tests.kruskal_wallis(d, c, TARGET).select(F.round("statistic", 6).alias("statistic"), "groups_count", "n",
-                                                      F.round("epsilon_sq", 6).alias("epsilon_sq"))
+                                                      F.round("epsilon_sq", 6).alias("epsilon_sq"), F.round("p_value", 6).alias("p_value"))
         parts.append(X.to_tidy(k, f"kruskal_{c}", [], _KW_M))
     parts.append(X.to_tidy(REGISTRY["outliers_iqr"].build(spark, sf), "outliers_iqr", [], _OUT_M))
     return X.union_all(parts)
@@ -121,36 +123,73 @@ def q_quality_report(spark, sf):
         X.to_tidy(REGISTRY["cleaning_audit"].build(spark, sf), "cleaning_audit", ["variable"], _CA_M)])
 
 
-@register("comprehensive_suite", None)
-def q_comprehensive(spark, sf):
-    """Quality + RGA + flag + floors + months + tests (first RGA column found
-    among the candidates)."""
-    d = C(spark, sf)
-    rga = next(c for c in ("risque_rga_gcl", "risque_rga_gcl_detail", "risk_retraitGonflementArgile", "rga") if c in d.columns)
-    parts = [
-        REGISTRY["quality_report"].build(spark, sf).withColumnRenamed("analysis", "part"),
-        D.rga_vs_amount(d, rga, with_quantreg=False).withColumn("part", F.concat(F.lit("rga:"), F.col("part"))),
-        D.flag_vs_amount(d, "risk_flag").withColumn("part", F.concat(F.lit("flag:"), F.col("part"))),
-        D.floors_vs_amount(d).withColumn("part", F.concat(F.lit("floors:"), F.col("part"))),
-        X.to_tidy(REGISTRY["monthly_series"].build(spark, sf), "monthly", ["ym"], ["count", "montant_charge_brut_sum"])
-        .withColumnRenamed("analysis", "part"),
-    ]
-    return X.union_all([p.select("part", "level", "metric", "value") for p in parts])
+_LV = {v: i for i, v in enumerate(RGA_ORDER)}
+_RGA_SRC = S.winsorized(f"SELECT rga AS level, CASE rga {' '.join(f"WHEN '{v}' THEN {i}.0" for v, i in _LV.items())} END AS code, y FROM "
+                        f"(SELECT CASE lower(risque_rga_gcl) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RGA_SYNONYMS.items())} END AS rga, "
+                        "montant_charge_brut AS y FROM claims) WHERE rga IS NOT NULL AND y > 0")
+_RGA_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b" for i, a in enumerate(RGA_ORDER) for b in RGA_ORDER[i + 1:])
+_RGA_SQL = S.union(S.robust("robust_summary", _RGA_SRC), S.kruskal("kruskal", _RGA_SRC), S.spearman("spearman", _RGA_SRC, "code", monotone=True),
+                   S.dunn("dunn", _RGA_SRC), S.cliffs("cliffs_delta", _RGA_SRC, _RGA_PAIRS))
 
 
-@register("rga_vs_amount", None)
+@register("rga_vs_amount", _RGA_SQL)
 def q_rga(spark, sf):
-    return D.rga_vs_amount(C(spark, sf))
+    return _round4(D.rga_vs_amount(C(spark, sf), with_quantreg=False))
+
+
+@register("rga_quantile_slopes", None)
+def q_rga_slopes(spark, sf):
+    """The quantile regression slopes of ``rga_vs_amount``, which SQL cannot
+    express."""
+    return D.rga_vs_amount(C(spark, sf)).where(F.col("part").startswith("quantreg"))
+
 
+_FLOOR_SRC = S.winsorized("SELECT CAST(CAST(fl AS INTEGER) AS VARCHAR) AS level, fl, y FROM (SELECT round_even(CAST(nb_etages_batiment AS DOUBLE), 0) AS fl, "
+                          "montant_charge_brut AS y FROM claims) WHERE fl BETWEEN 0 AND 30 AND y > 0")
+_FLOOR_PAIRS = (f"SELECT a, b FROM (SELECT level AS a, lead(level) OVER (ORDER BY fl) AS b FROM (SELECT DISTINCT level, fl FROM ({_FLOOR_SRC}))) WHERE b IS NOT NULL")
+_FLOOR_SQL = S.union(S.robust("robust_summary", _FLOOR_SRC), S.kruskal("kruskal", _FLOOR_SRC), S.spearman("spearman", _FLOOR_SRC, "fl"),
+                     S.cliffs("cliffs_delta", _FLOOR_SRC, _FLOOR_PAIRS))
 
-@register("floors_vs_amount", None)
+
+@register("floors_vs_amount", _FLOOR_SQL)
 def q_floors(spark, sf):
-    return D.floors_vs_amount(C(spark, sf))
+    return _round4(D.floors_vs_amount(C(spark, sf)))
+
+
+_FLAG_SRC = S.winsorized("SELECT risk_flag AS f, montant_charge_brut AS y FROM claims WHERE risk_flag IS NOT NULL AND montant_charge_brut > 0")
+_FLAG_SQL = S.union(S.two_sides("summary", _FLAG_SRC), S.mann_whitney("mann_whitney", _FLAG_SRC), S.welch_log("log_ttest", _FLAG_SRC))
 
 
-@register("flag_vs_amount", None)
+@register("flag_vs_amount", _FLAG_SQL)
 def q_flag(spark, sf):
-    return D.flag_vs_amount(C(spark, sf), "risk_flag")
+    return _round4(D.flag_vs_amount(C(spark, sf), "risk_flag"))
+
+
+_MONTH_M = ["count", "montant_charge_brut_sum"]
+
+
+def _prefixed(prefix, sql):
+    return f"SELECT '{prefix}:' || part AS part, level, metric, value FROM ({sql})"
+
+
+@register("comprehensive_suite", S.union(
+    f"SELECT analysis AS part, level, metric, value FROM ({REGISTRY['quality_report'].sql})",
+    *[_prefixed(p, REGISTRY[k].sql) for p, k in (("rga", "rga_vs_amount"), ("flag", "flag_vs_amount"), ("floors", "floors_vs_amount"))],
+    f"SELECT analysis AS part, level, metric, value FROM ({S.tidy_keys('monthly', REGISTRY['monthly_series'].sql, ['ym'], _MONTH_M)})"), claims=False)
+def q_comprehensive(spark, sf):
+    """Quality + RGA + flag + floors + months + tests (first RGA column found
+    among the candidates)."""
+    d = C(spark, sf)
+    rga = next(c for c in ("risque_rga_gcl", "risque_rga_gcl_detail", "risk_retraitGonflementArgile", "rga") if c in d.columns)
+    named = lambda df, p: df.withColumn("part", F.concat(F.lit(f"{p}:"), F.col("part")))
+    parts = [
+        REGISTRY["quality_report"].build(spark, sf).withColumnRenamed("analysis", "part"),
+        named(_round4(D.rga_vs_amount(d, rga, with_quantreg=False)), "rga"),
+        named(_round4(D.flag_vs_amount(d, "risk_flag")), "flag"),
+        named(_round4(D.floors_vs_amount(d)), "floors"),
+        X.to_tidy(REGISTRY["monthly_series"].build(spark, sf), "monthly", ["ym"], _MONTH_M).withColumnRenamed("analysis", "part"),
+    ]
+    return X.union_all([p.select("part", "level", "metric", "value") for p in parts])
 
 
 @register("quantile_regression", None)

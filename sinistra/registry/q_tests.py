@@ -9,7 +9,7 @@ from ..operators import tests
 from ..operators.lookup import RGA_ORDER
 from . import register
 from .common import C, TARGET
-from .sqlsnips import SIG, avg_rank, kruskal_sql
+from .sqlsnips import SIG, avg_rank, corr_p, dunn_sql, f_p, kruskal_sql, mann_whitney_sql, t_p
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 
@@ -27,25 +27,20 @@ def q_kruskal(spark, sf):
 @register("spearman", f"""
 WITH d AS (SELECT CAST(surface_police AS DOUBLE) AS x, montant_charge_brut AS y FROM claims
            WHERE surface_police IS NOT NULL AND montant_charge_brut IS NOT NULL),
-r AS (SELECT {avg_rank('x')} AS rx, {avg_rank('y')} AS ry FROM d)
-SELECT CAST(count(*) AS BIGINT) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
+r AS (SELECT {avg_rank('x')} AS rx, {avg_rank('y')} AS ry FROM d),
+o AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM r)
+SELECT CAST(n AS BIGINT) AS n, round(rho, 6) AS rho, round({corr_p('rho', 'CAST(n AS DOUBLE)')}, 6) AS p_value FROM o""")
 def q_spearman(spark, sf):
     s = tests.spearman(C(spark, sf), "surface_police", TARGET)
-    return s.select("n", R6("rho"))
+    return s.select("n", R6("rho"), R6("p_value"))
 
 
-@register("mann_whitney", f"""
-WITH d AS (SELECT risk_flag AS f, montant_charge_brut AS x FROM claims WHERE risk_flag IS NOT NULL AND montant_charge_brut IS NOT NULL),
-r AS (SELECT f, {avg_rank('x')} AS rk FROM d),
-t AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY x),
-s AS (SELECT CAST(count(*) FILTER (WHERE f) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT f) AS DOUBLE) AS n2,
-             sum(rk) FILTER (WHERE f) AS R1 FROM r)
-SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(R1 - n1 * (n1 + 1) / 2, 6) AS U,
-       round(2 * (R1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS cliffs_delta
-FROM s""")
+@register("mann_whitney", f"""WITH{mann_whitney_sql('claims', 'risk_flag', 'montant_charge_brut')}
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(U, 6) AS U, round(z, 6) AS z, round(2 * U / (n1 * n2) - 1, 6) AS cliffs_delta,
+       round(p_value, 6) AS p_value FROM _mw""")
 def q_mann_whitney(spark, sf):
     m = tests.mann_whitney(C(spark, sf), "risk_flag", TARGET)
-    return m.select("n1", "n2", R6("U"), R6("cliffs_delta"))
+    return m.select("n1", "n2", R6("U"), R6("z"), R6("cliffs_delta"), R6("p_value"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(RGA_ORDER) for b in RGA_ORDER[i + 1:]]
@@ -67,36 +62,37 @@ def q_cliffs(spark, sf):
     return c.select("pair", "level_a", "level_b", "n_a", "n_b", R6("delta"))
 
 
-@register("dunn_posthoc", None)
+@register("dunn_posthoc", f"""WITH{dunn_sql('claims', 'risque_rga_gcl', 'montant_charge_brut')}
+SELECT level_a, level_b, round(z, 6) AS z, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm FROM _dh""")
 def q_dunn(spark, sf):
-    return tests.dunn_posthoc(C(spark, sf), "risque_rga_gcl", TARGET)
+    d = tests.dunn_posthoc(C(spark, sf), "risque_rga_gcl", TARGET)
+    return d.select("level_a", "level_b", R6("z"), R6("p_value"), R6("p_holm"))
 
 
-@register("anova_f", """
+@register("anova_f", f"""
 WITH d AS (SELECT type_mur_batiment AS g, montant_charge_brut AS x FROM claims WHERE type_mur_batiment IS NOT NULL AND montant_charge_brut IS NOT NULL),
 g AS (SELECT g, count(*) AS n, avg(x) AS m FROM d GROUP BY g HAVING count(*) >= 3),
 d2 AS (SELECT d.x, g.m FROM d JOIN g USING (g)),
-o AS (SELECT avg(x) AS gm FROM d2)
-SELECT CAST((SELECT count(*) FROM g) AS BIGINT) AS groups_count, CAST((SELECT count(*) FROM d2) AS BIGINT) AS n,
-       round(((SELECT sum(n * (m - gm) * (m - gm)) FROM g, o) / ((SELECT count(*) FROM g) - 1))
-             / ((SELECT sum((x - m) * (x - m)) FROM d2) / ((SELECT count(*) FROM d2) - (SELECT count(*) FROM g))), 6) AS F,
-       CAST((SELECT count(*) FROM g) - 1 AS BIGINT) AS df_between,
-       CAST((SELECT count(*) FROM d2) - (SELECT count(*) FROM g) AS BIGINT) AS df_within""")
+o AS (SELECT avg(x) AS gm FROM d2),
+r AS (SELECT (SELECT count(*) FROM g) AS k, (SELECT count(*) FROM d2) AS n, (SELECT sum(n * (m - gm) * (m - gm)) FROM g, o) AS ssb,
+             (SELECT sum((x - m) * (x - m)) FROM d2) AS ssw),
+f AS (SELECT k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS F FROM r)
+SELECT CAST(k AS BIGINT) AS groups_count, CAST(n AS BIGINT) AS n, round(F, 6) AS F, CAST(k - 1 AS BIGINT) AS df_between,
+       CAST(n - k AS BIGINT) AS df_within, round({f_p('F', 'CAST(k - 1 AS DOUBLE)', 'CAST(n - k AS DOUBLE)')}, 6) AS p_value FROM f""")
 def q_anova(spark, sf):
-    a = tests.anova_f(C(spark, sf), "type_mur_batiment", TARGET)
-    return a.select("groups_count", "n", R6("F"), "df_between", "df_within")
+    a = tests.anova_f(C(spark, sf), "type_mur_batiment", TARGET, max_levels=10)
+    return a.select("groups_count", "n", R6("F"), "df_between", "df_within", R6("p_value"))
 
 
-@register("t_test", """
+@register("t_test", f"""
 WITH d AS (SELECT risk_flag AS f, montant_charge_brut AS x FROM claims WHERE risk_flag IS NOT NULL AND montant_charge_brut IS NOT NULL),
 s AS (SELECT CAST(count(*) FILTER (WHERE f) AS DOUBLE) AS n1, avg(x) FILTER (WHERE f) AS m1, var_samp(x) FILTER (WHERE f) AS v1,
-             CAST(count(*) FILTER (WHERE NOT f) AS DOUBLE) AS n2, avg(x) FILTER (WHERE NOT f) AS m2, var_samp(x) FILTER (WHERE NOT f) AS v2 FROM d)
-SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-       round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS t,
-       round(n1 + n2 - 2, 6) AS df FROM s""")
+             CAST(count(*) FILTER (WHERE NOT f) AS DOUBLE) AS n2, avg(x) FILTER (WHERE NOT f) AS m2, var_samp(x) FILTER (WHERE NOT f) AS v2 FROM d),
+t AS (SELECT n1, n2, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS df FROM s)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(t, 6) AS t, round(df, 6) AS df, round({t_p('t', 'df')}, 6) AS p_value FROM t""")
 def q_t_test(spark, sf):
     t = tests.t_test(C(spark, sf), "risk_flag", TARGET)
-    return t.select("n1", "n2", R6("t"), R6("df"))
+    return t.select("n1", "n2", R6("t"), R6("df"), R6("p_value"))
 
 
 @register("jarque_bera", """
@@ -110,14 +106,15 @@ def q_jarque_bera(spark, sf):
     return j.select("n", R6("jb"), R6("p_value"))
 
 
-@register("linear_trend", """
+@register("linear_trend", f"""
 WITH d AS (SELECT montant_charge_brut AS y, date_sinistre AS dt FROM claims WHERE montant_charge_brut IS NOT NULL AND date_sinistre IS NOT NULL),
-x AS (SELECT y, floor((epoch_us(dt) - epoch_us((SELECT min(dt) FROM d))) / 86400e6) AS x FROM d)
-SELECT CAST(count(*) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope_per_day, round(regr_slope(y, x) * 365.25, 6) AS slope_per_year,
-       round(power(corr(x, y), 2), 6) AS r_squared FROM x""")
+x AS (SELECT y, floor((epoch_us(dt) - epoch_us((SELECT min(dt) FROM d))) / 86400e6) AS x FROM d),
+o AS (SELECT count(*) AS n, regr_slope(y, x) AS b, corr(x, y) AS r FROM x)
+SELECT CAST(n AS BIGINT) AS n, round(b, 6) AS slope_per_day, round(b * 365.25, 6) AS slope_per_year, round(power(r, 2), 6) AS r_squared,
+       round({corr_p('r', 'CAST(n AS DOUBLE)')}, 6) AS p_value FROM o""")
 def q_linear_trend(spark, sf):
     t = tests.linear_trend(C(spark, sf), TARGET, "date_sinistre")
-    return t.select("n", R6("slope_per_day"), R6("slope_per_year"), R6("r_squared"))
+    return t.select("n", R6("slope_per_day"), R6("slope_per_year"), R6("r_squared"), R6("p_value"))
 
 
 from ..operators import correlation  # noqa: E402

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from .sqlsnips import avg_rank
+from .sqlsnips import avg_rank, chi2_p, corr_p, dunn_sql, kruskal_sql, mann_whitney_sql, welch_sql
 
 _Q = {"median": 0.5, "p90": 0.9, "p95": 0.95, "q25": 0.25, "q75": 0.75}
 _M = {"count": "count(y)", "mean": "avg(y)", "std": "stddev_samp(y)", "min": "min(y)", "max": "max(y)", "n": "count(*)"}
@@ -48,21 +48,22 @@ def pearson(part: str, src: str, x: str, name: str = "correlation") -> str:
 
 def spearman_rho(part: str, src: str, x: str) -> str:
     r = f"SELECT {avg_rank(x)} AS rx, {avg_rank('y')} AS ry FROM ({src}) WHERE {x} IS NOT NULL AND y IS NOT NULL"
-    return tidy(part, f"SELECT corr(rx, ry) AS rho FROM ({r})", ["rho"], None)
+    one = f"SELECT corr(rx, ry) AS rho, CAST(count(*) AS DOUBLE) AS n FROM ({r})"
+    return tidy(part, f"SELECT rho, {corr_p('rho', 'n')} AS p_value FROM ({one})", ["rho", "p_value"], None)
 
 
 def kruskal_gated(part: str, src: str, level_expr: str, n_levels: int | None) -> str:
-    """H with tie correction, null unless >= 2 groups all with >= 3 rows
+    """H with tie correction and its p, null unless >= 2 groups all with >= 3 rows
     (and, with n_levels, all levels present)."""
     gate = f"min(n) >= 3 AND count(*) >= 2" + (f" AND count(*) = {n_levels}" if n_levels else "")
     d = f"SELECT {level_expr} AS g, y AS x FROM ({src}) WHERE {level_expr} IS NOT NULL AND y IS NOT NULL"
     h = f"""SELECT CASE WHEN ({gate.replace('min(n)', '(SELECT min(n) FROM sz)').replace('count(*)', '(SELECT count(*) FROM sz)')})
-      THEN (12.0 / (N * (N + 1)) * S - 3 * (N + 1)) / (1 - T / (N * N * N - N)) END AS statistic FROM
+      THEN (12.0 / (N * (N + 1)) * S - 3 * (N + 1)) / (1 - T / (N * N * N - N)) END AS statistic, (SELECT count(*) FROM sz) - 1.0 AS k FROM
       (SELECT CAST(sum(n) AS DOUBLE) AS N, sum(R * R / n) AS S FROM rs), (SELECT sum(c * c * c - c) AS T FROM tt)"""
     body = f"""WITH d AS ({d}), sz AS (SELECT g, count(*) AS n FROM d GROUP BY g),
 rk AS (SELECT g, {avg_rank('x')} AS r FROM d), rs AS (SELECT g, count(*) AS n, sum(r) AS R FROM rk GROUP BY g),
-tt AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY x) {h}"""
-    return tidy(part, body, ["statistic"], None)
+tt AS (SELECT CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY x), hh AS ({h}) SELECT statistic, {chi2_p('statistic', 'k')} AS p_value FROM hh"""
+    return tidy(part, body, ["statistic", "p_value"], None)
 
 
 def cut(x: str, edges: Sequence[float], labels: Sequence[str], include_lowest: bool = False) -> str:
@@ -96,3 +97,70 @@ def tidy_keys(analysis: str, sql: str, keys: Sequence[str], metrics: Sequence[st
 
 def tagged(analysis: str, sql: str) -> str:
     return f"SELECT '{analysis}' AS analysis, * FROM ({sql})"
+
+
+def robust(part: str, src: str) -> str:
+    """Size, median, IQR, trimmed mean, mean and std of y by ``level``."""
+    body = f"""WITH _o AS (SELECT level, y, row_number() OVER (PARTITION BY level ORDER BY y) - 1 AS pos, count(*) OVER (PARTITION BY level) AS n FROM ({src}))
+SELECT level, count(*) AS n, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr,
+       avg(y) FILTER (WHERE n < 20 OR (pos >= floor(n * 0.05) AND pos < greatest(floor(n * 0.95), 1))) AS trimmed_mean, avg(y) AS mean, stddev_samp(y) AS std
+FROM _o GROUP BY level"""
+    return tidy(part, body, ["n", "median", "iqr", "trimmed_mean", "mean", "std"])
+
+
+def kruskal(part: str, src: str) -> str:
+    """H, p, epsilon squared over all rows and group count; groups of ``level``
+    with at least 3 rows."""
+    body = f"""WITH _src AS ({src}),{kruskal_sql('_src', 'level', 'y', chi2_p('H', '(k - 1.0)'))}
+SELECT H AS statistic, p AS p_value, (H - k + 1) / ((SELECT count(*) FROM _src) - 1) AS epsilon_sq, k AS groups_count FROM _kp"""
+    return tidy(part, body, ["statistic", "p_value", "epsilon_sq", "groups_count"], None)
+
+
+def spearman(part: str, src: str, x: str, monotone: bool = False) -> str:
+    body = f"""SELECT rho, p_value, CAST(rho > 0 AND p_value < 0.05 AS INTEGER) AS monotone FROM (SELECT rho, {corr_p('rho', 'n')} AS p_value FROM
+      (SELECT corr(rx, ry) AS rho, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {avg_rank(x)} AS rx, {avg_rank('y')} AS ry FROM ({src}))))"""
+    return tidy(part, body, ["rho", "p_value"] + (["monotone"] if monotone else []), None)
+
+
+def dunn(part: str, src: str) -> str:
+    body = f"WITH _src AS ({src}),{dunn_sql('_src', 'level', 'y')} SELECT level_a || '|' || level_b AS level, z, p_value, p_holm FROM _dh"
+    return tidy(part, body, ["z", "p_value", "p_holm"])
+
+
+def cliffs(part: str, src: str, pairs: str) -> str:
+    """Cliff's delta of each pair of ``pairs`` (a query with a, b), from the
+    ranks within the pair; null with fewer than 3 rows on a side."""
+    body = f"""WITH _src AS ({src}), _pr AS ({pairs}),
+_pd AS (SELECT a, b, CASE WHEN level = a THEN 1.0 ELSE 0.0 END AS is_a, {avg_rank('y', 'a, b')} AS rk FROM _pr JOIN _src ON level = a OR level = b),
+_ps AS (SELECT a, b, sum(is_a) AS na, sum(1 - is_a) AS nb, sum(is_a * rk) AS ra FROM _pd GROUP BY a, b)
+SELECT a || '|' || b AS level, CASE WHEN na >= 3 AND nb >= 3 THEN 2 * (ra - na * (na + 1) / 2) / (na * nb) - 1 END AS delta FROM _ps"""
+    return tidy(part, body, ["delta"])
+
+
+def two_sides(part: str, src: str) -> str:
+    """Both sides of ``f``: sizes, medians, IQRs, trimmed means, difference of
+    medians and ratio of means of y."""
+    body = f"""WITH _o AS (SELECT f, y, row_number() OVER (PARTITION BY f ORDER BY y) - 1 AS pos, count(*) OVER (PARTITION BY f) AS n FROM ({src})),
+_s AS (SELECT f, count(*) AS n, avg(y) AS m, quantile_cont(y, 0.5) AS med, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr,
+              avg(y) FILTER (WHERE n < 20 OR (pos >= floor(n * 0.05) AND pos < greatest(floor(n * 0.95), 1))) AS tm FROM _o GROUP BY f)
+SELECT max(n) FILTER (WHERE NOT f) AS n_false, max(n) FILTER (WHERE f) AS n_true, max(med) FILTER (WHERE NOT f) AS median_false,
+       max(med) FILTER (WHERE f) AS median_true, max(iqr) FILTER (WHERE NOT f) AS iqr_false, max(iqr) FILTER (WHERE f) AS iqr_true,
+       max(tm) FILTER (WHERE NOT f) AS mean_trimmed_false, max(tm) FILTER (WHERE f) AS mean_trimmed_true,
+       max(med) FILTER (WHERE f) - max(med) FILTER (WHERE NOT f) AS median_diff, max(m) FILTER (WHERE f) / max(m) FILTER (WHERE NOT f) AS ratio_means FROM _s"""
+    return tidy(part, body, ["n_false", "n_true", "median_false", "median_true", "iqr_false", "iqr_true", "mean_trimmed_false", "mean_trimmed_true",
+                             "median_diff", "ratio_means"], None)
+
+
+def mann_whitney(part: str, src: str) -> str:
+    body = f"WITH _src AS ({src}),{mann_whitney_sql('_src', 'f', 'y')} SELECT U, p_value, 2 * U / (n1 * n2) - 1 AS cliffs_delta FROM _mw"
+    return tidy(part, body, ["U", "p_value", "cliffs_delta"], None)
+
+
+def welch_log(part: str, src: str) -> str:
+    body = f"WITH _src AS (SELECT f, ln(1 + y) AS y FROM ({src})),{welch_sql('_src', 'f', 'y')} SELECT t AS log_t, p_value AS log_t_p FROM _wt"
+    return tidy(part, body, ["log_t", "log_t_p"], None)
+
+
+def winsorized(src: str) -> str:
+    """``src`` with y clipped to its 1 % and 99 % quantiles."""
+    return f"SELECT * REPLACE (least(greatest(y, lo), hi) AS y) FROM (SELECT *, quantile_cont(y, 0.01) OVER () AS lo, quantile_cont(y, 0.99) OVER () AS hi FROM ({src}))"
