@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import features, models, profile
@@ -11,7 +10,8 @@ from .common import C, TARGET
 from .q_aggregates import rnd
 
 NUMF = ["prime", "engagements", "surface_police", "nb_pieces_police", "weather_precip_mean", "weather_temp_mean"]
-CATF = ["type_mur_batiment", "statut_sinistre"]
+CATF = ["type_mur_batiment", "statut_sinistre", "risque_rga_gcl", "ville"]
+BOOLF = ["risk_flag"]
 
 
 @register("encode_label", """
@@ -75,42 +75,68 @@ def q_model_input(spark, sf):
     return rnd(base.crossJoin(t))
 
 
-def _prepared(spark, sf):
-    d = models.prepare(C(spark, sf), TARGET, NUMF, CATF, "cod_sin")
-    pipe = models.feature_pipeline(NUMF, CATF).fit(d)
-    return pipe.transform(d)
+def _model_table(spark, sf):
+    return models.model_table(C(spark, sf), TARGET, NUMF, CATF, "cod_sin", BOOLF)
 
 
-@register("model_features", None)
+# levels of the text features in the claims view; ville has more than 20 and goes
+_LEVELS = {"type_mur_batiment": ["automobile", "building", "furniture", "household", "machinery"],
+           "statut_sinistre": ["Clos", "Fermé", "Ouvert"], "risque_rga_gcl": ["faible", "fort", "maximal", "moyen"]}
+
+
+def _features_sql():
+    fills = ", ".join([f"quantile_cont({c}, 0.5) AS {c}_m" for c in NUMF])
+    modes = ", ".join(f"(SELECT {c} FROM y WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}_m" for c in [*_LEVELS, *BOOLF])
+    numbers = ", ".join(f"round((coalesce({c}, {c}_m) - avg(coalesce({c}, {c}_m)) OVER ()) / stddev_pop(coalesce({c}, {c}_m)) OVER (), 6) AS {c}" for c in NUMF)
+    hot = ", ".join(f"CASE WHEN coalesce({c}, {c}_m) = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"{c}_{v}\"" for c, vs in _LEVELS.items() for v in vs)
+    flags = ", ".join(f"CAST(CAST(coalesce({c}, {c}_m) AS INTEGER) AS DOUBLE) AS {c}" for c in BOOLF)
+    return f"""WITH y AS (SELECT * FROM claims WHERE montant_charge_brut IS NOT NULL),
+s AS (SELECT CASE WHEN min(montant_charge_brut) <= 0 THEN abs(min(montant_charge_brut)) + 1 ELSE 0 END AS shift, {fills} FROM y),
+m AS (SELECT {modes})
+SELECT cod_sin, round(ln(montant_charge_brut + shift), 6) AS label, {numbers}, {hot}, {flags} FROM y, s, m"""
+
+
+@register("model_features", _features_sql())
 def q_model_features(spark, sf):
-    return _prepared(spark, sf).select("cod_sin", "label", vector_to_array("features").alias("features"))
+    df, design = _model_table(spark, sf)
+    return df.select("cod_sin", F.round("label", 6).alias("label"), *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in design.names])
 
 
-@register("train_test_split", None)
+@register("train_test_split", """
+SELECT cod_sin, ('0x' || substr(md5('42:' || cod_sin), 1, 8))::BIGINT % 100 < 80 AS train,
+       CAST(('0x' || substr(md5('43:' || cod_sin), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM claims""")
 def q_split(spark, sf):
-    tr, te = models.hash_split(C(spark, sf), "cod_sin")
-    return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+    tr, te = models.hash_split(models.fold_column(C(spark, sf).select("cod_sin"), "cod_sin"), "cod_sin")
+    return tr.withColumn("train", F.lit(True)).unionByName(te.withColumn("train", F.lit(False))).withColumnRenamed("_fold", "fold")
 
 
 @register("fit_linear_family", None)
 def q_linear_family(spark, sf):
-    d = _prepared(spark, sf)
-    tr, te = models.hash_split(d, "cod_sin")
-    _, rows = models.fit_models(tr, te, ["linear", "ridge", "lasso", "elastic_net"])
-    return rows
+    df, design = _model_table(spark, sf)
+    return models.fit_models(df, design.names, "cod_sin", models.LINEAR)[1]
+
+
+#: Spark ML grows 100 trees of the full depth in several minutes even on 15,000
+#: rows; the registered forest is shallower, by argument
+FOREST = {"random_forest": 12}
 
 
 @register("fit_trees", None)
 def q_trees(spark, sf):
-    d = _prepared(spark, sf)
-    tr, te = models.hash_split(d, "cod_sin")
-    _, rows = models.fit_models(tr, te, ["random_forest", "gradient_boosting", "decision_tree"])
-    return rows
+    df, design = _model_table(spark, sf)
+    return models.fit_models(df, design.names, "cod_sin", models.TREES, FOREST)[1]
 
 
 @register("cross_validate", None)
 def q_cv(spark, sf):
-    return models.cross_validate(_prepared(spark, sf), "linear", "cod_sin", 5)
+    df, design = _model_table(spark, sf)
+    return models.cross_validate(df, design.names, "cod_sin", models.LINEAR + ("decision_tree",), 5)
+
+
+@register("cross_validate_trees", None)
+def q_cv_trees(spark, sf):
+    df, design = _model_table(spark, sf)
+    return models.cross_validate(df, design.names, "cod_sin", ("random_forest", "gradient_boosting"), 5, FOREST)
 
 
 @register("regression_metrics", """
@@ -132,18 +158,15 @@ def q_reg_metrics(spark, sf):
 
 @register("ols_inference", None)
 def q_ols(spark, sf):
-    d = models.prepare(C(spark, sf), TARGET, NUMF, [], "cod_sin").na.drop(subset=NUMF)
+    d = models.prepare(C(spark, sf), TARGET, NUMF, [], "cod_sin")
     return models.ols_inference(d, NUMF)
 
 
 @register("feature_importance", None)
 def q_importance(spark, sf):
-    d = _prepared(spark, sf)
-    tr, te = models.hash_split(d, "cod_sin")
-    fitted, _ = models.fit_models(tr, te, ["linear", "random_forest", "decision_tree"])
-    n = len(d.select("features").first()[0])
-    names = [f"f{i}" for i in range(n)]
-    return models.feature_importance(fitted, names)
+    df, design = _model_table(spark, sf)
+    fitted, _ = models.fit_models(df, design.names, "cod_sin", models.LINEAR + ("random_forest", "decision_tree"), FOREST)
+    return models.feature_importance(fitted, 15)
 
 
 @register("residual_diagnostics", None)
@@ -170,8 +193,7 @@ def q_scatter(spark, sf):
 
 @register("predict_interval", None)
 def q_predict(spark, sf):
-    d = _prepared(spark, sf)
-    tr, te = models.hash_split(d, "cod_sin")
-    fitted, rows = models.fit_models(tr, te, ["linear"])
-    rmse = rows.first()["rmse"]
-    return models.predict_interval(fitted["linear"], te, rmse).select("cod_sin", "pred", "pred_lower", "pred_upper")
+    df, design = _model_table(spark, sf)
+    fitted, rows = models.fit_models(df, design.names, "cod_sin", models.LINEAR + models.TREES, FOREST)
+    _, test = models.hash_split(df, "cod_sin")
+    return models.predict_interval(fitted, rows, test).select("cod_sin", "model_used", "pred", "pred_lower", "pred_upper")
