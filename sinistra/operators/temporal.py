@@ -7,19 +7,21 @@ claim still appears without any scan of its own."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
 from ..functions.dates import SEASON_LABELS, WEEKDAYS, department, month_start
-from . import ranks, summary
+from . import selection, summary
 from .binning import winsorize
 from .lookup import month_spine
 
 
-def _clean(df: DataFrame, target: str, date: str, positive: bool = False) -> DataFrame:
+def clean_dates(df: DataFrame, target: str, date: str, positive: bool = False) -> DataFrame:
     d = df.select(to_double(target).alias("_y"), F.col(date).cast("timestamp_ntz").alias("_d")).where(
         F.col("_y").isNotNull() & F.col("_d").isNotNull())
     return d.where(F.col("_y") > 0) if positive else d
@@ -29,41 +31,101 @@ def _r(c, digits):
     return F.round(c, digits) if digits is not None else F.col(c)
 
 
+def month_cells(d: DataFrame) -> list[Cell]:
+    """Count, mean and sum of squared differences of ``_y`` by year and month of
+    ``_d``: one aggregate, one row a calendar month."""
+    one = d.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), (F.var_pop("_y") * F.count(F.lit(1))).alias("m2"))
+    return [Cell(r["year"], r["month"], r["n"], r["mean"], r["m2"]) for r in one.collect()]
+
+
+@dataclass(frozen=True)
+class Cell:
+    year: int | None
+    month: int | None
+    n: int
+    mean: float
+    m2: float
+
+    def merged(self, o: Cell) -> Cell:
+        """Moments of both together; no row is read again."""
+        n, d = self.n + o.n, o.mean - self.mean
+        return Cell(None, None, n, self.mean + d * o.n / n, self.m2 + o.m2 + d * d * self.n * o.n / n)
+
+    @property
+    def std(self) -> float | None:
+        return math.sqrt(self.m2 / (self.n - 1)) if self.n > 1 else None
+
+
+def merge_cells(cells: Sequence[Cell], key) -> dict[str, Cell]:
+    out: dict[str, Cell] = {}
+    for c in sorted(cells, key=lambda c: (c.year, c.month)):
+        k = key(c)
+        out[k] = out[k].merged(c) if k in out else c
+    return out
+
+
+def season_of(month: int) -> str:
+    return next(lab for lab, ms in SEASON_LABELS.items() if month in ms)
+
+
+#: periods whose medians one selection looks for
+_TOGETHER = 64
+
+
 def temporal_breakdowns(df: DataFrame, target: str, date: str, digits: int | None = 2) -> DataFrame:
     """count, mean, median, std (and sum for years) of the target by year,
-    season and month, in one long table (level kind, level, stats)."""
-    d = _clean(df, target, date)
-    m = F.month("_d")
-    season = F.when(F.lit(False), None)
-    for lab, ms in SEASON_LABELS.items():
-        season = season.when(m.isin(list(ms)), F.lit(lab))
-    d = d.select("_y", F.year("_d").cast("string").alias("year"), season.alias("season"), m.cast("string").alias("month"))
-    long = d.unpivot(["_y"], ["year", "season", "month"], "period_kind", "period")
-    s = summary.summarize(long, "_y", ["period_kind", "period"], ("count", "mean", "std", "sum"), {"median": 0.5})
-    return s.select("period_kind", "period", F.col("count").cast("bigint").alias("count"),
-                    *[_r(c, digits).alias(c) for c in ("mean", "median", "std")],
-                    F.when(F.col("period_kind") == "year", _r("sum", digits)).alias("sum"))
+    season and month, in one long table (level kind, level, stats).
+
+    Moments of the (year, month) cells are merged upwards; the medians of all
+    periods come from one bracket selection, in which a period is a column that
+    is null outside it. No row is copied."""
+    d = clean_dates(df, target, date)
+    cells = month_cells(d)
+    kinds = {"year": lambda c: str(c.year), "season": lambda c: season_of(c.month), "month": lambda c: str(c.month)}
+    found = [(kind, period, c) for kind, key in kinds.items() for period, c in merge_cells(cells, key).items()]
+    month = F.month("_d")
+
+    def inside(kind: str, period: str):
+        if kind == "season":
+            return month.isin(list(SEASON_LABELS[period]))
+        return (F.year("_d") if kind == "year" else month) == int(period)
+
+    medians = {}
+    for lo in range(0, len(found), _TOGETHER):
+        part = found[lo:lo + _TOGETHER]
+        wide = d.select(*[F.when(inside(kind, period), F.col("_y")).alias(f"p{i}") for i, (kind, period, _) in enumerate(part)])
+        for i, s in enumerate(selection.select(wide, wide.columns, (), [selection.Quantile("median", 0.5)], moments=False)):
+            medians[part[i][:2]] = s.quantile("median")
+    rows = [(kind, period, c.n, c.mean, medians[kind, period], c.std, c.mean * c.n if kind == "year" else None) for kind, period, c in found]
+    out = df.sparkSession.createDataFrame(rows, "period_kind string, period string, count bigint, mean double, median double, std double, sum double")
+    return out.select("period_kind", "period", "count", *[_r(c, digits).alias(c) for c in ("mean", "median", "std", "sum")])
 
 
 def temporal_components(df: DataFrame, target: str, dates: Sequence[str]) -> DataFrame:
     """Mean and count of the target by year, month, quarter and weekday of
-    each date column: one unpivot, one groupBy."""
+    each date column: one aggregate a date column by (year, month, weekday),
+    merged upwards."""
     y = to_double(target)
-    parts = []
+    out = None
     for c in dates:
         ts = F.col(c).cast("timestamp_ntz")
-        parts += [F.struct(F.lit(c).alias("date_column"), F.lit(k).alias("component"), v.cast("string").alias("value"))
-                  for k, v in (("year", F.year(ts)), ("month", F.month(ts)), ("quarter", F.quarter(ts)),
-                               ("weekday", F.date_format(ts, "EEEE")))]
-    long = df.select(y.alias("_y"), F.explode(F.array(*parts)).alias("p")).select("_y", "p.*").where(F.col("value").isNotNull())
-    return long.groupBy("date_column", "component", "value").agg(F.avg("_y").alias("mean"), F.count("_y").cast("bigint").alias("count"))
+        cells = df.select(y.alias("_y"), F.year(ts).alias("year"), F.month(ts).alias("month"), F.date_format(ts, "EEEE").alias("weekday"))
+        cells = cells.where(F.col("year").isNotNull()).groupBy("year", "month", "weekday").agg(F.sum("_y").alias("s"), F.count("_y").alias("n"))
+        quarter = F.floor((F.col("month") + 2) / 3)
+        parts = F.array(*[F.struct(F.lit(k).alias("component"), v.cast("string").alias("value"))
+                          for k, v in (("year", F.col("year")), ("month", F.col("month")), ("quarter", quarter), ("weekday", F.col("weekday")))])
+        long = cells.select("s", "n", F.explode(parts).alias("p")).select(F.lit(c).alias("date_column"), "p.*", "s", "n")
+        out = long if out is None else out.unionByName(long)
+    return out.groupBy("date_column", "component", "value").agg(
+        F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.sum("n").cast("bigint").alias("count"))
 
 
 def seasonality(df: DataFrame, target: str, date: str) -> DataFrame:
     """From the (at most 12) monthly means: top and bottom 3 months, amplitude
     (max - min) / mean of means, summer (6-8) over winter (12-2) ratio over
     the months present."""
-    d = _clean(df, target, date)
+    d = clean_dates(df, target, date)
     mm = d.groupBy(F.month("_d").alias("m")).agg(F.avg("_y").alias("mean"))
     top = F.sort_array(F.collect_list(F.struct((-F.col("mean")).alias("k"), F.col("m"))))
     bot = F.sort_array(F.collect_list(F.struct(F.col("mean").alias("k"), F.col("m"))))
@@ -82,7 +144,7 @@ def monthly_series(df: DataFrame, target: str, date: str, agg: str = "sum", min_
     """Value per calendar month between the first and last month: months
     without claims get ``fill``; months with fewer than ``min_count`` claims
     get null (so, with min_count > 0, empty months are null)."""
-    d = _clean(df, target, date, positive).withColumn("month", month_start("_d"))
+    d = clean_dates(df, target, date, positive).withColumn("month", month_start("_d"))
     if agg == "median":
         g = summary.summarize(d, "_y", ["month"], ("count",), {"value": 0.5})
     else:
@@ -100,7 +162,7 @@ def monthly_series(df: DataFrame, target: str, date: str, agg: str = "sum", min_
 
 def monthly_series_positive(df: DataFrame, target: str, date: str, agg: str = "sum", min_count: int = 1) -> DataFrame:
     """Positive amounts only; months below ``min_count`` are dropped."""
-    d = _clean(df, target, date, positive=True).withColumn("month", month_start("_d"))
+    d = clean_dates(df, target, date, positive=True).withColumn("month", month_start("_d"))
     if agg == "median":
         g = summary.summarize(d, "_y", ["month"], ("count",), {agg: 0.5})
     else:
@@ -112,7 +174,7 @@ def monthly_series_positive(df: DataFrame, target: str, date: str, agg: str = "s
 def monthly_mean_count_sum(df: DataFrame, target: str, date: str) -> DataFrame:
     """mean, count, sum per year-month and mean, count per calendar month, in
     one long table (grain, period, ...)."""
-    d = _clean(df, target, date)
+    d = clean_dates(df, target, date)
     ym = d.groupBy(F.date_format("_d", "yyyy-MM").alias("period")).agg(
         F.avg("_y").alias("mean"), F.count(F.lit(1)).cast("bigint").alias("count"), F.sum("_y").alias("sum"))
     cm = d.groupBy(F.month("_d").cast("string").alias("period")).agg(
@@ -125,7 +187,7 @@ def weekday_profile(df: DataFrame, target: str, date: str) -> DataFrame:
     """Mean by weekday, Monday..Sunday, absent days kept with null."""
     spark = df.sparkSession
     dim = spark.createDataFrame([(d, i) for i, d in enumerate(WEEKDAYS)], "weekday string, ord int")
-    d = _clean(df, target, date)
+    d = clean_dates(df, target, date)
     g = d.groupBy(F.date_format("_d", "EEEE").alias("weekday")).agg(F.avg("_y").alias("mean"))
     return F.broadcast(dim).join(g, "weekday", "left").select("ord", "weekday", "mean")
 

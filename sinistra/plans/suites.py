@@ -3,6 +3,7 @@ sequence, rule flags, key findings, segmentation and variable ranking."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.casting import as_double, clean_text, to_double, to_timestamp_any
+from ..functions.special import f_sf
 from ..operators import binning, correlation, profile, summary, temporal, tests
 from ..operators.binning import cut_expr
 
@@ -64,30 +66,39 @@ def clean_claims(df: DataFrame, date_cols: Sequence[str] = ("date_sinistre", "da
 
 # ---- rules and findings ------------------------------------------------------
 
-def insight_rules(df: DataFrame) -> DataFrame:
-    """Threshold flags computed end to end from the claims table:
-    (rule, fired, value)."""
-    y = to_double(TARGET)
+def insight_rules(df: DataFrame, date: str = "date_sinistre", ref_year: int = 2025) -> DataFrame:
+    """Threshold flags computed end to end from the claims table: (rule, fired,
+    value, label). The age rule wants |rho| > 0.2 and p < 0.05; the peak season
+    (by mean amount) and the three peak months carry their names as label."""
     from ..functions.stats import pair_corr
+    from . import drought
 
-    one = df.agg(pair_corr(to_double("weather_precip_mean"), y).alias("r_precip"),
-                 pair_corr(to_double("weather_temp_mean"), y).alias("r_temp"),
-                 F.avg(y).alias("mean"))
-    med = summary.summarize(df, TARGET, (), (), {"median": 0.5})
-    out = binning.outliers_iqr(df, TARGET).select(F.col("outlier_rate").alias("orate"))
-    corr = correlation.corr_with_target(df, TARGET, [c for c in profile.numeric_columns(df) if c != TARGET], 0.0)
-    strong = corr.agg(F.count(F.when(F.col("correlation_abs") >= 0.3, 1)).alias("n_strong"))
-    j = one.crossJoin(med).crossJoin(out).crossJoin(strong)
-    rules = [
-        ("precip_negative_correlation", F.col("r_precip") < -0.2, F.col("r_precip")),
-        ("temp_positive_correlation", F.col("r_temp") > 0.2, F.col("r_temp")),
-        ("strong_correlations", F.col("n_strong") > 0, F.col("n_strong")),
-        ("mean_above_median", F.col("mean") > 1.1 * F.col("median"), F.try_divide(F.col("mean"), F.col("median"))),
-        ("outliers_above_5pct", F.col("orate") > 0.05, F.col("orate")),
+    y = to_double(TARGET)
+    r = df.agg(pair_corr(to_double("weather_precip_mean"), y).alias("r_precip"), pair_corr(to_double("weather_temp_mean"), y).alias("r_temp")).first()
+    box = binning.outliers_iqr(df, TARGET).first()
+    others = [c for c in profile.numeric_columns(df) if c != TARGET]
+    strong = correlation.corr_with_target(df, TARGET, others, 0.3).count()
+    aged = drought.with_age(df, ref_year)
+    age = tests.spearman(aged.where(F.col("age_batiment").between(0, 200)), "age_batiment", TARGET).first()
+    kruskal = drought.climate_precip(df).where("part = 'kruskal' AND metric = 'p_value'").first()["value"]
+    mean, median = (box["mean"], box["median"]) if box else (None, None)
+    above = lambda v, limit: v is not None and v > limit
+    rows = [
+        ("precip_negative_correlation", above(-r["r_precip"] if r["r_precip"] is not None else None, 0.2), r["r_precip"], None),
+        ("temp_positive_correlation", above(r["r_temp"], 0.2), r["r_temp"], None),
+        ("precip_classes_differ", kruskal is not None and kruskal < 0.05, kruskal, None),
+        ("age_rank_correlation", age["rho"] is not None and abs(age["rho"]) > 0.2 and age["p_value"] < 0.05, age["rho"], None),
+        ("strong_correlations", strong > 0, float(strong), None),
+        ("mean_above_median", mean is not None and mean > 1.1 * median, mean / median if median else None, None),
+        ("outliers_above_5pct", above(box["outlier_rate"] if box else None, 0.05), box["outlier_rate"] if box else None, None),
     ]
-    arr = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("fired"), v.cast("double").alias("value"))
-                    for n, c, v in rules])
-    return j.select(F.explode(arr).alias("r")).select("r.*")
+    cells = temporal.month_cells(temporal.clean_dates(df, TARGET, date))
+    top = lambda found: sorted(found.items(), key=lambda kv: (-kv[1].mean, kv[0]))
+    seasons = top(temporal.merge_cells(cells, lambda c: temporal.season_of(c.month)))
+    months = top(temporal.merge_cells(cells, lambda c: c.month))[:3]
+    rows.append(("peak_season", bool(seasons), seasons[0][1].mean if seasons else None, seasons[0][0] if seasons else None))
+    rows.append(("peak_months", bool(months), months[0][1].mean if months else None, ",".join(str(m) for m, _ in months) or None))
+    return df.sparkSession.createDataFrame(rows, "rule string, fired boolean, value double, label string")
 
 
 def stats_rollup(df: DataFrame) -> DataFrame:
@@ -97,9 +108,10 @@ def stats_rollup(df: DataFrame) -> DataFrame:
     tr = tests.linear_trend(df, TARGET, "date_sinistre").select(
         F.lit("significant_trend").alias("finding"), (F.col("p_value") < 0.05).cast("string").alias("label"),
         F.col("slope_per_year").alias("value"))
-    tb = temporal.temporal_breakdowns(df, TARGET, "date_sinistre", digits=None).where(F.col("period_kind") == "season")
-    peak = tb.orderBy(F.desc("mean"), "period").limit(1).select(F.lit("peak_season").alias("finding"), F.col("period").alias("label"),
-                                                                F.col("mean").alias("value"))
+    cells = temporal.month_cells(temporal.clean_dates(df, TARGET, "date_sinistre"))
+    seasons = temporal.merge_cells(cells, lambda c: temporal.season_of(c.month))
+    best = [("peak_season", k, seasons[k].mean) for k in sorted(seasons, key=lambda k: (-seasons[k].mean, k))[:1]]
+    peak = df.sparkSession.createDataFrame(best, "finding string, label string, value double")
     dep = temporal.spatial_departments(df, TARGET, digits=None)
     top = dep.where(F.col("rank_mean") == 1).select(F.lit("top_department").alias("finding"), F.col("departement").alias("label"),
                                                     F.col("mean").alias("value"))
@@ -137,36 +149,68 @@ def variable_availability(df: DataFrame, catalogue: Mapping[str, Sequence[str]],
     return g.join(F.broadcast(imp), "grp", "left").withColumn("ready", F.col("rate") > 0.5)
 
 
-def variable_importance(df: DataFrame, catalogue: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Per catalogue variable: score and kind - |Pearson| for numeric, F for
-    categorical (<= 10 levels; 0 unless p < .05), |t| for boolean (0 unless
-    p < .05) - with completeness and distinct count, ranked overall."""
+def variable_importance(df: DataFrame, catalogue: Mapping[str, Sequence[str]], max_levels: int = 10) -> DataFrame:
+    """Per catalogue variable: score and kind - |Pearson| for numbers, F for
+    text (at most ``max_levels`` levels; 0 unless p < .05), |t| for booleans (0
+    unless p < .05) - with completeness and distinct count, ranked overall; and
+    its group's mean and highest score and the group's rank by mean.
+
+    One scan gives the table all of it comes from: rows, amounts, their mean and
+    squared differences by (variable, value), combined before the shuffle. A
+    cheaper scan before it finds centres, so that the co-moments lose no digits."""
     types = dict(df.dtypes)
-    parts = []
-    for g, vs in catalogue.items():
-        for v in vs:
-            if v not in types:
-                continue
-            t = types[v]
-            if t == "boolean":
-                r = tests.t_test(df, v, TARGET).select(F.when(F.col("p_value") < 0.05, F.abs("t")).otherwise(0.0).alias("score"))
-                kind = "abs_t"
-            elif t == "string":
-                r = tests.anova_f(df, v, TARGET).select(F.when(F.col("p_value") < 0.05, F.col("F")).otherwise(0.0).alias("score"))
-                kind = "anova_f"
-            else:
-                from ..functions.stats import pair_corr
-                r = df.agg(F.abs(pair_corr(to_double(v), to_double(TARGET))).alias("score"))
-                kind = "abs_pearson"
-            st = df.agg((F.count(v) * 100.0 / F.count(F.lit(1))).alias("completeness_pct"))
-            parts.append(r.crossJoin(st).select(F.lit(g).alias("grp"), F.lit(v).alias("variable"), F.lit(kind).alias("kind"),
-                                                "score", "completeness_pct"))
-    out = union_all(parts)
-    dc = profile.distinct_counts(df, [p for vs in catalogue.values() for p in vs if p in types])
-    out = out.join(F.broadcast(dc), "variable", "left")
-    from pyspark.sql import Window
-    # one row per catalogue variable: the window runs over that small table
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "variable")))
+    group = {v: g for g, vs in catalogue.items() for v in vs if v in types}
+    if not group:
+        return df.sparkSession.createDataFrame([], _IMPORTANCE)
+    kind = {v: "abs_t" if types[v] == "boolean" else "anova_f" if types[v] == "string" else "abs_pearson" for v in group}
+    numbers = [v for v in group if kind[v] == "abs_pearson"]
+    y = to_double(TARGET)
+    centre = df.agg(F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(y), F.lit(0.0)).alias("_y"), *[F.avg(to_double(v)).alias(v) for v in numbers]).first()
+    long = df.select((y - F.lit(centre["_y"])).alias("_y"), *[F.col(v).cast("string").alias(v) for v in group]).unpivot(["_y"], list(group), "variable", "value")
+    cells = long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_y").alias("ny"), F.avg("_y").alias("m"), (F.var_pop("_y") * F.count("_y")).alias("m2"))
+    at = F.col("value").try_cast("double") - F.coalesce(F.try_element_at(F.create_map(*[F.lit(z) for v in numbers for z in (v, centre[v])]), F.col("variable")), F.lit(0.0)) if numbers else F.lit(0.0)
+    big = F.col("ny") >= 3
+    n, m = F.col("ny"), F.coalesce("m", F.lit(0.0))
+    one = cells.withColumn("x", F.when(F.col("ny") > 0, at)).groupBy("variable").agg(
+        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"), F.sum("ny").alias("N"),
+        F.sum(n * m).alias("sy"), F.sum(F.col("m2") + n * m * m).alias("syy"),
+        F.sum(n * F.col("x")).alias("sx"), F.sum(n * F.col("x") * F.col("x")).alias("sxx"), F.sum(n * F.col("x") * m).alias("sxy"),
+        F.count(F.when(big, 1)).alias("k"), F.sum(F.when(big, n)).alias("kN"), F.sum(F.when(big, n * m)).alias("ks"),
+        F.sum(F.when(big, n * m * m)).alias("kss"), F.sum(F.when(big, F.col("m2"))).alias("kw")).collect()
+    seen = {r["variable"]: r for r in one}
+    rows = []
+    for v, g in group.items():
+        r = seen.get(v)
+        score = _importance(kind[v], r, max_levels) if r else 0.0
+        rows.append((g, v, kind[v], score, (r["present"] if r else 0) * 100.0 / centre["_rows"] if centre["_rows"] else None, r["distinct"] if r else 0))
+    of = {g: [r[3] for r in rows if r[0] == g] for g in dict.fromkeys(group.values())}
+    mean = {g: sum(s) / len(s) for g, s in of.items()}
+    place = {g: i for i, g in enumerate(sorted(of, key=lambda g: (-mean[g], g)), 1)}
+    rows.sort(key=lambda r: (-r[3], r[1]))
+    return df.sparkSession.createDataFrame([(*r, i, mean[r[0]], max(of[r[0]]), place[r[0]]) for i, r in enumerate(rows, 1)], _IMPORTANCE)
+
+
+_IMPORTANCE = ("grp string, variable string, kind string, score double, completeness_pct double, distinct bigint, rank int, "
+               "group_mean_score double, group_max_score double, group_rank int")
+
+
+def _importance(kind: str, r, max_levels: int) -> float:
+    """The score of one variable from its sums."""
+    if kind == "abs_pearson":
+        n = r["N"]
+        if not n:
+            return 0.0
+        sxx, syy = r["sxx"] - r["sx"] ** 2 / n, r["syy"] - r["sy"] ** 2 / n
+        sxy = r["sxy"] - r["sx"] * r["sy"] / n
+        return abs(sxy) / math.sqrt(sxx * syy) if sxx > 0 and syy > 0 else 0.0
+    k, n = r["k"], r["kN"]
+    if (k != 2 if kind == "abs_t" else k < 2 or r["distinct"] > max_levels) or n <= k or not r["kw"]:
+        return 0.0
+    f = (r["kss"] - r["ks"] ** 2 / n) / (k - 1) / (r["kw"] / (n - k))
+    if f_sf(f, k - 1, n - k) >= 0.05:
+        return 0.0
+    return math.sqrt(f) if kind == "abs_t" else f  # two groups: F is the square of t
 
 
 def risk_segmentation(df: DataFrame, ref_year: int = 2025, seed: int = 42, n_init: int = 10) -> DataFrame:

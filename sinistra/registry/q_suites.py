@@ -13,7 +13,7 @@ from . import REGISTRY, register
 from . import sqlgen as S
 from .common import C, TARGET
 from .q_aggregates import NUM, rnd
-from .sqlsnips import chi2_p, kruskal_sql
+from .sqlsnips import avg_rank, chi2_p, corr_p, f_p, kruskal_sql
 
 
 def _round4(df):
@@ -203,9 +203,30 @@ def q_segmentation(spark, sf):
     return X.risk_segmentation(C(spark, sf))
 
 
-@register("stats_rollup", None)
+def _kw_p(c):
+    return f"SELECT p FROM (WITH {kruskal_sql('claims', c, 'montant_charge_brut', chi2_p('H', '(k - 1.0)'))} SELECT p FROM _kp)"
+
+
+@register("stats_rollup", f"""
+WITH t AS (SELECT * FROM ({REGISTRY['linear_trend'].sql})),
+dm AS (SELECT month(date_sinistre) AS m, montant_charge_brut AS y FROM claims WHERE date_sinistre IS NOT NULL AND montant_charge_brut IS NOT NULL),
+sm AS (SELECT CASE WHEN m IN (12, 1, 2) THEN 'Hiver' WHEN m IN (3, 4, 5) THEN 'Printemps' WHEN m IN (6, 7, 8) THEN 'Été' ELSE 'Automne' END AS s, avg(y) AS v
+       FROM dm GROUP BY 1 ORDER BY v DESC, s LIMIT 1),
+dep AS (SELECT substr(cpostal, 1, 2) AS d, count(*) AS n, avg(montant_charge_brut) AS m FROM claims WHERE cpostal IS NOT NULL AND montant_charge_brut IS NOT NULL
+        GROUP BY 1 HAVING count(*) >= 10),
+dr AS (SELECT *, row_number() OVER (ORDER BY m DESC, d) AS rm, row_number() OVER (ORDER BY n DESC, d) AS rv, sum(n) OVER () AS tot FROM dep),
+cr AS ({" UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, montant_charge_brut) FILTER (WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL) AS r FROM claims" for c in NUM if c != TARGET)}),
+om AS (SELECT * FROM ({REGISTRY['outliers_multi'].sql})),
+kw AS ({" UNION ALL ".join(_kw_p(c) for c in ("statut_sinistre", "type_mur_batiment", "risque_rga_gcl"))})
+SELECT 'significant_trend' AS finding, CASE WHEN p_value < 0.05 THEN 'true' ELSE 'false' END AS label, round(slope_per_year, 4) AS value FROM t
+UNION ALL SELECT 'peak_season', s, round(v, 4) FROM sm
+UNION ALL SELECT 'top_department', d, round(m, 4) FROM dr WHERE rm = 1
+UNION ALL SELECT 'top5_volume_pct', NULL, round(sum(n) * 100.0 / max(tot), 4) FROM dr WHERE rv <= 5
+UNION ALL SELECT 'strongest_correlation', variable, round(r, 4) FROM (SELECT * FROM cr ORDER BY abs(r) DESC, variable LIMIT 1)
+UNION ALL SELECT 'outlier_severity', severity, round(iqr_rate_pct, 4) FROM om
+UNION ALL SELECT 'significant_tests', NULL, CAST(count(*) FILTER (WHERE p < 0.05) AS DOUBLE) FROM kw""")
 def q_rollup(spark, sf):
-    return X.stats_rollup(C(spark, sf))
+    return _round4(X.stats_rollup(C(spark, sf)))
 
 
 _CATALOGUE = {
@@ -216,7 +237,7 @@ _CATALOGUE = {
     "risque": ["risque_rga_gcl", "risk_flag", "risk_seisme"],
     "sol": ["compo_sol_has_argile", "dem_altitude"],
 }
-# Importance class of each catalogue group.
+# Importance class of each catalogue group: a choice of this example.
 _IMPORTANCE = {"contrat": "haute", "batiment": "haute", "climat": "critique", "risque": "critique", "sol": "moyenne"}
 
 
@@ -238,9 +259,40 @@ def q_availability(spark, sf):
     return rnd(X.variable_availability(C(spark, sf), _CATALOGUE, _IMPORTANCE), 4)
 
 
-@register("variable_importance", None)
+def _importance_sql():
+    """Every score by its definition over the rows."""
+    y, parts = "montant_charge_brut", []
+    numeric = set(NUM)
+    flags = {"risk_flag"}
+    for g, vs in _CATALOGUE.items():
+        for v in vs:
+            if v not in numeric | flags | {"statut_sinistre", "type_mur_batiment", "risque_rga_gcl"}:
+                continue
+            if v in numeric:
+                kind, score = "abs_pearson", f"(SELECT coalesce(abs(corr({v}, {y})), 0) FROM claims WHERE {v} IS NOT NULL AND {y} IS NOT NULL)"
+            else:
+                kind = "abs_t" if v in flags else "anova_f"
+                root = "sqrt(f)" if v in flags else "f"
+                limit = "true" if v in flags else f"(SELECT count(DISTINCT {v}) FROM claims) <= 10"
+                score = f"""(SELECT CASE WHEN k >= 2 AND {limit} AND {f_p('f', '(k - 1.0)', '(n - k + 0.0)')} < 0.05 THEN {root} ELSE 0 END FROM
+ (SELECT k, n, (b / (k - 1)) / (w / (n - k)) AS f FROM (SELECT count(*) AS k, sum(c) AS n, sum(c * (m - gm) * (m - gm)) AS b, sum(s2) AS w FROM
+  (SELECT *, sum(c * m) OVER () / sum(c) OVER () AS gm FROM (SELECT count(*) AS c, avg({y}) AS m, var_pop({y}) * count(*) AS s2 FROM claims
+   WHERE {v} IS NOT NULL AND {y} IS NOT NULL GROUP BY {v} HAVING count(*) >= 3)))))"""
+            parts.append(f"SELECT '{g}' AS grp, '{v}' AS variable, '{kind}' AS kind, CAST({score} AS DOUBLE) AS score, "
+                         f"(SELECT count({v}) * 100.0 / count(*) FROM claims) AS completeness_pct, (SELECT count(DISTINCT {v}) FROM claims) AS distinct_n")
+    return "WITH _v AS (" + " UNION ALL ".join(parts) + """),
+_g AS (SELECT grp, avg(score) AS m, max(score) AS x, row_number() OVER (ORDER BY avg(score) DESC, grp) AS r FROM _v GROUP BY grp)
+SELECT grp, variable, kind, round(score, 6) AS score, round(completeness_pct, 6) AS completeness_pct, CAST(distinct_n AS BIGINT) AS "distinct",
+       CAST(row_number() OVER (ORDER BY score DESC, variable) AS INTEGER) AS rank, round(m, 6) AS group_mean_score, round(x, 6) AS group_max_score,
+       CAST(r AS INTEGER) AS group_rank FROM _v JOIN _g USING (grp)"""
+
+
+@register("variable_importance", _importance_sql())
 def q_importance_vars(spark, sf):
-    return X.variable_importance(C(spark, sf), {g: vs for g, vs in _CATALOGUE.items()})
+    return rnd(X.variable_importance(C(spark, sf), _CATALOGUE), 6)
+
+
+_AGE = "SELECT 2025.0 - annee_construction_batiment AS a, montant_charge_brut AS y FROM claims WHERE annee_construction_batiment IS NOT NULL AND montant_charge_brut IS NOT NULL AND 2025 - annee_construction_batiment BETWEEN 0 AND 200"
 
 
 @register("insight_rules", """
@@ -252,14 +304,26 @@ o AS (SELECT count(*) FILTER (WHERE montant_charge_brut < q1 - 1.5 * (q3 - q1) O
       FROM claims, q WHERE montant_charge_brut IS NOT NULL),
 c AS (SELECT count(*) FILTER (WHERE abs(r) >= 0.3) AS n_strong FROM (""" + " UNION ALL ".join(
     f"SELECT corr({c}, montant_charge_brut) FILTER (WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL) AS r FROM claims"
-    for c in NUM if c != TARGET) + """))
-SELECT 'precip_negative_correlation' AS rule, coalesce(rp < -0.2, false) AS fired, round(rp, 6) AS value FROM q
-UNION ALL SELECT 'temp_positive_correlation', coalesce(rt > 0.2, false), round(rt, 6) FROM q
-UNION ALL SELECT 'strong_correlations', n_strong > 0, CAST(n_strong AS DOUBLE) FROM c
-UNION ALL SELECT 'mean_above_median', mean > 1.1 * med, round(mean / med, 6) FROM q
-UNION ALL SELECT 'outliers_above_5pct', orate > 0.05, round(orate, 6) FROM o""")
+    for c in NUM if c != TARGET) + f""")),
+k AS (SELECT value AS p FROM ({REGISTRY['climate_precip'].sql}) WHERE part = 'kruskal' AND metric = 'p_value'),
+ar AS (SELECT corr(rx, ry) AS rho, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {avg_rank('a')} AS rx, {avg_rank('y')} AS ry FROM ({_AGE}))),
+ap AS (SELECT rho, {corr_p('rho', 'n')} AS p FROM ar),
+dm AS (SELECT month(date_sinistre) AS m, montant_charge_brut AS y FROM claims WHERE date_sinistre IS NOT NULL AND montant_charge_brut IS NOT NULL),
+mm AS (SELECT m, avg(y) AS v FROM dm GROUP BY m ORDER BY v DESC, m LIMIT 3),
+sm AS (SELECT CASE WHEN m IN (12, 1, 2) THEN 'Hiver' WHEN m IN (3, 4, 5) THEN 'Printemps' WHEN m IN (6, 7, 8) THEN 'Été' ELSE 'Automne' END AS s, avg(y) AS v
+       FROM dm GROUP BY 1 ORDER BY v DESC, s LIMIT 1)
+SELECT 'precip_negative_correlation' AS rule, coalesce(rp < -0.2, false) AS fired, round(rp, 6) AS value, CAST(NULL AS VARCHAR) AS label FROM q
+UNION ALL SELECT 'temp_positive_correlation', coalesce(rt > 0.2, false), round(rt, 6), NULL FROM q
+UNION ALL SELECT 'precip_classes_differ', coalesce(p < 0.05, false), round(p, 4), NULL FROM k
+UNION ALL SELECT 'age_rank_correlation', coalesce(abs(rho) > 0.2 AND p < 0.05, false), round(rho, 6), NULL FROM ap
+UNION ALL SELECT 'strong_correlations', n_strong > 0, CAST(n_strong AS DOUBLE), NULL FROM c
+UNION ALL SELECT 'mean_above_median', mean > 1.1 * med, round(mean / med, 6), NULL FROM q
+UNION ALL SELECT 'outliers_above_5pct', orate > 0.05, round(orate, 6), NULL FROM o
+UNION ALL SELECT 'peak_season', true, round(v, 6), s FROM sm
+UNION ALL SELECT 'peak_months', true, round(max(v), 6), string_agg(CAST(m AS VARCHAR), ',' ORDER BY v DESC, m) FROM mm""")
 def q_insights(spark, sf):
-    return X.insight_rules(C(spark, sf)).withColumn("value", F.round("value", 6))
+    places = F.when(F.col("rule") == "precip_classes_differ", F.round("value", 4)).otherwise(F.round("value", 6))
+    return X.insight_rules(C(spark, sf)).withColumn("value", places)
 
 
 @register("data_dictionary", """
