@@ -79,22 +79,39 @@ def score_bin_boxes(df: DataFrame, target: str, score: str, k: int = 5) -> DataF
         "count", F.col("count").cast("bigint"))
 
 
-def density_grid(df: DataFrame, col: str, points: int = 200, prebins: int = 1024) -> DataFrame:
-    """Gaussian KDE on ``points`` grid values (Scott bandwidth n^(-1/5) std),
-    evaluated from a ``prebins``-bin histogram: each (bin, grid point) pair
-    is generated by exploding a fixed-size literal grid, so the work is
-    bounded by prebins x points whatever the row count."""
+#: mesh cells a bandwidth, and bandwidths after which a kernel counts as 0
+MESH = 64
+REACH = 8
+
+
+def density_grid(df: DataFrame, col: str, points: int = 200) -> DataFrame:
+    """Gaussian KDE on ``points`` grid values (Scott bandwidth n^(-1/5) std).
+
+    Every value is shared out to the two ends of its cell of a mesh of
+    bandwidth / MESH, in proportion to its distance; only cells that hold values
+    exist, and they are counted before the shuffle. The kernel sum takes the
+    mesh points within REACH bandwidths of a grid value. The error against the
+    sum over all values is below 1e-4 of the largest density, whatever their number:
+    1 / (8 MESH^2) of a kernel's height by the cells, exp(-REACH^2 / 2) by the
+    cut."""
     x = to_double(col)
     n, sd, mn, mx = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
     if not n or sd is None or mx == mn:
         return df.sparkSession.createDataFrame([], "x double, density double")
     h = sd * n ** (-1 / 5)
-    w = (mx - mn) / prebins
-    b = F.least(F.floor((x - F.lit(mn)) / F.lit(w)), F.lit(prebins - 1))
-    hist = df.select(b.alias("b")).where(F.col("b").isNotNull()).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    grid = [mn + (mx - mn) * i / (points - 1) for i in range(points)]
-    centre = F.lit(mn) + (F.col("b") + 0.5) * w
-    e = hist.select("c", centre.alias("m"), F.explode(F.array(*[F.lit(g) for g in grid])).alias("x"))
-    z = (F.col("x") - F.col("m")) / h
-    k = F.col("c") * F.exp(-0.5 * z * z) / (n * h * math.sqrt(2 * math.pi))
-    return e.groupBy("x").agg(F.sum(k).alias("density"))
+    step, gap = h / MESH, (mx - mn) / (points - 1)
+    at = (x - F.lit(mn)) / F.lit(step)
+    cell = F.floor(at)
+    # one row a cell first, then its two ends
+    cells = df.where(x.isNotNull()).select(cell.alias("c"), (at - cell).alias("f")).groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f"))
+    ends = F.array(F.struct(F.col("c").alias("c"), (F.col("n") - F.col("f")).alias("w")), F.struct((F.col("c") + 1).alias("c"), F.col("f").alias("w")))
+    mesh = cells.select(F.explode(ends).alias("e")).groupBy(F.col("e.c").alias("c")).agg(F.sum("e.w").alias("w"))
+    place = F.col("c") * step  # from the smallest value
+    first = F.greatest(F.lit(0), F.ceil((place - REACH * h) / gap))
+    last = F.least(F.lit(points - 1), F.floor((place + REACH * h) / gap))
+    near = mesh.where(first <= last).select("w", place.alias("p"), F.explode(F.sequence(first, last)).alias("i"))
+    z = (F.col("i") * gap - F.col("p")) / h
+    k = F.col("w") * F.exp(-0.5 * z * z) / (n * h * math.sqrt(2 * math.pi))
+    sums = near.groupBy("i").agg(F.sum(k).alias("density"))
+    grid = df.sparkSession.range(points).select(F.col("id").alias("i"))
+    return grid.join(F.broadcast(sums), "i", "left").select((F.lit(mn) + F.col("i") * gap).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))

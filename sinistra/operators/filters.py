@@ -41,9 +41,10 @@ def num_col(df: DataFrame | None, c: str) -> Column:
     """A numeric column as is (so range predicates reach the Parquet scan;
     NaN sorts above every value, so an upper bound already excludes it),
     text through ``try_cast``."""
-    if df is not None and dict(df.dtypes).get(c, "").split("(")[0] in NUMERIC_TYPES:
-        return F.col(c).cast("double")
-    return to_double(c)
+    kind = dict(df.dtypes).get(c, "").split("(")[0] if df is not None else ""
+    if kind in ("int", "bigint", "smallint", "tinyint"):
+        return F.col(c)
+    return F.col(c).cast("double") if kind in NUMERIC_TYPES else to_double(c)
 
 
 def p_amount_range(target: str = "montant_charge_brut", lo: float = 10, hi: float = 500000,
@@ -73,7 +74,8 @@ def p_risk_types(col: str, values: Sequence[str]) -> Column:
 def p_range(col: str, lo: float | None = None, hi: float | None = None,
             lo_strict: bool = False, hi_strict: bool = False, df: DataFrame | None = None) -> Column:
     x = num_col(df, col)
-    cond = x.isNotNull() & ~F.isnan(x) if df is not None and hi is None else x.isNotNull()
+    floating = df is not None and dict(df.dtypes).get(col) in ("double", "float")
+    cond = x.isNotNull() & ~F.isnan(x) if floating and hi is None else x.isNotNull()
     if lo is not None:
         cond = cond & ((x > lo) if lo_strict else (x >= lo))
     if hi is not None:
@@ -87,8 +89,19 @@ def filter_valid_claim(df, flag="est_dans_sin_cluster"):
     return df.where(p_valid_claim(df, flag))
 
 
-def filter_closed(df, status="statut_sinistre"):
-    return df.where(p_closed(status))
+def filter_closed(df, status="statut_sinistre", max_levels=1000):
+    """Rows of a closed status, whatever its case. Where the column has at most
+    ``max_levels`` statuses, those that are closed are looked up first, so that
+    the filter is a list that the Parquet reader can push down."""
+    spelled = df.where(p_closed(status)).select(status).distinct().limit(max_levels + 1).collect()
+    if len(spelled) > max_levels:
+        return df.where(p_closed(status))
+    return df.where(F.col(status).isin([r[0] for r in spelled]))
+
+
+def building_age_bounds(year: str, ref_year: int, lo: float, hi: float, df: DataFrame | None = None) -> Column:
+    """lo <= ref_year - year <= hi, written as bounds on the year."""
+    return p_range(year, ref_year - hi, ref_year - lo, df=df)
 
 
 def filter_amount_range(df, target="montant_charge_brut", lo=10, hi=500000):

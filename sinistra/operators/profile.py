@@ -220,11 +220,25 @@ def categorical_profile(df: DataFrame, target: str, max_cols: int = 10, max_leve
     levels: count and mean target per level (one unpivot, one groupBy)."""
     txt = list(cols) if cols else text_columns(df)
     if not cols:
-        # level counts from one unpivot (no per-column Expand of the input)
-        nd = {r["variable"]: r["distinct"] for r in distinct_counts(df, txt).collect()}
-        txt = [c for c in txt if nd.get(c, 0) < max_levels][:max_cols]
+        txt = few_level_columns(df, txt, max_levels - 1, max_cols)
     long = df.select(to_double(target).alias("_t"), *[F.col(c).cast("string").alias(c) for c in txt]).unpivot(
         ["_t"], txt, "variable", "level")
     return long.groupBy("variable", "level").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("_t").alias("target_mean"),
         F.count("_t").cast("bigint").alias("target_count"))
+
+
+def few_level_columns(df: DataFrame, cols: Sequence[str], max_levels: int, max_cols: int | None = None) -> list[str]:
+    """The first ``max_cols`` of ``cols`` with 1 to ``max_levels`` levels."""
+    nd = {r["variable"]: r["distinct"] for r in distinct_counts(df, cols).collect()} if cols else {}
+    return [c for c in cols if 0 < nd.get(c, 0) <= max_levels][:max_cols]
+
+
+def category_means(df: DataFrame, target: str, max_levels: int = 10, max_cols: int = 4) -> DataFrame:
+    """Mean and count of the target by level of the first ``max_cols`` text
+    columns with at most ``max_levels`` levels: (variable, level, mean, count)."""
+    txt = few_level_columns(df, text_columns(df), max_levels, max_cols)
+    if not txt:
+        return df.sparkSession.createDataFrame([], "variable string, level string, mean double, count bigint")
+    long = df.select(to_double(target).alias("_t"), *[F.col(c) for c in txt]).unpivot(["_t"], txt, "variable", "level")
+    return long.where(F.col("level").isNotNull()).groupBy("variable", "level").agg(F.avg("_t").alias("mean"), F.count("_t").cast("bigint").alias("count"))

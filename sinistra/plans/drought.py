@@ -342,7 +342,7 @@ def rga_vs_amount(df: DataFrame, rga: str = "risque_rga_gcl", with_quantreg: boo
     """Ordered RGA level vs amount: winsorised robust summary per level,
     Kruskal + epsilon squared, Spearman trend on the level code (monotone if
     rho > 0 and p < .05), Dunn (Holm), Cliff's delta for every pair, quantile
-    regression slopes at .5 and .9."""
+    regression slopes and their p at .5 and .9."""
     code = {v: i for i, v in enumerate(RGA_ORDER)}
     d = df.select(map_expr(RGA_SYNONYMS, F.lower(F.col(rga).cast("string"))).alias("rga"), to_double(TARGET).alias("_y")).where(
         F.col("rga").isNotNull() & (F.col("_y") > 0))
@@ -360,7 +360,7 @@ def rga_vs_amount(df: DataFrame, rga: str = "risque_rga_gcl", with_quantreg: boo
     if with_quantreg:
         from .suites import quantile_regression
         for q in (0.5, 0.9):
-            parts.append(tidy(quantile_regression(d, "_code", "_y", q), f"quantreg_q{int(q * 100)}", None, ["slope"]))
+            parts.append(tidy(quantile_regression(d, "_code", "_y", q), f"quantreg_q{int(q * 100)}", None, ["slope", "slope_p"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

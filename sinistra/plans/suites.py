@@ -4,6 +4,7 @@ sequence, rule flags, key findings, segmentation and variable ranking."""
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.casting import as_double, clean_text, to_double, to_timestamp_any
-from ..functions.special import f_sf
-from ..operators import binning, correlation, profile, summary, temporal, tests
+from ..functions.special import f_sf, t_sf2
+from ..operators import binning, correlation, profile, ranks, summary, temporal, tests
 from ..operators.binning import cut_expr
+from ..session import scratch_table
 
 TARGET = "montant_charge_brut"
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
@@ -278,11 +280,11 @@ def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter:
     two-column data, and each of them cuts the polygon. It ends when no point
     left can lower the mean loss by more than ``tol`` of it (or 1e-14 of the
     standard deviation of y); a fit that does not get there in ``max_iter``
-    iterations raises. No rows give nulls."""
-    from pyspark import StorageLevel
+    iterations raises. No rows give nulls. Where several lines reach the
+    minimum (a median between two values), the one found is one of them.
 
-    d = df.select(to_double(x).alias("x"), to_double(y).alias("y")).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    Standard errors and p come from :func:`_slope_inference`."""
+    with scratch_table(df.select(to_double(x).alias("x"), to_double(y).alias("y")).na.drop(), "quantreg") as d:
         n, mx, my, sx, sy = d.agg(F.count(F.lit(1)), F.avg("x"), F.avg("y"), F.stddev_pop("x"), F.stddev_pop("y")).first()
         a = b = None
         it, done = 0, False
@@ -326,7 +328,40 @@ def quantile_regression(df: DataFrame, x: str, y: str, q: float = 0.5, max_iter:
                     side, done = 100 * side, False
             b = at[1] * sy / sx
             a = my + sy * at[0] - b * mx
-    finally:
-        d.unpersist()
-    return df.sparkSession.createDataFrame([(float(q), b, a, it, done)],
-                                            "quantile double, slope double, intercept double, iterations int, converged boolean")
+        se = t = p = None
+        if n and n > 2:
+            se, t, p = _slope_inference(d, q, a, b, n, sy)
+    return df.sparkSession.createDataFrame([(float(q), b, a, se, t, p, it, done)], "quantile double, slope double, intercept double, "
+                                            "slope_std_err double, slope_t double, slope_p double, iterations int, converged boolean")
+
+
+def _slope_inference(d: DataFrame, q: float, a: float, b: float, n: int, sy: float) -> tuple[float | None, float | None, float | None]:
+    """Standard error, t and two-sided p (n - 2 df) of the slope of a fitted
+    quantile line, from one aggregate at the line: the density of the residuals
+    at 0 by an Epanechnikov kernel of Hall-Sheather bandwidth, and the sandwich
+    (X'X)^-1 X'DX (X'X)^-1 with D = (q / f)^2 above the line, ((1 - q) / f)^2
+    elsewhere. Nulls when the residuals have no spread."""
+    normal = statistics.NormalDist()
+    z = normal.inv_cdf(q)
+    h = n ** (-1 / 3) * normal.inv_cdf(0.975) ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+    e = F.col("y") - F.lit(a) - F.lit(b) * F.col("x")
+    low, high = ranks.quantile_values(d.select(e.alias("e")), "e", [0.25, 0.75])
+    if not (0 < q - h and q + h < 1) or high <= low:
+        return None, None, None
+    width = min(sy, (high - low) / 1.34) * (normal.inv_cdf(q + h) - normal.inv_cdf(q - h))
+    u = e / F.lit(width)
+    above = F.when(e > 0, 1.0).otherwise(0.0)
+    v = F.col("x")
+    row = d.agg(F.sum(F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0)), F.sum(v), F.sum(v * v), F.sum(above), F.sum(above * v), F.sum(above * v * v)).first()
+    kernel, sx, sxx, k, kx, kxx = row
+    density, det = kernel / (n * width), n * sxx - sx * sx
+    if not density or det <= 0:
+        return None, None, None
+    up, down = (q / density) ** 2, ((1 - q) / density) ** 2
+    m0, m1, m2 = (up * s + down * (t - s) for s, t in ((k, n), (kx, sx), (kxx, sxx)))
+    # second row of (X'X)^-1 is (-sx, n) / det
+    var = (sx * sx * m0 - 2 * sx * n * m1 + n * n * m2) / (det * det)
+    if var <= 0:
+        return None, None, None
+    se = math.sqrt(var)
+    return se, b / se, t_sf2(b / se, n - 2)

@@ -178,22 +178,28 @@ def q_value_counts(spark, sf):
     return profile.value_counts(C(spark, sf), "ville")
 
 
-_CAT = ["statut_sinistre", "risque_rga_gcl", "type_mur_batiment", "ville", "est_dans_sin_cluster"]
+def _by_level(rows: str, cols, max_levels: int, max_cols: int) -> str:
+    """``rows`` for the text columns that the selection rule takes, the rule
+    being worked out in SQL: the first ``max_cols`` with few enough levels."""
+    rule = " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS variable, count(DISTINCT {c}) AS k FROM claims" for i, c in enumerate(cols))
+    return f"""WITH _k AS ({rule}), _s AS (SELECT variable FROM _k WHERE k BETWEEN 1 AND {max_levels} ORDER BY place LIMIT {max_cols}),
+_a AS ({" UNION ALL ".join(rows.format(c=c) for c in cols)})
+SELECT _a.* FROM _a JOIN _s USING (variable)"""
 
 
-@register("categorical_profile", _union(_CAT, """SELECT '{c}' AS variable, {c} AS level, CAST(count(*) AS BIGINT) AS count,
- round(avg(montant_charge_brut), 4) AS target_mean, CAST(count(montant_charge_brut) AS BIGINT) AS target_count
- FROM claims GROUP BY {c}"""))
+_TEXT = ["police", "cod_sin", "statut_sinistre", "risque_rga_gcl", "type_mur_batiment", "cpostal", "ville", "est_dans_sin_cluster"]
+
+
+@register("categorical_profile", _by_level("""SELECT '{c}' AS variable, {c} AS level, CAST(count(*) AS BIGINT) AS count,
+ round(avg(montant_charge_brut), 4) AS target_mean, CAST(count(montant_charge_brut) AS BIGINT) AS target_count FROM claims GROUP BY {c}""", _TEXT, 49, 10))
 def q_categorical_profile(spark, sf):
-    return rnd(profile.categorical_profile(C(spark, sf), TARGET, cols=_CAT))
+    return rnd(profile.categorical_profile(C(spark, sf), TARGET, max_cols=10, max_levels=50))
 
 
-@register("category_means", """
-SELECT statut_sinistre, round(avg(montant_charge_brut), 4) AS mean, CAST(count(montant_charge_brut) AS BIGINT) AS count
-FROM claims GROUP BY statut_sinistre""")
+@register("category_means", _by_level("""SELECT '{c}' AS variable, {c} AS level, round(avg(montant_charge_brut), 4) AS mean,
+ CAST(count(montant_charge_brut) AS BIGINT) AS count FROM claims WHERE {c} IS NOT NULL GROUP BY {c}""", _TEXT, 10, 4))
 def q_category_means(spark, sf):
-    d = C(spark, sf)
-    return rnd(d.groupBy("statut_sinistre").agg(F.avg(TARGET).alias("mean"), F.count(TARGET).cast("bigint").alias("count")))
+    return rnd(profile.category_means(C(spark, sf), TARGET, max_levels=10, max_cols=4))
 
 
 @register("distinct_counts", _union(NUM + TXT, "SELECT '{c}' AS variable, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct FROM claims"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import binning
 from . import register
 from .common import C, TARGET
-from .q_aggregates import rnd
+from .q_aggregates import NUM, rnd
 
 AGE_EDGES = [0, 20, 40, 60, float("inf")]
 # Age and surface class labels.
@@ -69,7 +69,7 @@ def q_winsorize(spark, sf):
     return rnd(binning.winsorize(C(spark, sf).select("cod_sin", TARGET), TARGET))
 
 
-_CLIP = ["montant_charge_brut", "prime", "engagements", "surface_police", "weather_precip_mean"]
+_CLIP = NUM
 
 
 def _clip_sql():

@@ -9,6 +9,7 @@ from ..plans import drought as D
 from . import register
 from .common import C, TARGET
 from .q_aggregates import rnd
+from .q_domain import _BUILD_CTE
 
 
 @register("histogram_bins", """
@@ -65,12 +66,26 @@ def q_floors_curve(spark, sf):
     return rnd(charts.floors_median_curve(C(spark, sf), TARGET, "nb_etages_batiment"))
 
 
-@register("score_bin_boxes", None)
+@register("score_bin_boxes", f"""WITH {_BUILD_CTE},
+_s AS (SELECT building_vulnerability_score AS s, montant_charge_brut AS y FROM bs),
+_r AS (SELECT min(s) AS a, max(s) AS z FROM _s),
+_c AS (SELECT CAST(least(5, greatest(1, ceil((s - lo) / ((hi - lo) / 5)))) AS INTEGER) AS score_bin, y FROM _s,
+       (SELECT CASE WHEN a = z THEN a - abs(a) * 0.001 ELSE a END AS lo, CASE WHEN a = z THEN z + abs(z) * 0.001 ELSE z END AS hi FROM _r) WHERE s IS NOT NULL)
+SELECT score_bin, CAST(count(y) AS BIGINT) AS count, round(quantile_cont(y, 0.25), 4) AS q1, round(quantile_cont(y, 0.5), 4) AS median,
+       round(quantile_cont(y, 0.75), 4) AS q3 FROM _c WHERE y IS NOT NULL GROUP BY score_bin""")
 def q_score_boxes(spark, sf):
     d = D.score_building(C(spark, sf), 2025)
     return rnd(charts.score_bin_boxes(d, TARGET, "building_vulnerability_score"))
 
 
-@register("density_grid", None)
+@register("density_grid", f"""
+WITH d AS (SELECT montant_charge_brut AS x FROM claims WHERE montant_charge_brut IS NOT NULL),
+p AS (SELECT CAST(count(*) AS DOUBLE) AS n, min(x) AS mn, (max(x) - min(x)) / 199 AS gap, stddev_samp(x) * power(count(*), -0.2) AS h FROM d),
+a AS (SELECT (x - mn) / (h / {charts.MESH}) AS cell FROM d, p),
+m AS (SELECT c, sum(w) AS w FROM (SELECT floor(cell) AS c, 1 - (cell - floor(cell)) AS w FROM a UNION ALL SELECT floor(cell) + 1, cell - floor(cell) FROM a) GROUP BY c)
+SELECT round(mn + i * gap, 4) AS x, round(1e6 * coalesce(sum(w * exp(-0.5 * power((i * gap - c * h / {charts.MESH}) / h, 2)) / (n * h * sqrt(2 * pi()))), 0), 6) AS density
+FROM p, range(0, 200) g(i), m WHERE abs(i * gap - c * h / {charts.MESH}) <= {charts.REACH} * h GROUP BY i, mn, gap""")
 def q_density(spark, sf):
-    return charts.density_grid(C(spark, sf), TARGET)
+    """Densities of amounts are small: shown times a million."""
+    d = charts.density_grid(C(spark, sf), TARGET)
+    return d.select(F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density"))

@@ -138,52 +138,56 @@ es AS (SELECT _ep.*, least(greatest((coalesce(_pp, 0) + coalesce(_pe, 0) + _pr)
         / ((CASE WHEN _pp IS NULL THEN 0 ELSE 1 END) + (CASE WHEN _pe IS NULL THEN 0 ELSE 1 END) + 1), 0.0), 1.0) AS exposure_score FROM _ep)"""
 
 
-def _describe_sql(src: str, col: str) -> str:
-    return (f"SELECT CAST(count({col}) AS BIGINT) AS count, round(avg({col}), 6) AS mean, round(stddev_samp({col}), 6) AS std, "
-            f"round(min({col}), 6) AS min, round(quantile_cont({col}, 0.25), 6) AS q25, round(quantile_cont({col}, 0.5), 6) AS median, "
-            f"round(quantile_cont({col}, 0.75), 6) AS q75, round(max({col}), 6) AS max FROM {src}")
+def _score_sql(src: str, col: str) -> str:
+    return f"SELECT cod_sin, round({col}, 9) AS {col} FROM {src}"
 
 
-def _describe(df, col):
-    from ..operators import summary
-    s = summary.summarize(df, col, (), ("count", "mean", "std", "min", "max"), {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return s.select(F.col("count").cast("bigint").alias("count"),
-                    *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")])
+def _score(df, col):
+    return df.select("cod_sin", F.round(col, 9).alias(col))
 
 
-@register("score_building", f"WITH {_BUILD_CTE} " + _describe_sql("bs", "building_vulnerability_score"))
+@register("score_building", f"WITH {_BUILD_CTE} " + _score_sql("bs", "building_vulnerability_score"))
 def q_score_building(spark, sf):
-    return _describe(D.score_building(C(spark, sf), REF), "building_vulnerability_score")
+    return _score(D.score_building(C(spark, sf), REF), "building_vulnerability_score")
 
 
 _WALL = "coalesce(CASE lower(type_mur_batiment) WHEN 'parpaing' THEN 0.5 WHEN 'brique' THEN 0.6 WHEN 'pierre' THEN 0.7 WHEN 'bois' THEN 0.55 WHEN 'béton' THEN 0.45 END, 0.5)"
+_VULN_SQL = f"WITH {_BUILD_CTE}, v AS (SELECT cod_sin, least(greatest((building_vulnerability_score + {_WALL}) / 2, 0.0), 1.0) AS vulnerability_score FROM bs) "
 
 
-@register("score_vulnerability", f"""WITH {_BUILD_CTE},
-v AS (SELECT least(greatest((building_vulnerability_score + {_WALL}) / 2, 0.0), 1.0) AS s FROM bs)
-SELECT CAST(count(s) AS BIGINT) AS count, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std, round(min(s), 6) AS min,
-       round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.75), 6) AS q75,
-       round(max(s), 6) AS max FROM v""")
+@register("score_vulnerability", _VULN_SQL + _score_sql("v", "vulnerability_score"))
 def q_score_vuln(spark, sf):
-    from ..operators import summary
-    d = D.score_vulnerability(C(spark, sf), REF)
-    s = summary.summarize(d, "vulnerability_score", (), ("count", "mean", "std", "min", "max"), {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return s.select(F.col("count").cast("bigint").alias("count"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "median", "q75", "max")])
+    return _score(D.score_vulnerability(C(spark, sf), REF), "vulnerability_score")
 
 
-@register("score_exposure", f"WITH {_EXPO_CTE} " + _describe_sql("es", "exposure_score"))
+@register("score_exposure", f"WITH {_EXPO_CTE} " + _score_sql("es", "exposure_score"))
 def q_score_exposure(spark, sf):
-    return _describe(D.score_exposure(C(spark, sf)), "exposure_score")
+    return _score(D.score_exposure(C(spark, sf)), "exposure_score")
 
 
 @register("score_climate", """
 WITH m AS (SELECT min(weather_precip_mean) AS pa, max(weather_precip_mean) AS pb, min(weather_temp_mean) AS ta, max(weather_temp_mean) AS tb FROM claims),
-sc AS (SELECT least(greatest(coalesce((1 - (weather_precip_mean - pa) / greatest(pb - pa, 1e-9)) * 0.5
+sc AS (SELECT cod_sin, least(greatest(coalesce((1 - (weather_precip_mean - pa) / greatest(pb - pa, 1e-9)) * 0.5
                                      + (weather_temp_mean - ta) / greatest(tb - ta, 1e-9) * 0.5, 0.5), 0.0), 1.0) AS climate_risk_score
        FROM claims, m)
-""" + _describe_sql("sc", "climate_risk_score"))
+""" + _score_sql("sc", "climate_risk_score"))
 def q_score_climate(spark, sf):
-    return _describe(D.score_climate(C(spark, sf)), "climate_risk_score")
+    return _score(D.score_climate(C(spark, sf)), "climate_risk_score")
+
+
+SCORE_METRICS = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
+
+
+def score_summary_sql(col: str, src: str) -> str:
+    return (f"SELECT CAST(count({col}) AS BIGINT) AS count, round(avg({col}), 6) AS mean, round(stddev_samp({col}), 6) AS std, "
+            f"round(min({col}), 6) AS min, round(quantile_cont({col}, 0.25), 6) AS q25, round(quantile_cont({col}, 0.5), 6) AS median, "
+            f"round(quantile_cont({col}, 0.75), 6) AS q75, round(max({col}), 6) AS max FROM {src}")
+
+
+def score_summary(df, col):
+    from ..operators import summary
+    s = summary.summarize(df, col, (), ("count", "mean", "std", "min", "max"), {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return s.select(F.col("count").cast("bigint").alias("count"), *[F.round(c, 6).alias(c) for c in SCORE_METRICS[1:]])
 
 
 _PRSRC = _src("prime", extra="AND prime > 0")

@@ -59,10 +59,9 @@ SELECT * FROM claims WHERE montant_charge_brut > 0 AND 2025 - annee_construction
   AND nb_pieces_police BETWEEN 0 AND 20 AND nb_etages_batiment BETWEEN 0 AND 30 AND annee_construction_batiment > 1800""")
 def q_domain_ranges(spark, sf):
     d = C(spark, sf)
-    age = F.lit(2025.0) - F.col("annee_construction_batiment")
-    return d.where(filters.p_range(TARGET, 0, lo_strict=True, df=d) & age.between(0, 200)
-                   & filters.p_range("nb_pieces_police", 0, 20) & filters.p_range("nb_etages_batiment", 0, 30)
-                   & filters.p_range("annee_construction_batiment", 1800, lo_strict=True))
+    return d.where(filters.p_range(TARGET, 0, lo_strict=True, df=d) & filters.building_age_bounds("annee_construction_batiment", 2025, 0, 200, d)
+                   & filters.p_range("nb_pieces_police", 0, 20, df=d) & filters.p_range("nb_etages_batiment", 0, 30, df=d)
+                   & filters.p_range("annee_construction_batiment", 1800, lo_strict=True, df=d))
 
 
 @register("drop_null_target", "SELECT * FROM claims WHERE engagements IS NOT NULL")

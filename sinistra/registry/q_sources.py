@@ -10,7 +10,7 @@ from ..sources import io
 from ..sources.claims import _digest, claims_table, materialize
 from . import register
 from .common import C, TARGET
-from .q_aggregates import rnd
+from .q_aggregates import _DESC, _union, NUM, rnd
 
 CSV_COLS = "police STRING, cod_sin STRING, montant_charge_brut DOUBLE, statut_sinistre STRING, risque_rga_gcl STRING, cpostal STRING, surface_police DOUBLE"
 
@@ -99,32 +99,45 @@ def _out(spark, stem, suffix=""):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks/{stem}-{uuid.uuid4().hex}{suffix}"
 
 
-@register("sink_csv", None)
+@register("sink_csv", "SELECT * FROM claims")
 def q_sink_csv(spark, sf):
-    p = io.sink_csv(C(spark, sf), _out(spark, "claims", ".csv"))
-    return io.scan_dispatch(spark, p)
+    """Every row and column, read back with the types they had."""
+    d = C(spark, sf)
+    p = io.sink_csv(d, _out(spark, "claims", ".csv"))
+    return spark.read.schema(d.schema).option("header", True).csv(p)
+
+
+def _describe_sql():
+    return f"SELECT 'describe' AS \"table\", CAST(NULL AS VARCHAR) AS statut_sinistre, * FROM ({_union(NUM, _DESC)})"
 
 
-@register("sink_result_tables", None)
+def _group_sql():
+    return """SELECT 'group_statut' AS "table", statut_sinistre, CAST(count(montant_charge_brut) AS BIGINT) AS count, round(avg(montant_charge_brut), 4) AS mean,
+ round(quantile_cont(montant_charge_brut, 0.5), 4) AS median, round(stddev_samp(montant_charge_brut), 4) AS std, round(min(montant_charge_brut), 4) AS min,
+ round(max(montant_charge_brut), 4) AS max, round(count(montant_charge_brut) * 100.0 / sum(count(montant_charge_brut)) OVER (), 1) AS percentage
+ FROM claims WHERE statut_sinistre IS NOT NULL AND montant_charge_brut IS NOT NULL GROUP BY statut_sinistre"""
+
+
+@register("sink_result_tables", f"SELECT * FROM ({_group_sql()}) UNION ALL BY NAME SELECT * FROM ({_describe_sql()})")
 def q_sink_tables(spark, sf):
     """All tables read back, one below the other with the name of each."""
     from ..operators import profile, summary
 
     d = C(spark, sf)
     out = _out(spark, "results")
-    tables = {"group_statut": summary.group_stats(d, "statut_sinistre", TARGET),
-              "describe": profile.describe_numeric(d, profile.numeric_columns(d))}
+    tables = {"group_statut": rnd(summary.group_stats(d, "statut_sinistre", TARGET, digits=None), skip=("percentage",)),
+              "describe": rnd(profile.describe_numeric(d, NUM))}
     io.sink_result_tables(tables, out, "csv")
-    first, *more = [spark.read.option("header", True).csv(f"{out}/{name}").withColumn("table", F.lit(name)) for name in tables]
+    first, *more = [spark.read.schema(t.schema).option("header", True).csv(f"{out}/{name}").withColumn("table", F.lit(name)) for name, t in tables.items()]
     for t in more:
         first = first.unionByName(t, allowMissingColumns=True)
     return first
 
 
-@register("sink_json", None)
+@register("sink_json", _union(NUM, _DESC))
 def q_sink_json(spark, sf):
     from ..operators import profile
 
-    d = C(spark, sf)
-    p = io.sink_json(profile.describe_numeric(d, profile.numeric_columns(d)), _out(spark, "describe", ".json"))
-    return io.scan_dispatch(spark, p)
+    d = rnd(profile.describe_numeric(C(spark, sf), NUM))
+    p = io.sink_json(d, _out(spark, "describe", ".json"))
+    return spark.read.schema(d.schema).json(p)

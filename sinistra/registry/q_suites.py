@@ -12,7 +12,9 @@ from ..plans import suites as X
 from . import REGISTRY, register
 from . import sqlgen as S
 from .common import C, TARGET
+from ..sources.claims import with_claims
 from .q_aggregates import NUM, rnd
+from .q_domain import _VULN_SQL, REF, SCORE_METRICS, score_summary, score_summary_sql
 from .sqlsnips import avg_rank, chi2_p, corr_p, f_p, kruskal_sql
 
 
@@ -38,16 +40,15 @@ def q_climate_impact(spark, sf):
 
 
 _VULN = ["vuln_age", "vuln_surface", "vuln_wall_type", "vuln_rooms"]
-_SCORE_M = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
 
 
 @register("building_vulnerability", S.union(
     _union_parts(_VULN),
-    S.tagged("score_vulnerability", S.tidy("score", REGISTRY["score_vulnerability"].sql, _SCORE_M, level=None, digits=None))),
+    S.tagged("score_vulnerability", S.tidy("score", with_claims(_VULN_SQL + score_summary_sql("vulnerability_score", "v")), SCORE_METRICS, level=None, digits=None))),
     claims=False)
 def q_building_vuln(spark, sf):
-    sc = REGISTRY["score_vulnerability"].build(spark, sf)
-    score = D.tidy(sc, "score", None, _SCORE_M).withColumn("analysis", F.lit("score_vulnerability"))
+    sc = score_summary(D.score_vulnerability(C(spark, sf), REF), "vulnerability_score")
+    score = D.tidy(sc, "score", None, SCORE_METRICS).withColumn("analysis", F.lit("score_vulnerability"))
     return _build_union(spark, sf, _VULN).unionByName(score.select("analysis", "part", "level", "metric", "value"))
 
 
@@ -68,7 +69,6 @@ _GS_M = ["count", "mean", "median", "std", "min", "max", "percentage"]
 
 
 def _gs_sql(c):
-    from ..sources.claims import with_claims
     return with_claims(f"""SELECT {c}, CAST(count(montant_charge_brut) AS BIGINT) AS count, round(avg(montant_charge_brut), 4) AS mean,
        round(quantile_cont(montant_charge_brut, 0.5), 4) AS median, round(stddev_samp(montant_charge_brut), 4) AS std,
        round(min(montant_charge_brut), 4) AS min, round(max(montant_charge_brut), 4) AS max,
@@ -77,7 +77,6 @@ FROM claims WHERE {c} IS NOT NULL AND montant_charge_brut IS NOT NULL GROUP BY {
 
 
 def _kw_sql(c):
-    from ..sources.claims import with_claims
     return with_claims("WITH " + kruskal_sql("claims", c, "montant_charge_brut", chi2_p("H", "(k - 1.0)")) + """
 SELECT round(H, 6) AS statistic, CAST(k AS BIGINT) AS groups_count, CAST(N AS BIGINT) AS n, round((H - k + 1) / (N - 1), 6) AS epsilon_sq,
        round(p, 6) AS p_value FROM _kp""")
@@ -326,28 +325,39 @@ def q_insights(spark, sf):
     return X.insight_rules(C(spark, sf)).withColumn("value", places)
 
 
-@register("data_dictionary", """
-WITH l AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS v FROM claims" for c in
-                                  ["police", "statut_sinistre", "risque_rga_gcl", "nb_pieces_police", "ville", "montant_charge_brut"]) + """),
+# the claims view's columns and types
+_TYPES = ({c: "string" for c in ("police", "cod_sin", "statut_sinistre", "risque_rga_gcl", "type_mur_batiment", "cpostal", "ville", "est_dans_sin_cluster")}
+          | {c: "double" for c in NUM})
+_AMOUNTS = {"nb_etages_batiment": "bigint", "nb_pieces_police": "int", "annee_construction_batiment": "bigint"}
+
+
+def _dictionary_sql():
+    text = lambda c: f"CAST({c} AS VARCHAR)"
+    types = _TYPES | _AMOUNTS | _OTHERS
+    long = " UNION ALL ".join(f"SELECT '{c}' AS variable, {text(c)} AS v FROM claims" for c in _DICTIONARY)
+    number = lambda c: c in NUM
+    stats = " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, '{types[c]}' AS dtype, count({c}) AS nn, count(*) AS rows, "
+        + ", ".join(f"{f'CAST({fn}({c}) AS DOUBLE)' if number(c) else 'CAST(NULL AS DOUBLE)'} AS {name}"
+                    for fn, name in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_samp", "std"))) + " FROM claims" for c in _DICTIONARY)
+    return f"""WITH l AS ({long}),
 vc AS (SELECT variable, v, count(*) AS c FROM l WHERE v IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY c DESC, v) AS rn FROM vc),
 t AS (SELECT variable, string_agg(v || ' (' || CAST(c AS VARCHAR) || ')', ', ' ORDER BY rn) AS top_values FROM r WHERE rn <= 3 GROUP BY 1),
 d AS (SELECT variable, count(*) AS distinct FROM vc GROUP BY 1),
-s AS (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS variable, '{t}' AS dtype, count({c}) AS nn, count(*) AS rows, {mn} AS min, {mx} AS max, {av} AS mean, {sd} AS std FROM claims"
-    for c, t, mn, mx, av, sd in [
-        ("police", "string", "NULL", "NULL", "NULL", "NULL"), ("statut_sinistre", "string", "NULL", "NULL", "NULL", "NULL"),
-        ("risque_rga_gcl", "string", "NULL", "NULL", "NULL", "NULL"),
-        ("nb_pieces_police", "int", "min(nb_pieces_police)", "max(nb_pieces_police)", "avg(nb_pieces_police)", "stddev_samp(nb_pieces_police)"),
-        ("ville", "string", "NULL", "NULL", "NULL", "NULL"),
-        ("montant_charge_brut", "double", "min(montant_charge_brut)", "max(montant_charge_brut)", "avg(montant_charge_brut)", "stddev_samp(montant_charge_brut)")]) + """)
+s AS ({stats})
 SELECT s.variable, dtype, CAST(nn AS BIGINT) AS non_null, CAST(rows - nn AS BIGINT) AS null, round((rows - nn) * 100.0 / rows, 4) AS null_pct,
-       CAST(d.distinct AS BIGINT) AS distinct, round(CAST(min AS DOUBLE), 4) AS min, round(CAST(max AS DOUBLE), 4) AS max,
-       round(CAST(mean AS DOUBLE), 4) AS mean, round(CAST(std AS DOUBLE), 4) AS std, top_values
-FROM s LEFT JOIN d USING (variable) LEFT JOIN t USING (variable)""")
+       CAST(d.distinct AS BIGINT) AS distinct, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(std, 4) AS std, top_values
+FROM s LEFT JOIN d USING (variable) LEFT JOIN t USING (variable)"""
+
+
+_OTHERS = {"date_sinistre": "timestamp_ntz", "date_cloture_sinistre": "timestamp_ntz", "risk_flag": "boolean"}
+_DICTIONARY = [*_TYPES, *_OTHERS]
+
+
+@register("data_dictionary", _dictionary_sql())
 def q_dictionary(spark, sf):
-    d = C(spark, sf).select("police", "statut_sinistre", "risque_rga_gcl", "nb_pieces_police", "ville", "montant_charge_brut")
-    return rnd(profile.data_dictionary(d), 4)
+    return rnd(profile.data_dictionary(C(spark, sf)), 4)
 
 
 _CLEAN_NUM = ["montant_charge_brut", "prime", "engagements", "surface_police", "surface_batiment", "nb_etages_batiment",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. ANSI stays on (Spark 4 default): every cast
 # that may fail is a try_cast, every division a try_divide.
@@ -20,13 +22,19 @@ BASE_CONF = {
 }
 
 
+def _half_of_memory() -> str:
+    """At most half of the machine's memory, and 16 GB, for a local JVM."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    return f"{max(1024, min(16 * 1024, total // 2**21))}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sinistra") -> SparkSession:
     """Session for tests and the local benchmark (one JVM, ``cores`` threads)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("SINISTRA_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SINISTRA_DRIVER_MEMORY", _half_of_memory()))
     )
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
@@ -51,3 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+@contextmanager
+def scratch_table(df: DataFrame, name: str):
+    """``df`` written as Parquet below the shared checkpoint folder and read
+    back, for work that scans it many times; deleted at the end."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -254,3 +254,105 @@ def test_sinks_hold_all_numeric_columns(spark, sf_dir):
     got = keys["sink_result_tables"].build(spark, sf_dir).collect()
     assert {r.variable for r in got if r.table == "describe"} == set(NUM)
     assert sum(r.table == "group_statut" for r in got) > 1
+
+
+@pytest.mark.parametrize("q", [0.5, 0.9])
+def test_quantile_regression_p(spark, q):
+    """Kernel density at the fitted line and sandwich covariance, written out."""
+    import math
+    import random
+    import statistics
+
+    import numpy as np
+
+    from sinistra.functions.special import t_sf2
+    from sinistra.plans.suites import quantile_regression
+
+    rnd = random.Random(8)
+    pts = [(float(rnd.randint(0, 3)), 1000 + 5 * k + rnd.expovariate(1) * 90) for k in range(200)]
+    r = quantile_regression(spark.createDataFrame(pts, "x double, y double"), "x", "y", q).first()
+    x, y = np.array(pts).T
+    n, nd = len(x), statistics.NormalDist()
+    z = nd.inv_cdf(q)
+    h = n ** (-1 / 3) * nd.inv_cdf(0.975) ** (2 / 3) * (1.5 * nd.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+    e = y - r.intercept - r.slope * x
+    w = min(y.std(), (np.quantile(e, 0.75) - np.quantile(e, 0.25)) / 1.34) * (nd.inv_cdf(q + h) - nd.inv_cdf(q - h))
+    u = e / w
+    f = np.where(np.abs(u) <= 1, 0.75 * (1 - u * u), 0).sum() / (n * w)
+    big = np.column_stack([np.ones(n), x])
+    d = np.where(e > 0, (q / f) ** 2, ((1 - q) / f) ** 2)
+    inv = np.linalg.inv(big.T @ big)
+    se = math.sqrt((inv @ (big.T * d) @ big @ inv)[1, 1])
+    assert r.slope_std_err == pytest.approx(se, rel=1e-6) and r.slope_t == pytest.approx(r.slope / se, rel=1e-6)
+    assert r.slope_p == pytest.approx(t_sf2(r.slope / se, n - 2), rel=1e-6)
+    flat = spark.createDataFrame([(float(i), 1.0) for i in range(9)], "x double, y double")
+    assert quantile_regression(flat, "x", "y", q).first().slope_p is None
+
+
+@pytest.mark.parametrize("n", [30, 4000])
+def test_density_error(spark, n):
+    """Within 1e-4 of the largest density of the sum over all values."""
+    import numpy as np
+
+    from sinistra.operators import charts
+
+    rnd = np.random.default_rng(n)
+    x = np.concatenate([rnd.normal(0, 1, n // 2), rnd.lognormal(1, 1.5, n - n // 2)])
+    got = charts.density_grid(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double"), "v").orderBy("x").toPandas()
+    h = x.std(ddof=1) * n ** -0.2
+    want = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - x) / h) ** 2).sum(1) / (n * h * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and np.abs(got.density - want).max() < 1e-4 * want.max()
+    assert charts.density_grid(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").count() == 0
+
+
+def test_split_join_of_hot_levels(spark, monkeypatch):
+    """One path for few levels, another for many; null keys match nothing."""
+    from collections import Counter
+
+    from sinistra.operators import levels
+
+    fact = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"l{i % 90}", i) for i in range(400)] + [(None, 1)], "k string, v int")
+    dim = spark.createDataFrame([("hot", 1), *[(f"l{i}", i) for i in range(0, 90, 2)], ("unused", 9)], "k string, code int")
+    want = {how: Counter(map(tuple, fact.join(dim, "k", how).collect())) for how in ("left", "inner", "left_semi", "left_anti")}
+    for limit, heavy in ((10_000, 1000), (5, 1), (5, 20)):
+        monkeypatch.setattr(levels, "MAX_MAP", limit)
+        monkeypatch.setattr(levels.small_table, "__defaults__", (limit,))
+        monkeypatch.setattr(levels, "HEAVY", heavy)
+        for how, rows in want.items():
+            assert Counter(map(tuple, levels.split_join(fact, dim, "k", how).collect())) == rows, (limit, how)
+
+
+def test_rows_stay_where_they_are(spark, sf_dir):
+    """With broadcast joins off, encoding exchanges no row of the fact table."""
+    from sinistra.operators import features
+    from sinistra.registry.common import C
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = C(spark, sf_dir).select("cod_sin", "type_mur_batiment")
+        state = features.fit_label_encoder(d, ["type_mur_batiment"])
+        plan = features.apply_label_encoder(d, state, ["type_mur_batiment"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_bounds_are_pushed_down(spark, sf_dir):
+    from sinistra.registry import load_all
+
+    keys = load_all()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    pushed = lambda k: keys[k].build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+    assert "In(statut_sinistre" in pushed("filter_closed")
+    got = pushed("filter_domain_ranges")
+    for c in ("montant_charge_brut", "annee_construction_batiment", "nb_pieces_police", "nb_etages_batiment"):
+        assert f"GreaterThan({c}" in got or f"GreaterThanOrEqual({c}" in got, (c, got)
+
+
+def test_onehot_has_a_bound(spark):
+    from sinistra.operators import features
+
+    d = spark.createDataFrame([(f"v{i}",) for i in range(30)] + [("v0",)], "c string")
+    with pytest.raises(ValueError):
+        features.encode_onehot(d, "c", max_levels=10)
+    assert features.encode_onehot(d, "c", max_levels=10, min_freq=2).columns == ["c", "c_v0"]
