@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casting import to_double
-from ..functions.stats import kurt_g2, skew_g1
 from . import ranks, selection
-from .summary import join_keys
+from .summary import join_keys, modes
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
@@ -72,27 +71,19 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, full: boo
 
 def target_distribution(df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """count, mean, median, mode, std, var, skew, kurt, p1..p99, heavy tails,
-    right skew, concentration (p90-p10)/median, Jarque-Bera (per group)."""
+    right skew, concentration (p90-p10)/median, Jarque-Bera (per group). Moments
+    and quantiles come from two scans; the mode needs the counts of values."""
     keys = list(keys)
     d = df.select(*keys, to_double(target).alias("_x")).where(F.col("_x").isNotNull())
-    base = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.var_samp("_x").alias("var"), skew_g1("_x").alias("skewness"), kurt_g2("_x").alias("kurtosis"),
-        F.skewness("_x").alias("_s"), F.kurtosis("_x").alias("_k"),
-    )
-    pcts = [1, 5, 10, 25, 50, 75, 90, 95, 99]
-    q = ranks.exact_quantiles(d, "_x", [p / 100 for p in pcts], keys, names=[f"p{p}" for p in pcts])
-    vc = d.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    mode = vc.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_x")).alias("_nv"))).alias("_m")).select(
-        *keys, (-F.col("_m._nv")).alias("mode"))
-    out = join_keys(join_keys(base, q, keys), mode, keys)
-    jb = F.col("count") / 6.0 * (F.col("_s") * F.col("_s") + F.col("_k") * F.col("_k") / 4.0)
+    pcts = {f"p{p}": p / 100 for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)}
+    s = ranks.group_summary(d, "_x", keys, ("count", "mean", "std", "var", "skew", "kurt", "jarque_bera"), pcts)
+    out = join_keys(s, modes(d, "_x", keys, "mode"), keys)
     return out.select(
         *keys, F.col("count").cast("bigint").alias("count"), "mean", F.col("p50").alias("median"), "mode", "std", "var",
-        "skewness", "kurtosis", *[f"p{p}" for p in pcts],
-        (F.col("kurtosis") > 3).alias("heavy_tails"), (F.col("skewness") > 1).alias("right_skewed"),
+        F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"), *pcts,
+        (F.col("kurt") > 3).alias("heavy_tails"), (F.col("skew") > 1).alias("right_skewed"),
         F.try_divide(F.col("p90") - F.col("p10"), F.col("p50")).alias("concentration_ratio"),
-        jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jarque_bera_p"),
+        "jarque_bera", F.exp(-F.col("jarque_bera") / 2).alias("jarque_bera_p"),
     )
 
 

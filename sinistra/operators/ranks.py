@@ -320,6 +320,7 @@ def _ranked_summary(df: DataFrame, value: str, keys: list[str], measures: Sequen
         "skew": F.when(nn >= 3, g1 * F.sqrt(nn * (nn - 1)) / (nn - 2)),
         "kurt": F.when(nn >= 4, (nn - 1) / ((nn - 2) * (nn - 3)) * ((nn + 1) * g2 + 6)),
         "cv": F.try_divide(F.sqrt(var), F.col("_s1") / nn),
+        "jarque_bera": F.when(m2 > 0, nn / 6 * (nn * m3 * m3 / (m2 * m2 * m2) + (nn * m4 / (m2 * m2) - 3) * (nn * m4 / (m2 * m2) - 3) / 4)),
     }
     out = [*keys, *[expr[m].alias(m) for m in measures]]
     out += [(F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name) for name, i in picks]

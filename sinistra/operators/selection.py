@@ -95,18 +95,21 @@ class Selected:
         if name == "std_pop":
             return math.sqrt(m2 / n)
         var = m2 / (n - 1) if n > 1 else None
-        if name == "var" or var is None:
+        if name in ("var", "std", "cv") and (name == "var" or var is None):
             return var
         if name == "std":
             return math.sqrt(var)
         if name == "cv":
             return math.sqrt(var) / self.mean if self.mean else None
+        # a constant column has skewness and excess kurtosis 0 (pandas)
+        g1 = math.sqrt(n) * self.m3 / m2**1.5 if m2 > 0 else 0.0
+        g2 = n * self.m4 / (m2 * m2) - 3 if m2 > 0 else None
         if name == "skew":
-            g1 = math.sqrt(n) * self.m3 / m2**1.5 if m2 > 0 else 0.0
             return g1 * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
         if name == "kurt":
-            g2 = n * self.m4 / (m2 * m2) - 3 if m2 > 0 else -6.0 / (n + 1)
-            return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n > 3 else None
+            return ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if g2 is not None else 0.0) if n > 3 else None
+        if name == "jarque_bera":
+            return None if g2 is None else n / 6 * (g1 * g1 + g2 * g2 / 4)
         raise ValueError(f"unknown measure {name}")
 
 

@@ -60,7 +60,7 @@ def summarize(
         d = df.select(*keys, F.col(value).try_cast("double").alias(value))
         d = d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
         out = ranks.group_summary(d, value, keys, measures, quantiles, trimmed)
-        return join_keys(out, _modes(d, value, keys, mode), keys) if mode else out
+        return join_keys(out, modes(d, value, keys, mode), keys) if mode else out
     aggs = [MEASURES[m](value).alias(m) for m in measures] + list(extra)
     base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
     if not aggs:
@@ -71,11 +71,11 @@ def summarize(
     if trimmed:
         base = join_keys(base, ranks.trimmed_means(df, value, keys, name=trimmed), keys)
     if mode:
-        base = join_keys(base, _modes(df, value, keys, mode), keys)
+        base = join_keys(base, modes(df, value, keys, mode), keys)
     return base
 
 
-def _modes(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+def modes(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     """Smallest of the most frequent values per group: value counts, combined
     before the shuffle."""
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
