@@ -11,7 +11,9 @@ index by (class, segment, text). k edits leave some segment i whole that has
 exactly i edits before it: it stands at most i places further left or right in
 the other line. A line therefore probes its own class, and the next lower one
 when it is less than k longer than that, with these substrings. A pair that
-meets is verified by a banded edit distance.
+meets, and whose numbers of neighbouring code points do not differ too much for
+k edits, is verified by a banded bit-parallel edit distance over what is left
+between the pair's common ends.
 
 Only the question whether an earlier line is a near copy of a line matters. The
 lines of an entry are ordered by first occurrence and meet the first ``BLOCK`` of
@@ -47,7 +49,7 @@ MANY_EDITS = 5
 #: code points of a line for each edit
 PER_EDIT = 20
 MIN_CHARS = 20
-BLOCK = 32
+BLOCK = 1
 PICK_BITS = 1 << 24
 
 
@@ -94,9 +96,9 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
     return w.select(F.xxhash64("class", "at.i", F.substring("line", start + 1, F.col("q"))).alias("key"), "h", "m", own.alias("own"))
 
 
-def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS) -> Column:
+def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS, limit: Column | None = None) -> Column:
     """Whether two arrays of code points, the first at most ``edits`` longer,
-    are within so many edits. Bit b of a vector is the row c - edits + b of
+    are within so many edits (or ``limit``, which is no more). Bit b of a vector is the row c - edits + b of
     column c; rows before the first count downwards, so the band needs no
     special case. The distance is followed along the diagonal of the result."""
     width = 2 * edits + 1
@@ -126,7 +128,7 @@ def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS) -
     start = F.struct(F.lit(sum(1 << b for b in range(edits + 1, width))).alias("vp"), F.lit((1 << (edits + 1)) - 1).alias("vn"), gap.cast("int").alias("score"))
     steps = F.sequence(F.lit(0), F.size(shorter) - 1)
     run = F.aggregate(F.when(F.size(shorter) > 0, steps).otherwise(F.array().cast("array<int>")), start, lambda s, at: advance(column(s, at)), lambda s: s["score"])
-    return (gap >= 0) & (gap <= edits) & (run <= edits)
+    return (gap >= 0) & (gap <= edits) & (run <= (F.lit(edits) if limit is None else limit))
 
 
 def _bit_above(zero: Column, gap: Column, edits: int) -> Column:
@@ -137,6 +139,59 @@ def _bit_above(zero: Column, gap: Column, edits: int) -> Column:
     return out
 
 
+def _common(a: Column, b: Column, most: Column, part) -> Column:
+    """Code points that two texts share from one end, at most ``most``: the
+    unknown rest is halved until nothing is left. ``part``: a text's code points
+    from one place to another, counted from that end."""
+
+    def halve(w: Column, _) -> Column:
+        mid = F.floor((w["lo"] + w["hi"] + 1) / 2).cast("int")
+        same = part(a, w["lo"], mid) == part(b, w["lo"], mid)
+        return F.struct(F.when(same, mid).otherwise(w["lo"]).alias("lo"), F.when(same, w["hi"]).otherwise(mid - 1).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.length(F.bin(most)))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), most.cast("int").alias("hi")), halve, lambda w: w["lo"])
+
+
+def within(a: str, b: str, limit: str, edits: int) -> Column:
+    """Whether the texts in two columns are within ``limit`` (at most ``edits``)
+    edits: what they share at their ends goes, the rest is followed by the
+    banded bit-parallel distance. Each step is a lambda over one element, as
+    Spark would work out a plain expression anew wherever it is used."""
+    longer = F.length(a) >= F.length(b)
+    texts = F.array(F.struct(F.when(longer, F.col(a)).otherwise(F.col(b)).alias("x"), F.when(longer, F.col(b)).otherwise(F.col(a)).alias("y")))
+
+    def head(s: Column) -> Column:
+        n = _common(s["x"], s["y"], F.length(s["y"]), lambda t, lo, hi: F.substring(t, lo + 1, hi - lo))
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), n.alias("n"))
+
+    def cut_head(s: Column) -> Column:
+        return F.struct(F.substring(s["x"], s["n"] + 1, F.length(s["x"])).alias("x"), F.substring(s["y"], s["n"] + 1, F.length(s["y"])).alias("y"))
+
+    def tail(s: Column) -> Column:
+        n = _common(s["x"], s["y"], F.length(s["y"]), lambda t, lo, hi: F.substring(t, F.length(t) - hi + 1, hi - lo))
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), n.alias("n"))
+
+    def points(s: Column) -> Column:
+        left = lambda t: F.substring(t, F.lit(1), F.length(t) - s["n"])
+        signs = lambda t: F.when(F.length(t) > 0, F.split(t, "")).otherwise(F.array().cast("array<string>"))
+        return F.struct(signs(left(s["x"])).alias("x"), signs(left(s["y"])).alias("y"))
+
+    for step in (head, cut_head, tail, points):
+        texts = F.transform(texts, step)
+    return F.get(F.transform(texts, lambda s: edit_distance_at_most(s["x"], s["y"], edits, F.col(limit))), 0)
+
+
+def pair_parities(line: Column) -> Column:
+    """64 bits: for each class of neighbouring code points whether their number
+    in a line is odd. One edit changes at most four such pairs."""
+    signs = F.split(line, "")
+    n = F.size(signs) - 1
+    bit = lambda x, y: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, y), F.lit(64)).cast("int"))
+    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), bit)
+    return F.aggregate(both, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(b))
+
+
 def _bitmap(hashes: DataFrame) -> DataFrame:
     """One row: a fixed-size array of 64-bit words with a bit for each hash."""
     words = PICK_BITS // 64
@@ -185,15 +240,16 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     """h of the lines that are near copies of one that first occurs earlier."""
     ranked = _ranked(docs, first, edits)
     met = ranked.select("h").distinct()
-    text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line"), "lines")
+    text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line", pair_parities(F.col("line")).alias("odd")), "lines")
     left, found, lo, step = ranked.filter("rank > 0"), [], 0, BLOCK
     while not left.isEmpty():
         early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"))
         k = allowed(F.least("m", "em"), edits)
         index = F.when(F.col("m") < F.col("em"), F.col("own")).when(F.col("m") > F.col("em"), F.col("eown")).otherwise(F.col("own") | F.col("eown"))
         pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)).select("h", "e", k.alias("k")).distinct()
-        both = pairs.join(text, "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line")), "e")
-        found.append(scratch(both.filter(F.expr("levenshtein(line, e_line, k) >= 0")).select("h").distinct(), "late"))
+        both = pairs.join(text, "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line"), F.col("odd").alias("e_odd")), "e")
+        both = both.filter(F.bit_count(F.col("odd").bitwiseXOR(F.col("e_odd"))) <= 4 * F.col("k"))
+        found.append(scratch(both.filter(within("line", "e_line", "k", edits)).select("h").distinct(), "late"))
         lo, step = lo + step, 2 * step
         left = scratch(left.filter(F.col("rank") > lo).join(found[-1], "h", "left_anti"), "left")
     out = first.select("h").limit(0)
