@@ -5,6 +5,8 @@ join the merge table, the leftmost pair of minimum rank of each word is
 contracted, and a recursive query repeats that until no word has a pair left.
 Its rounds cost the square of a word's length, so words of more than
 ``LONG_WORD`` bytes take the same contractions in the same order from a heap.
+Words go to DuckDB by their bytes, not by their number, so a long text without
+blanks takes no more memory than other texts.
 An ordered aggregation of the vocabulary's bytes decodes. A text is the
 concatenation of its pre-tokens, so documents are assembled from their words.
 
@@ -30,8 +32,10 @@ from .words import SPACES, WordTable, owner, slices, tile
 #: spans kept per worker before the table starts anew
 CACHE_WORDS = 500_000
 BATCH_WORDS = 40_000
+#: bytes of words that one recursive query contracts together
+BATCH_BYTES = 400_000
 #: bytes of the longest word that the recursive query contracts (below 2^20, its positions)
-LONG_WORD = 1024
+LONG_WORD = 256
 
 #: One step: pairs of neighbours look up their rank; a word's smallest
 #: (rank, position) is contracted; a word without a pair is final.
@@ -95,16 +99,46 @@ class RankCoder:
         todo = [w for w in words if w not in ids]
         ids.update((w, self.long_word(w)) for w in todo if len(w) > LONG_WORD)
         todo = [w for w in todo if w not in ids]
-        flat = np.frombuffer(b"".join(todo), np.uint8)
-        size = np.array([len(w) for w in todo], np.int64)
-        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(todo) else size
-        key = (np.repeat(np.arange(len(todo), dtype=np.int64), size) << 20) | (np.arange(len(flat)) - np.repeat(first, size))
+        total = np.cumsum([0] + [len(w) for w in todo])
+        lo = 0
+        while lo < len(todo):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BATCH_BYTES, "right")) - 1)
+            ids.update(self.contract(todo[lo:hi]))
+            lo = hi
+        return ids, self.decoded(words, ids)
+
+    def contract(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words, by the recursive query."""
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(size) - size
+        key = (np.repeat(np.arange(len(words), dtype=np.int64), size) << 20) | (np.arange(len(flat)) - np.repeat(first, size))
         self._table("start_rows", pa.table({"key": key, "tok": self.byte[flat]}))
         got = self.db.sql(ENCODE).to_arrow_table()
-        ids.update(zip((todo[w] for w in got.column("w").to_pylist()), got.column("ids").to_pylist()))
-        self._table("words", pa.table({"w": pa.array(range(len(words)), pa.int64()), "ids": pa.array([ids[w] for w in words], pa.list_(pa.int32()))}))
+        return dict(zip((words[w] for w in got.column("w").to_pylist()), got.column("ids").to_pylist()))
+
+    def decoded(self, words: list[bytes], ids: dict[bytes, list[int]]) -> dict[bytes, bytes]:
+        """The bytes that each word's ids decode to, at most BATCH_BYTES ids
+        together; a longer word is decoded in pieces."""
+        out: dict[bytes, list[bytes]] = {w: [] for w in words}
+        owner, pieces, size = [], [], 0
+        for w in words:
+            for lo in range(0, len(ids[w]), BATCH_BYTES):
+                piece = ids[w][lo:lo + BATCH_BYTES]
+                if size + len(piece) > BATCH_BYTES and pieces:
+                    self._decode(owner, pieces, out)
+                    owner, pieces, size = [], [], 0
+                owner.append(w)
+                pieces.append(piece)
+                size += len(piece)
+        self._decode(owner, pieces, out)
+        return {w: b"".join(p) for w, p in out.items()}
+
+    def _decode(self, owner: list[bytes], pieces: list[list[int]], out: dict[bytes, list[bytes]]) -> None:
+        self._table("words", pa.table({"w": pa.array(range(len(pieces)), pa.int64()), "ids": pa.array(pieces, pa.list_(pa.int32()))}))
         back = self.db.sql(DECODE).to_arrow_table()
-        return ids, {words[w]: bytes.fromhex(h) for w, h in zip(back.column("w").to_pylist(), back.column("hex").to_pylist())}
+        for w, h in sorted(zip(back.column("w").to_pylist(), back.column("hex").to_pylist())):
+            out[owner[w]].append(bytes.fromhex(h))
 
     def long_word(self, word: bytes) -> list[int]:
         """Ids of one word of any length: the leftmost pair of minimum rank is
