@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import worker_state
+
 #: Unicode White_Space, as \s of the public patterns means it
 SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -22,16 +24,17 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    if len(_powers.get(base, ())) <= n:
+    """base ** 0 .. base ** n modulo 2 ** 64; kept by the process, not by this
+    module, which travels with every function that uses it."""
+    held = worker_state("powers", dict)
+    if len(held.get(base, ())) <= n:
         p = np.full(max(n + 1, 1 << 20), base, np.uint64)
         p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n + 1]
+        held[base] = np.multiply.accumulate(p)
+    return held[base][:n + 1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -270,6 +270,36 @@ def test_bpe_long_words(spark, monkeypatch):
     assert [r.decoded_sha256 for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in texts] and all(r.n_tokens > 1000 for r in got)
 
 
+def test_bpe_long_texts_without_blanks():
+    """Words of 300 signs and one of 4 MB, against the library."""
+    import public_tokenizers
+    import tiktoken
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    coder = bpe.RankCoder(path)
+    signs = [chr(0x4E00 + i * 7919 % 0x5000) for i in range(1_500_000)]
+    long_word = "ab" * 2_000_000
+    for text in ("".join(c + ("" if (i + 1) % 300 else "。") for i, c in enumerate(signs)), long_word):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        (back, _), (ids, _) = coder.documents(buf, np.array([0, len(buf)]), 1, 2)
+        assert back.tobytes() == buf.tobytes() and enc.decode_bytes(ids.tolist()) == buf.tobytes()
+        if text is not long_word:
+            assert ids.tolist() == enc.encode_ordinary(text)
+
+
+def test_functions_travel_light(spark):
+    """What a task is sent does not grow with the texts the driver has hashed."""
+    from pyspark import cloudpickle
+
+    from sinistra.llm import words
+
+    before = len(cloudpickle.dumps(words.span_hash))
+    buf = np.zeros(3_000_000, np.uint8)
+    words.span_hash(buf, np.array([0]), np.array([len(buf)]))
+    assert len(cloudpickle.dumps(words.span_hash)) == before < 20_000
+
+
 def test_topk(spark):
     rnd = np.random.default_rng(0)
     v = rnd.normal(0, 0.3, (300, 8)).astype("float32")
