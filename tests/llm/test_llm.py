@@ -311,6 +311,10 @@ def test_topk(spark):
     want = {(i, n + 1, j, s) for i in range(0, 300, 50) for n, (s, j) in enumerate(sorted(((int(q[i] @ q[j]), j) for j in range(300) if j != i), key=lambda x: (-x[0], x[1]))[:5])}
     assert {tuple(r) for r in got} == want
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    odd = df.unionByName(spark.createDataFrame([(1050, [], 1), (1100, [1.0, 2.0], 1), (1101, [3.0, 1.0], 1)] + rows[:60], "vec_id long, embedding array<float>, score int"))
+    odd = odd.unionByName(spark.createDataFrame([(0, [9.0] * 8, 1)], "vec_id long, embedding array<float>, score int"))
+    got = topk.exact_topk(odd, F.col("vec_id") % 50 == 0, chunk_rows=40, query_rows=3).collect()
+    assert {tuple(r) for r in got} == want | {(1100, 1, 1101, 256 * 3 * 256 + 512 * 256)} and len(got) == len(want) + 1
 
 
 def _auc(score, y):
