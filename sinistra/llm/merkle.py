@@ -1,11 +1,13 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-Paragraphs are the lines of a text; a longer line is cut every ``PIECE`` code
-points. Each has its MD5. A section ends after a paragraph whose hash begins
+Paragraphs are the lines of a text, cut after the signs that end a clause
+(``CLAUSE``), so every cut depends on the text beside it alone and an insertion
+changes one paragraph, however long the line. Each has its MD5. A section ends after a paragraph whose hash begins
 with 0 or 1 (one in eight), so an edit moves no section boundary beyond the
 next such paragraph; a section's hash is that of its paragraphs' hashes, the
 root's that of the sections' hashes. Equal texts have equal roots; two trees
-are compared from the root down, and only sections that differ need be opened.
+are compared from the root down, and only sections that differ need be opened:
+``changed`` lists those of a text that another one lacks.
 
 A fingerprint is ``root/section:paragraphs;section:paragraphs...`` with the
 root in full, 16 hex digits a section and 8 a paragraph. The likeness of two is
@@ -25,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import id_text, scratch
 
-PIECE = 64
+#: a paragraph: up to the signs that end a clause, the blank and line break after them, or a line
+CLAUSE = r"[^\n]*?(?:[.!?;:,。！？；：，、]+ ?\n?|\n)|[^\n]+"
 #: documents of a range of ids that one task compares with their neighbours
 RANGE_ROWS = 4096
 
 
 def paragraphs(text: Column) -> Column:
     """MD5 of each paragraph, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}\n?|\n"), F.lit(0)), lambda p: F.md5(p.cast("binary")))
+    return F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(0)), lambda p: F.md5(p.cast("binary")))
 
 
 def section_ends(leaves: Column) -> Column:
@@ -106,7 +109,8 @@ def with_edited(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its text with the last
     floor(n / 2) code points replaced by the first as many (or all) of the next
     document, and beside the next document's: doc_id, n_chars, edited,
-    fingerprint, edited_fingerprint, near_edited, near_next."""
+    fingerprint, edited_fingerprint, near_edited, near_next, and ``changed``:
+    the document's sections that the edited text lacks."""
     df = next_texts(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
@@ -114,19 +118,28 @@ def with_edited(docs: DataFrame) -> DataFrame:
     df = with_fingerprint(df, "edited", "edited_fingerprint")
     df = df.withColumn("next_leaves", paragraphs(F.col("next_text")))
     near = lambda c: likeness(F.col("fingerprint_leaves"), F.col(c))
-    return df.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", near("edited_fingerprint_leaves").alias("near_edited"), near("next_leaves").alias("near_next"))
+    df = differing_sections(df, "fingerprint", "edited_fingerprint")
+    return df.select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", near("edited_fingerprint_leaves").alias("near_edited"), near("next_leaves").alias("near_next"), "changed")
 
 
 def _tree_sql(text: str, name: str, src: str) -> str:
     """CTEs of one fingerprint for the SQL form."""
     return f"""
-{name}1 AS (SELECT *, list_transform(regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}\\n?|\\n'), lambda p: md5(p)) AS {name}_l FROM {src}),
+{name}1 AS (SELECT *, list_transform(regexp_extract_all({text}, '{CLAUSE}'), lambda p: md5(p)) AS {name}_l FROM {src}),
 {name}2 AS (SELECT *, list_filter(range(1, len({name}_l) + 1), lambda i: {name}_l[i] < '2' OR i = len({name}_l)) AS {name}_e FROM {name}1),
 {name}3 AS (SELECT *, list_transform(range(1, len({name}_e) + 1), lambda k: {name}_l[(CASE WHEN k = 1 THEN 0 ELSE {name}_e[k - 1] END) + 1 : {name}_e[k]]) AS {name}_p FROM {name}2),
 {name} AS (SELECT *, md5(coalesce(array_to_string(list_transform({name}_p, lambda s: md5(array_to_string(s, ''))), ''), '')) || '/' ||
   coalesce(array_to_string(list_transform({name}_p, lambda s: substring(md5(array_to_string(s, '')), 1, 16) || ':' || array_to_string(list_transform(s, lambda p: substring(p, 1, 8)), '')), ';'), '') AS {name}_f FROM {name}3)"""
 
 
+def _sections_sql(name: str) -> str:
+    return f"list_transform({name}_p, lambda s: substring(md5(array_to_string(s, '')), 1, 16))"
+
+
+def _root_sql(name: str) -> str:
+    return f"split_part({name}_f, '/', 1)"
+
+
 def _dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN len(list_distinct({a})) + len(list_distinct({b})) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b}))) END::DOUBLE"
 
@@ -136,5 +149,6 @@ SQL = (
     "n AS (SELECT *, CAST(length(text) AS BIGINT) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM d),\n"
     "x AS (SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(next_text, 1, n_chars // 2) AS edited FROM n),"
     + _tree_sql("text", "a", "x") + "," + _tree_sql("edited", "b", "a") + "," + _tree_sql("next_text", "c", "b")
-    + f"\nSELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a_f AS fingerprint, b_f AS edited_fingerprint, {_dice_sql('a_l', 'b_l')} AS near_edited, {_dice_sql('a_l', 'c_l')} AS near_next FROM c"
+    + f"\nSELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a_f AS fingerprint, b_f AS edited_fingerprint, {_dice_sql('a_l', 'b_l')} AS near_edited, {_dice_sql('a_l', 'c_l')} AS near_next,"
+    + f" CASE WHEN {_root_sql('a')} = {_root_sql('b')} THEN '' ELSE coalesce(array_to_string(list_filter(range(1, len(a_p) + 1), lambda i: NOT list_contains({_sections_sql('b')}, {_sections_sql('a')}[i])), ','), '') END AS changed FROM c"
 )

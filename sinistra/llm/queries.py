@@ -50,7 +50,7 @@ def op4_pii(spark, sf_dir):
 
 def op5_merkle(spark, sf_dir):
     df = merkle.with_edited(read(spark, sf_dir, "documents"))
-    return df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.array_join(F.transform("changed", lambda s: s.section.cast("string")), ",").alias("changed"))
 
 
 def op6_quality(spark, sf_dir):

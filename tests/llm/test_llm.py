@@ -217,13 +217,40 @@ def test_merkle(edge, nothing):
     con = duckdb.connect()
     con.register("documents", docs)
     want = con.sql(merkle.SQL).df()
-    got = merkle.with_edited(edge).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).toPandas()[want.columns]
+    shown = F.array_join(F.transform("changed", lambda s: s.section.cast("string")), ",")
+    got = merkle.with_edited(edge).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("changed", shown).toPandas()[want.columns]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
     assert merkle.with_edited(nothing).count() == 0
     twins = got.groupby("fingerprint").doc_id.nunique()
     assert (twins > 1).sum() >= 2  # equal texts, equal fingerprints (null and empty; the copied text)
 
 
+def _tree(text):
+    leaves = [hashlib.md5(p.encode()).hexdigest() for p in re.findall(merkle.CLAUSE, text)]
+    parts, part = [], []
+    for n, leaf in enumerate(leaves):
+        part.append(leaf)
+        if leaf < "2" or n == len(leaves) - 1:
+            parts, part = parts + [part], []
+    return leaves, [hashlib.md5("".join(p).encode()).hexdigest() for p in parts]
+
+
+def test_an_edit_is_located(spark):
+    """Sections that differ, and the likeness, by a tree built in Python; one
+    inserted sign in one long line changes one paragraph only."""
+    rnd = random.Random(6)
+    line = "".join(" ".join(rnd.choice(WORDS[:5]) for _ in range(rnd.randint(2, 9))) + rnd.choice([". ", ", ", "! "]) for _ in range(400))
+    pairs = [(line, line), (line, line[:50] + "x" + line[50:]), (line, line + "end"), ("", line), (line, ""), ("a\nb\n\nc", "a\nB\n\nc"), ("日本。語、x", "日本。話、x")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "f"), "b", "g")
+    df = merkle.differing_sections(df, "f", "g").withColumn("near", merkle.likeness(F.col("f_leaves"), F.col("g_leaves")))
+    for r in df.collect():
+        (x, p), (y, q) = _tree(pairs[r.i][0]), _tree(pairs[r.i][1])
+        assert [(s.section, s.hash) for s in r.changed] == ([] if p == q else [(n, h[:16]) for n, h in enumerate(p, 1) if h[:16] not in {v[:16] for v in q}])
+        assert r.near == pytest.approx(2 * len(set(x) & set(y)) / (len(set(x)) + len(set(y))))
+        assert r.i != 1 or (r.near > 0.99 and 1 <= len(r.changed) <= 2)
+
+
 def test_bpe_and_counts(edge, texts, nothing):
     import tiktoken
 
