@@ -12,8 +12,11 @@ exactly i edits before it: it stands at most i places further left or right in
 the other line. A line therefore probes its own class, and the next lower one
 when it is less than k longer than that, with these substrings. A pair that
 meets, and whose numbers of neighbouring code points do not differ too much for
-k edits, is verified by a banded bit-parallel edit distance over what is left
-between the pair's common ends.
+k edits, is verified by a banded edit distance: Spark's own, or with
+``bit_parallel`` the bit-parallel one over what is left between the pair's common
+ends. Both keep the same lines. As column expressions the latter costs 4 to 30
+milliseconds a pair and went beyond the check tool's time (see the README), so it
+is not the default.
 
 Only the question whether an earlier line is a near copy of a line matters. The
 lines of an entry are ordered by first occurrence and meet the first ``BLOCK`` of
@@ -236,8 +239,9 @@ def _ranked(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     return scratch(met.select("key", "h", F.floor(F.col("mo") / 2).cast("int").alias("m"), own, rank.alias("rank")), "met")
 
 
-def late_copies(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: bool = False) -> DataFrame:
     """h of the lines that are near copies of one that first occurs earlier."""
+    near = within("line", "e_line", "k", edits) if bit_parallel else F.expr("levenshtein(line, e_line, k) >= 0")
     ranked = _ranked(docs, first, edits)
     met = ranked.select("h").distinct()
     text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line", pair_parities(F.col("line")).alias("odd")), "lines")
@@ -249,7 +253,7 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
         pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)).select("h", "e", k.alias("k")).distinct()
         both = pairs.join(text, "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line"), F.col("odd").alias("e_odd")), "e")
         both = both.filter(F.bit_count(F.col("odd").bitwiseXOR(F.col("e_odd"))) <= 4 * F.col("k"))
-        found.append(scratch(both.filter(within("line", "e_line", "k", edits)).select("h").distinct(), "late"))
+        found.append(scratch(both.filter(near).select("h").distinct(), "late"))
         lo, step = lo + step, 2 * step
         left = scratch(left.filter(F.col("rank") > lo).join(found[-1], "h", "left_anti"), "left")
     out = first.select("h").limit(0)
@@ -258,11 +262,11 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     return out.distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, bit_parallel: bool = False) -> DataFrame:
     """doc_id, dropped: positions of the lines that repeat an earlier one or
     are a near copy of one."""
     first = first_lines(docs)
-    late = late_copies(docs, first, edits).withColumn("late", F.lit(True))
+    late = late_copies(docs, first, edits, bit_parallel).withColumn("late", F.lit(True))
     known = first.select("h", "first").join(late, "h", "left")
     gone = lines_of(docs).select("h", "doc_id", "pos").join(known, "h").filter(F.col("late") | (F.col("first") != F.struct("doc_id", "pos")))
     return gone.groupBy("doc_id").agg(F.collect_list("pos").alias("dropped"))
@@ -275,10 +279,10 @@ def _kept(dropped: str) -> tuple[Column, Column]:
     return parts, F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, bit_parallel: bool = False) -> DataFrame:
     """doc_id, text without the dropped lines, n_lines, n_dropped."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    marked = docs.join(dropped_lines(docs.filter("text IS NOT NULL"), edits), "doc_id", "left")
+    marked = docs.join(dropped_lines(docs.filter("text IS NOT NULL"), edits, bit_parallel), "doc_id", "left")
     parts, kept = _kept("dropped")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     return marked.select("doc_id", kept.alias("text"), n.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))

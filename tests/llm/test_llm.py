@@ -94,8 +94,8 @@ def test_line_dedup(spark, edge, texts, nothing, block, monkeypatch):
     assert whole.columns == edge.columns and whole.filter("doc_id IS NULL").count() == 1
 
 
-@pytest.mark.parametrize("block", [1, 32])
-def test_line_dedup_several_edits(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,bit_parallel", [(1, False), (32, False), (1, True)])
+def test_line_dedup_several_edits(spark, block, bit_parallel, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rnd = random.Random(9)
     letters = "abcdefghij é日"
@@ -114,7 +114,7 @@ def test_line_dedup_several_edits(spark, block, monkeypatch):
     k = lambda a, b: max(1, min(line_dedup.MANY_EDITS, min(len(a), len(b)) // line_dedup.PER_EDIT))
     late = {max(a, b, key=first.get) for n, a in enumerate(long) for b in long[:n] if abs(len(a) - len(b)) <= k(a, b) and edits(a, b) <= k(a, b)}
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).collect()}
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS, bit_parallel).collect()}
     assert got == {i: int(x in late or first[x] != i) for i, x in enumerate(rows)}
     assert len(late) > 50
 
