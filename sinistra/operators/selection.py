@@ -25,7 +25,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: relative accuracy of a sketch is 1 / ACCURACY
@@ -139,10 +139,15 @@ def _merge(df: DataFrame, keys: list[str], rows: list[tuple], schema) -> DataFra
     return df.join(F.broadcast(small), cond).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _number(v: float | int | None, kind: str) -> str:
+    return f"cast(null as {kind})" if v is None else f"double('{v!r}')" if kind == "double" else f"{v}L"
+
+
 class _Scan:
-    """The brackets and centres of every group, as columns of the input."""
+    """The brackets and centres of every group, as SQL over the input. SQL
+    strings, since hundreds of Column calls would take longer than the scan."""
 
-    def __init__(self, df: DataFrame, keys: list[str], slots: int, table: dict[tuple, list[_Bracket | None]], centres: dict[tuple, list[float | None]]):
+    def __init__(self, df: DataFrame, keys: list[str], table: dict[tuple, list[_Bracket | None]], centres: dict[tuple, list[float | None]]):
         from pyspark.sql.types import StructType
 
         self.keys = keys
@@ -151,18 +156,23 @@ class _Scan:
             schema = StructType.fromDDL(f"{kinds}, _brackets array<{_BRACKET}>, _centres array<double>")
             rows = [(*k, [None if b is None else (b.low, b.high, b.first, b.last) for b in bs], centres[k]) for k, bs in table.items()]
             self.df = _merge(df, keys, rows, schema)
-            self.bracket = lambda s, name: F.col("_brackets")[s][name]
-            self.centre = lambda i: F.col("_centres")[i]
         else:
             self.df = df
-            (bs,), (cs,) = table.values(), centres.values()
-            of = lambda s, name: None if bs[s] is None else getattr(bs[s], name)
-            self.bracket = lambda s, name: F.lit(of(s, name)).cast("double" if name in ("low", "high") else "bigint")
-            self.centre = lambda i: F.lit(cs[i]).cast("double")
+            (self.brackets,), (self.centres,) = table.values(), centres.values()
+
+    def bracket(self, s: int, name: str) -> str:
+        if self.keys:
+            return f"_brackets[{s}].{name}"
+        b = self.brackets[s]
+        return _number(None if b is None else getattr(b, name), "double" if name in ("low", "high") else "bigint")
 
-    def collect(self, aggs: list[Column]) -> dict[tuple, dict]:
-        got = self.df.groupBy(*self.keys).agg(*aggs) if self.keys else self.df.agg(*aggs)
-        return {tuple(r[:len(self.keys)]): r.asDict() for r in got.collect()}
+    def centre(self, i: int) -> str:
+        return f"_centres[{i}]" if self.keys else _number(self.centres[i], "double")
+
+    def grouped(self, aggs: list[str]) -> DataFrame:
+        if self.keys:
+            return self.df.groupBy(*self.keys).agg(*map(F.expr, aggs))
+        return self.df.selectExpr(*aggs)
 
 
 def select(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), marks: Sequence = (), moments: bool = True) -> list[Selected] | None:
@@ -170,16 +180,17 @@ def select(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), marks
     and NaN are left out), or None above MAX_GROUPS groups. A column without
     values in its group has n = 0."""
     keys, values, marks = list(keys), list(values), list(marks)
-    x = [F.when(~F.isnan(F.col(f"_v{i}")), F.col(f"_v{i}")) for i in range(len(values))]
-    df = df.select(*[F.col(k) for k in keys], *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    x = [f"_v{i}" for i in range(len(values))]
+    number = lambda v: f"if(isnan(cast(`{v}` as double)), null, cast(`{v}` as double))"
+    df = df.selectExpr(*[f"`{k}`" for k in keys], *[f"{number(v)} as {c}" for v, c in zip(values, x)])
     near = 2.0 / ACCURACY
     probs = sorted({min(max(m.p + s, 0.0), 1.0) for m in marks for s in (-near, near)})
     aggs = []
     for i, c in enumerate(x):
-        aggs += [F.count(c).alias(f"n{i}"), F.sum(c).alias(f"s{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        aggs += [f"count({c}) as n{i}", f"sum({c}) as s{i}", f"min({c}) as lo{i}", f"max({c}) as hi{i}"]
         if probs:
-            aggs.append(F.percentile_approx(c, F.array(*map(F.lit, probs)), F.lit(ACCURACY)).alias(f"p{i}"))
-    first = (df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)).limit(MAX_GROUPS + 1).collect()
+            aggs.append(f"{_sketch(c, probs)} as p{i}")
+    first = (df.groupBy(*keys).agg(*map(F.expr, aggs)) if keys else df.selectExpr(*aggs)).limit(MAX_GROUPS + 1).collect()
     if len(first) > MAX_GROUPS:
         return None
     out: dict[tuple, list[Selected]] = {}
@@ -207,38 +218,34 @@ def select(df: DataFrame, values: Sequence[str], keys: Sequence[str] = (), marks
     return [s for found in out.values() for s in found]
 
 
+def _sketch(c: str, probs: Sequence[float]) -> str:
+    return f"percentile_approx({c}, array({', '.join(f'{p!r}D' for p in probs)}), {ACCURACY})"
+
+
 def _pick(df, x, keys, slots, table, centres, out, moments) -> None:
     """The scans after the first: narrow where needed, then pick."""
     todo = {k: list(bs) for k, bs in table.items()}
-    if not moments and not any(b for bs in todo.values() for b in bs):
-        moments = False
     while moments or any(b for bs in todo.values() for b in bs):
         while any(b and b.inside > max(INSIDE, 3 * ACCURACY) for bs in todo.values() for b in bs):
             _narrow(df, x, keys, slots, todo, centres)
-        scan = _Scan(df, keys, len(slots), todo, centres)
-        aggs = []
+        scan = _Scan(df, keys, todo, centres)
         wanted = [s for s in range(len(slots)) if any(bs[s] for bs in todo.values())]
+        aggs, cols = [], [f"`{k}`" for k in keys]
         for s in wanted:
-            c = x[slots[s][0]]
-            low, high = scan.bracket(s, "low"), scan.bracket(s, "high")
-            lt, eq, le = F.count(F.when(c < low, 1)), F.count(F.when(c == low, 1)), F.count(F.when(c <= high, 1))
-            kept = F.sort_array(F.collect_list(F.when((c > low) & (c < high), c)))
-            one = [lt.alias("lt"), eq.alias("eq"), le.alias("le"), kept.alias("kept"), F.max(low).alias("low"), F.max(high).alias("high"),
-                   F.max(scan.bracket(s, "first")).alias("first"), F.max(scan.bracket(s, "last")).alias("last")]
-            if isinstance(slots[s][1], SumOfSmallest):
-                one.append(F.sum(F.when(c < low, c)).alias("below"))
-            aggs += [a.alias(f"{name}_{s}") for a, name in zip(one, ["lt", "eq", "le", "kept", "low", "high", "first", "last", "below"])]
+            c, low, high = x[slots[s][0]], scan.bracket(s, "low"), scan.bracket(s, "high")
+            aggs += [f"count(if({c} < {low}, 1, null)) as lt_{s}", f"count(if({c} = {low}, 1, null)) as eq_{s}", f"count(if({c} <= {high}, 1, null)) as le_{s}",
+                     f"sort_array(collect_list(if({c} > {low} and {c} < {high}, {c}, null))) as kept_{s}", f"max({low}) as low_{s}", f"max({high}) as high_{s}",
+                     f"max({scan.bracket(s, 'first')}) as first_{s}", f"max({scan.bracket(s, 'last')}) as last_{s}"]
+            with_sum = isinstance(slots[s][1], SumOfSmallest)
+            if with_sum:
+                aggs.append(f"sum(if({c} < {low}, {c}, null)) as below_{s}")
+            cols += _picks(s, with_sum)
         if moments:
             for i, c in enumerate(x):
-                d = c - scan.centre(i)
-                aggs += [F.sum(d).alias(f"d1_{i}"), F.sum(d * d).alias(f"d2_{i}"), F.sum(d * d * d).alias(f"d3_{i}"), F.sum(d * d * d * d).alias(f"d4_{i}")]
-        grouped = scan.df.groupBy(*keys).agg(*aggs) if keys else scan.df.agg(*aggs)
-        cols = [F.col(k) for k in keys]
-        for s in wanted:
-            cols += _picks(s, isinstance(slots[s][1], SumOfSmallest))
-        if moments:
+                d = f"({c} - {scan.centre(i)})"
+                aggs += [f"sum({' * '.join([d] * j)}) as d{j}_{i}" for j in (1, 2, 3, 4)]
             cols += [f"d{j}_{i}" for i in range(len(x)) for j in (1, 2, 3, 4)]
-        for row in grouped.select(*cols).collect():
+        for row in scan.grouped(aggs).selectExpr(*cols).collect():
             k = tuple(row[:len(keys)])
             for s in wanted:
                 b, (i, m) = todo[k][s], slots[s]
@@ -261,24 +268,21 @@ def _pick(df, x, keys, slots, table, centres, out, moments) -> None:
                 found[i].marks[m.name] = found[i].total if m.count(found[i].n) >= found[i].n else 0.0
 
 
-def _picks(s: int, with_sum: bool) -> list[Column]:
+def _picks(s: int, with_sum: bool) -> list[str]:
     """The wanted order statistics of slot ``s``; null outside the bracket."""
-    c = lambda name: F.col(f"{name}_{s}")
-    skip = c("lt") + c("eq")
+    skip, kept = f"lt_{s} - eq_{s}", f"kept_{s}"
 
-    def pick(r: Column) -> Column:
-        at = r - skip
-        inner = F.get(c("kept"), at.cast("int"))
-        return F.when(r < c("lt"), None).when(at < 0, c("low")).when(at < F.size(c("kept")), inner).when(r < c("le"), c("high"))
+    def pick(r: str) -> str:
+        at = f"({r} - {skip})"
+        return (f"case when {r} < lt_{s} then null when {at} < 0 then low_{s} when {at} < size({kept}) then get({kept}, cast({at} as int)) "
+                f"when {r} < le_{s} then high_{s} end")
 
-    out = [pick(c("first")).alias(f"a_{s}"), pick(c("last")).alias(f"b_{s}")]
+    out = [f"{pick(f'first_{s}')} as a_{s}", f"{pick(f'last_{s}')} as b_{s}"]
     if with_sum:
-        k = c("first") + 1
-        inside = F.least(F.greatest(k - skip, F.lit(0)), F.size(c("kept"))).cast("int")
-        rest = F.aggregate(F.slice(c("kept"), F.lit(1), inside), F.lit(0.0), lambda acc, v: acc + v)
-        at_low = F.least(c("eq"), k - c("lt")) * c("low")
-        at_high = F.greatest(k - skip - F.size(c("kept")), F.lit(0)) * c("high")
-        out.append((F.coalesce(c("below"), F.lit(0.0)) + at_low + rest + at_high).alias(f"sum_{s}"))
+        after = f"(first_{s} + 1 - {skip})"  # of the wanted values, those above low
+        inside = f"cast(least(greatest({after}, 0L), size({kept})) as int)"
+        rest = f"aggregate(slice({kept}, 1, {inside}), 0D, (acc, v) -> acc + v)"
+        out.append(f"coalesce(below_{s}, 0D) + least(eq_{s}, first_{s} + 1 - lt_{s}) * low_{s} + {rest} + greatest({after} - size({kept}), 0L) * high_{s} as sum_{s}")
     return out
 
 
@@ -295,17 +299,17 @@ def _moments(found: Selected, centre: float | None, d1, d2, d3, d4) -> None:
 def _narrow(df, x, keys, slots, todo, centres) -> None:
     """One scan that puts wide brackets between two points of a sketch of the
     values inside them."""
-    scan = _Scan(df, keys, len(slots), todo, centres)
+    scan = _Scan(df, keys, todo, centres)
     wide = [s for s in range(len(slots)) if any(bs[s] and bs[s].inside > max(INSIDE, 3 * ACCURACY) for bs in todo.values())]
     points = [j / GRID for j in range(GRID + 1)]
     aggs = []
     for s in wide:
-        c = x[slots[s][0]]
-        low, high = scan.bracket(s, "low"), scan.bracket(s, "high")
-        kept = F.when((c > low) & (c < high), c)
-        aggs += [F.count(F.when(c < low, 1)).alias(f"lt_{s}"), F.count(F.when(c == low, 1)).alias(f"eq_{s}"), F.count(kept).alias(f"in_{s}"),
-                 F.percentile_approx(kept, F.array(*map(F.lit, points)), F.lit(ACCURACY)).alias(f"grid_{s}")]
-    for k, row in scan.collect(aggs).items():
+        c, low, high = x[slots[s][0]], scan.bracket(s, "low"), scan.bracket(s, "high")
+        kept = f"if({c} > {low} and {c} < {high}, {c}, null)"
+        aggs += [f"count(if({c} < {low}, 1, null)) as lt_{s}", f"count(if({c} = {low}, 1, null)) as eq_{s}", f"count({kept}) as in_{s}",
+                 f"{_sketch(kept, points)} as grid_{s}"]
+    for row in scan.grouped(aggs).collect():
+        k = tuple(row[:len(keys)])
         for s in wide:
             b = todo[k][s]
             if b is None:
