@@ -121,6 +121,9 @@ class RankCoder:
         """The bytes that each word's ids decode to, at most BATCH_BYTES ids
         together; a longer word is decoded in pieces."""
         out: dict[bytes, list[bytes]] = {w: [] for w in words}
+        if sum(map(len, words)) <= BATCH_BYTES:  # no word has more ids than bytes
+            self._decode(words, [ids[w] for w in words], out)
+            return {w: p[0] if p else b"" for w, p in out.items()}
         owner, pieces, size = [], [], 0
         for w in words:
             for lo in range(0, len(ids[w]), BATCH_BYTES):
