@@ -33,7 +33,7 @@ from .words import SPACES, WordTable, owner, slices, tile
 CACHE_WORDS = 500_000
 BATCH_WORDS = 40_000
 #: bytes of words that one recursive query contracts together
-BATCH_BYTES = 400_000
+BATCH_BYTES = 1_000_000
 #: bytes of the longest word that the recursive query contracts (below 2^20, its positions)
 LONG_WORD = 256
 
@@ -120,28 +120,28 @@ class RankCoder:
     def decoded(self, words: list[bytes], ids: dict[bytes, list[int]]) -> dict[bytes, bytes]:
         """The bytes that each word's ids decode to, at most BATCH_BYTES ids
         together; a longer word is decoded in pieces."""
-        out: dict[bytes, list[bytes]] = {w: [] for w in words}
         if sum(map(len, words)) <= BATCH_BYTES:  # no word has more ids than bytes
-            self._decode(words, [ids[w] for w in words], out)
-            return {w: p[0] if p else b"" for w, p in out.items()}
+            return {words[w]: b for w, b in self._decode([ids[w] for w in words])}
+        out: dict[bytes, list[bytes]] = {w: [] for w in words}
         owner, pieces, size = [], [], 0
         for w in words:
             for lo in range(0, len(ids[w]), BATCH_BYTES):
                 piece = ids[w][lo:lo + BATCH_BYTES]
                 if size + len(piece) > BATCH_BYTES and pieces:
-                    self._decode(owner, pieces, out)
+                    for n, b in sorted(self._decode(pieces)):
+                        out[owner[n]].append(b)
                     owner, pieces, size = [], [], 0
                 owner.append(w)
                 pieces.append(piece)
                 size += len(piece)
-        self._decode(owner, pieces, out)
+        for n, b in sorted(self._decode(pieces)):
+            out[owner[n]].append(b)
         return {w: b"".join(p) for w, p in out.items()}
 
-    def _decode(self, owner: list[bytes], pieces: list[list[int]], out: dict[bytes, list[bytes]]) -> None:
+    def _decode(self, pieces: list[list[int]]) -> list[tuple[int, bytes]]:
         self._table("words", pa.table({"w": pa.array(range(len(pieces)), pa.int64()), "ids": pa.array(pieces, pa.list_(pa.int32()))}))
         back = self.db.sql(DECODE).to_arrow_table()
-        for w, h in sorted(zip(back.column("w").to_pylist(), back.column("hex").to_pylist())):
-            out[owner[w]].append(bytes.fromhex(h))
+        return list(zip(back.column("w").to_pylist(), map(bytes.fromhex, back.column("hex").to_pylist())))
 
     def long_word(self, word: bytes) -> list[int]:
         """Ids of one word of any length: the leftmost pair of minimum rank is
