@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_text, scratch
 
 #: a paragraph: up to the signs that end a clause, the blank and line break after them, or a line
-CLAUSE = r"[^\n]*?(?:[.!?;:,。！？；：，、]+ ?\n?|\n)|[^\n]+"
+ENDS = ".!?;:,。！？；：，、"
+CLAUSE = rf"[^\n{ENDS}]*(?:[{ENDS}]+ ?\n?|\n)|[^\n{ENDS}]+"
 #: documents of a range of ids that one task compares with their neighbours
 RANGE_ROWS = 4096
 
