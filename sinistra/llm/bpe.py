@@ -30,7 +30,7 @@ from .common import id_text, tokenizer_path, worker_state
 from .words import SPACES, WordTable, owner, slices, tile
 
 #: spans kept per worker before the table starts anew
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 BATCH_WORDS = 40_000
 #: bytes of words that one recursive query contracts together
 BATCH_BYTES = 1_000_000
