@@ -69,7 +69,7 @@ def with_value_range(counts: DataFrame, df: DataFrame, value: str, buckets: int
     """Adds ``_b``, the range of ``value``: ranges end at approximate quantiles
     of ``df``, a bounded list fetched once and inlined."""
     nb = _n_buckets(df, buckets)
-    edges = df.agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], 10000)).first()[0]
+    edges = df.agg(F.percentile_approx(value, [i / nb for i in range(1, nb)], min(10000, 100 * nb))).first()[0]
     edges = sorted({float(e) for e in (edges or []) if e is not None})
     if not edges:
         return counts.withColumn("_b", F.lit(0))
