@@ -375,6 +375,23 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
 
 
+def test_pipeline_edges(spark, sf_dir, edge, nothing):
+    """Nulls, empty and long texts, repeated rows, extra columns, no rows."""
+    docs = edge
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf_dir)
+        none = stage(spark, nothing, sf_dir)
+        assert none.count() == 0, name
+        if name == "packing":
+            got = after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.countDistinct("sequence_id")).collect()
+            assert {r.doc_id for r in got} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+            assert all(r.n % r["all"] == 0 for r in got)
+        else:
+            assert after.columns == docs.columns and after.count() <= docs.count(), name
+            assert after.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count(), name
+            docs = after if name != "quality_classifier" else docs  # it may reject all of these
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_oracle(spark, sf_dir, name):
     from tests.oracle import compare, duck
