@@ -5,6 +5,13 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over everything its
 predecessor kept. All but the last return the columns of ``documents``; the
 last returns the packed pieces with their token ids. ``run`` writes each
 stage's result as Parquet into the shared checkpoint folder and reads it back.
+
+Edge cases: documents with a null text are scored like empty ones by the quality
+filter and pass the other stages as they are (packing takes them as empty); rows
+with a null id pass every stage; rows that repeat are near duplicates of each
+other, but rows that share an id are one document there and stay together; a
+document of which line dedup leaves nothing goes; an empty table stays empty in
+every stage; other columns than those of ``documents`` are kept up to packing.
 """
 
 from __future__ import annotations
