@@ -20,8 +20,8 @@ is not the default.
 
 Only the question whether an earlier line is a near copy of a line matters. The
 lines of an entry are ordered by first occurrence and meet the first ``BLOCK`` of
-them, then those not yet found meet the next block, twice as long, and so on. So
-entries of many near copies end after the first blocks; an entry with very many
+them, segment by segment; then those not yet found meet the next block, twice as
+long, and so on. So near copies of many others are met about once; an entry with very many
 lines that are no near copies of each other costs the square of their number.
 
 An occurrence of a line is dropped when it is not the line's first (by doc_id,
@@ -83,8 +83,8 @@ def places(k: int) -> list[tuple[int, int]]:
 
 
 def entries(lines: DataFrame, edits: int) -> DataFrame:
-    """key, h, m, own: one row for each substring of a line (h, line, m) that
-    is a segment of it (own) or may be one of a near copy's."""
+    """key, h, m, own, seg: one row for each substring of a line (h, line, m)
+    that is a segment of it (own) or may be one of a near copy's."""
     struct = lambda i, s: F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))
     by_k = F.array(*(F.array(*(struct(*p) for p in places(k))) for k in range(1, edits + 1)))
     low = lines.withColumn("low", _least(F.col("m"), edits))
@@ -96,7 +96,7 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
     start = F.col("at.i") * F.col("q") + F.col("at.s")
     w = w.filter((start >= 0) & (start + F.col("q") <= F.col("m")))
     own = (F.col("class") == F.col("low")) & (F.col("at.s") == 0)
-    return w.select(F.xxhash64("class", "at.i", F.substring("line", start + 1, F.col("q"))).alias("key"), "h", "m", own.alias("own"))
+    return w.select(F.xxhash64("class", "at.i", F.substring("line", start + 1, F.col("q"))).alias("key"), "h", "m", own.alias("own"), F.col("at.i").alias("seg"))
 
 
 def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS, limit: Column | None = None) -> Column:
@@ -225,18 +225,21 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
-    """key, h, m, own, rank (by first occurrence, from 0) of the lines that
+    """key, h, m, own, seg, rank (by first occurrence, from 0) of the lines that
     share an entry with another one. Only texts that occur again are moved to
     be taken once."""
     again = first.filter("n > 1").select("h")
     lines = _picked(docs, again, "left_anti").unionByName(_once(_picked(docs, again, "left_semi")))
     # both uses of the rows need all columns, so they are dealt out once
-    rows = entries(lines, edits).select("key", "h", (F.col("m") * F.lit(2) + F.col("own").cast("int")).alias("mo")).repartition("key")
+    packed = (F.col("m") * F.lit(edits + 1) + F.col("seg")) * F.lit(2) + F.col("own").cast("int")
+    rows = entries(lines, edits).select("key", "h", packed.alias("mo")).repartition("key")
     shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max(F.col("mo") % 2).alias("any")).filter("x <> y AND any = 1").select("key")
     met = rows.join(shared, "key").groupBy("key", "h").agg(F.max("mo").alias("mo")).join(first.select("h", "first"), "h")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h")) - 1
     own = (F.col("mo") % 2 == 1).alias("own")
-    return scratch(met.select("key", "h", F.floor(F.col("mo") / 2).cast("int").alias("m"), own, rank.alias("rank")), "met")
+    both = F.floor(F.col("mo") / 2)
+    m, seg = F.floor(both / (edits + 1)).cast("int").alias("m"), (both % (edits + 1)).cast("int").alias("seg")
+    return scratch(met.select("key", "h", m, own, seg, rank.alias("rank")), "met")
 
 
 def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: bool = False) -> DataFrame:
@@ -245,15 +248,25 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: boo
     ranked = _ranked(docs, first, edits)
     met = ranked.select("h").distinct()
     text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line", pair_parities(F.col("line")).alias("odd")), "lines")
-    left, found, lo, step = ranked.filter("rank > 0"), [], 0, BLOCK
-    while not left.isEmpty():
-        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"))
+    left, found = ranked.filter("rank > 0"), []
+
+    def meet(some: DataFrame, lo: int, hi: int) -> None:
+        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"))
         k = allowed(F.least("m", "em"), edits)
         index = F.when(F.col("m") < F.col("em"), F.col("own")).when(F.col("m") > F.col("em"), F.col("eown")).otherwise(F.col("own") | F.col("eown"))
-        pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)).select("h", "e", k.alias("k")).distinct()
+        pairs = some.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)).select("h", "e", k.alias("k")).distinct()
         both = pairs.join(text, "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line"), F.col("odd").alias("e_odd")), "e")
         both = both.filter(F.bit_count(F.col("odd").bitwiseXOR(F.col("e_odd"))) <= 4 * F.col("k"))
         found.append(scratch(both.filter(near).select("h").distinct(), "late"))
+
+    # the first block by segments: what one segment finds does not meet in the next
+    for seg in range(edits + 1):
+        meet(left.filter(F.col("seg") == seg), 0, BLOCK)
+        left = scratch(left.join(found[-1], "h", "left_anti"), "left")
+    lo, step = BLOCK, 2 * BLOCK
+    left = left.filter(F.col("rank") > lo - 1)
+    while not left.isEmpty():
+        meet(left, lo, lo + step)
         lo, step = lo + step, 2 * step
         left = scratch(left.filter(F.col("rank") > lo).join(found[-1], "h", "left_anti"), "left")
     out = first.select("h").limit(0)
