@@ -123,8 +123,8 @@ def _counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _index(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Prefix entries of the first order: gram, k, n, pos. A task emits each
-    set once."""
+    """Prefix entries of the first order: gram, k, n, pos and the n-gram before
+    it in the prefix (0 for the first). A task emits each set once."""
 
     def run(batches):
         seen: set = set()
@@ -142,11 +142,12 @@ def _index(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFr
             order = np.lexsort((order_keys(grams, classes, 0), doc))
             grams, doc = grams[order], doc[order]
             pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            before = np.where(pos > 0, np.roll(grams, 1), np.uint64(0))
             lead = pos < prefix_size(size[doc], percent)
-            grams, doc, pos = grams[lead], doc[lead], pos[lead]
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(keys[doc]), pa.array(size[doc], pa.int32()), pa.array(pos, pa.int32())], names=["gram", "k", "n", "pos"])
+            grams, doc, pos, before = grams[lead], doc[lead], pos[lead], before[lead]
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(keys[doc]), pa.array(size[doc], pa.int32()), pa.array(pos, pa.int32()), pa.array(before.view(np.int64))], names=["gram", "k", "n", "pos", "before"])
 
-    return docs.mapInArrow(run, "gram long, k long, n int, pos int")
+    return docs.mapInArrow(run, "gram long, k long, n int, pos int, before long")
 
 
 def may_link(na, pa_, nb, pb, percent: int):
@@ -158,7 +159,12 @@ def may_link(na, pa_, nb, pb, percent: int):
 
 def _blocks(index: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a < b) of entries with up to BLOCK classes, and the
-    rows of hot entries (hot true; a is the class): a, b, hot, gram, n, pos."""
+    rows of hot entries (hot true; a is the class): a, b, hot, gram, n, pos.
+
+    Two classes whose prefixes have the same n-gram before this one met in its
+    entry as well, at positions that pass the filters more easily. So a pair is
+    listed only where the n-grams before differ, not once for each n-gram that
+    two like prefixes share."""
     names = ["a", "b", "hot", "gram", "n", "pos"]
 
     def rows(a, b, hot, gram, n, pos):
@@ -168,11 +174,11 @@ def _blocks(index: DataFrame, percent: int) -> DataFrame:
         held = None  # the rows of the last gram so far; of a hot gram none are held
         hot_gram = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "k", "n", "pos")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "k", "n", "pos", "before")]
             if hot_gram is not None:
                 more = cols[0] == hot_gram
                 if more.any():
-                    g, k, n, p = (c[more] for c in cols)
+                    g, k, n, p, _ = (c[more] for c in cols)
                     yield rows(k, k, True, g, n, p)
                     cols = [c[~more] for c in cols]
                 if len(cols[0]):
@@ -196,15 +202,16 @@ def _blocks(index: DataFrame, percent: int) -> DataFrame:
     def emit(cols, first, size):
         big = np.repeat(size > BLOCK, size)
         if big.any():
-            g, k, n, p = (c[big] for c in cols)
+            g, k, n, p, _ = (c[big] for c in cols)
             yield rows(k, k, True, g, n, p)
-        _, k, n, p = cols
+        _, k, n, p, before = cols
         out_a, out_b = [], []
         for s in np.unique(size[(size > 1) & (size <= BLOCK)]).tolist():
             at = first[size == s]
             i, j = np.triu_indices(s, 1)
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            ok = (k[x] != k[y]) & may_link(n[x].astype(np.int64), p[x], n[y].astype(np.int64), p[y], percent)
+            met = (p[x] > 0) & (p[y] > 0) & (before[x] == before[y])
+            ok = ~met & (k[x] != k[y]) & may_link(n[x].astype(np.int64), p[x], n[y].astype(np.int64), p[y], percent)
             out_a.append(np.minimum(k[x], k[y])[ok])
             out_b.append(np.maximum(k[x], k[y])[ok])
         if out_a:
