@@ -119,6 +119,28 @@ def test_line_dedup_several_edits(spark, block, bit_parallel, monkeypatch):
     assert len(late) > 50
 
 
+def test_line_dedup_crowds(spark, monkeypatch):
+    """The parities that tell the lines of a crowded entry apart lose none; and
+    they are compared in the join of the entries."""
+    monkeypatch.setattr(line_dedup, "CROWD", 0)
+    seen, write = [], line_dedup.scratch
+    monkeypatch.setattr(line_dedup, "scratch", lambda df, name: (seen.append(df) if name == "late" else None, write(df, name))[1])
+    rnd = random.Random(4)
+    base = [rnd.choice("abcdefghij é日") for _ in range(120)]
+    rows = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rnd.randint(1, 12)):
+            w[rnd.randrange(len(w))] = rnd.choice("abcdefghij")
+        rows.append("".join(w))
+    late = {i for i, x in enumerate(rows) if any(edits(x, y) <= 5 for y in rows[:i])}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs, line_dedup.MANY_EDITS).collect() if r.n_dropped}
+    assert got == late and 5 < len(late) < 40
+    joins = [x for x in seen[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "erank" in x]
+    assert joins and all("bit_count" in x for x in joins)
+
+
 def test_line_dedup_one_word(spark):
     """A line of 160 code points with one changed word goes."""
     words = ("the quick brown fox jumps over the lazy dog and then " * 4)[:160]
@@ -133,6 +155,25 @@ def test_line_dedup_short_lines(spark):
     assert got == [("Les.\n\nLez.", 4, 1), ("日本\n\n ", 4, 1), ("x", 3, 2)]
 
 
+def test_ngram_pairs_are_listed_once(spark):
+    """Two like prefixes meet in many entries, but are listed only where the
+    n-grams before differ."""
+    rnd = random.Random(2)
+    rows = []
+    for g in range(10):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(1000)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        listed = ngram_join._blocks(ngram_join._index(docs, 3, 90, np.zeros(ngram_join.COUNTERS, np.uint8)), 90).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len({(r.a, r.b) for r in listed}) == 10 and len(listed) <= 20
+    assert sorted(r.component_id for r in ngram_join.jaccard_components(docs).collect()) == sorted(2 * (i // 2) for i, _ in rows)
+
+
 def test_packing(edge, texts, nothing):
     from tokenizers import Tokenizer
 
