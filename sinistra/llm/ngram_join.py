@@ -259,33 +259,41 @@ def _beside(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
-def few_missing(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int, keys) -> bool:
-    """Whether prefixes x and y of one order allow the threshold: they share an
-    n-gram, and where both prefixes are complete (up to the smaller of their
-    last keys) neither misses more n-grams than its set may."""
-    kx, ky = keys(x), keys(y)
-    limit = min(kx.max(), ky.max())
-    x, y = x[kx <= limit], y[ky <= limit]
-    both = len(np.intersect1d(x, y, assume_unique=True))
+def brief(grams: np.ndarray, classes: np.ndarray, which: int) -> np.ndarray:
+    """The upper halves of n-grams' rank keys under an order, ascending: what
+    pairs carry of a prefix. Two n-grams of one half make a filter let through
+    more, never less."""
+    return np.sort((order_keys(grams, classes, which) >> np.uint64(32)).astype(np.uint32))
+
+
+def few_missing(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Whether prefixes x and y of one order (as by ``brief``) allow the
+    threshold: they share an n-gram, and where both prefixes are complete (below
+    the smaller of their last keys) neither misses more n-grams than its set may."""
+    in_y = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+    if not in_y.any():
+        return False
+    in_x = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    limit = min(x[-1], y[-1])
     need = -(-percent * (nx + ny) // (100 + percent))
-    return both > 0 and len(x) - both <= nx - need and len(y) - both <= ny - need
+    return (~in_y & (x < limit)).sum() <= nx - need and (~in_x & (y < limit)).sum() <= ny - need
 
 
-def _sieved(pairs: DataFrame, prefixes: DataFrame, percent: int, classes: np.ndarray) -> DataFrame:
+def _sieved(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose prefixes under the second and the third order allow the
     threshold."""
 
     @F.pandas_udf("boolean")
     def allowed(na: pd.Series, nb: pd.Series, a2: pd.Series, b2: pd.Series, a3: pd.Series, b3: pd.Series) -> pd.Series:
-        def one(p, q, i, j, w):
-            return few_missing(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), i, j, percent, lambda g: order_keys(g, classes, w))
+        def one(p, q, i, j):
+            return few_missing(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), i, j, percent)
 
-        return pd.Series([one(p, q, i, j, 3) and one(r, s, i, j, 4) for i, j, p, q, r, s in zip(na.tolist(), nb.tolist(), a2, b2, a3, b3)], dtype=bool)
+        return pd.Series([one(p, q, i, j) and one(r, s, i, j) for i, j, p, q, r, s in zip(na.tolist(), nb.tolist(), a2, b2, a3, b3)], dtype=bool)
 
     return _beside(pairs, prefixes, "n", "second", "third").filter(allowed("a_n", "b_n", "a_second", "b_second", "a_third", "b_third")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v): pairs that pass the filters of the other orders and whose
     whole sets reach the threshold."""
 
@@ -300,7 +308,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, n: int, pe
             out.append(100 * same >= percent * (len(u) + len(v) - same))
         return pd.Series(out, dtype=bool)
 
-    left = scratch(_sieved(pairs, prefixes, percent, classes), "sieved")
+    left = scratch(_sieved(pairs, prefixes, percent), "sieved")
     either = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k")))
     sets = _picked(docs, either, n, lambda g: (g.tobytes(),), "grams binary", "grams")
     return _beside(left, sets, "grams").filter(reach("a_grams", "b_grams")).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -320,10 +328,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     def ends(g: np.ndarray) -> tuple:
         p = prefix_size(len(g), percent)
-        return (len(g), *(g[np.argpartition(order_keys(g, classes, w), p - 1)[:p]].tobytes() for w in (3, 4)))
+        return (len(g), *(brief(g, classes, w)[:p].tobytes() for w in (3, 4)))
 
     prefixes = _picked(docs, wanted, n, ends, "n long, second binary, third binary", "prefixes")
-    verified = lambda some: _verified(some, docs, prefixes, n, percent, classes)
+    verified = lambda some: _verified(some, docs, prefixes, n, percent)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     filters = lambda s, t: may_link(F.col(f"{s}n").cast("long"), F.col(f"{s}pos"), F.col(f"{t}n").cast("long"), F.col(f"{t}pos"), percent)
     links = pairs.distinct()

@@ -174,6 +174,30 @@ def test_ngram_pairs_are_listed_once(spark):
     assert sorted(r.component_id for r in ngram_join.jaccard_components(docs).collect()) == sorted(2 * (i // 2) for i, _ in rows)
 
 
+def test_ngram_prefixes_are_brief_and_lose_no_pair():
+    """Four bytes an n-gram; n-grams that fall together let pairs through only."""
+    rnd = np.random.default_rng(5)
+    flat = np.zeros(ngram_join.COUNTERS, np.uint8)
+    assert ngram_join.brief(rnd.integers(0, 2**63, 50).astype(np.uint64), flat, 3).nbytes == 4 * 50
+    far = []
+    for bits in (32, 6):
+        for i in range(400):
+            n = int(rnd.integers(1, 120))
+            x = rnd.choice(2**20, n, replace=False).astype(np.uint64) * np.uint64(2**40 + 12345)
+            drop, add = (9 * n // 10, 9 * n // 10) if i % 2 else rnd.integers(0, 1 + n // 8, 2).tolist()
+            y = np.concatenate((x[drop:], rnd.choice(2**20, add, replace=False).astype(np.uint64) + np.uint64(2**62)))
+            if not len(y):
+                continue
+            same = len(np.intersect1d(x, y))
+            linked = 100 * same >= 90 * (len(x) + len(y) - same)
+            ends = [np.sort(ngram_join.brief(g, flat, 3)[:ngram_join.prefix_size(len(g), 90)] >> np.uint32(32 - bits)) for g in (x, y)]
+            found = ngram_join.few_missing(*ends, len(x), len(y), 90)
+            assert found or not linked
+            if bits == 32 and i % 2 and n > 40:
+                far.append(bool(found))
+    assert np.mean(far) < 0.1
+
+
 def test_packing(edge, texts, nothing):
     from tokenizers import Tokenizer
 
