@@ -55,9 +55,14 @@ PER_EDIT = 20
 MIN_CHARS = 20
 BLOCK = 1
 PICK_BITS = 1 << 24
-#: from this rank on, the lines that an entry still has are told apart by more parities
-CROWD = 7
+#: each block of an entry is so many times as long as the one before
+GROWTH = 4
+#: from this rank on, the lines that an entry still has are told apart by parities first
+CROWD = 5
 WORDS = 4
+#: a segment from this many code points on is known by a substring that begins at a blank
+ROOMY = 20
+ROOM = 3
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -80,27 +85,44 @@ def _least(m: Column, edits: int) -> Column:
     return F.greatest(F.lit(MIN_CHARS), F.when(m < PER_EDIT * edits, fine).otherwise(F.greatest(F.lit(PER_EDIT * edits), wide))).cast("int")
 
 
-def places(k: int) -> list[tuple[int, int]]:
-    """(segment, shift) of the substrings that may be a segment of a line which
-    is not longer: i edits before it, at most k - i after it."""
-    return [(i, s) for i in range(k + 1) for s in range(max(-i, i - k), i + 1)]
+def places(k: int) -> list[tuple[int, bool, int]]:
+    """(segment, whether it stands at the end of the line, segments between it
+    and that end). As many edits as there are segments between may have moved it."""
+    return [(i, 2 * i > k, min(i, k - i)) for i in range(k + 1)]
 
 
 def entries(lines: DataFrame, edits: int) -> DataFrame:
     """key, h, m, own: one row for each substring of a line (h, line, m) that
-    is a segment of it (own) or may be one of a near copy's."""
-    struct = lambda i, s: F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"))
-    by_k = F.array(*(F.array(*(struct(*p) for p in places(k))) for k in range(1, edits + 1)))
+    stands for a segment of it (own) or may stand for one of a near copy's."""
+    by_k = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"), F.lit(d).alias("d")) for i, end, d in places(k))) for k in range(1, edits + 1)))
     low = lines.withColumn("low", _least(F.col("m"), edits))
     below = _least(F.col("low") - 1, edits)
     reach = (F.col("low") > MIN_CHARS) & (F.col("m") - F.col("low") < allowed(below, edits))
     w = low.withColumn("class", F.explode(F.when(reach, F.array(F.col("low"), below)).otherwise(F.array("low"))))
     w = w.withColumn("k", allowed(F.col("class"), edits)).withColumn("q", F.floor(F.col("class") / (F.col("k") + 1)).cast("int"))
     w = w.withColumn("at", F.explode(F.get(by_k, F.col("k") - 1)))
-    start = F.col("at.i") * F.col("q") + F.col("at.s")
-    w = w.filter((start >= 0) & (start + F.col("q") <= F.col("m")))
-    own = (F.col("class") == F.col("low")) & (F.col("at.s") == 0)
-    return w.select(F.xxhash64("class", "at.i", F.substring("line", start + 1, F.col("q"))).alias("key"), "h", "m", own.alias("own"))
+    # the segment with the code points by which it may have moved on both sides
+    start = F.when(F.col("at.end"), F.col("m") - (F.col("at.d") + 1) * F.col("q") - F.col("at.d")).otherwise(F.col("at.i") * F.col("q") - F.col("at.d"))
+    w = w.select("h", "m", "class", (F.col("class") == F.col("low")).alias("in"), F.col("at.i").alias("i"), F.col("at.d").alias("d"), "q", _room(F.col("q")).alias("room"), F.substring("line", start + 1, F.col("q") + 2 * F.col("at.d")).alias("part"))
+    begins = F.array(_mark(F.lit(0)))
+    for d in range(1, edits // 2 + 1):
+        begins = F.when(F.col("d") == d, F.array_distinct(F.array(*(_mark(F.lit(s)) for s in range(2 * d + 1))))).otherwise(begins)
+    w = w.withColumn("p", F.explode(begins))
+    gram = F.substring("part", F.col("p") + 1, F.col("q") - F.col("room"))
+    return w.select(F.xxhash64("class", "i", gram).alias("key"), "h", "m", (F.col("in") & (F.col("p") == _mark(F.col("d")))).alias("own"))
+
+
+def _room(q: Column) -> Column:
+    """Code points at the beginning of a segment of q among which its substring may begin."""
+    return F.when(q >= ROOMY, F.floor(q / ROOM)).otherwise(F.lit(0)).cast("int")
+
+
+def _mark(s: Column) -> Column:
+    """Where the substring that stands for the segment from s on begins: at its
+    first blank, if there is room for one, or at s. This depends on the segment's
+    text only, so segments moved by a few code points mostly name one substring."""
+    at = F.call_function("locate", F.lit(" "), F.col("part"), s + 1)
+    return F.when((at > s) & (at <= s + 1 + F.col("room")), at - 1).otherwise(s)
 
 
 def edit_distance_at_most(longer: Column, shorter: Column, edits: int = EDITS, limit: Column | None = None) -> Column:
@@ -189,25 +211,19 @@ def within(a: str, b: str, limit: str, edits: int) -> Column:
     return F.get(F.transform(texts, lambda s: edit_distance_at_most(s["x"], s["y"], edits, F.col(limit))), 0)
 
 
-def pair_parities(line: Column) -> Column:
-    """64 bits: for each class of neighbouring code points whether their number
-    in a line is odd. One edit changes at most four such pairs."""
-    signs = F.split(line, "")
-    n = F.size(signs) - 1
-    bit = lambda x, y: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, y), F.lit(64)).cast("int"))
-    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), bit)
-    return F.aggregate(both, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(b))
-
-
 def crowd_parities(line: Column) -> Column:
-    """The same over 64 * ``WORDS`` classes, as an array of words."""
+    """64 * ``WORDS`` bits in an array of words: for each class of neighbouring
+    code points whether their number in a line is odd. One edit changes at most
+    four such pairs."""
     signs = F.split(line, "")
     n = F.size(signs) - 1
-    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(64 * WORDS)).cast("int"))
+    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda x, y: F.hash(x, y))
 
     def word(w: int) -> Column:
-        bit = lambda b: F.when(F.floor(b / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(both, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(bit(b)))
+        # shiftleft looks at the last six bits of its second argument
+        bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+        mine = F.filter(both, lambda b: F.shiftrightunsigned(b, 6).bitwiseAND(F.lit(WORDS - 1)) == w)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(bit(b)))
 
     return F.array(*(word(w) for w in range(WORDS)))
 
@@ -235,10 +251,10 @@ def _once(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h").agg(F.first("line").alias("line"), F.first("m").alias("m"))
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """h, first (doc_id, pos), n (occurrences) of every line."""
+def first_lines(places: DataFrame) -> DataFrame:
+    """h, first (doc_id, pos), n (occurrences) of every line, from doc_id, pos, h."""
     place = F.struct(F.col("doc_id"), F.col("pos"))
-    return scratch(lines_of(docs).groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first_lines")
+    return scratch(places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first_lines")
 
 
 def _ranked(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
@@ -261,24 +277,26 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: boo
     near = within("line", "e_line", "k", edits) if bit_parallel else F.expr("levenshtein(line, e_line, k) >= 0")
     ranked = _ranked(docs, first, edits)
     met = ranked.select("h").distinct()
-    text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line", pair_parities(F.col("line")).alias("odd")), "lines")
-    # the parities go along with the entries, so a pair that differs in too many ends in the join
-    ranked = scratch(ranked.join(text.select("h", F.array("odd").alias("odd")), "h"), "signed")
-    left, found, lo, step, words = ranked.filter("rank > 0"), [], 0, BLOCK, 1
+    text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line"), "lines")
+    left, found, lo, step, signed = ranked.filter("rank > 0"), [], 0, BLOCK, False
     while not left.isEmpty():
-        if lo >= CROWD and words < WORDS:
-            words, crowded = WORDS, ranked.drop("odd").join(left.select("key").distinct(), "key", "left_semi")
+        if lo >= CROWD and not signed:
+            # the parities go along with the entries, so a pair that differs in too many ends in the join
+            signed, crowded = True, ranked.join(left.select("key").distinct(), "key", "left_semi")
             signs = text.join(crowded.select("h").distinct(), "h", "left_semi").select("h", crowd_parities(F.col("line")).alias("odd"))
             ranked = scratch(crowded.join(signs, "h"), "crowded")
             left = ranked.join(left.select("key", "h"), ["key", "h"], "left_semi")
-        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"), F.col("odd").alias("e_odd"))
+        odd = [F.col("odd").alias("e_odd")] if signed else []
+        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"), *odd)
         k = allowed(F.least("m", "em"), edits)
         index = F.when(F.col("m") < F.col("em"), F.col("own")).when(F.col("m") > F.col("em"), F.col("eown")).otherwise(F.col("own") | F.col("eown"))
-        like = sum(F.bit_count(F.get("odd", F.lit(w)).bitwiseXOR(F.get("e_odd", F.lit(w)))) for w in range(words)) <= 4 * k
-        pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k) & like).select("h", "e", k.alias("k")).distinct()
+        may = (F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)
+        if signed:
+            may = may & (sum(F.bit_count(F.get("odd", F.lit(w)).bitwiseXOR(F.get("e_odd", F.lit(w)))) for w in range(WORDS)) <= 4 * k)
+        pairs = left.join(early, "key").filter(may).select("h", "e", k.alias("k")).distinct()
         both = pairs.join(text.select("h", "line"), "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line")), "e")
         found.append(scratch(both.filter(near).select("h").distinct(), "late"))
-        lo, step = lo + step, 2 * step
+        lo, step = lo + step, GROWTH * step
         left = scratch(left.filter(F.col("rank") > lo).join(found[-1], "h", "left_anti"), "left")
     out = first.select("h").limit(0)
     for f in found:
@@ -289,10 +307,11 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: boo
 def dropped_lines(docs: DataFrame, edits: int = EDITS, bit_parallel: bool = False) -> DataFrame:
     """doc_id, dropped: positions of the lines that repeat an earlier one or
     are a near copy of one."""
-    first = first_lines(docs)
+    occurrences = scratch(lines_of(docs).select("doc_id", "pos", "h"), "occurrences")
+    first = first_lines(occurrences)
     late = late_copies(docs, first, edits, bit_parallel).withColumn("late", F.lit(True))
     known = first.select("h", "first").join(late, "h", "left")
-    gone = lines_of(docs).select("h", "doc_id", "pos").join(known, "h").filter(F.col("late") | (F.col("first") != F.struct("doc_id", "pos")))
+    gone = occurrences.join(known, "h").filter(F.col("late") | (F.col("first") != F.struct("doc_id", "pos")))
     return gone.groupBy("doc_id").agg(F.collect_list("pos").alias("dropped"))
 
 
