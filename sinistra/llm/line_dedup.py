@@ -57,9 +57,9 @@ BLOCK = 1
 PICK_BITS = 1 << 24
 #: each block of an entry is so many times as long as the one before
 GROWTH = 4
-#: from this rank on, the lines that an entry still has are told apart by parities first
+#: lines of an entry with more than so many are told apart by parities and letters first
 CROWD = 5
-WORDS = 4
+LETTERS = "abcdefghijklmnopqrstuvwxyz ,."
 #: a segment from this many code points on is known by a substring that begins at a blank
 ROOMY = 20
 ROOM = 3
@@ -211,21 +211,29 @@ def within(a: str, b: str, limit: str, edits: int) -> Column:
     return F.get(F.transform(texts, lambda s: edit_distance_at_most(s["x"], s["y"], edits, F.col(limit))), 0)
 
 
-def crowd_parities(line: Column) -> Column:
-    """64 * ``WORDS`` bits in an array of words: for each class of neighbouring
-    code points whether their number in a line is odd. One edit changes at most
-    four such pairs."""
+def pair_parities(line: Column) -> Column:
+    """64 bits: for each class of neighbouring code points whether their number
+    in a line is odd. One edit changes at most four such pairs."""
     signs = F.split(line, "")
     n = F.size(signs) - 1
-    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda x, y: F.hash(x, y))
+    # shiftleft looks at the last six bits of its second argument
+    bit = lambda x, y: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x, y))
+    both = F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), bit)
+    return F.aggregate(both, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(b))
 
-    def word(w: int) -> Column:
-        # shiftleft looks at the last six bits of its second argument
-        bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-        mine = F.filter(both, lambda b: F.shiftrightunsigned(b, 6).bitwiseAND(F.lit(WORDS - 1)) == w)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(bit(b)))
 
-    return F.array(*(word(w) for w in range(WORDS)))
+def letter_counts(line: Column) -> Column:
+    """How often each of ``LETTERS`` stands in a line. One edit takes away at
+    most one letter and adds at most one."""
+    return F.array(*((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("int") for c in LETTERS))
+
+
+def _like(k: Column) -> Column:
+    """Whether two lines (odd, bag and e_odd, e_bag) may be within k edits; true
+    where one of them has no parities."""
+    more = lambda a, b: sum(F.greatest(F.get(a, F.lit(i)) - F.get(b, F.lit(i)), F.lit(0)) for i in range(len(LETTERS)))
+    bits = F.bit_count(F.col("odd").bitwiseXOR(F.col("e_odd"))) <= 4 * k
+    return F.coalesce(bits & (more("bag", "e_bag") <= k) & (more("e_bag", "bag") <= k), F.lit(True))
 
 
 def _bitmap(hashes: DataFrame) -> DataFrame:
@@ -278,22 +286,19 @@ def late_copies(docs: DataFrame, first: DataFrame, edits: int, bit_parallel: boo
     ranked = _ranked(docs, first, edits)
     met = ranked.select("h").distinct()
     text = scratch(_once(_picked(docs, met, "left_semi")).select("h", "line"), "lines")
-    left, found, lo, step, signed = ranked.filter("rank > 0"), [], 0, BLOCK, False
+    # the signs go along with the entries, so a pair that differs in too much ends in the join
+    crowded = ranked.join(ranked.filter(F.col("rank") >= CROWD).select("key").distinct(), "key", "left_semi").select("h").distinct()
+    signs = scratch(text.join(crowded, "h", "left_semi").select("h", pair_parities(F.col("line")).alias("odd"), letter_counts(F.col("line")).alias("bag")), "signs")
+    own = ranked.filter("own").join(crowded, "h", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))
+    ranked = scratch(ranked.join(signs.join(own, "h", "left"), "h", "left"), "signed")
+    left, found, lo, step = ranked.filter("rank > 0"), [], 0, BLOCK
     while not left.isEmpty():
-        if lo >= CROWD and not signed:
-            # the parities go along with the entries, so a pair that differs in too many ends in the join
-            signed, crowded = True, ranked.join(left.select("key").distinct(), "key", "left_semi")
-            signs = text.join(crowded.select("h").distinct(), "h", "left_semi").select("h", crowd_parities(F.col("line")).alias("odd"))
-            ranked = scratch(crowded.join(signs, "h"), "crowded")
-            left = ranked.join(left.select("key", "h"), ["key", "h"], "left_semi")
-        odd = [F.col("odd").alias("e_odd")] if signed else []
-        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"), *odd)
+        early = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + step)).select("key", F.col("h").alias("e"), F.col("m").alias("em"), F.col("own").alias("eown"), F.col("rank").alias("erank"), F.col("odd").alias("e_odd"), F.col("bag").alias("e_bag"), F.col("keys").alias("e_keys"))
         k = allowed(F.least("m", "em"), edits)
         index = F.when(F.col("m") < F.col("em"), F.col("own")).when(F.col("m") > F.col("em"), F.col("eown")).otherwise(F.col("own") | F.col("eown"))
-        may = (F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k)
-        if signed:
-            may = may & (sum(F.bit_count(F.get("odd", F.lit(w)).bitwiseXOR(F.get("e_odd", F.lit(w)))) for w in range(WORDS)) <= 4 * k)
-        pairs = left.join(early, "key").filter(may).select("h", "e", k.alias("k")).distinct()
+        # two lines that share several own entries meet in one of them
+        once = F.coalesce(F.array_min(F.array_intersect("keys", "e_keys")) == F.col("key"), F.lit(True))
+        pairs = left.join(early, "key").filter((F.col("erank") < F.col("rank")) & index & (F.abs(F.col("m") - F.col("em")) <= k) & _like(k) & once).select("h", "e", k.alias("k")).distinct()
         both = pairs.join(text.select("h", "line"), "h").join(text.select(F.col("h").alias("e"), F.col("line").alias("e_line")), "e")
         found.append(scratch(both.filter(near).select("h").distinct(), "late"))
         lo, step = lo + step, GROWTH * step

@@ -141,6 +141,55 @@ def test_line_dedup_crowds(spark, monkeypatch):
     assert joins and all("bit_count" in x for x in joins)
 
 
+def test_line_dedup_few_entries(spark):
+    """A line of words enters the index under few substrings, a near copy moved
+    by some code points shares one of them as its own or the other's."""
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    rows = []
+    for h in range(0, 40, 2):
+        a = words(50)
+        b = list(a)
+        for _ in range(5):
+            at = rnd.randrange(len(b))
+            b[at:at + rnd.randint(0, 1)] = rnd.choice([[], ["x"]])
+        rows += [(h, a, len(a)), (h + 1, "".join(b), len(b))]
+    met = line_dedup.entries(spark.createDataFrame(rows, "h long, line string, m int"), line_dedup.MANY_EDITS).distinct().collect()
+    assert len(met) <= 14 * len(rows)
+    length = {h: m for h, _, m in rows}
+    for h in range(0, 40, 2):
+        keys = [{r.key: r.own for r in met if r.h == x and (r.own or not any(o.own and o.key == r.key and o.h == x for o in met))} for x in (h, h + 1)]
+        short = keys if length[h] <= length[h + 1] else keys[::-1]
+        assert any(own and key in short[1] for key, own in short[0].items())
+
+
+def test_line_dedup_pairs_meet_once(spark, monkeypatch):
+    """Lines that share most segments and differ in one word by more than their
+    edits make no pair; the others make one, not one for each segment."""
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    met, write = [], line_dedup.scratch
+
+    def count(df, name):
+        if name == "late":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            met.append("bag" in plan and "array_intersect" in plan)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "scratch", count)
+    stem = "many lines begin with these words and they go on for quite a while until there is the word %s and then they go on again for a while until all of them end with these last words"
+    rnd = random.Random(8)
+    rows = [stem % "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.choice([3, 5, 12]))) for _ in range(40)]
+    rows += [r.replace("quite", "qite", 1) for r in rows[:5]]
+    late = {i for i, x in enumerate(rows) if any(abs(len(x) - len(y)) <= 5 and edits(x, y) <= 5 for y in rows[:i])}
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), line_dedup.MANY_EDITS).collect() if r.n_dropped}
+    assert got == late and 5 < len(late) < 45
+    assert met and all(met)
+    pair = "SELECT odd, bag, odd AS e_odd, array(%s) AS e_bag FROM VALUES (0L, array(%s)) AS t(odd, bag)"
+    n = len(line_dedup.LETTERS)
+    some = lambda x: ", ".join(["%d" % x] + ["0"] * (n - 1))
+    assert [spark.sql(pair % (some(x), some(0))).select(line_dedup._like(F.lit(5))).first()[0] for x in (5, 6)] == [True, False]
+
+
 def test_line_dedup_one_word(spark):
     """A line of 160 code points with one changed word goes."""
     words = ("the quick brown fox jumps over the lazy dog and then " * 4)[:160]
